@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm import bpe, mixing
+from sedimenta.llm import ann, bpe, langid, mixing, topk
 from sedimenta.llm.text import word_count
 from sedimenta.plans.scratch import materialize, small_batches
 
@@ -39,13 +39,41 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth one."""
+    small_batches(spark, 4096)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return ann.search(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every whole document, learnt from two of three folds."""
+    small_batches(spark)
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.learn(docs.filter(~F.col("held_out")))
+    return langid.identify(docs.select("doc_id", "text", "held_out"), model).drop("text")
+
+
+def op8_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest integer inner products of every hundredth vector."""
+    small_batches(spark, 4096)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return topk.search(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": op1_mix,
         "op2_token_counts": op2_token_counts,
         "op3_bpe_codec": op3_bpe_codec,
+        "op5_nearest": op5_nearest,
+        "op7_language_id": op7_language_id,
+        "op8_top_products": op8_top_products,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": mixing.ORACLE}
+    return {
+        "op1_mix": mixing.ORACLE,
+        "op8_top_products": topk.ORACLE,
+    }
