@@ -8,6 +8,7 @@ The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,3 +44,13 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     Documents can be long; the default of 10,000 rows a batch may not fit.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps.
+
+    It does so when the driver has collected the plans that made them, which a
+    driver with memory to spare may put off for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
