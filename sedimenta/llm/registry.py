@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm import ann, bpe, langid, mixing, topk
+from sedimenta.llm import ann, bpe, jaccard, langid, mixing, topk
 from sedimenta.llm.text import word_count
 from sedimenta.plans.scratch import materialize, small_batches
 
@@ -39,6 +39,12 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
+def op4_near_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and near-duplicate component of every whole document."""
+    found = jaccard.near_components(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest vectors of every hundredth one."""
     small_batches(spark, 4096)
@@ -66,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix": op1_mix,
         "op2_token_counts": op2_token_counts,
         "op3_bpe_codec": op3_bpe_codec,
+        "op4_near_components": op4_near_components,
         "op5_nearest": op5_nearest,
         "op7_language_id": op7_language_id,
         "op8_top_products": op8_top_products,
@@ -75,5 +82,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix": mixing.ORACLE,
+        "op4_near_components": jaccard.ORACLE,
         "op8_top_products": topk.ORACLE,
     }
