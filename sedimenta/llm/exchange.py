@@ -11,8 +11,6 @@ grows with the rows that hold it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,10 +22,10 @@ TOTAL = "block int, slice int, totals binary"
 SLICE_KEYS, BLOCK_BYTES = 1 << 20, 12 << 20
 
 
-def planned(docs: DataFrame, text_col: str) -> tuple[int, int]:
+def planned(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[int, int]:
     """``(blocks, slice bits)`` for a table, from the bytes of its texts."""
     size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
-    return max(16, -(-size // BLOCK_BYTES)), max(8, (size // 4 // SLICE_KEYS).bit_length())
+    return max(16, -(-size // block_bytes)), max(8, (size // 4 // SLICE_KEYS).bit_length())
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -77,7 +75,3 @@ def received(rows: pd.DataFrame) -> np.ndarray:
     ordered = rows.sort_values("slice")["totals"]
     return np.concatenate([_values(t, 4) for t in ordered]) if len(ordered) else np.empty(0, np.uint64)
 
-
-def in_batches(frame: pd.DataFrame, rows: int) -> Iterator[pd.DataFrame]:
-    for i in range(0, len(frame), rows):
-        yield frame.iloc[i : i + rows]

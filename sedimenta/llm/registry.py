@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm import ann, bpe, jaccard, langid, mixing, topk
+from sedimenta.llm import ann, bpe, jaccard, langid, linededup, lm, mixing, topk
 from sedimenta.llm.text import word_count
 from sedimenta.plans.scratch import materialize, small_batches
 
@@ -52,6 +52,13 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.filter(F.col("vec_id") % 100 == 0))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, removed lines and a digest of the kept text of every document."""
+    kept = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    return kept.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), digest.alias("kept_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every whole document, learnt from two of three folds."""
     small_batches(spark)
@@ -67,6 +74,12 @@ def op8_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(rows, rows.filter(F.col("vec_id") % 100 == 0))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigram stupid-backoff score of every whole document against all others."""
+    scored = lm.score(documents(spark, sf_dir).select("doc_id", "text"), order=3)
+    return scored.withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": op1_mix,
@@ -74,8 +87,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe_codec": op3_bpe_codec,
         "op4_near_components": op4_near_components,
         "op5_nearest": op5_nearest,
+        "op6_line_dedup": op6_line_dedup,
         "op7_language_id": op7_language_id,
         "op8_top_products": op8_top_products,
+        "op10_lm_scores": op10_lm_scores,
     }
 
 
@@ -83,5 +98,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix": mixing.ORACLE,
         "op4_near_components": jaccard.ORACLE,
+        "op6_line_dedup": linededup.ORACLE,
         "op8_top_products": topk.ORACLE,
     }
