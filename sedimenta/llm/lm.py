@@ -67,7 +67,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     placed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
 
     def real(keys: list[np.ndarray], within: np.ndarray) -> np.ndarray:
-        return np.concatenate([keys[0], *[k[within >= n] for n, k in enumerate(keys[1:])]])
+        return np.concatenate([keys[0], *[k[within >= n - 1] for n, k in enumerate(keys) if n]])
 
     def emit(frame: pd.DataFrame) -> pd.DataFrame:
         _, keys, within = _grams(frame["text"], order, 64 - bits)
@@ -76,15 +76,19 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
 
     def judge(frame: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         doc, keys, within = _grams(frame["text"], order, 64 - bits)
-        known = np.unique(real(keys, within))
-        totals = exchange.received(back).astype(np.float64)
-        others = []
-        for n, k in enumerate(keys):
-            at = np.searchsorted(known, k)
-            mine = doc * len(known) + at
-            mine[within < n - 1] = -1
-            _, which, own = np.unique(mine, return_inverse=True, return_counts=True)
-            others.append(np.where(within < n - 1, 0, totals[at] - own[which]))
+        _, which = np.unique(real(keys, within), return_inverse=True)
+        totals = exchange.received(back).astype(np.float64)[which]
+        others, start = [], 0
+        for n in range(order + 1):
+            here = np.arange(len(doc)) if n == 0 else np.flatnonzero(within >= n - 1)
+            at, total = which[start : start + len(here)], totals[start : start + len(here)]
+            start += len(here)
+            left = np.zeros(len(doc))
+            # an n-gram that occurs once is the document's own
+            more = np.flatnonzero(total > 1)
+            _, again, own = np.unique(doc[here[more]] * (len(which) + 1) + at[more], return_inverse=True, return_counts=True)
+            left[here[more]] = total[more] - own[again]
+            others.append(left)
         value = np.maximum(others[1], UNSEEN) / np.maximum(others[0], 1)
         for n in range(2, order + 1):
             before = np.concatenate(([0.0], others[n - 1][:-1]))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm import ann, bpe, jaccard, langid, linededup, lm, mixing, topk
+from sedimenta.llm import ann, bpe, jaccard, langid, licenses, linededup, lm, mixing, topk
 from sedimenta.llm.text import word_count
 from sedimenta.plans.scratch import materialize, small_batches
 
@@ -74,6 +74,13 @@ def op8_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(rows, rows.filter(F.col("vec_id") % 100 == 0))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence lines of every whole document, predicted and held against the templates."""
+    small_batches(spark)
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return licenses.scan(docs, licenses.train(docs)).withColumnRenamed("id", "doc_id")
+
+
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trigram stupid-backoff score of every whole document against all others."""
     scored = lm.score(documents(spark, sf_dir).select("doc_id", "text"), order=3)
@@ -90,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_line_dedup": op6_line_dedup,
         "op7_language_id": op7_language_id,
         "op8_top_products": op8_top_products,
+        "op9_licenses": op9_licenses,
         "op10_lm_scores": op10_lm_scores,
     }
 
