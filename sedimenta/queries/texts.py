@@ -1,0 +1,78 @@
+"""Text: message style, first reasons, canonical URLs, digests, and source-style features of whole texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sedimenta.functions import style as Y
+from sedimenta.functions import text as T
+from sedimenta.functions.hashing import nul_digest
+from sedimenta.queries import query, r6, table
+
+
+@query(
+    r"""SELECT conv_id, turn, len(regexp_extract_all(text, '[A-Za-z0-9'']+')) AS words, len(string_split(text, chr(10))) AS lines,
+  len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*(?:[-*+]|\d+[.)])\s+\S'))) AS bullets, len(regexp_extract_all(text, '\b[A-Z][a-z]+')) AS capitals,
+  len(regexp_extract_all(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[.!?](?:\s|$)')) AS sentences, sha256(text) AS digest FROM conversations"""
+)
+def message_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    style = T.style(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[style[c].alias(c) for c in ("words", "lines", "bullets", "capitals", "sentences", "digest")])
+
+
+@query(
+    """WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+f AS (SELECT doc_id, i, regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '' AS full_line FROM l), b AS (SELECT *, coalesce(lag(full_line) OVER (PARTITION BY doc_id ORDER BY i), false) AS before FROM f)
+SELECT doc_id, CAST(count(*) FILTER (full_line AND NOT before) AS INTEGER) AS paragraphs FROM b GROUP BY doc_id""".replace("\\\\", "\\")
+)
+def paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.paragraphs(F.col("text")).alias("paragraphs"))
+
+
+@query(
+    r"""SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^\s+|\s+$', '', 'g'), '/+$', ''), '\.git$', ''), '^(?i:https?://)?(?i:github\.com/)?', '')) AS repository,
+  CASE WHEN len(string_split(regexp_replace(url, '/+$', ''), '/')) >= 2 THEN array_to_string(string_split(regexp_replace(url, '/+$', ''), '/')[-2:], '/') END AS name FROM pages"""
+)
+def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.canonical_repository(F.col("url")).alias("repository"), T.repository_name(F.col("url")).alias("name"))
+
+
+PATTERNS = {"apache": [r"Apache License", r"apache\.org"], "gpl": [r"GNU General Public"], "mit": [r"MIT License"], "contact": [r"[a-z0-9._]+@[a-z0-9.]+\.[a-z]+"]}
+
+
+@query(
+    r"""WITH h AS (SELECT doc_id, regexp_matches(text, 'Apache License|apache\.org') AS a, regexp_matches(text, 'GNU General Public') AS g, regexp_matches(text, 'MIT License') AS m, regexp_matches(text, '[a-z0-9._]+@[a-z0-9.]+\.[a-z]+') AS c, length(text) > 5000 AS l FROM documents)
+SELECT doc_id, concat_ws(',', CASE WHEN a THEN 'apache' END, CASE WHEN g THEN 'gpl' END, CASE WHEN m THEN 'mit' END, CASE WHEN c THEN 'contact' END) AS labels, a::INT + g::INT + m::INT + c::INT + l::INT AS score,
+  CASE WHEN c THEN 'personal' WHEN l THEN 'long' WHEN NOT (a OR g OR m) THEN 'no_licence' END AS reason FROM h"""
+)
+def message_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    labels = T.labels_matching(text, PATTERNS)
+    has = {n: F.array_contains(labels, n) for n in PATTERNS}
+    long = F.length(text) > 5000
+    score, _ = T.signal_score({**has, "long": long})
+    reason = T.first_reason((has["contact"], "personal"), (long, "long"), (~(has["apache"] | has["gpl"] | has["mit"]), "no_licence"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(labels, ",").alias("labels"), score.alias("score"), reason.alias("reason"))
+
+
+@query("SELECT l_orderkey, l_linenumber, sha256(l_orderkey || chr(0) || l_linenumber || chr(0) || l_partkey || chr(0) || l_returnflag) AS line_id FROM lineitem")
+def line_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", nul_digest(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_returnflag")).alias("line_id"))
+
+
+_L = "string_split(text, chr(10))"
+
+
+@query(
+    rf"""WITH l AS (SELECT doc_id, text, {_L} AS ls FROM documents), n AS (SELECT *, list_filter(ls, lambda x: regexp_replace(x, '\s+', '', 'g') <> '') AS nb, list_transform(ls, lambda x: length(regexp_replace(x, '\s+$', ''))) AS lens FROM l),
+i AS (SELECT *, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*') AS ids FROM n)
+SELECT doc_id, round(ln(1 + len(ls)), 6) AS log_lines, round(list_avg(lens), 6) AS line_len_mean, CAST(list_sort(lens)[CAST(floor(0.9 * (len(lens) - 1)) AS INTEGER) + 1] AS DOUBLE) AS line_len_p90,
+  round((len(ls) - len(nb)) / len(ls), 6) AS blank_rate, round(coalesce(list_avg(list_transform(nb, lambda x: length(x) - length(regexp_replace(x, '^\s+', '')))), 0), 6) AS indent_mean,
+  round(len(list_filter(nb, lambda x: regexp_matches(x, '\s$'))) / greatest(len(nb), 1), 6) AS trailing_ws_rate, round(len(list_filter(nb, lambda x: regexp_matches(x, ';\s*$'))) / greatest(len(nb), 1), 6) AS semicolon_rate,
+  round(coalesce(list_avg(list_transform(ids, lambda x: length(x))), 0), 6) AS ident_len_mean, round(len(list_filter(ids, lambda x: length(x) >= 14)) / greatest(len(ids), 1), 6) AS ident_long_rate,
+  round(len(regexp_extract_all(text, '\d+(?:\.\d+)?')) / greatest(len(nb), 1), 6) AS number_rate, round((length(text) - length(translate(text, '(){{}}[],.;:=', ''))) / greatest(length(text), 1), 6) AS punct_rate FROM i"""
+)
+def source_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = Y.line_features(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", *[r6(features[c]).alias(c) for c in features])
