@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedimenta.functions import messages as M
+from sedimenta.functions import paths as A
 from sedimenta.functions import style as Y
 from sedimenta.functions import text as T
 from sedimenta.functions.hashing import nul_digest
@@ -76,3 +78,29 @@ SELECT doc_id, round(ln(1 + len(ls)), 6) AS log_lines, round(list_avg(lens), 6)
 def source_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = Y.line_features(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", *[r6(features[c]).alias(c) for c in features])
+
+
+@query(
+    r"""WITH u AS (SELECT page_id, url, lower(url) AS low, '/' || lower(url) AS rooted, string_split(lower(url), '/')[-1] AS name FROM pages)
+SELECT page_id, lower(regexp_extract(url, '(\.[^.]*)$', 1)) AS extension, CASE WHEN contains(rooted, '/test/') OR contains(rooted, '/tests/') OR starts_with(name, 'test_') OR ends_with(name, '_test.go') OR ends_with(name, '_test.py') THEN 'test' ELSE 'production' END AS kind,
+  CASE WHEN ends_with(low, '.md') OR ends_with(low, '.rst') OR starts_with(name, 'readme') OR starts_with(name, 'changelog') THEN 'documentation'
+    WHEN contains(rooted, '/test') OR contains(rooted || '/', '/tests/') OR starts_with(name, 'test_') OR ends_with(name, '_test.py') OR ends_with(name, '_test.go') THEN 'test' ELSE 'source' END AS path_class FROM u"""
+)
+def url_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", A.extension(url).alias("extension"), A.code_kind(url).alias("kind"), A.path_class(url).alias("path_class"))
+
+
+@query()
+def message_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point score of every document read as a message, with the baselines of its source."""
+    docs = M.with_style(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text").drop("text")
+    scored = M.classified(docs.join(M.baselines(docs, by="source"), "source", "left"))
+    return scored.select("doc_id", "body_words", "body_lines", "bullets", "sentences", "score", F.array_join("signals", ",").alias("signals"), "at_3", "at_4", "at_5")
+
+
+@query()
+def style_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 46 style features of every whole document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return Y.source_features(docs, text="text", language="lang").drop("text", "lang")
