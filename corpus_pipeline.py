@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm import bpe, jaccard, langid, linededup, mixing
 from sedimenta.llm.text import word_count
-from sedimenta.plans.scratch import materialize, small_batches
+from sedimenta.plans.scratch import discard, materialize, small_batches
 
 #: Least share of probability of the predicted language.
 LEAST_SCORE = 0.5
@@ -82,9 +82,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over all of ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialize(docs)
-    return docs
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        written = materialize(stage(spark, docs, sf_dir))
+        if read is not None:
+            discard(read)
+        docs = read = written
+    return STAGES[-1][1](spark, docs, sf_dir)

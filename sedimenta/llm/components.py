@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.plans.scratch import materialize
+from sedimenta.plans.scratch import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,13 +15,15 @@ def components(edges: DataFrame) -> DataFrame:
     the label of that label, so long chains shorten by halves.  Labels are
     written after each round; the driver sees one number, how many have changed.
     """
-    both = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
-    labels = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")))
+    both = materialize(edges.select(F.col("a").alias("node"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
+    labels = materialize(both.groupBy("node").agg(F.least(F.min("v"), F.first("node")).alias("component")))
     while True:
-        near = both.join(labels.select(F.col("u").alias("v"), F.col("label").alias("l")), "v").groupBy("u").agg(F.min("l").alias("l"))
-        least = labels.join(near, "u").select("u", F.col("label").alias("old"), F.least("label", "l").alias("label"))
-        jump = least.select(F.col("u").alias("label"), F.col("label").alias("further"))
-        new = materialize(least.join(jump, "label").select("u", F.col("further").alias("label"), "old"))
-        labels = new.select("u", "label")
-        if new.filter("label <> old").isEmpty():
-            return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
+        near = both.join(labels.select(F.col("node").alias("v"), F.col("component").alias("l")), "v").groupBy("node").agg(F.min("l").alias("l"))
+        least = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "l").alias("at"))
+        jump = least.select(F.col("node").alias("at"), F.col("at").alias("component"))
+        new = materialize(least.join(jump, "at").select("node", "component", "old"))
+        discard(labels)
+        labels = new
+        if new.filter("component <> old").isEmpty():
+            discard(both)
+            return new

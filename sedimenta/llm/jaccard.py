@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from sedimenta.llm import exchange
 from sedimenta.llm.components import components
 from sedimenta.llm.shingles import shingles
-from sedimenta.plans.scratch import materialize, release, small_batches
+from sedimenta.plans.scratch import discard, materialize, release, small_batches
 
 #: Minimum hashes of a row, and the share that must agree for one group.
 HASHES, LOOSE = 16, 0.4
@@ -211,16 +211,16 @@ def near_components(
     release(spark)
 
     # 5. other groups, where the bound allows a link
-    placed = nodes.select("rep", "grp", "unit").distinct().join(inner.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = nodes.select("rep", "grp", "unit").distinct().join(inner.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     home = F.xxhash64("grp", "unit")
     spans = placed.groupBy("component").agg((F.min(home) != F.max(home)).alias("spans"))
     placed = materialize(placed.join(spans, "component").select("rep", F.when(F.col("spans"), F.xxhash64(F.lit("c"), "component")).otherwise(home).alias("home")))
     tokens = nodes.select("rep", "n", F.explode("toks").alias("tok")).join(placed, "rep")
     matrix = tokens.groupBy("tok").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).filter("lo <> hi").select("tok")
     cross = tokens.join(matrix, "tok").groupBy("rep", "n", "home").agg(F.sort_array(F.collect_set("tok")).alias("toks"))
-    cross = materialize(cross.filter(F.size("toks") >= F.ceil(F.col("n") * percent / 100)))
-    parts = cross.groupBy("home").agg(F.ceil(F.count("*") / unit_rows).cast("int").alias("parts"))
-    cross = cross.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    kept = materialize(cross.filter(F.size("toks") >= F.ceil(F.col("n") * percent / 100)))
+    parts = kept.groupBy("home").agg(F.ceil(F.count("*") / unit_rows).cast("int").alias("parts"))
+    cross = kept.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     prefix = F.slice("toks", F.lit(1), (F.size("toks") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
     posts = cross.select("home", "part", F.explode(prefix).alias("tok")).distinct()
     other = posts.select("tok", F.col("home").alias("home2"), F.col("part").alias("part2"))
@@ -239,8 +239,10 @@ def near_components(
 
     # 6. components of everything
     final = inner if more.isEmpty() else components(more.union(inner.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    of = member.join(final.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
-    return signed.select("id", "n").join(of, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    of = member.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+    out = materialize(signed.select("id", "n").join(of, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component")))
+    discard(signed, reps, member, first, nodes, edges, inner, placed, kept, more, *([] if final is inner else [final]))
+    return out
 
 
 ORACLE = r"""

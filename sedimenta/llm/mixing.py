@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sedimenta.plans.scratch import materialize
+from sedimenta.plans.scratch import discard, materialize
 
 _SRC, _ID, _SIZE, _WEIGHT = "__mix_source", "__mix_id", "__mix_size", "__mix_weight"
 
@@ -142,11 +142,13 @@ def mix_plan(
         # nothing of the bin is taken: everything below it is
         .select(F.col(_SRC).alias("__cs"), F.coalesce("cut", F.col("least") * (1 - 4e-16)).alias("cut"))
     )
-    return materialize(
+    out = materialize(
         need.join(cuts, F.col(_SRC).eqNullSafe(F.col("__cs")), "left")
         .withColumn("cut", F.coalesce("cut", F.lit(-1.0)))
         .select(_SRC, "source_size", "n_docs", "weighted", "target", "cut")
     )
+    discard(rows, plan, need, cut_bin)
+    return out
 
 
 def pareto_mix(
