@@ -55,3 +55,15 @@ def fit_logit(df: DataFrame, *, features: list[str], label: Column, weight: Colu
         if np.abs(step).max() < tolerance:
             break
     return model
+
+
+def out_of_fold(df: DataFrame, *, fold: str, k: int, features: list[str], label: Column, weight: Column, ridge: float = 1.0) -> DataFrame:
+    """Adds ``score``: each row by the model fitted on the other folds.  ``k`` is small; every fit is a few aggregations."""
+    parts = []
+    for f in range(k):
+        model = fit_logit(df.filter(F.col(fold) != f), features=features, label=label, weight=weight, ridge=ridge)
+        parts.append((f, model.score()))
+    score = F.lit(None).cast("double")
+    for f, s in parts:
+        score = F.when(F.col(fold) == f, s).otherwise(score)
+    return df.withColumn("score", score)

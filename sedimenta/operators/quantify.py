@@ -122,3 +122,41 @@ def confusion(df: DataFrame, *, predicted: Column, actual: Column, by: list[str]
     count = lambda c: F.count_if(c)
     out = df.groupBy(*by).agg(count(predicted & actual).alias("tp"), count(predicted & ~actual).alias("fp"), count(~predicted & ~actual).alias("tn"), count(~predicted & actual).alias("fn"))
     return out.withColumn("precision", F.try_divide("tp", F.col("tp") + F.col("fp"))).withColumn("recall", F.try_divide("tp", F.col("tp") + F.col("fn")))
+
+
+def mixture_interval(df: DataFrame, draws: DataFrame, *, group: str, side: str, score: str, weight: str, bins: int = 20, steps: int = 100) -> DataFrame:
+    """Percentile interval of the mixture share over whole-group resamples.
+
+    Scores are counted by group, side and bin once; only these counts meet the
+    draws.  The likelihood is searched on a grid of ``steps``.
+    """
+    spark = df.sparkSession
+    per = histograms(df, side=side, score=score, weight=weight, bins=bins, by=[group])
+    drawn = per.join(draws, group).groupBy("replicate", "bin").agg(*[F.sum(F.col(s) * F.col("copies")).alias(s) for s in ("agent", "human", "target")])
+    cells = draws.select("replicate").distinct().crossJoin(spark.range(bins).select(F.col("id").cast("int").alias("bin")))
+    full = cells.join(drawn, ["replicate", "bin"], "left").fillna(0.0, ["agent", "human", "target"])
+    total = W.partitionBy("replicate")
+    shaped = full.select("replicate", "target", ((F.col("agent") + 0.5) / (F.sum("agent").over(total) + 0.5 * bins)).alias("a"), ((F.col("human") + 0.5) / (F.sum("human").over(total) + 0.5 * bins)).alias("h"))
+    mixed = shaped.withColumn("share", F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: i / steps)))
+    ll = mixed.groupBy("replicate", "share").agg(F.round(F.sum(F.col("target") * F.log(F.col("share") * F.col("a") + (1 - F.col("share")) * F.col("h"))), 9).alias("ll"))
+    best = ll.groupBy("replicate").agg(F.max_by("share", F.struct("ll", -F.col("share"))).alias("share"))
+    return best.agg(F.percentile("share", F.lit(0.025)).alias("low"), F.percentile("share", F.lit(0.975)).alias("high"), F.count("*").alias("replicates"))
+
+
+def group_rates(df: DataFrame, *, by: list[str], hit: Column, weight: Column, least: float) -> DataFrame:
+    """Weighted rate of each group of at least ``least`` weight; ``saturated`` where it is all or nothing."""
+    out = df.groupBy(*by).agg(F.sum(weight).alias("weight"), F.sum(F.when(hit, weight).otherwise(0.0)).alias("hits")).filter(F.col("weight") >= least)
+    rate = F.col("hits") / F.col("weight")
+    return out.select(*by, "weight", rate.alias("rate"), ((rate == 0) | (rate == 1)).alias("saturated"))
+
+
+def robust_scale(df: DataFrame, *, by: list[str], value: str) -> DataFrame:
+    """``scale``: the larger of the spread between the values at ``n/4`` and ``3n/4`` in order and the population deviation; 1 for fewer than two rows.
+
+    Ranks come from a window by group, so no list of values is built.
+    """
+    run = W.partitionBy(*by)
+    ranked = df.select(*by, F.col(value).alias("v")).withColumns({"i": F.row_number().over(run.orderBy("v")) - 1, "n": F.count("*").over(run)})
+    at = lambda q: F.max(F.when(F.col("i") == F.floor(F.col("n") * q / 4), F.col("v")))
+    out = ranked.groupBy(*by).agg(F.first("n").alias("n"), (at(3) - at(1)).alias("spread"), F.stddev_pop("v").alias("sd"))
+    return out.select(*by, "n", F.when(F.col("n") < 2, 1.0).otherwise(F.greatest("spread", "sd", F.lit(1e-9))).alias("scale"))

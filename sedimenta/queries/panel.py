@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sedimenta.functions.dates import quarter_index
 from sedimenta.operators import matching as M
 from sedimenta.operators import panel as D
-from sedimenta.operators.classify import fit_logit
+from sedimenta.operators.classify import fit_logit, out_of_fold
+from sedimenta.operators.quantify import weighted_auc
 from sedimenta.queries import query, r6, table
 
 PANEL = """panel AS (SELECT o_custkey AS cust, year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS q, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2),
@@ -91,3 +92,11 @@ def returned_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_discount", "l_extendedprice")
     model = fit_logit(rows, features=["l_quantity", "l_discount", "l_extendedprice"], label=F.col("l_returnflag") == "R", weight=F.lit(1.0))
     return rows.withColumn("score", model.score()).groupBy("l_returnflag").agg(r6(F.avg("score")).alias("score"), F.count("*").alias("n"))
+
+
+@query()
+def held_out_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC by line status: returned lines scored by models that never saw their supplier."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_extendedprice", (F.col("l_suppkey") % 3).cast("int").alias("fold"))
+    scored = out_of_fold(rows, fold="fold", k=3, features=["l_quantity", "l_discount", "l_extendedprice"], label=F.col("l_returnflag") == "R", weight=F.lit(1.0))
+    return weighted_auc(scored, score="score", label=F.col("l_returnflag") == "R", weight=F.lit(1.0), by=["l_linestatus"]).withColumn("auc", r6(F.col("auc")))

@@ -134,3 +134,30 @@ def feature_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
         r6(F.percentile(x, F.lit(0.5))).alias("median"),
         F.count("*").alias("n"),
     )
+
+
+@query(
+    f"""WITH {SCORED} SELECT source, sum(weight) AS weight, round(sum(CASE WHEN score >= 0.5 THEN weight ELSE 0 END) / sum(weight), 6) AS rate, sum(CASE WHEN score >= 0.5 THEN weight ELSE 0 END) IN (0, sum(weight)) AS saturated FROM scored GROUP BY source HAVING sum(weight) >= 10"""
+)
+def group_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = K.group_rates(scored(spark, sf_dir), by=["source"], hit=F.col("score") >= 0.5, weight=F.col("weight"), least=10)
+    return out.select("source", "weight", r6(F.col("rate")).alias("rate"), "saturated")
+
+
+@query(
+    """WITH r AS (SELECT o_orderpriority AS p, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
+SELECT p AS o_orderpriority, any_value(n) AS n, round(CASE WHEN any_value(n) < 2 THEN 1.0 ELSE greatest(max(v) FILTER (i = n * 3 // 4) - max(v) FILTER (i = n // 4), stddev_pop(v), 1e-9) END, 4) AS scale FROM r GROUP BY p"""
+)
+def robust_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = K.robust_scale(table(spark, sf_dir, "orders"), by=["o_orderpriority"], value="o_totalprice")
+    return out.withColumn("scale", F.round("scale", 4))
+
+
+@query()
+def mixture_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval of the mixture share over 20 resamples of the sources."""
+    from sedimenta.operators.survival import cluster_draws
+
+    rows = sided(spark, sf_dir)
+    draws = cluster_draws(rows, cluster="source", replicates=20, seed="mixture")
+    return K.mixture_interval(rows, draws, group="source", side="side", score="score", weight="weight")

@@ -86,3 +86,15 @@ def horizon_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = events.select("user_id", "ts", "p", F.col("event_id").alias("snapshot_id"))
     out = Q.as_of(left, right, by=["user_id"], target="target", time="ts", position="p", least="least", value="snapshot_id")
     return out.select("user_id", "event_id", F.col("found").alias("snapshot"))
+
+
+@query(
+    """WITH g AS (SELECT event_id, ts, epoch(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events)
+SELECT event_id, round(ln(1 + greatest(gap, 0)), 6) AS log_gap, round(sin(2 * pi() * hour(ts) / 24), 6) AS hour_sin, round(cos(2 * pi() * hour(ts) / 24), 6) AS hour_cos, round(sin(2 * pi() * (isodow(ts) - 1) / 7), 6) AS day_sin, round(cos(2 * pi() * (isodow(ts) - 1) / 7), 6) AS day_cos FROM g"""
+)
+def timing_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = Q.gaps(table(spark, sf_dir, "events"), by=["user_id"], order=["ts", "event_id"], at=F.col("ts"), name="gap")
+    turn = lambda x, period: 2 * F.pi() * x / F.lit(period)
+    hour, day = turn(F.hour("ts"), 24), turn(F.weekday("ts"), 7)
+    waves = {"hour_sin": F.sin(hour), "hour_cos": F.cos(hour), "day_sin": F.sin(day), "day_cos": F.cos(day)}
+    return events.select("event_id", r6(F.log1p(F.greatest(F.col("gap"), F.lit(0.0)))).alias("log_gap"), *[r6(c).alias(n) for n, c in waves.items()])
