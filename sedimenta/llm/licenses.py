@@ -179,7 +179,10 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ne
         return label, feature.tolist(), float((pair >= 0).mean()) if len(pair) else 0.0
 
     rows = [row(families.index(f), " ".join(w)) for f, p in paragraphs for w in _windows(p)]
-    drawn = docs.filter(F.col(text_col).isNotNull()).select(id_col, text_col).orderBy(F.xxhash64(id_col), id_col).limit(negative_docs)
+    # a share of about four times what is wanted is cut first, so that no task sends more to the sort than it must
+    key = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
+    most = min(1.0, 4 * negative_docs / max(1, docs.count())) * (1 << 40)
+    drawn = docs.filter(F.col(text_col).isNotNull() & (key < most)).select(id_col, text_col).orderBy(key, id_col).limit(negative_docs)
     lines = drawn.select(F.explode(F.split(text_col, "\n")).alias("line")).filter(F.length("line") > 0).limit(negative_lines).collect()  # bounded by negative_lines
     rows += [r for x in lines if (r := row(0, x.line))[2] < 0.5]
     # single words say nothing: a family needs its 2-grams

@@ -153,7 +153,11 @@ def _centres(sample: np.ndarray, n: int) -> np.ndarray:
 def _search_dim(base: DataFrame, asked: DataFrame, dim: int, k: int, cells: int, sample_rows: int, part_rows: int, block_queries: int) -> DataFrame:
     sc = base.sparkSession.sparkContext
     # a bounded sample: sample_rows rows of lowest hash, distinct by id
-    sample = {r.vec_id: r.vec for r in base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()}
+    key = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40))
+    most = min(1.0, 4 * sample_rows / max(1, base.count())) * (1 << 40)  # cut first, so that tasks send little to the sort
+    sample = {r.vec_id: r.vec for r in base.filter(key < most).orderBy(key, "vec_id").limit(sample_rows).collect()}
+    if not sample:
+        sample = {r.vec_id: r.vec for r in base.limit(1).collect()}
     s_ids, s_vec = np.array(list(sample), np.int64), np.array(list(sample.values()), np.float64).reshape(-1, dim)
     shared = sc.broadcast((s_ids, s_vec, _centres(s_vec, cells)))
 
