@@ -26,6 +26,11 @@ Defined results: null texts stay null; shorter and blank lines stay; a line
 without such a phrase has no tokens and matches equal lines only; rows repeated with one
 id and text are treated alike; an empty table gives an empty table; other
 columns, whatever their names, pass through.
+
+With ``words=5`` a line's tokens are its distinct runs of five words instead, where
+a word is anything but ASCII white space, and contents are equal if their words
+are.  These sets cover the whole of both lines.  Then the first pass writes of each line only
+the tokens that step 2 looks at, and the lines left are tokenized again.
 """
 
 from __future__ import annotations
@@ -38,6 +43,16 @@ from sedimenta.plans.scratch import discard, materialize, release
 #: Lines of fewer characters, outer white space aside, are left alone.
 LEAST = 20
 PHRASE = r"[\p{L}\p{N}_'-]+(?:[\x20\x09-\x0D]+[\p{L}\p{N}_'-]+){2,7}"
+#: What stands between the words of which shingles are made.
+SPACE = r"[\x20\x09-\x0D]+"
+
+
+def _shingles(lines: DataFrame, words: int, *own: str) -> DataFrame:
+    """``own`` columns and ``toks``, sorted, from the column ``ws``: distinct hashes of its runs of ``words`` words."""
+    one = lines.select(*own, F.transform("ws", lambda w: F.xxhash64(w)).alias("one"))
+    runs = F.slice("one", F.lit(1), F.greatest(F.size("one") - (words - 1), F.lit(0)))
+    hashes = F.transform(runs, lambda x, i: F.xxhash64(x, *[F.get(F.col("one"), i + k) for k in range(1, words)]))
+    return one.select(*own, F.sort_array(F.array_distinct(hashes)).alias("toks"))
 
 
 def _need(n: Column, percent: int) -> Column:
@@ -52,10 +67,9 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """``id, text_hash, lines``: the sorted numbers (from 0) of the lines to remove, of documents with any."""
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+def _by_phrases(base: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """Steps 1 and 2: all lines, the first line of each content, lines that may be near copies, and the tables written."""
+    spark = base.sparkSession
     split = base.filter(F.col("text").isNotNull()).select("id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     line = F.lower(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")))
     split = split.select("id", "text_hash", "line_no", line.alias("line")).filter(F.length("line") >= LEAST)
@@ -73,6 +87,47 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     able = low.join(shared, "tok", "left_semi").select("line").distinct()
     left = materialize(contents.select("line", "pos", "toks", "n").join(able, "line", "left_semi"))
     release(spark)
+    lines = split.select("id", "text_hash", "line_no", *content)
+    return lines, contents.select(F.col("line").alias("h1"), "h2", "pos"), left, [contents, shared, left]
+
+
+def _by_shingles(base: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """As :func:`_by_phrases`, with runs of ``words`` words as tokens."""
+    spark = base.sparkSession
+
+    def worded(line: Column) -> Column:
+        return F.split(F.lower(F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))), SPACE)
+
+    # 1. content hashes and prefixes of all lines, and the first line of each content
+    split = base.filter(F.col("text").isNotNull()).select("id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    long = F.length(F.btrim("line", F.lit(" \t\n\x0b\x0c\r"))) >= LEAST
+    ws = split.select("id", "text_hash", "line_no", long.alias("long"), worded(F.col("line")).alias("ws")).filter(F.col("long") | (F.size("ws") >= words))
+    hashed = ws.select("id", "text_hash", "line_no", F.xxhash64("ws").alias("h1"), F.xxhash64(F.lit(1), "ws").alias("h2"), "ws")
+    own = ("id", "text_hash", "line_no", "h1", "h2")
+    n = F.size("toks")
+    lines = materialize(_shingles(hashed, words, *own).select(*own, F.slice("toks", F.lit(1), n - _need(n, percent) + 1).alias("low")))
+    firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(_position()).alias("pos")))
+    release(spark)
+
+    # 2. contents that meet another one in a prefix under the order of hashes, with all tokens
+    low = lines.select("h1", F.explode("low").alias("tok"))
+    shared = materialize(low.groupBy("tok").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("tok"))
+    release(spark)
+    able = materialize(low.join(shared, "tok", "left_semi").select("h1").distinct())
+    release(spark)
+    at = firsts.join(able, "h1", "left_semi").groupBy(F.col("pos.id").alias("i"), F.col("pos.text_hash").alias("t")).agg(F.collect_list(F.struct("pos.line_no", "h1")).alias("at"))
+    again = base.join(at, _same("id", "i") & _same("text_hash", "t")).select("id", "text_hash", F.split("text", "\n").alias("rows"), F.explode("at").alias("at"))
+    ws = again.select(F.col("at.h1").alias("line"), F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "at.line_no").alias("pos"), worded(F.get("rows", F.col("at.line_no"))).alias("ws"))
+    left = materialize(_shingles(ws, words, "line", "pos").dropDuplicates(["line"]).select("line", "pos", "toks", F.size("toks").alias("n")))
+    release(spark)
+    return lines.drop("low"), firsts, left, [lines, firsts, shared, able, left]
+
+
+def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int | None = None) -> DataFrame:
+    """``id, text_hash, lines``: the sorted numbers (from 0) of the lines to remove, of documents with any."""
+    spark = docs.sparkSession
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    lines, firsts, left, written = _by_shingles(base, percent, words) if words else _by_phrases(base, percent)
 
     # 3. their prefixes in order of rarity
     each = left.select("line", F.explode("toks").alias("tok"))
@@ -113,18 +168,17 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     near = first_round.union(similar(pairs))
 
     # what goes: later occurrences of a content, and first ones with an earlier match
-    firsts = contents.select(F.col("line").alias("h1"), "h2", "pos")
-    later = split.select("id", "text_hash", "line_no", *content).join(firsts, ["h1", "h2"]).filter(_position() != F.col("pos")).select("id", "text_hash", "line_no")
+    later = lines.join(firsts, ["h1", "h2"]).filter(_position() != F.col("pos")).select("id", "text_hash", "line_no")
     gone = left.join(near, "line", "left_semi").select("pos.id", "pos.text_hash", "pos.line_no")
     out = materialize(later.unionByName(gone).groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("lines")))
-    discard(contents, shared, left, prefix, first_round)
+    discard(*written, prefix, first_round)
     release(spark)
     return out
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int | None = None) -> DataFrame:
     """``docs`` with the repeated lines cut out of the text, ``n_lines`` and ``removed_lines`` (numbers from 0)."""
-    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, percent=percent).withColumnsRenamed({"id": "__id", "text_hash": "__hash", "lines": "__gone"})
+    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, percent=percent, words=words).withColumnsRenamed({"id": "__id", "text_hash": "__hash", "lines": "__gone"})
     own = [c for c in docs.columns if c not in ("n_lines", "removed_lines")]
     joined = docs.select(*own, F.xxhash64(text_col).alias("__text")).join(gone, _same(id_col, "__id") & _same("__text", "__hash"), "left")
     rows = F.split(text_col, "\n")
@@ -157,3 +211,25 @@ SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce
   CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(k.text, '')) END AS kept_sha256
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
+
+#: The same with five-word shingles (``words=5``).
+SHINGLE_ORACLE = r"""
+WITH l AS (
+  SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT doc_id, line_no, length(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')) AS long, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS ws FROM l),
+c AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, line_no) AS pos FROM w WHERE len(ws) >= 5 OR long >= 20),
+s AS (SELECT pos, unnest(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) AS tok FROM c),
+firsts AS (SELECT min(pos) AS pos, array_to_string(ws, ' ') AS content FROM c GROUP BY content),
+n AS (SELECT pos, count(*) AS n FROM s JOIN firsts USING (pos) GROUP BY pos),
+near AS (
+  SELECT DISTINCT pos FROM (
+    SELECT a.pos AS pos, b.pos AS other FROM s a JOIN n na ON na.pos = a.pos JOIN s b ON a.tok = b.tok JOIN n nb ON nb.pos = b.pos WHERE b.pos < a.pos
+    GROUP BY a.pos, b.pos HAVING 100 * count(*) >= 75 * (any_value(na.n) + any_value(nb.n) - count(*)))),
+gone AS (SELECT doc_id, line_no FROM c WHERE pos NOT IN (SELECT pos FROM firsts) OR pos IN (SELECT pos FROM near)),
+kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.line_no) AS n_removed, string_agg(CASE WHEN g.line_no IS NULL THEN line END, chr(10) ORDER BY l.line_no) AS text
+  FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line_no = l.line_no GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed,
+  CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(k.text, '')) END AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""

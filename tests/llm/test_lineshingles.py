@@ -1,0 +1,65 @@
+import random
+
+import pytest
+
+from sedimenta.llm import linededup, registry
+from tests import oracle
+
+
+def brute(docs, percent=75):
+    seen, out = [], {}
+    for i, t in sorted(docs):
+        gone = []
+        for no, line in enumerate((t or "").split("\n")):
+            w = line.lower().split()
+            if len(w) < 5 and len(line.strip()) < 20:
+                continue
+            s = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+            if any(w == v or s & r and 100 * len(s & r) >= percent * len(s | r) for v, r in seen):
+                gone.append(no)
+            seen.append((w, s))
+        out[i] = gone
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randint(0, 40))
+    pool = [[word() for _ in range(rng.randint(3, 60))] for _ in range(12)]
+    docs = []
+    for i in range(80):
+        lines = []
+        for _ in range(rng.randint(0, 5)):
+            w = list(rng.choice(pool)) if rng.random() < 0.6 else [word() for _ in range(rng.randint(1, 30))]
+            for _ in range(rng.randint(0, 3) if rng.random() < 0.7 else 0):
+                w[rng.randrange(len(w))] = word()
+            lines.append(rng.choice([" ", "  ", ", "]).join(w))
+        docs.append((i, "\n".join(lines)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.removed_lines, r.text) for r in linededup.dedup_lines(df, words=5).collect()}
+    want = brute(docs)
+    for i, t in docs:
+        assert got[i][0] == want[i], i
+        assert got[i][1] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i])
+
+
+def test_near_copies_go_and_lines_sharing_a_phrase_stay(spark):
+    words = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(words)), (2, " ".join(["new", *words])), (3, "three common words. une ecole."), (4, "three common words. elle a dit."), (5, "extraordinarily longer"), (6, " Extraordinarily  LONGER")]
+    got = {r.doc_id: r.removed_lines for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), words=5).collect()}
+    assert got == {1: [], 2: [0], 3: [], 4: [], 5: [], 6: [0]}
+
+
+def test_odd_rows_and_columns(spark):
+    line = "one two three four five six"
+    rows = [(1, line, 0), (2, f"{line}\nshort line\n\n{line.upper()}", 0), (2, f"{line}\nshort line\n\n{line.upper()}", 0), (3, None, 0), (4, "", 0), (None, line, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lines int")
+    got = sorted(((str(r.doc_id), r.text, tuple(r.removed_lines), r.n_lines) for r in linededup.dedup_lines(df, words=5).collect()), key=str)
+    cut = ("2", "short line\n", (0, 3), 4)
+    assert got == sorted([("1", line, (), 1), cut, cut, ("3", None, (), 0), ("4", "", (), 1), ("None", "", (0,), 1)], key=str)
+    assert linededup.dedup_lines(df.limit(0), words=5).count() == 0
+
+
+def test_query_equals_its_sql(spark):
+    oracle.agree(spark, oracle.connect(), registry.op6_line_shingles, linededup.SHINGLE_ORACLE)
