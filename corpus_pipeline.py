@@ -5,8 +5,8 @@ writes it as Parquet in the scratch folder and reads it again for the next one.
 All but the last return the columns of ``documents``.
 
 1.  ``language_id``: documents without a recognizable language go.
-2.  ``line_dedup``: lines that repeat an earlier line go from the texts, and
-    documents of which nothing is left.
+2.  ``line_dedup``: lines that repeat an earlier line, or are near copies of one by
+    five-word shingles, go from the texts, and documents of which nothing is left.
 3.  ``near_duplicates``: of each component of near-duplicate documents the one of
     smallest id stays.
 4.  ``mix``: sources are mixed to their target weights; a document comes as often
@@ -39,7 +39,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = linededup.dedup_lines(docs)
+    kept = linededup.dedup_lines(docs, words=5)
     emptied = (F.size("removed_lines") > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return kept.filter(~emptied).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from sedimenta.llm import linededup, registry
 from tests import oracle
 
@@ -63,3 +64,9 @@ def test_odd_rows_and_columns(spark):
 
 def test_query_equals_its_sql(spark):
     oracle.agree(spark, oracle.connect(), registry.op6_line_shingles, linededup.SHINGLE_ORACLE)
+
+
+def test_pipeline_keeps_lines_that_share_one_phrase(spark):
+    rows = [(1, "three common words. une ecole.", 30), (2, "three common words. elle a dit.", 31), (3, "Three  common words. une ecole.", 31)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {1, 2}
