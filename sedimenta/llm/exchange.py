@@ -55,7 +55,10 @@ def send(block: int, keys: np.ndarray, counts: np.ndarray, bits: int, slice_bits
 
 
 def totals(sent: DataFrame, bits: int, slice_bits: int) -> DataFrame:
-    """For each sent row the totals of its keys over all blocks, in the order of the keys."""
+    """For each sent row the totals of its keys over all blocks, in the order of the keys.
+
+    The first byte is the number of bytes a total, which the largest one of the row sets.
+    """
     width = -(-(bits - slice_bits) // 8)
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
@@ -64,8 +67,9 @@ def totals(sent: DataFrame, bits: int, slice_bits: int) -> DataFrame:
         _, which = np.unique(np.concatenate(keys), return_inverse=True)
         summed = np.bincount(which, weights=counts)[which].astype(np.uint64)
         ends = np.cumsum([len(k) for k in keys])
-        parts = np.split(np.minimum(summed, np.uint64(2**32 - 1)), ends[:-1])
-        return pd.DataFrame({"block": rows["block"], "slice": rows["slice"], "totals": [_planes(p, 4) for p in parts]})
+        parts = np.split(summed, ends[:-1])
+        widths = [max(1, -(-int(p.max()).bit_length() // 8)) for p in parts]
+        return pd.DataFrame({"block": rows["block"], "slice": rows["slice"], "totals": [bytes([w]) + _planes(p, w) for w, p in zip(widths, parts)]})
 
     return sent.groupBy("slice").applyInPandas(add, TOTAL)
 
@@ -73,5 +77,5 @@ def totals(sent: DataFrame, bits: int, slice_bits: int) -> DataFrame:
 def received(rows: pd.DataFrame) -> np.ndarray:
     """A block's totals, aligned with its sorted distinct keys."""
     ordered = rows.sort_values("slice")["totals"]
-    return np.concatenate([_values(t, 4) for t in ordered]) if len(ordered) else np.empty(0, np.uint64)
+    return np.concatenate([_values(t[1:], t[0]) for t in ordered]) if len(ordered) else np.empty(0, np.uint64)
 
