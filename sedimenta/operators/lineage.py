@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import math
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,28 +14,41 @@ STATES = "repository string, line_id string, commit string, position int, path s
 LEAST, MARGIN, MOST_CANDIDATES = 0.8, 0.1, 2000
 
 
-def _similar(text: str, added: list[tuple[str, int, str]]) -> tuple[str, int] | None:
+def _similar(text: str, added: list[tuple[str, int, str]]) -> tuple[str, int, str] | None:
     """The one added line that is near enough to ``text``; None if there is none or more than one."""
     scored = []
     for path, line, other in added:
-        m = difflib.SequenceMatcher(None, text, other, autojunk=False)
+        m = difflib.SequenceMatcher(None, text.strip(), other.strip())
         if m.real_quick_ratio() >= LEAST - MARGIN and m.quick_ratio() >= LEAST - MARGIN:
-            scored.append((m.ratio(), path, line))
+            scored.append((m.ratio(), path, line, other))
     scored.sort(reverse=True)
     if scored and scored[0][0] >= LEAST and (len(scored) == 1 or scored[0][0] - scored[1][0] >= MARGIN):
-        return scored[0][1], scored[0][2]
+        return scored[0][1:]
     return None
 
 
+def _fate(text: str, added: list[tuple[str, int, str]], most: float) -> tuple[tuple[str, int, str] | None, str]:
+    """The added line that a removed line became, and its state."""
+    same = [a for a in added if a[2] == text]
+    if len(same) == 1:
+        return same[0], "unchanged"
+    if not added:
+        return None, "deleted"
+    found = _similar(text, added) if len(added) <= most else None
+    return found, "modified" if found else "unobservable"
+
+
 def replay(introduced: DataFrame, changes: DataFrame) -> DataFrame:
     """State of every introduced line after each commit that touches its file.
 
     ``introduced``: repository, line_id, path, line, text, position (of the
     commit that made it).  ``changes``: repository, position, commit, and the
-    rows of :func:`sedimenta.sources.readers.patch_lines`.  A removed line whose
-    text is added once in the commit moves there; else one similar added line
-    makes it ``modified``; else it is ``deleted``, or ``unobservable`` if there
-    are too many candidates to look at.  Ends are final.  The fold runs in
+    rows of :func:`sedimenta.sources.readers.patch_lines`.  A removed line is looked
+    for among the lines that its own hunk adds; only if there are none, among those
+    that the commit adds, of which at most ``MOST_CANDIDATES`` are compared.  If its
+    text is added once there, the line moves there; else one similar added line makes
+    it ``modified``; else it is ``unobservable``, or ``deleted`` if nothing is added
+    or its file goes.  Ends are final.  The fold runs in
     commit order inside a repository; repositories are independent, and only
     commits that touch a followed file are sent.
     """
@@ -44,24 +59,28 @@ def replay(introduced: DataFrame, changes: DataFrame) -> DataFrame:
         live = {r.line_id: [r.path, int(r.line), r.text, "unchanged", int(r.position)] for r in lines.itertuples()}
         out = []
         for (position, commit), rows in diff.groupby(["position", "commit"], sort=True):
-            removed = {(r.old_path, int(r.old_line)) for r in rows.itertuples() if r.kind == "removed"}
+            removed = {(r.old_path, int(r.old_line)): (r.old_path, r.path, r.hunk) for r in rows.itertuples() if r.kind == "removed"}
             added = [(r.path, int(r.new_line), r.text) for r in rows.itertuples() if r.kind == "added"]
+            in_hunk = defaultdict(list)
+            for r in rows.itertuples():
+                if r.kind == "added":
+                    in_hunk[r.old_path, r.path, r.hunk].append((r.path, int(r.new_line), r.text))
             new_path = {r.old_path: r.path for r in rows.itertuples()}
             for key, s in list(live.items()):
                 path, line, text, state, since = s
                 if since >= position or path not in new_path:
                     continue
                 if (path, line) in removed:
-                    same = [a for a in added if a[2] == text]
-                    if len(same) == 1:
-                        s[0], s[1] = same[0][:2]
-                    elif len(added) > MOST_CANDIDATES:
-                        state = "unobservable"
-                    elif found := _similar(text, added):
-                        s[0], s[1], state = *found, "modified"
-                        s[2] = next(a[2] for a in added if a[:2] == found)
+                    if new_path[path] == "/dev/null":
+                        found, fate = None, "deleted"
+                    elif own_hunk := in_hunk.get(removed[path, line]):
+                        found, fate = _fate(text, own_hunk, math.inf)
                     else:
-                        state = "deleted"
+                        found, fate = _fate(text, added, MOST_CANDIDATES)
+                    if found:
+                        s[:3] = found
+                    if fate != "unchanged":
+                        state = fate
                 else:
                     gone = sum(1 for p, n in removed if p == path and n < line)
                     place = line - gone

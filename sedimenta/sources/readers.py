@@ -57,24 +57,27 @@ def renamed_to(path):
     return F.regexp_replace(braces, r"^.* => ", "")
 
 
-_CHANGE = "old_path string, path string, kind string, old_line int, new_line int, text string"
+_CHANGE = "old_path string, path string, hunk int, kind string, old_line int, new_line int, text string"
 
 
 def patch_lines(patches: DataFrame, *, keys: list[str], text: str) -> DataFrame:
-    """One row for each added or removed line of unified diffs, with its line numbers before and after."""
+    """One row for each added or removed line of unified diffs, with its line numbers before and after.
+
+    ``hunk`` numbers the hunks of a diff from 1.
+    """
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in patches.select(*keys).schema], _CHANGE])
 
     def parse(patch: str | None) -> Iterator[tuple]:
         old = new = ""
-        o = n = left_o = left_n = 0
+        o = n = left_o = left_n = hunk = 0
         for line in (patch or "").split("\n"):
             if left_o or left_n:
                 mark, body = line[:1], line[1:]
                 if mark == "+":
-                    yield old, new, "added", None, n, body
+                    yield old, new, hunk, "added", None, n, body
                     n, left_n = n + 1, left_n - 1
                 elif mark == "-":
-                    yield old, new, "removed", o, None, body
+                    yield old, new, hunk, "removed", o, None, body
                     o, left_o = o + 1, left_o - 1
                 elif mark != "\\":
                     o, n, left_o, left_n = o + 1, n + 1, left_o - 1, left_n - 1
@@ -83,6 +86,7 @@ def patch_lines(patches: DataFrame, *, keys: list[str], text: str) -> DataFrame:
             elif line.startswith("+++ "):
                 new = line[4:].removeprefix("b/")
             elif line.startswith("@@ "):
+                hunk += 1
                 before, after = line.split(" ")[1:3]
                 o, left_o = (int(x) for x in (before[1:].split(",") + ["1"])[:2])
                 n, left_n = (int(x) for x in (after[1:].split(",") + ["1"])[:2])
@@ -90,7 +94,7 @@ def patch_lines(patches: DataFrame, *, keys: list[str], text: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [[*key, *change] for *key, patch in batch[[*keys, text]].itertuples(index=False) for change in parse(patch)]
-            out = pd.DataFrame(rows, columns=[*keys, "old_path", "path", "kind", "old_line", "new_line", "text"])
+            out = pd.DataFrame(rows, columns=[*keys, "old_path", "path", "hunk", "kind", "old_line", "new_line", "text"])
             yield out.astype({"old_line": "Int32", "new_line": "Int32"})
 
     return patches.select(*keys, text).mapInPandas(run, schema)
