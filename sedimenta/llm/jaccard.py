@@ -12,12 +12,16 @@
 4.  Groups are opened, a unit of at most about ``unit_rows`` rows a task: exact
     overlaps from the unit's inverted index, and edges only where they join what
     was not joined before.  A group of several units has its leader in each.
-5.  The token-group matrix keeps for each shingle whether more than one group
-    holds it.  The overlap of a query row with all other groups is bounded by its
-    shingles of that kind; below ``0.75 n`` no other group needs to be opened for
-    it.  For the few rows left, the groups that share one of the first
-    ``bound - 0.75 n + 1`` of these shingles (a prefix, so exact) are opened
-    against each other.
+5.  The token-group matrix holds each group's token union, a row for each group and
+    shingle.  The overlap of a query row with all other groups is bounded by its
+    shingles that they hold; below ``0.75 n`` no other group needs to be opened for
+    it.  For the few rows left, shingles are ordered by the number of groups that
+    hold them, and a row asks the groups that share one of the first
+    ``bound - 0.75 n + 1`` (a prefix under a common order, so exact).  The bound is
+    taken again against the union of the group asked, which is opened only if it
+    holds.  This is done twice: first each shingle names one group only, so that
+    what links in chains or stars becomes one group with work in proportion to its
+    rows; then the groups that are left meet all others.
 6.  Components of all edges.
 
 Nothing is dropped by frequency or size.  A component that spans units counts as
@@ -60,7 +64,7 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     blocks, slice_bits = exchange.planned(docs, "text")
     bits = 48 + slice_bits - 8
     drop = np.uint64(max(0, 56 - bits))
-    placed = docs.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    placed = docs.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
 
     def keys(sets: list[np.ndarray]) -> np.ndarray:
         return np.concatenate(sets) >> drop if sets else np.empty(0, np.uint64)
@@ -195,6 +199,8 @@ def near_components(
     sizes = grouped.groupBy("grp").agg(F.count("*").alias("size")).withColumn("units", F.ceil(F.col("size") / unit_rows).cast("int"))
     assigned = grouped.join(sizes, "grp").withColumn("unit", F.pmod(F.xxhash64("rep"), F.col("units")).cast("int"))
     nodes = materialize(able.select(F.col("id").alias("rep"), "n", "toks").join(assigned, "rep"))
+    sized = materialize(signed.select("id", "n"))
+    discard(signed, reps, first)
     release(spark)
 
     # 4. open each group
@@ -208,43 +214,83 @@ def near_components(
     leaders = several.filter("units > 1 and rep = grp").withColumn("unit", F.explode(F.sequence(F.lit(0), F.col("units") - 1)))
     edges = materialize(several.unionByName(leaders).select("grp", "unit", "rep", "n", "toks").groupBy("grp", "unit").applyInPandas(open_unit, "a long, b long"))
     inner = components(edges)
+    discard(edges)
     release(spark)
 
-    # 5. other groups, where the bound allows a link
-    placed = nodes.select("rep", "grp", "unit").distinct().join(inner.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    home = F.xxhash64("grp", "unit")
-    spans = placed.groupBy("component").agg((F.min(home) != F.max(home)).alias("spans"))
-    placed = materialize(placed.join(spans, "component").select("rep", F.when(F.col("spans"), F.xxhash64(F.lit("c"), "component")).otherwise(home).alias("home")))
-    tokens = nodes.select("rep", "n", F.explode("toks").alias("tok")).join(placed, "rep")
-    matrix = tokens.groupBy("tok").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).filter("lo <> hi").select("tok")
-    cross = tokens.join(matrix, "tok").groupBy("rep", "n", "home").agg(F.sort_array(F.collect_set("tok")).alias("toks"))
-    kept = materialize(cross.filter(F.size("toks") >= F.ceil(F.col("n") * percent / 100)))
-    parts = kept.groupBy("home").agg(F.ceil(F.count("*") / unit_rows).cast("int").alias("parts"))
-    cross = kept.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    prefix = F.slice("toks", F.lit(1), (F.size("toks") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    posts = cross.select("home", "part", F.explode(prefix).alias("tok")).distinct()
-    other = posts.select("tok", F.col("home").alias("home2"), F.col("part").alias("part2"))
-    pairs = posts.join(other, "tok").filter("home < home2").select("home", "part", "home2", "part2").distinct()
-    left = pairs.join(cross, ["home", "part"]).withColumn("side", F.lit(0))
-    right = pairs.join(cross.withColumnsRenamed({"home": "home2", "part": "part2"}), ["home2", "part2"]).withColumn("side", F.lit(1))
-    pair = ["home", "part", "home2", "part2"]
-
-    def open_pair(rows: pd.DataFrame) -> pd.DataFrame:
-        found = links(rows["n"].to_numpy(), [t.astype(np.int64) for t in rows["toks"]], percent, rows["side"].to_numpy())
-        ids = rows["rep"].to_numpy()
-        return pd.DataFrame([(ids[a], ids[b]) for a, b in found], columns=["a", "b"], dtype="int64")
-
-    both = left.select(*pair, "side", "rep", "n", "toks").unionByName(right.select(*pair, "side", "rep", "n", "toks"))
-    more = materialize(both.groupBy(*pair).applyInPandas(open_pair, "a long, b long"))
+    # 5. other groups, where the bound allows a link: first one group a token, then all that are left
+    placed = _homes(nodes.select("rep", F.xxhash64("grp", "unit").alias("home")).distinct(), inner)
+    rows = nodes.select("rep", "n", "toks").dropDuplicates(["rep"])
+    first_edges, kept = _cross(rows, placed, percent, unit_rows, hub=True)
+    joined = components(first_edges.union(inner.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    again = _homes(placed, joined)
+    release(spark)
+    more, kept_again = _cross(kept.select("rep", "n", F.col("by.tok").alias("toks")), again, percent, unit_rows, hub=False)
 
     # 6. components of everything
-    final = inner if more.isEmpty() else components(more.union(inner.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    final = joined if more.isEmpty() else components(more.union(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     of = member.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
-    out = materialize(signed.select("id", "n").join(of, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component")))
-    discard(signed, reps, member, first, nodes, edges, inner, placed, kept, more, *([] if final is inner else [final]))
+    out = materialize(sized.join(of, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component")))
+    discard(sized, member, nodes, inner, placed, first_edges, kept, joined, again, more, kept_again, *([] if final is joined else [final]))
     return out
 
 
+def _homes(placed: DataFrame, joined: DataFrame) -> DataFrame:
+    """``rep, home``: as before, but one home of its own for a component that spans several."""
+    of = placed.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    spans = of.groupBy("component").agg((F.min("home") != F.max("home")).alias("spans"))
+    return materialize(of.join(spans, "component").select("rep", F.when(F.col("spans"), F.xxhash64(F.lit("c"), "component")).otherwise(F.col("home")).alias("home")))
+
+
+def _able(rows: DataFrame, percent: int) -> DataFrame:
+    """``rep, n, home, by``: the tokens of each row that other homes hold too, rarest first, where they are enough for a link.
+
+    The distinct (home, token) rows are the token-group matrix: each group's token union.
+    """
+    tokens = rows.select("rep", "n", "home", F.explode("toks").alias("tok"))
+    several = tokens.select("home", "tok").distinct().groupBy("tok").agg(F.count("*").alias("homes")).filter("homes > 1")
+    by = F.sort_array(F.collect_list(F.struct("homes", "tok"))).alias("by")
+    return tokens.join(several, "tok").groupBy("rep", "n", "home").agg(by).filter(F.size("by") >= F.ceil(F.col("n") * percent / 100))
+
+
+def _cross(rows: DataFrame, placed: DataFrame, percent: int, unit_rows: int, *, hub: bool) -> tuple[DataFrame, DataFrame]:
+    """Links between rows of different homes, and the rows that may have one.
+
+    A row asks the parts of other homes that hold one of its first
+    ``bound - need + 1`` tokens in order of rarity among their own first ones;
+    with ``hub``, only the first home of each token.
+    """
+    once = materialize(_able(rows.join(placed, "rep"), percent))
+    kept = materialize(_able(once.select("rep", "n", "home", F.col("by.tok").alias("toks")), percent))
+    discard(once)
+    parts = kept.groupBy("home").agg(F.ceil(F.count("*") / unit_rows).cast("int").alias("parts"))
+    at = kept.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    prefix = F.slice("by.tok", F.lit(1), (F.size("by") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    posts = at.select("rep", "n", "home", "part", F.explode(prefix).alias("tok"))
+    held = posts.groupBy("tok", F.col("home").alias("home2"), F.col("part").alias("part2")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    if hub:
+        held = held.groupBy("tok").agg(F.min(F.struct("home2", "part2", "lo", "hi")).alias("h")).select("tok", "h.*")
+    fits = (100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo"))
+    asked = materialize(posts.join(held, "tok").filter((F.col("home2") != F.col("home") if hub else F.col("home2") < F.col("home")) & fits).select("rep", "home2", "part2").distinct())
+    opened = asked.groupBy("home2", "part2").agg(F.ceil(F.count("*") / (4 * unit_rows)).cast("int").alias("chunks"))
+    columns = ["home2", "part2", "chunk", "side", "rep", "n", "toks"]
+    sets = at.select("rep", "n", F.col("by.tok").alias("toks"), F.col("home").alias("home2"), F.col("part").alias("part2"))
+    theirs = sets.join(opened, ["home2", "part2"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("side", F.lit(1))
+    mine = asked.join(opened, ["home2", "part2"]).join(sets.drop("home2", "part2"), "rep").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int")).withColumn("side", F.lit(0))
+
+    def open_part(frame: pd.DataFrame) -> pd.DataFrame:
+        side = frame["side"].to_numpy()
+        union = np.unique(np.concatenate([np.empty(0, np.int64), *frame["toks"][side == 1]]))
+        bound = np.array([np.isin(t, union, assume_unique=True).sum() for t in frame["toks"]])
+        frame = frame[(side == 1) | (bound >= need(frame["n"].to_numpy(), percent))].sort_values("n")
+        found = links(frame["n"].to_numpy(), [t.astype(np.int64) for t in frame["toks"]], percent, frame["side"].to_numpy())
+        ids = frame["rep"].to_numpy()
+        return pd.DataFrame([(ids[a], ids[b]) for a, b in found], columns=["a", "b"], dtype="int64")
+
+    edges = materialize(mine.select(*columns).unionByName(theirs.select(*columns)).groupBy("home2", "part2", "chunk").applyInPandas(open_part, "a long, b long"))
+    discard(asked)
+    return edges, kept
+
+
 ORACLE = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
