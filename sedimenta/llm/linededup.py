@@ -1,36 +1,34 @@
 """Removing repeated and nearly repeated lines, by an exact set-similarity join.
 
-A line's tokens are its distinct phrases: runs of three to eight words with
-nothing but white space between them, lower-cased.  Lines are ordered by document id
-(null last), hash of the text, and line number.  A line of at least ``LEAST``
-characters is removed if an earlier line is the same but for case and outer white
-space, or has a Jaccard similarity of tokens of at least ``percent``; whether the
-earlier line is itself removed does not matter, so the result does not depend on
-the order of work.
+A line's tokens are its distinct runs of ``words`` words, where a word is anything
+but ASCII white space, lower-cased.  Lines are ordered by document id (null last),
+hash of the text, and line number.  A line of at least ``words`` words or
+``least_chars`` characters is removed if an earlier line has the same words, or a
+Jaccard similarity of tokens of at least ``percent``; whether the earlier line is
+itself removed does not matter, so the result does not depend on the order of work.
 
 Only DataFrame functions are used:
 
-1.  Each content becomes one row, its first line, with its tokens.
-2.  Similar contents meet in one of their first ``n - ceil(0.75 n) + 1`` tokens under
-    any common order.  Under the order of hashes, contents that meet no other are
-    done; they are most.
-3.  The tokens of the others are ordered by rarity among them, then hash, which
-    puts common phrases last, and the prefix is taken under that order.
-4.  Prefixes are joined with length, positional and rarity bounds in the join's
-    condition.  In a first round a line meets one earlier line only, the first
-    holder that most of its prefix tokens name, so a mass of near copies goes out
+1.  Each line gets the hash of its words and its first ``n - ceil(0.75 n) + 1``
+    tokens in the order of hashes.  Similar lines meet in one of these, whatever
+    the common order, so contents that meet no other one there are done; they are
+    most.  The first line of each content stands for it.
+2.  The few lines left are tokenized again and keep all their tokens.
+3.  Lines that meet in a token of at most ``frequent`` lines are pairs to verify.
+4.  Lines with a more frequent one among their first tokens are ranked anew: tokens
+    in order of rarity, which puts common passages last, and the first ones under
+    that order.  In a first round such a line meets one earlier line only, the first
+    holder that most of its first tokens name, so a mass of near copies goes out
     without pairs among its members.  Lines without a match meet all others in a
     second round, which makes the result exact.
 
-Defined results: null texts stay null; shorter and blank lines stay; a line
-without such a phrase has no tokens and matches equal lines only; rows repeated with one
-id and text are treated alike; an empty table gives an empty table; other
-columns, whatever their names, pass through.
+Length, positional and rarity bounds stand in the conditions of the joins.
 
-With ``words=5`` a line's tokens are its distinct runs of five words instead, where
-a word is anything but ASCII white space, and contents are equal if their words
-are.  These sets cover the whole of both lines.  Then the first pass writes of each line only
-the tokens that step 2 looks at, and the lines left are tokenized again.
+Defined results: null texts stay null; shorter and blank lines stay; a line of
+fewer words than a token has no tokens and matches equal lines only; rows repeated
+with one id and text are treated alike; a very long text costs in proportion to its
+length; an empty table gives an empty table; other columns, whatever their names,
+pass through, but for ``n_lines`` and ``removed_lines``, which the result replaces.
 """
 
 from __future__ import annotations
@@ -40,19 +38,16 @@ from pyspark.sql import functions as F
 
 from sedimenta.plans.scratch import discard, materialize, release
 
-#: Lines of fewer characters, outer white space aside, are left alone.
-LEAST = 20
-PHRASE = r"[\p{L}\p{N}_'-]+(?:[\x20\x09-\x0D]+[\p{L}\p{N}_'-]+){2,7}"
-#: What stands between the words of which shingles are made.
-SPACE = r"[\x20\x09-\x0D]+"
+#: What stands between words, and around a line.
+SPACE, AROUND = r"[\x20\x09-\x0D]+", " \t\n\x0b\x0c\r"
 
 
-def _shingles(lines: DataFrame, words: int, *own: str) -> DataFrame:
+def _tokens(lines: DataFrame, words: int, *own: str) -> DataFrame:
     """``own`` columns and ``toks``, sorted, from the column ``ws``: distinct hashes of its runs of ``words`` words."""
     one = lines.select(*own, F.transform("ws", lambda w: F.xxhash64(w)).alias("one"))
-    runs = F.slice("one", F.lit(1), F.greatest(F.size("one") - (words - 1), F.lit(0)))
-    hashes = F.transform(runs, lambda x, i: F.xxhash64(x, *[F.get(F.col("one"), i + k) for k in range(1, words)]))
-    return one.select(*own, F.sort_array(F.array_distinct(hashes)).alias("toks"))
+    runs = F.greatest(F.size("one") - (words - 1), F.lit(0))
+    shifted = F.arrays_zip(*[F.slice("one", F.lit(k + 1), runs).alias(f"w{k}") for k in range(words)])
+    return one.select(*own, F.sort_array(F.array_distinct(F.transform(shifted, lambda run: F.xxhash64(run)))).alias("toks"))
 
 
 def _need(n: Column, percent: int) -> Column:
@@ -67,123 +62,110 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def _by_phrases(base: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
-    """Steps 1 and 2: all lines, the first line of each content, lines that may be near copies, and the tables written."""
-    spark = base.sparkSession
-    split = base.filter(F.col("text").isNotNull()).select("id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    line = F.lower(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")))
-    split = split.select("id", "text_hash", "line_no", line.alias("line")).filter(F.length("line") >= LEAST)
-    content = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
-
-    # 1. one row a content
-    toks = F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(PHRASE), F.lit(0)), lambda x: F.xxhash64(x))))
-    first = split.select(*content, _position().alias("pos"), toks.alias("toks")).groupBy("h1", "h2").agg(F.min(F.struct("pos", "toks")).alias("m"))
-    contents = materialize(first.select(F.col("h1").alias("line"), "h2", "m.pos", "m.toks", F.size("m.toks").alias("n")))
-    release(spark)
+def _words(line: Column) -> Column:
+    return F.split(F.lower(F.btrim(line, F.lit(AROUND))), SPACE)
 
-    # 2. contents that meet another one in a prefix under the order of hashes
-    low = contents.select("line", F.explode(F.slice("toks", F.lit(1), F.col("n") - _need(F.col("n"), percent) + 1)).alias("tok"))
-    shared = materialize(low.groupBy("tok").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a <> b").select("tok"))
-    able = low.join(shared, "tok", "left_semi").select("line").distinct()
-    left = materialize(contents.select("line", "pos", "toks", "n").join(able, "line", "left_semi"))
-    release(spark)
-    lines = split.select("id", "text_hash", "line_no", *content)
-    return lines, contents.select(F.col("line").alias("h1"), "h2", "pos"), left, [contents, shared, left]
 
+def _possible(x: str, y: str, percent: int) -> Column:
+    """Order, length, positional and rarity bounds for line ``x`` and an earlier ``y`` that meet in a token."""
+    nx, ny, ax, ay = (F.col(f"{s}.{c}") for c in ("n", "at") for s in (x, y))
+    most = F.least(ax, ay) + F.least(nx - ax, ny - ay)
+    most = F.least(most, nx - F.col(f"{x}.alone"), ny - F.col(f"{y}.alone"))
+    return (F.col(f"{y}.pos") < F.col(f"{x}.pos")) & (100 * most >= percent * (nx + ny - most)) & (100 * nx >= percent * ny) & (100 * ny >= percent * nx)
 
-def _by_shingles(base: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
-    """As :func:`_by_phrases`, with runs of ``words`` words as tokens."""
-    spark = base.sparkSession
 
-    def worded(line: Column) -> Column:
-        return F.split(F.lower(F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))), SPACE)
+def repeated_lines(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    percent: int = 75,
+    words: int = 5,
+    least_chars: int = 20,
+    frequent: int = 8,
+) -> DataFrame:
+    """``id, text_hash, lines``: the sorted numbers (from 0) of the lines to remove, of documents with any."""
+    spark = docs.sparkSession
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
-    # 1. content hashes and prefixes of all lines, and the first line of each content
+    # 1. content hashes and first tokens of all lines; the first line of each content, and all later ones
+    own = ("id", "text_hash", "line_no", "h1", "h2")
     split = base.filter(F.col("text").isNotNull()).select("id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    long = F.length(F.btrim("line", F.lit(" \t\n\x0b\x0c\r"))) >= LEAST
-    ws = split.select("id", "text_hash", "line_no", long.alias("long"), worded(F.col("line")).alias("ws")).filter(F.col("long") | (F.size("ws") >= words))
+    long = F.length(F.btrim("line", F.lit(AROUND))) >= least_chars
+    ws = split.select("id", "text_hash", "line_no", long.alias("long"), _words(F.col("line")).alias("ws")).filter(F.col("long") | (F.size("ws") >= words))
     hashed = ws.select("id", "text_hash", "line_no", F.xxhash64("ws").alias("h1"), F.xxhash64(F.lit(1), "ws").alias("h2"), "ws")
-    own = ("id", "text_hash", "line_no", "h1", "h2")
     n = F.size("toks")
-    lines = materialize(_shingles(hashed, words, *own).select(*own, F.slice("toks", F.lit(1), n - _need(n, percent) + 1).alias("low")))
+    lines = materialize(_tokens(hashed, words, *own).select(*own, F.slice("toks", F.lit(1), n - _need(n, percent) + 1).alias("low")))
     firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(_position()).alias("pos")))
+    later = materialize(lines.select(*own).join(firsts, ["h1", "h2"]).filter(_position() != F.col("pos")).select("id", "text_hash", "line_no"))
     release(spark)
-
-    # 2. contents that meet another one in a prefix under the order of hashes, with all tokens
     low = lines.select("h1", F.explode("low").alias("tok"))
-    shared = materialize(low.groupBy("tok").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("tok"))
+    shared = materialize(low.groupBy("tok").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.count("*").alias("df")).filter("a <> b").select("tok", "df"))
     release(spark)
     able = materialize(low.join(shared, "tok", "left_semi").select("h1").distinct())
+    discard(lines)
     release(spark)
-    at = firsts.join(able, "h1", "left_semi").groupBy(F.col("pos.id").alias("i"), F.col("pos.text_hash").alias("t")).agg(F.collect_list(F.struct("pos.line_no", "h1")).alias("at"))
+
+    # 2. all tokens of the lines left
+    at = firsts.join(able, "h1", "left_semi").groupBy(F.col("pos.id").alias("i"), F.col("pos.text_hash").alias("t")).agg(F.collect_list(F.struct("pos.line_no", "h1", "h2")).alias("at"))
     again = base.join(at, _same("id", "i") & _same("text_hash", "t")).select("id", "text_hash", F.split("text", "\n").alias("rows"), F.explode("at").alias("at"))
-    ws = again.select(F.col("at.h1").alias("line"), F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "at.line_no").alias("pos"), worded(F.get("rows", F.col("at.line_no"))).alias("ws"))
-    left = materialize(_shingles(ws, words, "line", "pos").dropDuplicates(["line"]).select("line", "pos", "toks", F.size("toks").alias("n")))
+    ws = again.select("at.h1", "at.h2", F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "at.line_no").alias("pos"), _words(F.get("rows", F.col("at.line_no"))).alias("ws"))
+    left = materialize(_tokens(ws, words, "h1", "h2", "pos").dropDuplicates(["h1", "h2"]).select(F.struct("h1", "h2").alias("line"), "pos", "toks", F.size("toks").alias("n")))
+    discard(firsts, able)
     release(spark)
-    return lines.drop("low"), firsts, left, [lines, firsts, shared, able, left]
-
-
-def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int | None = None) -> DataFrame:
-    """``id, text_hash, lines``: the sorted numbers (from 0) of the lines to remove, of documents with any."""
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    lines, firsts, left, written = _by_shingles(base, percent, words) if words else _by_phrases(base, percent)
 
-    # 3. their prefixes in order of rarity
-    each = left.select("line", F.explode("toks").alias("tok"))
+    # 3. pairs that meet in a token of few lines
+    n = F.col("n")
+    met = left.select("line", "pos", "n", F.lit(0).alias("alone"), F.posexplode(F.slice("toks", F.lit(1), n - _need(n, percent) + 1)).alias("at", "tok"))
+    met = materialize(met.withColumn("at", F.col("at") + 1).join(shared, "tok"))
+    few = met.filter(F.col("df") <= frequent)
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.tok") == F.col("y.tok")) & _possible("x", "y", percent))
+    rare = _similar(left, pairs.select(F.col("x.line").alias("line"), F.col("y.line").alias("other")).distinct(), percent)
+    rare = materialize(rare)
+
+    # 4. lines with frequent tokens, in order of rarity: the earliest holders first, then everything for those still unmatched
+    crowded = left.join(met.filter(F.col("df") > frequent).select("line").distinct(), "line", "left_semi")
+    each = crowded.select("line", F.explode("toks").alias("tok"))
     rarity = each.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
     by = each.join(rarity, "tok").groupBy("line").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("by"))
-    ranked = left.select("line", "pos", "n").join(by, "line")
-    alone = F.col("n") - F.size("by")
-    ranked = ranked.select("line", "pos", "n", alone.alias("alone"), F.slice("by", F.lit(1), F.greatest(F.lit(0), F.col("n") - _need(F.col("n"), percent) + 1 - alone)).alias("by"))
+    alone = n - F.size("by")
+    ranked = crowded.select("line", "pos", "n").join(by, "line")
+    ranked = ranked.select("line", "pos", "n", alone.alias("alone"), F.slice("by", F.lit(1), F.greatest(F.lit(0), n - _need(n, percent) + 1 - alone)).alias("by"))
     placed = ranked.select("line", "pos", "n", "alone", F.posexplode("by").alias("i", "t"))
     prefix = materialize(placed.select("line", "pos", "n", "alone", (F.col("alone") + F.col("i") + 1).alias("at"), F.col("t.tok").alias("tok")))
     release(spark)
-
-    def possible(x: str, y: str) -> Column:
-        """Length, positional and rarity bounds on the overlap of two lines that meet in a token."""
-        nx, ny, ax, ay = (F.col(f"{s}.{c}") for c in ("n", "at") for s in (x, y))
-        most = F.least(ax, ay) + F.least(nx - ax, ny - ay)
-        most = F.least(most, nx - F.col(f"{x}.alone"), ny - F.col(f"{y}.alone"))
-        return (100 * most >= percent * (nx + ny - most)) & (100 * nx >= percent * ny) & (100 * ny >= percent * nx)
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        """The ``line`` of those pairs whose sets are similar enough."""
-        mine = left.select("line", F.col("toks").alias("mine"))
-        theirs = left.select(F.col("line").alias("other"), F.col("toks").alias("theirs"))
-        both = F.size(F.array_intersect("mine", "theirs"))
-        matched = pairs.join(mine, "line").join(theirs, "other").filter(100 * both >= percent * (F.size("mine") + F.size("theirs") - both))
-        return matched.select("line").distinct()
-
-    # 4. first the earliest holders, then everything for the lines still unmatched
-    head = prefix.groupBy("tok").agg(F.min(F.struct("pos", "line", "n", "at", "alone")).alias("y"))
-    heads = head.select("tok", "y.*").alias("y")
-    met = prefix.alias("x").join(heads, (F.col("x.tok") == F.col("y.tok")) & (F.col("y.pos") < F.col("x.pos")) & possible("x", "y"))
-    votes = met.groupBy(F.col("x.line").alias("line"), F.col("y.line").alias("other")).agg(F.count("*").alias("votes"))
-    one = votes.groupBy("line").agg(F.max_by("other", F.struct("votes", "other")).alias("other"))
-    first_round = materialize(similar(one))
+    head = prefix.groupBy("tok").agg(F.min(F.struct("pos", "line", "n", "at", "alone")).alias("y")).select("tok", "y.*").alias("y")
+    open_lines = prefix.join(rare, "line", "left_anti").alias("x")
+    votes = open_lines.join(head, (F.col("x.tok") == F.col("y.tok")) & _possible("x", "y", percent)).groupBy(F.col("x.line").alias("line"), F.col("y.line").alias("other")).agg(F.count("*").alias("votes"))
+    first_round = materialize(_similar(left, votes.groupBy("line").agg(F.max_by("other", F.struct("votes", "other")).alias("other")), percent).union(rare))
     open_lines = prefix.join(first_round, "line", "left_anti").alias("x")
-    met = open_lines.join(prefix.alias("y"), (F.col("x.tok") == F.col("y.tok")) & (F.col("y.pos") < F.col("x.pos")) & possible("x", "y"))
-    pairs = met.select(F.col("x.line").alias("line"), F.col("y.line").alias("other")).distinct()
-    near = first_round.union(similar(pairs))
+    pairs = open_lines.join(prefix.alias("y"), (F.col("x.tok") == F.col("y.tok")) & _possible("x", "y", percent))
+    near = first_round.union(_similar(left, pairs.select(F.col("x.line").alias("line"), F.col("y.line").alias("other")).distinct(), percent)).distinct()
 
-    # what goes: later occurrences of a content, and first ones with an earlier match
-    later = lines.join(firsts, ["h1", "h2"]).filter(_position() != F.col("pos")).select("id", "text_hash", "line_no")
     gone = left.join(near, "line", "left_semi").select("pos.id", "pos.text_hash", "pos.line_no")
     out = materialize(later.unionByName(gone).groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("lines")))
-    discard(*written, prefix, first_round)
+    discard(later, shared, left, met, rare, prefix, first_round)
     release(spark)
     return out
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int | None = None) -> DataFrame:
+def _similar(left: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The ``line`` of those pairs whose sets are similar enough."""
+    mine = left.select("line", F.col("toks").alias("mine"))
+    theirs = left.select(F.col("line").alias("other"), F.col("toks").alias("theirs"))
+    both = F.size(F.array_intersect("mine", "theirs"))
+    matched = pairs.join(mine, "line").join(theirs, "other").filter(100 * both >= percent * (F.size("mine") + F.size("theirs") - both))
+    return matched.select("line").distinct()
+
+
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int = 5, least_chars: int = 20) -> DataFrame:
     """``docs`` with the repeated lines cut out of the text, ``n_lines`` and ``removed_lines`` (numbers from 0)."""
-    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, percent=percent, words=words).withColumnsRenamed({"id": "__id", "text_hash": "__hash", "lines": "__gone"})
+    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, percent=percent, words=words, least_chars=least_chars).withColumnsRenamed({"id": "__id", "text_hash": "__hash", "lines": "__gone"})
     own = [c for c in docs.columns if c not in ("n_lines", "removed_lines")]
-    joined = docs.select(*own, F.xxhash64(text_col).alias("__text")).join(gone, _same(id_col, "__id") & _same("__text", "__hash"), "left")
+    joined = docs.select(*own, F.xxhash64(text_col).alias("__text")).join(gone, _same(f"{id_col}", "__id") & _same("__text", "__hash"), "left")
     rows = F.split(text_col, "\n")
-    kept = F.array_join(F.filter(rows, lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(rows) - 1), F.col("__gone"))
+    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(rows, i)), "\n"))
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in own],
         F.coalesce(F.size(rows), F.lit(0)).alias("n_lines"),
@@ -192,28 +174,6 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 ORACLE = r"""
-WITH l AS (
-  SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
-w AS (SELECT doc_id, line_no, lower(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')) AS x FROM l),
-c AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, line_no) AS pos FROM w WHERE length(x) >= 20),
-s AS (SELECT pos, unnest(list_distinct(regexp_extract_all(x, '[\p{L}\p{N}_''-]+(?:[\x20\x09-\x0D]+[\p{L}\p{N}_''-]+){2,7}'))) AS tok FROM c),
-firsts AS (SELECT min(pos) AS pos FROM c GROUP BY x),
-n AS (SELECT pos, count(*) AS n FROM s JOIN firsts USING (pos) GROUP BY pos),
-near AS (
-  SELECT DISTINCT pos FROM (
-    SELECT a.pos AS pos, b.pos AS other FROM s a JOIN n na ON na.pos = a.pos JOIN s b ON a.tok = b.tok JOIN n nb ON nb.pos = b.pos WHERE b.pos < a.pos
-    GROUP BY a.pos, b.pos HAVING 100 * count(*) >= 75 * (any_value(na.n) + any_value(nb.n) - count(*)))),
-gone AS (SELECT doc_id, line_no FROM c WHERE pos NOT IN (SELECT pos FROM firsts) OR pos IN (SELECT pos FROM near)),
-kept AS (
-  SELECT l.doc_id, count(*) AS n_lines, count(g.line_no) AS n_removed, string_agg(CASE WHEN g.line_no IS NULL THEN line END, chr(10) ORDER BY l.line_no) AS text
-  FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line_no = l.line_no GROUP BY l.doc_id)
-SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed,
-  CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(k.text, '')) END AS kept_sha256
-FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
-"""
-
-#: The same with five-word shingles (``words=5``).
-SHINGLE_ORACLE = r"""
 WITH l AS (
   SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
 w AS (SELECT doc_id, line_no, length(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')) AS long, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS ws FROM l),

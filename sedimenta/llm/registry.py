@@ -59,13 +59,6 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), digest.alias("kept_sha256"))
 
 
-def op6_line_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`op6_line_dedup`, by five-word shingles of the whole lines."""
-    kept = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), words=5)
-    digest = F.sha2(F.col("text").cast("binary"), 256)
-    return kept.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), digest.alias("kept_sha256"))
-
-
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every whole document, learnt from two of three folds."""
     small_batches(spark)
@@ -102,7 +95,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_near_components": op4_near_components,
         "op5_nearest": op5_nearest,
         "op6_line_dedup": op6_line_dedup,
-        "op6_line_shingles": op6_line_shingles,
         "op7_language_id": op7_language_id,
         "op8_top_products": op8_top_products,
         "op9_licenses": op9_licenses,
@@ -115,6 +107,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_mix": mixing.ORACLE,
         "op4_near_components": jaccard.ORACLE,
         "op6_line_dedup": linededup.ORACLE,
-        "op6_line_shingles": linededup.SHINGLE_ORACLE,
         "op8_top_products": topk.ORACLE,
     }

@@ -1,9 +1,10 @@
 import random
-import re
 
 import pytest
 
-from sedimenta.llm import linededup
+import corpus_pipeline
+from sedimenta.llm import linededup, registry
+from tests import oracle
 
 
 def brute(docs, percent=75):
@@ -11,10 +12,10 @@ def brute(docs, percent=75):
     for i, t in sorted(docs):
         gone = []
         for no, line in enumerate((t or "").split("\n")):
-            w = line.lower().strip()
-            if len(w) < 20:
+            w = line.lower().split()
+            if len(w) < 5 and len(line.strip()) < 20:
                 continue
-            s = set(re.findall(r"[a-z0-9]+(?:\s+[a-z0-9]+){2,7}", w))
+            s = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
             if any(w == v or s & r and 100 * len(s & r) >= percent * len(s | r) for v, r in seen):
                 gone.append(no)
             seen.append((w, s))
@@ -26,8 +27,7 @@ def brute(docs, percent=75):
 def test_equals_brute_force(spark, seed):
     rng = random.Random(seed)
     word = lambda: rng.choice("abcdefgh") + str(rng.randint(0, 40))
-    pool = [[word() for _ in range(rng.randint(3, 40))] for _ in range(12)]
-    pool = [[x + ("," if rng.random() < 0.15 else "") for x in w] for w in pool]
+    pool = [[word() for _ in range(rng.randint(3, 60))] for _ in range(12)]
     docs = []
     for i in range(80):
         lines = []
@@ -35,7 +35,7 @@ def test_equals_brute_force(spark, seed):
             w = list(rng.choice(pool)) if rng.random() < 0.6 else [word() for _ in range(rng.randint(1, 30))]
             for _ in range(rng.randint(0, 3) if rng.random() < 0.7 else 0):
                 w[rng.randrange(len(w))] = word()
-            lines.append("".join(x + rng.choice([" ", " ", ", ", ". "]) if k % 6 == 5 else x + " " for k, x in enumerate(w)))
+            lines.append(rng.choice([" ", "  ", ", "]).join(w))
         docs.append((i, "\n".join(lines)))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.removed_lines, r.text) for r in linededup.dedup_lines(df).collect()}
@@ -45,6 +45,13 @@ def test_equals_brute_force(spark, seed):
         assert got[i][1] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i])
 
 
+def test_near_copies_go_and_lines_sharing_a_phrase_stay(spark):
+    words = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(words)), (2, " ".join(["new", *words])), (3, "three common words. une ecole."), (4, "three common words. elle a dit."), (5, "extraordinarily longer"), (6, " Extraordinarily  LONGER")]
+    got = {r.doc_id: r.removed_lines for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [0], 3: [], 4: [], 5: [], 6: [0]}
+
+
 def test_odd_rows_and_columns(spark):
     line = "one two three four five six"
     rows = [(1, line, 0), (2, f"{line}\nshort line\n\n{line.upper()}", 0), (2, f"{line}\nshort line\n\n{line.upper()}", 0), (3, None, 0), (4, "", 0), (None, line, 0)]
@@ -53,3 +60,29 @@ def test_odd_rows_and_columns(spark):
     cut = ("2", "short line\n", (0, 3), 4)
     assert got == sorted([("1", line, (), 1), cut, cut, ("3", None, (), 0), ("4", "", (), 1), ("None", "", (0,), 1)], key=str)
     assert linededup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_query_equals_its_sql(spark):
+    oracle.agree(spark, oracle.connect(), registry.op6_line_dedup, linededup.ORACLE)
+
+
+def test_pipeline_keeps_lines_that_share_one_phrase(spark):
+    rows = [(1, "three common words. une ecole.", 30), (2, "three common words. elle a dit.", 31), (3, "Three  common words. une ecole.", 31)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {1, 2}
+
+
+def test_lines_that_share_a_frequent_passage_only_stay(spark):
+    passage = [f"p{k}" for k in range(20)]
+    rows = [(i, " ".join([*passage, *[f"d{i}x{k}" for k in range(20)]])) for i in range(30)] + [(100, " ".join([*passage, *[f"d3x{k}" for k in range(19)], "last"]))]
+    got = {r.doc_id: r.removed_lines for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: [0] if i == 100 else [] for i, _ in rows}
+
+
+def test_clashing_names_and_a_very_long_text(spark):
+    lines = [" ".join(f"w{i}x{k}" for k in range(6)) for i in range(20000)]
+    rows = [(1, "\n".join(lines), 1, 2, 3), (2, "\n".join(reversed(lines)), 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, line int, h1 int, pos int")
+    got = {r.doc_id: r for r in linededup.dedup_lines(df).collect()}
+    assert got[1].removed_lines == [] and got[2].removed_lines == list(range(20000)) and got[2].text == ""
+    assert (got[2].line, got[2].h1, got[2].pos) == (1, 2, 3)
