@@ -3,16 +3,21 @@
 One merge routine serves both operators.  Symbols stand in a doubly linked list
 (two integer arrays); adjacent pairs wait in a heap by merge rank, then by
 position.  The lowest pair is popped, merged into its left symbol, and the two
-new neighbours are pushed.  An entry whose symbols have changed since it was
-pushed is stale and skipped.
+new neighbours are pushed.  An entry whose pair has changed since it was pushed is
+stale and skipped.  Symbols are numbers, a pair is one number, and so is a heap
+entry, so nothing but integers is compared.
+
+The token count of a text is the number of its first symbols less the number of
+merges; no ids are made for it.
 
 A text is cut where no merge can reach across, and the pieces between the cuts
 are remembered in a bounded table of each Python worker, so a frequent word is
 merged once.  Whole texts are read; very long pieces go through the same heap in
 ``n log n`` steps.
 
-Defined results: null counts and encodes as the empty text (no tokens); other
-columns pass through; an empty table gives an empty table.
+Defined results: null counts and encodes as the empty text (no tokens); repeated
+rows give equal results; merges of one rank tie to the left; other columns pass
+through, but for those that the result replaces; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,46 +33,53 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.llm.text import free_name
+
 #: Pieces remembered in each Python worker, and the longest one worth it.
-REMEMBERED, LONGEST = 1 << 18, 64
+REMEMBERED, LONGEST = 1 << 19, 64
+#: A pair of symbols is ``left << WIDE | right``; no symbol is as large.
+WIDE = 21
 
 
-def merge(symbols: list[str], ranks: dict[str, int] | dict[tuple[str, str], int], joined: bool) -> list[str]:
-    """The symbols after all merges.
+def merge(symbols: list[int], ranks: dict[int, int], made: list[int]) -> int:
+    """Merges ``symbols`` in place and returns the number of merges; what is left has no -1.
 
-    ``ranks`` gives the rank of a pair, under the joined string if ``joined``,
-    else under the pair itself.
+    ``ranks`` gives the rank of a pair, ``made`` the symbol that the merge of a rank makes.
     """
     n = len(symbols)
-    if n < 2:
-        return symbols
-    symbols = list(symbols)
+    get, pop, push = ranks.get, heapq.heappop, heapq.heappush
+    #: The rank of the pair that starts at each symbol.
+    at = [get(a << WIDE | b, -1) for a, b in zip(symbols, symbols[1:])]
+    heap = [r * n + i for i, r in enumerate(at) if r >= 0]
+    if not heap:
+        return 0
+    at.append(-1)
+    heapq.heapify(heap)
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
-    heap: list[tuple[int, int, str, str]] = []
-
-    def push(left: int, right: int) -> None:
-        a, b = symbols[left], symbols[right]
-        rank = ranks.get(a + b if joined else (a, b))
-        if rank is not None:
-            heapq.heappush(heap, (rank, left, a, b))
-
-    for i in range(n - 1):
-        push(i, i + 1)
+    merges = 0
     while heap:
-        _, left, a, b = heapq.heappop(heap)
-        right = after[left]
-        if symbols[left] != a or right >= n or symbols[right] != b:
+        rank, left = divmod(pop(heap), n)
+        if at[left] != rank:
             continue
-        symbols[left] = a + b
-        symbols[right] = ""
+        right = after[left]
+        symbols[left] = new = made[rank]
+        symbols[right] = at[right] = -1
+        merges += 1
         after[left] = follower = after[right]
         if follower < n:
             before[follower] = left
-            push(left, follower)
-        if before[left] >= 0:
-            push(before[left], left)
-    return [s for s in symbols if s]
+            at[left] = rank = get(new << WIDE | symbols[follower], -1)
+            if rank >= 0:
+                push(heap, rank * n + left)
+        else:
+            at[left] = -1
+        first = before[left]
+        if first >= 0:
+            at[first] = rank = get(symbols[first] << WIDE | new, -1)
+            if rank >= 0:
+                push(heap, rank * n + first)
+    return merges
 
 
 class _Remembered(dict):
@@ -100,25 +112,42 @@ class PieceCounter:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-        self.ranks = {model.id_to_piece(i): r for r, i in enumerate(sorted(ids, key=lambda i: (-model.get_score(i), i)))}
-        several = [p for p in self.ranks if len(p) > 1]
+        pieces = [model.id_to_piece(i) for i in sorted(ids, key=lambda i: (-model.get_score(i), i))]
+        several = [p for p in pieces if len(p) > 1]
         if any(self.SPACE in p.lstrip(self.SPACE) for p in several):
             raise ValueError("a piece holds a space after other characters; words can't be cut apart")
+        whole = set(pieces)
+        self.cost = {c: 1 for c in pieces if len(c) == 1}
+        # every way in which two symbols join to a piece; a symbol is a piece or one character
+        self.symbols = {p: i for i, p in enumerate({*pieces, *"".join(several)})}
+        self.other = len(self.symbols)
+        self.made = [self.symbols[p] for p in pieces]
+        self.ranks: dict[int, int] = {}
+        for rank, piece in enumerate(pieces):
+            for cut in range(1, len(piece)):
+                left, right = piece[:cut], piece[cut:]
+                if (cut == 1 or left in whole) and (cut == len(piece) - 1 or right in whole):
+                    self.ranks[self.symbols[left] << WIDE | self.symbols[right]] = rank
         reached = set("".join(several))
         #: Characters that no merge touches also cut the text.
         self.alone = [c for c in "\n\r\t\x0b\x0c" if c not in reached]
-        self.cost = {c: 1 if c in self.ranks else len(c.encode()) for c in self.alone}
         self.pieces = regex.compile(f"{self.SPACE}*[^{self.SPACE}{''.join(self.alone)}]+|{self.SPACE}+").findall
         self.known = _Remembered(self._count)
 
+    def _cost(self, c: str) -> int:
+        return self.cost.get(c) or len(c.encode())
+
     def _count(self, piece: str) -> int:
-        return sum(1 if s in self.ranks else len(s.encode()) for s in merge(list(piece), self.ranks, True))
+        get = self.symbols.get
+        first = sum(map(self._cost, piece))
+        # characters that no piece holds are alike: none of them merges
+        return first - merge([get(c, self.other) for c in piece], self.ranks, self.made)
 
     def __call__(self, text: str | None) -> int:
         if not text:
             return 0
         marked = self.SPACE + text.replace(" ", self.SPACE)
-        alone = sum(marked.count(c) * cost for c, cost in self.cost.items())
+        alone = sum(marked.count(c) * self._cost(c) for c in self.alone)
         return alone + sum(map(self.known.__getitem__, self.pieces(marked)))
 
 
@@ -126,42 +155,63 @@ class WordCodec:
     """Encodes with word-end merges over bytes, and decodes to vocabulary strings.
 
     Reads the vocabulary, merges, word pattern, word-end mark and added tokens
-    from the tokenizer's JSON file.  Text is composed (NFC), white space runs
-    become one space, letters are lowered one by one; added tokens are cut out
-    of the raw text first.
+    from the tokenizer's JSON file.  Text is composed (NFC) and letters are lowered
+    one by one; added tokens are cut out of the raw text first.  No word reaches
+    across white space, so the parts between are what is remembered.
     """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.end = model["end_of_word_suffix"] or ""
+        end = model["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(m): r for r, m in enumerate(model["merges"])}
         added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.added_ids = {c: np.array([i], np.int32) for c, i in added.items()}
+        self.added_ids = added
         self.strings = {i: s for s, i in self.ids.items()} | {i: s for s, i in added.items()}
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
         self.words = regex.compile(pattern).findall
-        self.blank = regex.compile(r"\p{White_Space}+")
+        self.blank = regex.compile(r"\p{White_Space}+").split
+        #: Characters at which ``str.split`` cuts though they are no white space in the pattern.
+        self.odd = regex.compile("[\x1c-\x1f]").search
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spare = iter(range(256, 512))
-        self.byte = [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
+        byte = [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
+        # a symbol is its id; strings that the vocabulary lacks get numbers above
+        number = dict(self.ids)
+        self.byte = [number.setdefault(c, len(number) + len(added)) for c in byte]
+        self.last = [number.setdefault(c + end, len(number) + len(added)) for c in byte]
+        self.made = [number.setdefault(a + b, len(number) + len(added)) for a, b in model["merges"]]
+        self.ranks = {number[a] << WIDE | number[b]: r for r, (a, b) in enumerate(model["merges"])}
+        self.known_id = set(self.ids.values())
         self.lowered = _Lower()
-        self.known = _Remembered(self._word)
+        self.known, self.known_words = _Remembered(self._part), _Remembered(self._word)
+
+    def _part(self, part: str) -> list[int]:
+        """The ids of a part of a text without white space."""
+        if part.isascii():
+            part = part.lower()
+        else:
+            part = unicodedata.normalize("NFC", part).translate(self.lowered)
+        head = part.rstrip(".,;:!?")
+        if head.isalpha():  # one run of letters, then one of marks
+            ids = self.known_words[head]
+            return ids if head == part else ids + self.known_words[part[len(head) :]]
+        words = self.words(part)
+        return [i for w in words for i in self.known_words[w]]
 
     def _word(self, word: str) -> list[int]:
-        symbols = [self.byte[b] for b in word.encode()]
-        symbols[-1] += self.end
-        return [self.ids[s] for s in merge(symbols, self.ranks, False) if s in self.ids]
+        raw = word.encode()
+        symbols = [self.byte[b] for b in raw]
+        symbols[-1] = self.last[raw[-1]]
+        if len(symbols) > 1:
+            merge(symbols, self.ranks, self.made)
+        return [s for s in symbols if s in self.known_id]
 
     def _plain(self, text: str, out: list[int]) -> None:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        text = self.blank.sub(" ", text)
-        text = text.lower() if text.isascii() else text.translate(self.lowered)
-        for ids in map(self.known.__getitem__, self.words(text)):
+        parts = text.split() if not self.odd(text) else [p for p in self.blank(text) if p]
+        for ids in map(self.known.__getitem__, parts):
             out += ids
 
     def encode(self, text: str | None) -> list[int]:
@@ -173,7 +223,7 @@ class WordCodec:
             return out
         for part in self.added.split(text):
             if part in self.added_ids:
-                out += self.added_ids[part].tolist()
+                out.append(self.added_ids[part])
             elif part:
                 self._plain(part, out)
         return out
@@ -251,11 +301,12 @@ def token_counts(docs: DataFrame, path: str, *, text_col: str = "text", limit: i
 
 def bpe_digests(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_tokens`` and the SHA-256 of the ids in decimal and of the decoded text."""
-    own = [c for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256", "__bpe")]
-    coded = docs.select(*own, bpe_encode_decode(F.col(text_col), path).alias("__bpe"))
+    own = [c for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
+    made = free_name("bpe", docs.columns)
+    coded = docs.select(*own, bpe_encode_decode(F.col(text_col), path).alias(made))
     return coded.select(
         *own,
-        F.size("__bpe.ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("__bpe.ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("__bpe.decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.size(f"{made}.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col(f"{made}.ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col(f"{made}.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )

@@ -12,3 +12,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 def word_count(text: Column) -> Column:
     """Number of words of ``text`` as long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def free_name(wish: str, taken: list[str]) -> str:
+    """``wish``, with underscores before it until no column of ``taken`` has that name, whatever its case."""
+    used = {c.lower() for c in taken}
+    while wish.lower() in used:
+        wish = "_" + wish
+    return wish
