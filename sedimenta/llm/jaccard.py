@@ -224,7 +224,7 @@ def near_components(
     joined = components(first_edges.union(inner.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     again = _homes(placed, joined)
     release(spark)
-    more, kept_again = _cross(kept.select("rep", "n", F.col("by.tok").alias("toks")), again, percent, unit_rows, hub=False)
+    more, kept_again = _cross(kept.select("rep", "n", "toks"), again, percent, unit_rows, hub=False)
 
     # 6. components of everything
     final = joined if more.isEmpty() else components(more.union(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
@@ -241,43 +241,65 @@ def _homes(placed: DataFrame, joined: DataFrame) -> DataFrame:
     return materialize(of.join(spans, "component").select("rep", F.when(F.col("spans"), F.xxhash64(F.lit("c"), "component")).otherwise(F.col("home")).alias("home")))
 
 
-def _able(rows: DataFrame, percent: int) -> DataFrame:
-    """``rep, n, home, by``: the tokens of each row that other homes hold too, rarest first, where they are enough for a link.
-
-    The distinct (home, token) rows are the token-group matrix: each group's token union.
-    """
-    tokens = rows.select("rep", "n", "home", F.explode("toks").alias("tok"))
-    several = tokens.select("home", "tok").distinct().groupBy("tok").agg(F.count("*").alias("homes")).filter("homes > 1")
-    by = F.sort_array(F.collect_list(F.struct("homes", "tok"))).alias("by")
-    return tokens.join(several, "tok").groupBy("rep", "n", "home").agg(by).filter(F.size("by") >= F.ceil(F.col("n") * percent / 100))
-
-
 def _cross(rows: DataFrame, placed: DataFrame, percent: int, unit_rows: int, *, hub: bool) -> tuple[DataFrame, DataFrame]:
-    """Links between rows of different homes, and the rows that may have one.
+    """Links between rows of different homes, and the rows (``rep, n, toks``) that may have one.
 
-    A row asks the parts of other homes that hold one of its first
-    ``bound - need + 1`` tokens in order of rarity among their own first ones;
-    with ``hub``, only the first home of each token.
+    A home of more than ``unit_rows`` rows is split into parts by hash.  A row asks
+    the parts of other homes that hold one of its first ``bound - need + 1`` tokens
+    in order of rarity among their own first ones; with ``hub``, only the first home
+    of each token.
     """
-    once = materialize(_able(rows.join(placed, "rep"), percent))
-    kept = materialize(_able(once.select("rep", "n", "home", F.col("by.tok").alias("toks")), percent))
-    discard(once)
-    parts = kept.groupBy("home").agg(F.ceil(F.count("*") / unit_rows).cast("int").alias("parts"))
-    at = kept.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    prefix = F.slice("by.tok", F.lit(1), (F.size("by") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    posts = at.select("rep", "n", "home", "part", F.explode(prefix).alias("tok"))
-    held = posts.groupBy("tok", F.col("home").alias("home2"), F.col("part").alias("part2")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    homed = rows.join(placed, "rep")
+    parts = homed.groupBy("home").agg(F.ceil(F.count("*") / unit_rows).cast("int").alias("parts"))
+    at = materialize(homed.join(parts, "home").select("home", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep", "n", "toks"))
+    # the token-group matrix: the token union of every part
+    matrix = materialize(at.select("home", "part", F.explode("toks").alias("tok")).distinct())
+    held = matrix.groupBy("tok").agg(F.min("home").alias("lo"), F.max("home").alias("hi"), F.count("*").alias("parts")).filter("lo <> hi").select("tok", "parts")
+
+    def able(frame: pd.DataFrame, cross: pd.DataFrame) -> pd.DataFrame:
+        """Rows with enough tokens that other homes hold, those tokens rarest first, and how many of them come first."""
+        tok, held_by = cross["tok"].to_numpy(np.int64), cross["parts"].to_numpy(np.int64)
+        order = np.argsort(tok)
+        tok, held_by = tok[order], held_by[order]
+        kept: list[tuple] = []
+        for home, part, rep, n, toks in frame[["home", "part", "rep", "n", "toks"]].itertuples(index=False):
+            own = toks[np.isin(toks, tok, assume_unique=True)] if len(tok) else toks[:0]
+            if len(own) >= need(n, percent) and len(own):
+                by = held_by[np.searchsorted(tok, own)]
+                kept.append((home, part, rep, n, own[np.lexsort((own, by))], len(own) - need(n, percent) + 1))
+        return pd.DataFrame(kept, columns=["home", "part", "rep", "n", "toks", "first"])
+
+    key = ["home", "part"]
+    cross = matrix.join(held, "tok")
+    kept = materialize(at.groupBy(*key).cogroup(cross.groupBy(*key)).applyInPandas(able, "home long, part int, rep long, n long, toks array<long>, first int"))
+    discard(at, matrix)
+
+    first = kept.select(*key, "n", F.explode(F.slice("toks", F.lit(1), F.col("first"))).alias("tok"))
+    posts = materialize(first.groupBy("tok", *key).agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
+    theirs = posts.select("tok", F.col("home").alias("home2"), F.col("part").alias("part2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     if hub:
-        held = held.groupBy("tok").agg(F.min(F.struct("home2", "part2", "lo", "hi")).alias("h")).select("tok", "h.*")
-    fits = (100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo"))
-    asked = materialize(posts.join(held, "tok").filter((F.col("home2") != F.col("home") if hub else F.col("home2") < F.col("home")) & fits).select("rep", "home2", "part2").distinct())
+        theirs = theirs.groupBy("tok").agg(F.min(F.struct("home2", "part2", "lo2", "hi2")).alias("h")).select("tok", "h.*")
+    fits = (100 * F.col("hi2") >= percent * F.col("lo")) & (100 * F.col("hi") >= percent * F.col("lo2"))
+    pairs = posts.join(theirs, "tok").filter((F.col("home2") != F.col("home") if hub else F.col("home2") < F.col("home")) & fits).select(*key, "tok", "home2", "part2")
+
+    def ask(frame: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        """Each row once for every part that holds one of its first tokens."""
+        out = []
+        for (home2, part2), some in met.groupby(["home2", "part2"]):
+            tok = some["tok"].to_numpy(np.int64)
+            asks = [bool(np.isin(t[:k], tok).any()) for t, k in zip(frame["toks"], frame["first"], strict=True)]
+            out.append(frame.loc[asks, ["rep", "n", "toks"]].assign(home2=home2, part2=part2))
+        return pd.concat(out) if out else frame.iloc[:0][["rep", "n", "toks"]].assign(home2=0, part2=0)
+
+    asked = materialize(kept.groupBy(*key).cogroup(pairs.groupBy(*key)).applyInPandas(ask, "rep long, n long, toks array<long>, home2 long, part2 int"))
     opened = asked.groupBy("home2", "part2").agg(F.ceil(F.count("*") / (4 * unit_rows)).cast("int").alias("chunks"))
     columns = ["home2", "part2", "chunk", "side", "rep", "n", "toks"]
-    sets = at.select("rep", "n", F.col("by.tok").alias("toks"), F.col("home").alias("home2"), F.col("part").alias("part2"))
-    theirs = sets.join(opened, ["home2", "part2"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("side", F.lit(1))
-    mine = asked.join(opened, ["home2", "part2"]).join(sets.drop("home2", "part2"), "rep").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int")).withColumn("side", F.lit(0))
+    mine = asked.join(opened, ["home2", "part2"]).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int")).withColumn("side", F.lit(0))
+    other = kept.withColumnsRenamed({"home": "home2", "part": "part2"}).join(opened, ["home2", "part2"])
+    other = other.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("side", F.lit(1))
 
     def open_part(frame: pd.DataFrame) -> pd.DataFrame:
+        """Links between the rows that ask and the part's own, of those rows that its token union allows one."""
         side = frame["side"].to_numpy()
         union = np.unique(np.concatenate([np.empty(0, np.int64), *frame["toks"][side == 1]]))
         bound = np.array([np.isin(t, union, assume_unique=True).sum() for t in frame["toks"]])
@@ -286,8 +308,8 @@ def _cross(rows: DataFrame, placed: DataFrame, percent: int, unit_rows: int, *,
         ids = frame["rep"].to_numpy()
         return pd.DataFrame([(ids[a], ids[b]) for a, b in found], columns=["a", "b"], dtype="int64")
 
-    edges = materialize(mine.select(*columns).unionByName(theirs.select(*columns)).groupBy("home2", "part2", "chunk").applyInPandas(open_part, "a long, b long"))
-    discard(asked)
+    edges = materialize(mine.select(*columns).unionByName(other.select(*columns)).groupBy("home2", "part2", "chunk").applyInPandas(open_part, "a long, b long"))
+    discard(posts, asked)
     return edges, kept
 
 

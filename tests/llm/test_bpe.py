@@ -61,5 +61,13 @@ def test_queries_on_nulls_and_clashing_columns(spark):
 
 @pytest.mark.parametrize("n", [1, 2, 7])
 def test_merge_takes_the_lowest_rank_first(n):
-    ranks = {"ab": 1, "bc": 0, "abc": 2}
-    assert bpe.merge(list("abc" * n), ranks, True) == ["abc"] * n
+    a, b, c, bc, abc = range(5)
+    ranks = {b << bpe.WIDE | c: 0, a << bpe.WIDE | b: 1, a << bpe.WIDE | bc: 2}
+    symbols = [a, b, c] * n
+    assert bpe.merge(symbols, ranks, [bc, 9, abc]) == 2 * n and [s for s in symbols if s >= 0] == [abc] * n
+
+
+def test_very_long_texts_and_ties():
+    assert bpe.PieceCounter(PIECES)("ab" * 100_000) > 1000
+    symbols = [0] * 7
+    assert bpe.merge(symbols, {0: 0}, [1]) == 3 and symbols == [1, -1, 1, -1, 1, -1, 0]
