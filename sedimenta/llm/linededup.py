@@ -14,13 +14,14 @@ Only DataFrame functions are used:
     the common order, so contents that meet no other one there are done; they are
     most.  The first line of each content stands for it.
 2.  The few lines left are tokenized again and keep all their tokens.
-3.  Lines that meet in a token of at most ``frequent`` lines are pairs to verify.
-4.  Lines with a more frequent one among their first tokens are ranked anew: tokens
-    in order of rarity, which puts common passages last, and the first ones under
-    that order.  In a first round such a line meets one earlier line only, the first
-    holder that most of its first tokens name, so a mass of near copies goes out
-    without pairs among its members.  Lines without a match meet all others in a
-    second round, which makes the result exact.
+3.  Each of them is held against one earlier line, the first holder that most of its
+    first tokens name, so a mass of near copies goes out without pairs among its
+    members.
+4.  Lines without a match meet all earlier lines of step 2 in tokens of at most
+    ``frequent`` lines.
+5.  For the more frequent tokens of lines still unmatched, all lines that hold one are
+    ranked anew: tokens in order of rarity, which puts common passages last.  Under
+    that order steps 3 and 4 are done again, which makes the result exact.
 
 Length, positional and rarity bounds stand in the conditions of the joins.
 
@@ -45,9 +46,9 @@ SPACE, AROUND = r"[\x20\x09-\x0D]+", " \t\n\x0b\x0c\r"
 def _tokens(lines: DataFrame, words: int, *own: str) -> DataFrame:
     """``own`` columns and ``toks``, sorted, from the column ``ws``: distinct hashes of its runs of ``words`` words."""
     one = lines.select(*own, F.transform("ws", lambda w: F.xxhash64(w)).alias("one"))
-    runs = F.greatest(F.size("one") - (words - 1), F.lit(0))
-    shifted = F.arrays_zip(*[F.slice("one", F.lit(k + 1), runs).alias(f"w{k}") for k in range(words)])
-    return one.select(*own, F.sort_array(F.array_distinct(F.transform(shifted, lambda run: F.xxhash64(run)))).alias("toks"))
+    starts = F.slice("one", F.lit(1), F.greatest(F.size("one") - (words - 1), F.lit(0)))
+    hashes = F.transform(starts, lambda first, i: F.xxhash64(first, *[F.get(F.col("one"), i + k) for k in range(1, words)]))
+    return one.select(*own, F.sort_array(F.array_distinct(hashes)).alias("toks"))
 
 
 def _need(n: Column, percent: int) -> Column:
@@ -63,7 +64,12 @@ def _same(a: str, b: str) -> Column:
 
 
 def _words(line: Column) -> Column:
-    return F.split(F.lower(F.btrim(line, F.lit(AROUND))), SPACE)
+    """The words of a line; most lines have single spaces only and need no pattern."""
+    plain = F.lower(F.btrim(line, F.lit(AROUND)))
+    other = F.lit(False)
+    for mark in ("  ", *AROUND[1:]):
+        other = other | F.contains(line, F.lit(mark))
+    return F.when(other, F.split(plain, SPACE)).otherwise(F.split(plain, " "))
 
 
 def _possible(x: str, y: str, percent: int) -> Column:
@@ -114,17 +120,22 @@ def repeated_lines(
     discard(firsts, able)
     release(spark)
 
-    # 3. pairs that meet in a token of few lines
+    # 3. one earlier line for each: the first holder that most of its first tokens name
     n = F.col("n")
     met = left.select("line", "pos", "n", F.lit(0).alias("alone"), F.posexplode(F.slice("toks", F.lit(1), n - _need(n, percent) + 1)).alias("at", "tok"))
     met = materialize(met.withColumn("at", F.col("at") + 1).join(shared, "tok"))
+    first_round = materialize(_similar(left, _named(met, met, percent), percent))
+    release(spark)
+
+    # 4. the others meet all earlier lines: in tokens of few lines at once
     few = met.filter(F.col("df") <= frequent)
-    pairs = few.alias("x").join(few.alias("y"), (F.col("x.tok") == F.col("y.tok")) & _possible("x", "y", percent))
-    rare = _similar(left, pairs.select(F.col("x.line").alias("line"), F.col("y.line").alias("other")).distinct(), percent)
-    rare = materialize(rare)
+    pairs = few.join(first_round, "line", "left_anti").alias("x").join(few.alias("y"), (F.col("x.tok") == F.col("y.tok")) & _possible("x", "y", percent))
+    rare = materialize(_similar(left, pairs.select(F.col("x.line").alias("line"), F.col("y.line").alias("other")).distinct(), percent).union(first_round))
 
-    # 4. lines with frequent tokens, in order of rarity: the earliest holders first, then everything for those still unmatched
-    crowded = left.join(met.filter(F.col("df") > frequent).select("line").distinct(), "line", "left_semi")
+    # 5. and in frequent ones after the lines that hold these are ranked by rarity
+    many = met.filter(F.col("df") > frequent)
+    asked = many.join(rare, "line", "left_anti").select("tok").distinct()
+    crowded = materialize(left.join(many.join(asked, "tok", "left_semi").select("line").distinct(), "line", "left_semi"))
     each = crowded.select("line", F.explode("toks").alias("tok"))
     rarity = each.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
     by = each.join(rarity, "tok").groupBy("line").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("by"))
@@ -134,21 +145,24 @@ def repeated_lines(
     placed = ranked.select("line", "pos", "n", "alone", F.posexplode("by").alias("i", "t"))
     prefix = materialize(placed.select("line", "pos", "n", "alone", (F.col("alone") + F.col("i") + 1).alias("at"), F.col("t.tok").alias("tok")))
     release(spark)
-    head = prefix.groupBy("tok").agg(F.min(F.struct("pos", "line", "n", "at", "alone")).alias("y")).select("tok", "y.*").alias("y")
-    open_lines = prefix.join(rare, "line", "left_anti").alias("x")
-    votes = open_lines.join(head, (F.col("x.tok") == F.col("y.tok")) & _possible("x", "y", percent)).groupBy(F.col("x.line").alias("line"), F.col("y.line").alias("other")).agg(F.count("*").alias("votes"))
-    first_round = materialize(_similar(left, votes.groupBy("line").agg(F.max_by("other", F.struct("votes", "other")).alias("other")), percent).union(rare))
-    open_lines = prefix.join(first_round, "line", "left_anti").alias("x")
-    pairs = open_lines.join(prefix.alias("y"), (F.col("x.tok") == F.col("y.tok")) & _possible("x", "y", percent))
-    near = first_round.union(_similar(left, pairs.select(F.col("x.line").alias("line"), F.col("y.line").alias("other")).distinct(), percent)).distinct()
+    second = materialize(_similar(left, _named(prefix.join(rare, "line", "left_anti"), prefix, percent), percent).union(rare))
+    pairs = prefix.join(second, "line", "left_anti").alias("x").join(prefix.alias("y"), (F.col("x.tok") == F.col("y.tok")) & _possible("x", "y", percent))
+    near = second.union(_similar(left, pairs.select(F.col("x.line").alias("line"), F.col("y.line").alias("other")).distinct(), percent)).distinct()
 
     gone = left.join(near, "line", "left_semi").select("pos.id", "pos.text_hash", "pos.line_no")
     out = materialize(later.unionByName(gone).groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("lines")))
-    discard(later, shared, left, met, rare, prefix, first_round)
+    discard(later, shared, left, met, first_round, rare, crowded, prefix, second)
     release(spark)
     return out
 
 
+def _named(lines: DataFrame, holders: DataFrame, percent: int) -> DataFrame:
+    """``line, other``: for each of ``lines`` the earlier line that most of its tokens name as their first holder."""
+    head = holders.groupBy("tok").agg(F.min(F.struct("pos", "line", "n", "at", "alone")).alias("y")).select("tok", "y.*").alias("y")
+    votes = lines.alias("x").join(head, (F.col("x.tok") == F.col("y.tok")) & _possible("x", "y", percent)).groupBy(F.col("x.line").alias("line"), F.col("y.line").alias("other")).agg(F.count("*").alias("votes"))
+    return votes.groupBy("line").agg(F.max_by("other", F.struct("votes", "other")).alias("other"))
+
+
 def _similar(left: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The ``line`` of those pairs whose sets are similar enough."""
     mine = left.select("line", F.col("toks").alias("mine"))
