@@ -33,4 +33,4 @@ def r6(x: Column) -> Column:
 
 
 def load() -> None:
-    from sedimenta.queries import cohort, panel, quantity, sequence, streams, summary, survival, texts  # noqa: F401
+    from sedimenta.queries import cohort, evidence, panel, quantity, sequence, streams, summary, survival, texts  # noqa: F401
