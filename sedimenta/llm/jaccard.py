@@ -97,6 +97,13 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return placed.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(judge, _SIGNED)
 
 
+def _held(toks: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which of ``toks`` are in the sorted array ``among``."""
+    if not len(among):
+        return np.zeros(len(toks), bool)
+    return among[np.minimum(np.searchsorted(among, toks), len(among) - 1)] == toks
+
+
 class _Sets:
     """Disjoint sets over positions."""
 
@@ -263,7 +270,7 @@ def _cross(rows: DataFrame, placed: DataFrame, percent: int, unit_rows: int, *,
         tok, held_by = tok[order], held_by[order]
         kept: list[tuple] = []
         for home, part, rep, n, toks in frame[["home", "part", "rep", "n", "toks"]].itertuples(index=False):
-            own = toks[np.isin(toks, tok, assume_unique=True)] if len(tok) else toks[:0]
+            own = toks[_held(toks, tok)]
             if len(own) >= need(n, percent) and len(own):
                 by = held_by[np.searchsorted(tok, own)]
                 kept.append((home, part, rep, n, own[np.lexsort((own, by))], len(own) - need(n, percent) + 1))
@@ -286,8 +293,8 @@ def _cross(rows: DataFrame, placed: DataFrame, percent: int, unit_rows: int, *,
         """Each row once for every part that holds one of its first tokens."""
         out = []
         for (home2, part2), some in met.groupby(["home2", "part2"]):
-            tok = some["tok"].to_numpy(np.int64)
-            asks = [bool(np.isin(t[:k], tok).any()) for t, k in zip(frame["toks"], frame["first"], strict=True)]
+            tok = np.sort(some["tok"].to_numpy(np.int64))
+            asks = [bool(_held(t[:k], tok).any()) for t, k in zip(frame["toks"], frame["first"], strict=True)]
             out.append(frame.loc[asks, ["rep", "n", "toks"]].assign(home2=home2, part2=part2))
         return pd.concat(out) if out else frame.iloc[:0][["rep", "n", "toks"]].assign(home2=0, part2=0)
 
@@ -302,7 +309,7 @@ def _cross(rows: DataFrame, placed: DataFrame, percent: int, unit_rows: int, *,
         """Links between the rows that ask and the part's own, of those rows that its token union allows one."""
         side = frame["side"].to_numpy()
         union = np.unique(np.concatenate([np.empty(0, np.int64), *frame["toks"][side == 1]]))
-        bound = np.array([np.isin(t, union, assume_unique=True).sum() for t in frame["toks"]])
+        bound = np.array([_held(t, union).sum() for t in frame["toks"]])
         frame = frame[(side == 1) | (bound >= need(frame["n"].to_numpy(), percent))].sort_values("n")
         found = links(frame["n"].to_numpy(), [t.astype(np.int64) for t in frame["toks"]], percent, frame["side"].to_numpy())
         ids = frame["rep"].to_numpy()

@@ -10,7 +10,7 @@ itself removed does not matter, so the result does not depend on the order of wo
 Only DataFrame functions are used:
 
 1.  Each line gets the hash of its words and its first ``n - ceil(0.75 n) + 1``
-    tokens in the order of hashes.  Similar lines meet in one of these, whatever
+    tokens in the order of their first two words' hashes.  Similar lines meet in one of these, whatever
     the common order, so contents that meet no other one there are done; they are
     most.  The first line of each content stands for it.
 2.  The few lines left are tokenized again and keep all their tokens.
@@ -51,6 +51,28 @@ def _tokens(lines: DataFrame, words: int, *own: str) -> DataFrame:
     return one.select(*own, F.sort_array(F.array_distinct(hashes)).alias("toks"))
 
 
+def _first_tokens(lines: DataFrame, words: int, percent: int, *own: str) -> DataFrame:
+    """``own`` columns and ``low``: the tokens whose order key is among the ``m - need(m) + 1`` smallest of a line of ``m`` runs.
+
+    A token's key is made of the hashes of its first two words, so only the tokens
+    below the cut are hashed.  The key is a function of the token, tokens of equal
+    key are taken together, and ``m`` is at least the number of distinct tokens, so
+    the first tokens under the order of keys are all there.
+    """
+    one = lines.select(*own, F.transform("ws", lambda w: F.xxhash64(w)).alias("one"))
+    m = F.size("one") - (words - 1)
+    high = F.lit(-(1 << 32))
+    starts = F.slice("one", F.lit(1), F.greatest(m, F.lit(0)))
+    keyed = one.select(*own, "one", F.transform(starts, lambda h, i: h.bitwiseAND(high).bitwiseOR(F.shiftrightunsigned(F.get(F.col("one"), i + 1), 32))).alias("keys"))
+    distinct = F.sort_array(F.array_distinct("keys"))
+    cut = keyed.select(*own, "one", "keys", distinct.alias("sorted")).select(
+        *own, "one", "keys", F.get(F.col("sorted"), F.least(F.size("keys") - _need(F.size("keys"), percent) + 1, F.size("sorted")) - 1).alias("cut")
+    )
+    below = F.filter(F.sequence(F.lit(0), F.size("keys") - 1), lambda i: F.get(F.col("keys"), i) <= F.col("cut"))
+    low = F.transform(below, lambda i: F.xxhash64(*[F.get(F.col("one"), i + k) for k in range(words)]))
+    return cut.select(*own, F.when(F.size("keys") > 0, F.array_distinct(low)).otherwise(F.array().cast("array<bigint>")).alias("low"))
+
+
 def _need(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100).cast("int")
 
@@ -100,30 +122,31 @@ def repeated_lines(
     long = F.length(F.btrim("line", F.lit(AROUND))) >= least_chars
     ws = split.select("id", "text_hash", "line_no", long.alias("long"), _words(F.col("line")).alias("ws")).filter(F.col("long") | (F.size("ws") >= words))
     hashed = ws.select("id", "text_hash", "line_no", F.xxhash64("ws").alias("h1"), F.xxhash64(F.lit(1), "ws").alias("h2"), "ws")
-    n = F.size("toks")
-    lines = materialize(_tokens(hashed, words, *own).select(*own, F.slice("toks", F.lit(1), n - _need(n, percent) + 1).alias("low")))
+    lines = materialize(_first_tokens(hashed, words, percent, *own))
     firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(_position()).alias("pos")))
     later = materialize(lines.select(*own).join(firsts, ["h1", "h2"]).filter(_position() != F.col("pos")).select("id", "text_hash", "line_no"))
     release(spark)
     low = lines.select("h1", F.explode("low").alias("tok"))
     shared = materialize(low.groupBy("tok").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.count("*").alias("df")).filter("a <> b").select("tok", "df"))
     release(spark)
-    able = materialize(low.join(shared, "tok", "left_semi").select("h1").distinct())
-    discard(lines)
+    hits = materialize(low.join(shared, "tok").select("h1", "tok", "df").distinct())
+    able = hits.select("h1").distinct()
+    discard(lines, shared)
     release(spark)
 
     # 2. all tokens of the lines left
     at = firsts.join(able, "h1", "left_semi").groupBy(F.col("pos.id").alias("i"), F.col("pos.text_hash").alias("t")).agg(F.collect_list(F.struct("pos.line_no", "h1", "h2")).alias("at"))
     again = base.join(at, _same("id", "i") & _same("text_hash", "t")).select("id", "text_hash", F.split("text", "\n").alias("rows"), F.explode("at").alias("at"))
     ws = again.select("at.h1", "at.h2", F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "at.line_no").alias("pos"), _words(F.get("rows", F.col("at.line_no"))).alias("ws"))
-    left = materialize(_tokens(ws, words, "h1", "h2", "pos").dropDuplicates(["h1", "h2"]).select(F.struct("h1", "h2").alias("line"), "pos", "toks", F.size("toks").alias("n")))
-    discard(firsts, able)
+    # a document that stands several times brings its lines as often, which only repeats pairs
+    left = materialize(_tokens(ws, words, "h1", "h2", "pos").select(F.struct("h1", "h2").alias("line"), "pos", "toks", F.size("toks").alias("n")))
+    discard(firsts)
     release(spark)
 
     # 3. one earlier line for each: the first holder that most of its first tokens name
     n = F.col("n")
-    met = left.select("line", "pos", "n", F.lit(0).alias("alone"), F.posexplode(F.slice("toks", F.lit(1), n - _need(n, percent) + 1)).alias("at", "tok"))
-    met = materialize(met.withColumn("at", F.col("at") + 1).join(shared, "tok"))
+    met = left.select("line", "pos", "n", F.lit(0).alias("alone"), n.alias("at"), F.col("line.h1").alias("h1")).join(hits, "h1").drop("h1")
+    met = materialize(met)
     first_round = materialize(_similar(left, _named(met, met, percent), percent))
     release(spark)
 
@@ -138,7 +161,7 @@ def repeated_lines(
     crowded = materialize(left.join(many.join(asked, "tok", "left_semi").select("line").distinct(), "line", "left_semi"))
     each = crowded.select("line", F.explode("toks").alias("tok"))
     rarity = each.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
-    by = each.join(rarity, "tok").groupBy("line").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("by"))
+    by = each.join(rarity, "tok").groupBy("line").agg(F.sort_array(F.collect_set(F.struct("df", "tok"))).alias("by"))
     alone = n - F.size("by")
     ranked = crowded.select("line", "pos", "n").join(by, "line")
     ranked = ranked.select("line", "pos", "n", alone.alias("alone"), F.slice("by", F.lit(1), F.greatest(F.lit(0), n - _need(n, percent) + 1 - alone)).alias("by"))
@@ -151,7 +174,7 @@ def repeated_lines(
 
     gone = left.join(near, "line", "left_semi").select("pos.id", "pos.text_hash", "pos.line_no")
     out = materialize(later.unionByName(gone).groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("lines")))
-    discard(later, shared, left, met, first_round, rare, crowded, prefix, second)
+    discard(later, hits, left, met, first_round, rare, crowded, prefix, second)
     release(spark)
     return out
 
