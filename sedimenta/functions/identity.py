@@ -12,14 +12,14 @@ from sedimenta.functions.hashing import nul_digest
 from sedimenta.functions.text import strip
 
 
-@F.pandas_udf("string")
-def _folded(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
-
-
 def folded(x: Column) -> Column:
     """NFKC form with case folded; SQL has neither, so this is an Arrow UDF unless the text is ASCII."""
-    return F.when(x.rlike(r"[^\x00-\x7F]"), _folded(x)).otherwise(F.lower(x))
+
+    @F.pandas_udf("string")
+    def fold(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+    return F.when(x.rlike(r"[^\x00-\x7F]"), fold(x)).otherwise(F.lower(x))
 
 
 def author_name(name: Column) -> Column:

@@ -75,10 +75,16 @@ def _lstrip(x: Column) -> Column:
 
 
 def _deviation(values: Column) -> Column:
-    """Sample deviation of an array, 0 for fewer than two values."""
-    mean = _mean(values)
-    squares = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    return F.when(F.size(values) > 1, F.sqrt(squares / (F.size(values) - 1))).otherwise(0.0)
+    """Sample deviation of an array of whole numbers, 0 for fewer than two; one fold, its sums are exact."""
+    zero = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("q"))
+    n = F.size(values)
+
+    def spread(sums: Column) -> Column:
+        s, q = sums["s"].cast("double"), sums["q"].cast("double")
+        return F.sqrt(F.greatest(F.lit(0.0), q - s * s / n) / (n - 1))
+
+    folded = F.aggregate(values, zero, lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x.cast("long") * x).alias("q")), spread)
+    return F.when(n > 1, folded).otherwise(0.0)
 
 
 def _safe(num: Column, den: Column) -> Column:

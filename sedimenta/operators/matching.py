@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,27 +27,85 @@ def caliper_pairs(targets: DataFrame, candidates: DataFrame, *, block: list[str]
     return t.join(c, on & near).select(*[F.col(f"t.{b}").alias(b) for b in block], F.struct("t.*").alias("target"), F.struct("c.*").alias("candidate"), gap.alias("gap"), (larger / smaller).alias("size_ratio"))
 
 
-def greedy(pairs: DataFrame, *, block: list[str], target: Column, candidate: Column, order: Column, cost: list[Column]) -> DataFrame:
+def greedy(pairs: DataFrame, *, block: list[str], target: Column, candidate: Column, order: Column, cost: list[Column], packs: int = 256) -> DataFrame:
     """``(block, target, candidate)``: targets in ``order`` each take their cheapest free candidate, ties to the smaller id.
 
-    The choice is sequential inside a block; blocks are independent.
+    The choice is sequential inside a block; blocks are independent, and about as
+    many as fit are dealt to each of ``packs`` tasks by hash.
     """
-    flat = pairs.select(*block, target.cast("string").alias("target"), candidate.cast("string").alias("candidate"), order.alias("__order"), F.struct(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(cost)]).alias("__cost"))
-    costs = [f"c{i}" for i in range(len(cost))]
-    flat = flat.select(*block, "target", "candidate", "__order", "__cost.*")
+    costs = [f"__c{i}" for i in range(len(cost))]
+    flat = pairs.select(*block, target.cast("string").alias("target"), candidate.cast("string").alias("candidate"), order.alias("__order"), *[c.cast("double").alias(n) for c, n in zip(cost, costs, strict=True)])
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in flat.schema if f.name in block], "target string", "candidate string"])
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([*block, "__order", "target", *costs, "candidate"])
+        keys, targets, candidates = list(zip(*[frame[b] for b in block], strict=True)), frame["target"].tolist(), frame["candidate"].tolist()
         taken: set[str] = set()
-        out = []
-        for _, own in frame.sort_values(["__order", "target", *costs, "candidate"]).groupby(["__order", "target"], sort=True):
-            for row in own.to_dict("records"):
-                if row["candidate"] not in taken:
-                    taken.add(row["candidate"])
-                    out.append([*[row[b] for b in block], row["target"], row["candidate"]])
-                    break
+        out, place, served = [], None, None
+        for key, mine, free in zip(keys, targets, candidates, strict=True):
+            if key != place:
+                taken, place, served = set(), key, None
+            if mine != served and free not in taken:
+                taken.add(free)
+                served = mine
+                out.append([*key, mine, free])
         return pd.DataFrame(out, columns=[*block, "target", "candidate"])
 
-    return flat.groupBy(*block).applyInPandas(choose, schema)
+    return flat.groupBy(F.pmod(F.xxhash64(*block), F.lit(packs))).applyInPandas(choose, schema)
+
+
+def greedy_nearest(
+    targets: DataFrame,
+    candidates: DataFrame,
+    *,
+    block: list[str],
+    unit: str,
+    numbers: dict[str, float],
+    labels: list[str],
+    tier: str | None = None,
+    caliper: float | None = None,
+    packs: int = 256,
+) -> DataFrame:
+    """``(target, candidate, basis, distance)``: targets in order of their ids take the nearest free candidate of their block.
 
+    The distance is the root of the squared differences of ``numbers``, each divided
+    by its scale, and 1 for every label that differs; ties go to the smaller digest
+    of the candidate's id.  With ``tier``, candidates of an equal tier come first and
+    others only if none of these is free.  A target without candidates has
+    basis ``no_overlap``; beyond the caliper it has ``outside_caliper``, the distance
+    found, and takes nothing.  The choice is sequential inside a block; blocks are
+    independent and a task holds the narrow rows of its own.
+    """
+    used = [*block, unit, *numbers, *labels, *([tier] if tier else [])]
+    used = list(dict.fromkeys(used))
+    sides = [df.select(*used, F.sha2(F.col(unit).cast("string").cast("binary"), 256).alias("__digest"), F.pmod(F.xxhash64(*block), F.lit(packs)).alias("__pack")) for df in (targets, candidates)]
+    kind = targets.schema[unit].dataType.simpleString()
+    # both sides may come of one frame: other names keep their columns apart
+    sides[1] = sides[1].toDF(*[f"__c_{c}" for c in sides[1].columns])
+
+    def choose(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        right.columns = left.columns
+        pools = {k: g.sort_values("__digest") for k, g in right.groupby(block)}
+        for key, own in left.groupby(block):
+            pool = pools.get(key)
+            free = np.ones(0 if pool is None else len(pool), bool)
+            for row in own.sort_values(unit).to_dict("records"):
+                if not free.any():
+                    out.append((row[unit], None, "no_overlap", None))
+                    continue
+                ok, basis = free, "same_block"
+                if tier:
+                    same = free & (pool[tier] == row[tier]).to_numpy()
+                    ok, basis = (same, "same_tier") if same.any() else (free, "same_block")
+                d = sum(((pool[c].to_numpy(float) - row[c]) / s) ** 2 for c, s in numbers.items()) + sum((pool[c] != row[c]).to_numpy(float) for c in labels)
+                d = np.where(ok, np.sqrt(d), np.inf)
+                at = int(d.argmin())
+                if caliper is not None and d[at] > caliper:
+                    out.append((row[unit], None, "outside_caliper", float(d[at])))
+                    continue
+                free[at] = False
+                out.append((row[unit], pool[unit].iloc[at], basis, float(d[at])))
+        return pd.DataFrame(out, columns=["target", "candidate", "basis", "distance"]).astype({"candidate": "Int64"} if kind in ("bigint", "int") else {})
 
+    return sides[0].groupBy("__pack").cogroup(sides[1].groupBy("__c___pack")).applyInPandas(choose, f"target {kind}, candidate {kind}, basis string, distance double")

@@ -54,6 +54,39 @@ def mean_test(df: DataFrame, *, by: list[str], value: str, copies: Column | None
     return sums.select(*by, "n", mean.alias("mean"), F.when(var > 1e-12, mean / F.sqrt(var / F.col("n"))).alias("t"))
 
 
+#: Fixed value: the two-sided 95 % point of the normal distribution.
+Z = 1.959963984540054
+
+
+def t_critical(df: Column) -> Column:
+    """Two-sided 95 % point of Student's t for ``df`` degrees of freedom, by the expansion around the normal point."""
+    terms = [(Z**3 + Z) / 4, (5 * Z**5 + 16 * Z**3 + 3 * Z) / 96, (3 * Z**7 + 19 * Z**5 + 17 * Z**3 - 15 * Z) / 384]
+    return sum((F.lit(t) / F.pow(df, i + 1) for i, t in enumerate(terms)), F.lit(Z))
+
+
+def mean_zero_test(df: DataFrame, *, by: list[str], value: str, copies: Column | None = None) -> DataFrame:
+    """``n, mean, t, critical, passed``: whether the mean may be zero.
+
+    Fewer than two values pass only with a mean of zero; without variance a mean
+    other than zero fails.
+    """
+    m = F.lit(1) if copies is None else copies
+    v = F.col(value)
+    rows = df.filter(v.isNotNull())
+    sums = rows.groupBy(*by).agg(F.sum(m).alias("n"), F.try_divide(F.sum(m * v), F.sum(m)).alias("mean"), F.sum(m * v * v).alias("q"))
+    var = F.greatest(F.lit(0.0), (F.col("q") - F.col("n") * F.col("mean") * F.col("mean")) / (F.col("n") - 1))
+    out = sums.withColumn("var", F.when(F.col("n") > 1, F.when(var > 1e-12, var).otherwise(0.0)))
+    t = F.when(F.col("var") > 0, F.abs("mean") / F.sqrt(F.col("var") / F.col("n"))).when(F.col("var") == 0, F.when(F.abs("mean") <= 1e-12, 0.0).otherwise(float("inf")))
+    out = out.withColumn("t", t).withColumn("critical", F.when(F.col("n") > 1, t_critical(F.col("n") - 1)))
+    return out.select(*by, "n", "mean", "t", "critical", F.when(F.col("n") > 1, F.col("t") <= F.col("critical")).otherwise(F.abs("mean") <= 1e-12).alias("passed"))
+
+
+def bootstrap_effects(effects: DataFrame, draws: DataFrame, *, unit: str, by: list[str], effect: str) -> DataFrame:
+    """Percentile interval of the mean effect of each stratum over whole-unit resamples; units that were not drawn do not count."""
+    each = effects.join(draws, unit).groupBy("replicate", *by).agg((F.sum(F.col(effect) * F.col("copies")) / F.sum("copies")).alias("mean"))
+    return each.groupBy(*by).agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"), F.count("*").alias("replicates"))
+
+
 def mean_shift(df: DataFrame, *, by: list[str], side: Column, value: str, weight: Column) -> DataFrame:
     """Difference of the weighted means of two sides in pooled weighted population deviations; null if there is none."""
     v = F.col(value)

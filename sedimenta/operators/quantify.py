@@ -7,6 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def same_keys(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join on ``on``, null keys equal to null, with one copy of the keys."""
+    if not on:
+        return left.join(F.broadcast(right))
+    other = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    hit = F.lit(True)
+    for c in on:
+        hit = hit & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+    return left.join(other, hit).drop(*[f"__r_{c}" for c in on])
+
+
 def with_before(df: DataFrame, *, by: list[str], value: str, amount: str, name: str, bins: int = 1024) -> DataFrame:
     """Adds the sum of ``amount`` over rows of smaller ``value`` in the same ``by``; values must be distinct there.
 
@@ -14,14 +25,14 @@ def with_before(df: DataFrame, *, by: list[str], value: str, amount: str, name:
     holds more than the rows of one range.
     """
     span = df.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    ranged = (df.join(F.broadcast(span), by) if by else df.join(F.broadcast(span))).withColumn(
+    ranged = same_keys(df, span, by).withColumn(
         "__bin", F.when(F.col("__hi") > F.col("__lo"), F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins))).otherwise(0).cast("int")
     )
     sums = ranged.groupBy(*by, "__bin").agg(F.sum(amount).alias("__sum"))
     run = W.partitionBy(*by).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn("__base", F.coalesce(F.sum("__sum").over(run), F.lit(0.0))).drop("__sum")
     inside = W.partitionBy(*by, "__bin").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    joined = ranged.join(sums, [*by, "__bin"])
+    joined = same_keys(ranged, sums, [*by, "__bin"])
     return joined.withColumn(name, F.col("__base") + F.coalesce(F.sum(amount).over(inside), F.lit(0.0))).drop("__lo", "__hi", "__bin", "__base")
 
 
@@ -160,3 +171,75 @@ def robust_scale(df: DataFrame, *, by: list[str], value: str) -> DataFrame:
     at = lambda q: F.max(F.when(F.col("i") == F.floor(F.col("n") * q / 4), F.col("v")))
     out = ranked.groupBy(*by).agg(F.first("n").alias("n"), (at(3) - at(1)).alias("spread"), F.stddev_pop("v").alias("sd"))
     return out.select(*by, "n", F.when(F.col("n") < 2, 1.0).otherwise(F.greatest("spread", "sd", F.lit(1e-9))).alias("scale"))
+
+
+def weighted_quantiles(df: DataFrame, *, value: str, weight: str, probabilities: list[float]) -> DataFrame:
+    """``(probability, value)``: midpoint quantiles of weighted values, linear between them, flat outside.
+
+    Rows of equal value and weight are counted first.  Of equal values the
+    lighter row comes first.
+    """
+    per = df.groupBy(F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("u")).agg(F.sum(F.col(weight).cast("double")).alias("w"))
+    placed = with_before(per.groupBy("v").agg(F.sum("w").alias("w")), by=[], value="v", amount="w", name="base").select("v", "base")
+    lighter = W.partitionBy("v").orderBy("u").rowsBetween(W.unboundedPreceding, -1)
+    each = per.join(placed, "v").withColumn("before", F.col("base") + F.coalesce(F.sum("w").over(lighter), F.lit(0.0)))
+    total = per.agg(F.sum("w").alias("total"))
+    ends = F.array(F.col("before") + F.col("u") / 2, F.col("before") + F.col("w") - F.col("u") / 2)
+    mid = each.join(F.broadcast(total)).select("v", F.explode(F.transform(ends, lambda x: x / F.col("total"))).alias("p"))
+    # the neighbours of each probability: a few rows come out of one pass
+    asked = df.sparkSession.createDataFrame([(float(q),) for q in probabilities], "probability double")
+    near = asked.join(mid).groupBy("probability").agg(
+        F.max(F.when(F.col("p") <= F.col("probability"), F.struct("p", "v"))).alias("lo"),
+        F.min(F.when(F.col("p") > F.col("probability"), F.struct("p", "v"))).alias("hi"),
+    )
+    between = F.col("lo.v") + (F.col("hi.v") - F.col("lo.v")) * F.try_divide(F.col("probability") - F.col("lo.p"), F.col("hi.p") - F.col("lo.p"))
+    return near.select("probability", F.coalesce(between, F.col("lo.v"), F.col("hi.v")).alias("value"))
+
+
+def cluster_bootstrap(df: DataFrame, draws: DataFrame, *, cluster: str, label: Column, score: str, weight: str) -> DataFrame:
+    """Percentile interval of the difference of the weighted mean scores of the two labels.
+
+    A drawn cluster brings all its rows, those of both labels; only sums by
+    cluster meet the draws.
+    """
+    w, v = F.col(weight), F.col(weight) * F.col(score)
+    on = lambda c, x: F.sum(F.when(c, x).otherwise(0.0))
+    per = df.groupBy(cluster).agg(on(label, w).alias("w1"), on(label, v).alias("v1"), on(~label, w).alias("w0"), on(~label, v).alias("v0"))
+    each = per.join(draws, cluster).groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("copies")).alias(c) for c in ("w1", "v1", "w0", "v0")])
+    gap = F.try_divide("v1", "w1") - F.try_divide("v0", "w0")
+    return each.select(gap.alias("gap")).agg(F.percentile("gap", F.lit(0.025)).alias("low"), F.percentile("gap", F.lit(0.975)).alias("high"), F.count("gap").alias("replicates"))
+
+
+def synthetic_recovery(df: DataFrame, *, group: str, side: str, score: str, weight: str, shares: list[float], trials: int, picks: int, seed: str, bins: int = 20, steps: int = 100) -> DataFrame:
+    """``(share, error, worst)``: how well the mixture fit recovers known shares.
+
+    For each share and trial, ``picks`` groups of each side are drawn with
+    replacement by digest, no group for both sides in one trial, and their
+    histograms are mixed in that share.  Scores are counted by group and bin
+    once; only those counts meet the draws.
+    """
+    spark = df.sparkSession
+    at = F.least(F.lit(bins - 1), F.floor(F.col(score) * bins)).cast("int")
+    counts = df.groupBy(F.col(side).alias("side"), F.col(group).alias("g"), at.alias("bin")).agg(F.sum(weight).alias("w"))
+    whole = counts.groupBy("bin").agg(F.sum(F.when(F.col("side") == "agent", F.col("w")).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("side") == "human", F.col("w")).otherwise(0.0)).alias("h"))
+    all_bins = spark.range(bins).select(F.col("id").cast("int").alias("bin")).join(whole, "bin", "left").fillna(0.0)
+    total = W.partitionBy()
+    shaped = all_bins.select("bin", ((F.col("a") + 0.5) / (F.sum("a").over(total) + 0.5 * bins)).alias("a"), ((F.col("h") + 0.5) / (F.sum("h").over(total) + 0.5 * bins)).alias("h"))
+
+    digest = lambda *p: F.conv(F.substring(F.sha2(F.concat_ws("\0", F.lit(seed), *[x.cast("string") for x in p]).cast("binary"), 256), 1, 12), 16, 10).cast("long")
+    # half of the groups, by digest, can be drawn for a side in a trial, the other half for the other one
+    runs = spark.range(trials).select(F.col("id").alias("trial"), F.explode(F.array(F.lit("agent"), F.lit("human"))).alias("side"))
+    groups = counts.select("side", "g").distinct().join(runs, "side").filter((digest(F.lit("half"), F.col("trial"), F.col("g")) % 2 == 0) == (F.col("side") == "agent"))
+    ranked = groups.withColumn("place", F.row_number().over(W.partitionBy("trial", "side").orderBy("g")) - 1).withColumn("n", F.count("*").over(W.partitionBy("trial", "side")))
+    drawn = runs.withColumn("pick", F.explode(F.sequence(F.lit(0), F.lit(picks - 1)))).withColumn("d", digest(F.lit("pick"), F.col("trial"), F.col("side"), F.col("pick")))
+    sizes = ranked.select("trial", "side", "n").distinct()
+    chosen = drawn.join(sizes, ["trial", "side"]).withColumn("place", F.col("d") % F.col("n")).join(ranked.drop("n"), ["trial", "side", "place"]).groupBy("trial", "side", "g").agg(F.count("*").alias("copies"))
+    mixed = chosen.join(counts, ["side", "g"]).groupBy("trial", "side", "bin").agg(F.sum(F.col("w") * F.col("copies")).alias("w"))
+    mixed = mixed.withColumn("w", F.col("w") / F.sum("w").over(W.partitionBy("trial", "side")))
+    target = mixed.withColumn("share", F.explode(F.array(*[F.lit(float(x)) for x in shares])))
+    target = target.groupBy("trial", "share", "bin").agg(F.sum(F.when(F.col("side") == "agent", F.col("share")).otherwise(1 - F.col("share")) * F.col("w")).alias("t"))
+    grid = target.join(shaped, "bin").withColumn("q", F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: i / steps)))
+    ll = grid.groupBy("trial", "share", "q").agg(F.round(F.sum(F.col("t") * F.log(F.col("q") * F.col("a") + (1 - F.col("q")) * F.col("h"))), 9).alias("ll"))
+    fit = ll.groupBy("trial", "share").agg(F.max_by("q", F.struct("ll", -F.col("q"))).alias("q"))
+    error = F.abs(F.col("q") - F.col("share"))
+    return fit.groupBy("share").agg(F.avg(error).alias("error"), F.max(error).alias("worst"), F.count("*").alias("trials"))

@@ -84,11 +84,11 @@ def as_of(left: DataFrame, right: DataFrame, *, by: list[str], target: str, time
 
     Left rows without one stay, with null.
     """
-    key = "__left"
-    rows = left.withColumn(key, F.struct(*left.columns))
+    # repeated left rows are joined once and come back as often as they stood
+    rows = left.groupBy(F.struct(*left.columns).alias("__row")).agg(F.count("*").alias("__copies")).select("__row", "__copies", "__row.*")
     hit = (F.col(f"r.{time}") <= F.col(f"l.{target}")) & (F.col(f"r.{position}") >= F.col(f"l.{least}"))
     for c in by:
         hit = hit & (F.col(f"l.{c}") == F.col(f"r.{c}"))
     joined = rows.alias("l").join(right.alias("r"), hit, "left")
-    best = joined.groupBy(F.col(f"l.{key}").alias(key)).agg(F.max_by(F.col(f"r.{value}"), F.struct(F.col(f"r.{position}"), F.col(f"r.{time}"))).alias("found"))
-    return best.select(f"{key}.*", "found")
+    best = joined.groupBy("l.__row").agg(F.first("l.__copies").alias("__copies"), F.max_by(F.col(f"r.{value}"), F.struct(F.col(f"r.{position}"), F.col(f"r.{time}"))).alias("found"))
+    return best.select("__row.*", "found", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__i")).drop("__i")

@@ -30,10 +30,12 @@ def before_after(df: DataFrame, *, by: list[str], at: str, turn: str, hit: Colum
 
 def valid_labels(df: DataFrame, labels: DataFrame, *, key: str, at: str, start: str, end: str, label: str, none: str) -> DataFrame:
     """Adds the label that is valid for the key at the row's time, else ``none``; of several the smallest."""
-    rows = df.withColumn("__row", F.struct(*df.columns))
+    # repeated rows are joined once and come back as often as they stood
+    rows = df.groupBy(F.struct(*df.columns).alias("__row")).agg(F.count("*").alias("__copies")).select("__row", "__copies", "__row.*")
     spans = labels.select(F.col(key).alias("__k"), F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(label).alias("__l"))
     joined = rows.join(spans, (F.col(key) == F.col("__k")) & F.col(at).between(F.col("__s"), F.col("__e")), "left")
-    return joined.groupBy("__row").agg(F.coalesce(F.min("__l"), F.lit(none)).alias(label)).select("__row.*", label)
+    out = joined.groupBy("__row").agg(F.coalesce(F.min("__l"), F.lit(none)).alias(label), F.first("__copies").alias("__copies"))
+    return out.select("__row.*", label, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__i")).drop("__i")
 
 
 def first_quotes(df: DataFrame, *, by: str, order: str, text: str, pattern: str, most: int = 3, longest: int = 240) -> DataFrame:

@@ -88,7 +88,7 @@ def occupancy(df: DataFrame, *, modified: str, deleted: str, censored: str, weig
     return points.select(*by, "horizon", F.col("p.u").alias("unchanged"), F.col("p.m").alias("modified"), F.col("p.d").alias("deleted"))
 
 
-def cluster_draws(clusters: DataFrame, *, cluster: str, replicates: int, seed: str) -> DataFrame:
+def cluster_draws(clusters: DataFrame, *, cluster: str, replicates: int = 2000, seed: str) -> DataFrame:
     """``(replicate, cluster, copies)``: whole-cluster resamples, as many draws as clusters.
 
     Draw ``j`` of replicate ``b`` takes the cluster whose place in sorted order
@@ -155,3 +155,29 @@ def history(snapshots: DataFrame, *, key: str, horizon: str, state: str, deleted
         F.when(gone, F.col("deleted")).otherwise(F.coalesce("lost", F.least("cutoff", F.coalesce("last_seen", "cutoff")))).alias("censored"),
         F.when(gone, "deleted").when(F.col("lost").isNotNull(), "lost").otherwise("cutoff").alias("reason"),
     )
+
+
+def stratum_shares(counts: DataFrame, draws: DataFrame, *, stratum: str, cluster: str, good: str, seen: str, rows: str, least_clusters: int = 5, least_coverage: float = 0.8) -> DataFrame:
+    """Survival shares of each stratum with whole-cluster intervals, the intervals null with reasons where a gate fails.
+
+    ``counts`` has one row a stratum and cluster.  Balanced is the mean of the
+    clusters' own shares (those that observe nothing are skipped), pooled the share
+    of all rows.  Draws are of the clusters of all strata; a stratum uses those of
+    its own.
+    """
+    own = F.try_divide(good, seen)
+
+    def shares(copies: Column) -> list[Column]:
+        balanced = F.try_divide(F.sum(own * copies), F.sum(F.when(own.isNotNull(), copies)))
+        return [balanced.alias("balanced"), F.try_divide(F.sum(F.col(good) * copies), F.sum(F.col(seen) * copies)).alias("pooled")]
+
+    point = counts.groupBy(stratum).agg(*shares(F.lit(1)), F.count("*").alias("clusters"), F.try_divide(F.sum(seen), F.sum(rows)).alias("coverage"))
+    each = counts.join(draws, cluster).groupBy(stratum, "replicate").agg(*shares(F.col("copies")))
+    ends = [F.percentile(c, F.lit(q)).alias(f"{c}_{n}") for c in ("balanced", "pooled") for n, q in (("low", 0.025), ("high", 0.975))]
+    spread = each.groupBy(stratum).agg(*ends)
+    few = F.when(F.col("clusters") < least_clusters, f"fewer_than_{least_clusters}_clusters")
+    thin = F.when(~F.coalesce(F.col("coverage") >= least_coverage, F.lit(False)), f"coverage_below_{least_coverage:.2f}")
+    out = point.join(spread, stratum, "left").withColumn("reasons", F.array_compact(F.array(few, thin)))
+    ok = F.size("reasons") == 0
+    names = [f"{c}_{n}" for c in ("balanced", "pooled") for n in ("low", "high")]
+    return out.select(stratum, "clusters", "coverage", "balanced", "pooled", *[F.when(ok, F.col(c)).alias(c) for c in names], "reasons")

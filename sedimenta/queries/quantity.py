@@ -153,11 +153,23 @@ def robust_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("scale", F.round("scale", 4))
 
 
-@query()
+@query(
+    f"""WITH {SIDES}, clusters AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT source AS c FROM sided)),
+draws AS (SELECT b AS replicate, CAST(('0x' || substr(sha256('mixture' || chr(0) || b || chr(0) || place), 1, 12)) AS BIGINT) % n AS place FROM clusters, (SELECT unnest(range(2000)) AS b)),
+copies AS (SELECT replicate, c, count(*) AS copies FROM draws JOIN clusters USING (place) GROUP BY replicate, c),
+per AS (SELECT source, least(19, floor(score * 20)) AS bin, count(*) FILTER (side = 'agent') AS a, count(*) FILTER (side = 'human') AS h, count(*) FILTER (side = 'target') AS t FROM sided GROUP BY 1, 2),
+d AS (SELECT replicate, bin, sum(a * copies) AS a, sum(h * copies) AS h, sum(t * copies) AS t FROM per JOIN copies ON source = c GROUP BY 1, 2),
+f AS (SELECT r.replicate, b.bin, coalesce(a, 0) AS a, coalesce(h, 0) AS h, coalesce(t, 0) AS t FROM (SELECT DISTINCT replicate FROM copies) r CROSS JOIN (SELECT unnest(range(20)) AS bin) b LEFT JOIN d ON d.replicate = r.replicate AND d.bin = b.bin),
+p AS (SELECT replicate, t, (a + 0.5) / (sum(a) OVER (PARTITION BY replicate) + 10) AS a, (h + 0.5) / (sum(h) OVER (PARTITION BY replicate) + 10) AS h FROM f),
+g AS (SELECT replicate, i / 100.0::DOUBLE AS s, round(sum(t * ln(i / 100.0::DOUBLE * a + (1 - i / 100.0::DOUBLE) * h)), 9) AS ll FROM p, (SELECT unnest(range(101)) AS i) GROUP BY 1, 2),
+m AS (SELECT replicate, arg_max(s, (ll, -s)) AS s FROM g GROUP BY replicate)
+SELECT round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.975), 6) AS high, count(*) AS replicates FROM m"""
+)
 def mixture_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval of the mixture share over 20 resamples of the sources."""
+    """Interval of the mixture share over 2,000 resamples of the sources."""
     from sedimenta.operators.survival import cluster_draws
 
     rows = sided(spark, sf_dir)
-    draws = cluster_draws(rows, cluster="source", replicates=20, seed="mixture")
-    return K.mixture_interval(rows, draws, group="source", side="side", score="score", weight="weight")
+    draws = cluster_draws(rows, cluster="source", replicates=2000, seed="mixture")
+    out = K.mixture_interval(rows, draws, group="source", side="side", score="score", weight="weight")
+    return out.select(r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"), "replicates")

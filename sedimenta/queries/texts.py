@@ -10,6 +10,7 @@ from sedimenta.functions import paths as A
 from sedimenta.functions import style as Y
 from sedimenta.functions import text as T
 from sedimenta.functions.hashing import nul_digest
+from sedimenta.plans.scratch import materialize
 from sedimenta.queries import query, r6, table
 
 
@@ -91,12 +92,34 @@ def url_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", A.extension(url).alias("extension"), A.code_kind(url).alias("kind"), A.path_class(url).alias("path_class"))
 
 
-@query()
+MESSAGES = r"""x AS (SELECT doc_id, source, replace(text, chr(13) || chr(10), chr(10)) AS m FROM documents),
+x1 AS (SELECT doc_id, source, regexp_replace(m, '(?im)^(?:co-authored-by|coauthored-by|generated-by|assisted-by|ai-generated-by|ai-assisted-by|signed-off-by):[^\n]*(?:\n|$)', '', 'g') AS m FROM x),
+x2 AS (SELECT doc_id, source, regexp_replace(m, '(?i)\b(?:claude(?:\s+(?:code|opus|sonnet|haiku))?|chatgpt|codex|github\s+copilot|copilot|cursor|devin|gemini|openai|anthropic)\b', '', 'g') AS m FROM x1),
+x3 AS (SELECT doc_id, source, regexp_replace(regexp_replace(m, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b', '', 'g'), 'https?://\S+', '', 'g') AS m FROM x2),
+x4 AS (SELECT doc_id, source, regexp_replace(regexp_replace(m, '(^|[^\p{L}\p{N}_])@[A-Za-z0-9_-]+', '\1', 'g'), '(^|[^\p{L}\p{N}_])#\d+\b', '\1', 'g') AS m FROM x3),
+x5 AS (SELECT doc_id, source, regexp_replace(regexp_replace(regexp_replace(m, '(?i)(^|[^\p{L}\p{N}_])[0-9a-f]{7,40}([^\p{L}\p{N}_]|$)', '\1\2', 'g'), '(?i)(^|[^\p{L}\p{N}_])[0-9a-f]{7,40}([^\p{L}\p{N}_]|$)', '\1\2', 'g'), '(?m)[^\S\n]+$', '', 'g') AS m FROM x4),
+x6 AS (SELECT doc_id, source, regexp_replace(regexp_replace(m, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS m FROM x5),
+b AS (SELECT doc_id, source, m, regexp_replace(m, '^[^\n]*\n*', '') AS b FROM x6),
+l AS (SELECT *, list_filter(string_split(b, chr(10)), lambda z: regexp_matches(z, '\S')) AS ls FROM b),
+p AS (SELECT *, list_filter(ls, lambda z: NOT regexp_matches(z, '^\s*(?:[-*+]|\d+[.)])\s+\S')) AS prose FROM l),
+f AS (SELECT doc_id, source, m, len(regexp_extract_all(b, '[\p{L}\p{N}_''-]*[\p{L}\p{N}_][\p{L}\p{N}_''-]*')) AS body_words, len(ls) AS body_lines, len(ls) - len(prose) AS bullets, len(regexp_extract_all(b, '[.!?]["'')\]]*(?:\s|$)')) AS sentences,
+  len(list_filter(string_split(b, chr(10) || chr(10)), lambda z: regexp_matches(z, '\S'))) AS parts, CASE WHEN len(prose) > 0 THEN len(list_filter(prose, lambda z: regexp_matches(z, '[.!?]["'')\]]*\s*$'))) / len(prose) ELSE 0 END AS rate,
+  regexp_matches(b, '(?i)\b(?:(?:ran|run|running|passes?|passed|passing|green|verified?|validated?)(?:\s+\w+){0,5}\s+(?:tests?|checks?|pytest|go\s+test|cargo\s+test|lint(?:er|ing)?|type[- ]?checks?|build)|(?:tests?|checks?|pytest|go\s+test|cargo\s+test|lint(?:er|ing)?|type[- ]?checks?|build)(?:\s+\w+){0,5}\s+(?:ran|run|passes?|passed|passing|green|succeeded|completed|verified?))\b') AS validation FROM p),
+q AS (SELECT source, count(*) AS n, list_sort(list(body_words)) AS w, list_sort(list(parts + bullets + sentences)) AS s FROM f WHERE m <> '' GROUP BY source),
+g AS (SELECT f.*, CASE WHEN n >= 30 THEN w[CAST(ceil(0.9 * n) AS INTEGER)] END AS w90, CASE WHEN n >= 30 THEN s[CAST(ceil(0.9 * n) AS INTEGER)] END AS s90 FROM f LEFT JOIN q ON f.source = q.source),
+h AS (SELECT *, list_filter([CASE WHEN body_words >= 80 THEN 'verbose_body' END, CASE WHEN body_lines >= 4 AND parts >= 2 THEN 'structured_body' END, CASE WHEN bullets >= 3 THEN 'enumerated_detail' END, CASE WHEN sentences >= 4 AND rate >= 0.5 THEN 'sentence_form' END,
+  CASE WHEN validation THEN 'explicit_validation' END, CASE WHEN body_words > w90 THEN 'local_length_outlier' END, CASE WHEN parts + bullets + sentences > s90 THEN 'local_structure_outlier' END], lambda z: z IS NOT NULL) AS sig FROM g)"""
+
+
+@query(
+    f"""WITH {MESSAGES} SELECT doc_id, sha256(m) AS message_sha256, body_words, body_lines, bullets, sentences, CASE WHEN m IS NOT NULL THEN len(sig) ELSE 0 END AS score, array_to_string(sig, ',') AS signals, len(sig) >= 3 AS at_3, len(sig) >= 4 AS at_4, len(sig) >= 5 AS at_5 FROM h"""
+)
 def message_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point score of every document read as a message, with the baselines of its source."""
-    docs = M.with_style(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text").drop("text")
+    # written once, as the texts would be read again for the baselines
+    docs = materialize(M.with_style(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text").drop("text"))
     scored = M.classified(docs.join(M.baselines(docs, by="source"), "source", "left"))
-    return scored.select("doc_id", "body_words", "body_lines", "bullets", "sentences", "score", F.array_join("signals", ",").alias("signals"), "at_3", "at_4", "at_5")
+    return scored.select("doc_id", "message_sha256", "body_words", "body_lines", "bullets", "sentences", "score", F.array_join("signals", ",").alias("signals"), "at_3", "at_4", "at_5")
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sedimenta.functions.paths import is_skipped
+from sedimenta.functions.paths import language as language_of
+
 
 def json_lines(spark: SparkSession, path: str, schema: StructType | str, *, strict: bool = True) -> DataFrame:
     """JSON lines under a declared schema; the plain file wins over ``.gz``; a missing file gives an empty frame."""
@@ -57,6 +61,8 @@ def renamed_to(path):
     return F.regexp_replace(braces, r"^.* => ", "")
 
 
+#: The first row of a line in blame output.
+HEAD = re.compile(r"^[0-9a-f]{40} \d+ \d+")
 _CHANGE = "old_path string, path string, hunk int, kind string, old_line int, new_line int, text string"
 
 
@@ -106,6 +112,41 @@ def added_lines(patches: DataFrame, *, keys: list[str], text: str) -> DataFrame:
     return rows.select(*keys, "path", "new_line", "text", F.sha2(F.col("text").cast("binary"), 256).alias("content_sha256"))
 
 
+def blame_lines(files: DataFrame, *, keys: list[str], text: str) -> DataFrame:
+    """``(keys, line, commit, text)`` of blame output in the porcelain form that heads every line."""
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in files.select(*keys).schema], "line int, commit string, text string"])
+
+    def parse(blame: str | None) -> Iterator[tuple]:
+        commit, number = "", 0
+        for row in (blame or "").split("\n"):
+            if row.startswith("\t"):
+                yield number, commit, row[1:]
+            elif HEAD.match(row):
+                commit, _, place = row.split(" ")[:3]
+                number = int(place)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [[*key, *line] for *key, blame in batch[[*keys, text]].itertuples(index=False) for line in parse(blame)]
+            yield pd.DataFrame(rows, columns=[*keys, "line", "commit", "text"]).astype({"line": "int32"})
+
+    return files.select(*keys, text).mapInPandas(run, schema)
+
+
+def name_status(diffs: DataFrame, *, keys: list[str], text: str) -> DataFrame:
+    """``(keys, status, old_path, path)`` of name-status lists; a rename or copy has both paths, with or without changed lines."""
+    lines = diffs.select(*keys, F.explode(F.split(text, "\n")).alias("line")).filter(F.col("line").rlike(r"^[ACDMRT]\d*\t"))
+    p = F.split("line", "\t")
+    return lines.select(*keys, F.substring(p[0], 1, 1).alias("status"), p[1].alias("old_path"), F.coalesce(F.get(p, F.lit(2)), p[1]).alias("path"))
+
+
+def kept_history(counts: DataFrame, *, key: str, language: str) -> DataFrame:
+    """Numstat rows in one language, vendored paths and commits without changed lines left out."""
+    own = counts.filter((language_of(F.col("path")) == language) & ~is_skipped(F.lower("path")))
+    total = own.groupBy(key).agg(F.sum(F.coalesce("added", F.lit(0)) + F.coalesce("deleted", F.lit(0))).alias("__n")).filter("__n > 0")
+    return own.join(total.select(key), key, "left_semi")
+
+
 def blame_hunks(lines: DataFrame, *, keys: list[str]) -> DataFrame:
     """Runs of consecutive lines of one commit, from ``(keys, line, commit)``."""
     from sedimenta.operators.sequence import islands
