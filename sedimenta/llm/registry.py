@@ -18,10 +18,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its source's target and the words that the mix takes from it."""
+    """Every document with its source's target and the words that the mix takes from it; odds grow with the logarithm of the words."""
     sized = materialize(documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("words")))
-    plan = mixing.mix_plan(sized, size=F.col("words"))
-    mixed = mixing.pareto_mix(sized, plan, size=F.col("words"))
+    how = {"size": F.col("words"), "weight": F.log1p(F.col("words"))}
+    mixed = mixing.pareto_mix(sized, mixing.mix_plan(sized, **how), **how)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

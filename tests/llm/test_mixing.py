@@ -47,3 +47,38 @@ def test_null_empty_repeated_and_clashing_rows(spark):
     out = mixed(docs).collect()
     assert len(out) == 5 and all(r.copies is not None for r in out)
     assert mixed(docs.limit(0)).count() == 0
+
+
+def taken(docs, **kw):
+    out = mixed(docs, **kw).groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("n")).collect()
+    return {r.source: (r.t, r.n) for r in out}
+
+
+def test_rows_without_ids_and_equal_rows_reach_the_target(spark):
+    rows = [(None, "w " * 10, "a", k) for k in range(100)] + [(k, "w " * 10, "b", k) for k in range(100)] + [(7, "same row " * 5, "c", 0)] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, k int")
+    for t, n in taken(docs).values():
+        assert abs(t - n) <= 10
+    assert taken(docs) == taken(docs.repartition(5))
+
+
+def test_rows_at_the_limit_leave_their_rest_to_the_others(spark):
+    rows = [(i, "w " * 10, "s", 100.0 if i < 20 else 1.0) for i in range(100)] + [(500 + i, "w " * 20, "t", 1.0) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, w double")
+    got = mixed(docs, weight=F.col("w"))
+    for t, n in taken(docs, weight=F.col("w")).values():
+        assert abs(t - n) <= 20
+    assert {r.copies for r in got.filter("source = 's' and w = 100").collect()} == {3}
+
+
+def test_inclusion_follows_unequal_odds(spark):
+    rows = [(i, "x", "s", float(1 + i % 4)) for i in range(4000)] + [(9000 + i, "y", "t", 1.0) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, w double")
+    mean = {r.w: r.c for r in mixed(docs, weight=F.col("w")).filter("source = 's'").groupBy("w").agg(F.avg("copies").alias("c")).collect()}
+    assert all(abs(mean[w] / mean[4.0] - w / 4) < 0.06 for w in mean)
+
+
+def test_columns_of_the_same_names_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, "w " * 50_000, "a", 1, 2), (2, "w", "a", 1, 2)], "doc_id long, text string, source string, words int, Rank int")
+    got = mixed(docs)
+    assert got.columns == ["doc_id", "text", "source", "words", "Rank", "size", "source_size", "target", "copies"] and got.count() == 2
