@@ -10,7 +10,7 @@ itself removed does not matter, so the result does not depend on the order of wo
 Only DataFrame functions are used:
 
 1.  Each line gets the hash of its words and its first ``n - ceil(0.75 n) + 1``
-    tokens in the order of their first two words' hashes.  Similar lines meet in one of these, whatever
+    tokens in the order of hashes.  Similar lines meet in one of these, whatever
     the common order, so contents that meet no other one there are done; they are
     most.  The first line of each content stands for it.
 2.  The few lines left are tokenized again and keep all their tokens.
@@ -51,28 +51,6 @@ def _tokens(lines: DataFrame, words: int, *own: str) -> DataFrame:
     return one.select(*own, F.sort_array(F.array_distinct(hashes)).alias("toks"))
 
 
-def _first_tokens(lines: DataFrame, words: int, percent: int, *own: str) -> DataFrame:
-    """``own`` columns and ``low``: the tokens whose order key is among the ``m - need(m) + 1`` smallest of a line of ``m`` runs.
-
-    A token's key is made of the hashes of its first two words, so only the tokens
-    below the cut are hashed.  The key is a function of the token, tokens of equal
-    key are taken together, and ``m`` is at least the number of distinct tokens, so
-    the first tokens under the order of keys are all there.
-    """
-    one = lines.select(*own, F.transform("ws", lambda w: F.xxhash64(w)).alias("one"))
-    m = F.size("one") - (words - 1)
-    high = F.lit(-(1 << 32))
-    starts = F.slice("one", F.lit(1), F.greatest(m, F.lit(0)))
-    keyed = one.select(*own, "one", F.transform(starts, lambda h, i: h.bitwiseAND(high).bitwiseOR(F.shiftrightunsigned(F.get(F.col("one"), i + 1), 32))).alias("keys"))
-    distinct = F.sort_array(F.array_distinct("keys"))
-    cut = keyed.select(*own, "one", "keys", distinct.alias("sorted")).select(
-        *own, "one", "keys", F.get(F.col("sorted"), F.least(F.size("keys") - _need(F.size("keys"), percent) + 1, F.size("sorted")) - 1).alias("cut")
-    )
-    below = F.filter(F.sequence(F.lit(0), F.size("keys") - 1), lambda i: F.get(F.col("keys"), i) <= F.col("cut"))
-    low = F.transform(below, lambda i: F.xxhash64(*[F.get(F.col("one"), i + k) for k in range(words)]))
-    return cut.select(*own, F.when(F.size("keys") > 0, F.array_distinct(low)).otherwise(F.array().cast("array<bigint>")).alias("low"))
-
-
 def _need(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100).cast("int")
 
@@ -122,7 +100,8 @@ def repeated_lines(
     long = F.length(F.btrim("line", F.lit(AROUND))) >= least_chars
     ws = split.select("id", "text_hash", "line_no", long.alias("long"), _words(F.col("line")).alias("ws")).filter(F.col("long") | (F.size("ws") >= words))
     hashed = ws.select("id", "text_hash", "line_no", F.xxhash64("ws").alias("h1"), F.xxhash64(F.lit(1), "ws").alias("h2"), "ws")
-    lines = materialize(_first_tokens(hashed, words, percent, *own))
+    n = F.size("toks")
+    lines = materialize(_tokens(hashed, words, *own).select(*own, F.slice("toks", F.lit(1), n - _need(n, percent) + 1).alias("low")))
     firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(_position()).alias("pos")))
     later = materialize(lines.select(*own).join(firsts, ["h1", "h2"]).filter(_position() != F.col("pos")).select("id", "text_hash", "line_no"))
     release(spark)
@@ -154,11 +133,14 @@ def repeated_lines(
     few = met.filter(F.col("df") <= frequent)
     pairs = few.join(first_round, "line", "left_anti").alias("x").join(few.alias("y"), (F.col("x.tok") == F.col("y.tok")) & _possible("x", "y", percent))
     rare = materialize(_similar(left, pairs.select(F.col("x.line").alias("line"), F.col("y.line").alias("other")).distinct(), percent).union(first_round))
+    release(spark)
 
     # 5. and in frequent ones after the lines that hold these are ranked by rarity
     many = met.filter(F.col("df") > frequent)
     asked = many.join(rare, "line", "left_anti").select("tok").distinct()
     crowded = materialize(left.join(many.join(asked, "tok", "left_semi").select("line").distinct(), "line", "left_semi"))
+    discard(hits)
+    release(spark)
     each = crowded.select("line", F.explode("toks").alias("tok"))
     rarity = each.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
     by = each.join(rarity, "tok").groupBy("line").agg(F.sort_array(F.collect_set(F.struct("df", "tok"))).alias("by"))
@@ -169,12 +151,13 @@ def repeated_lines(
     prefix = materialize(placed.select("line", "pos", "n", "alone", (F.col("alone") + F.col("i") + 1).alias("at"), F.col("t.tok").alias("tok")))
     release(spark)
     second = materialize(_similar(left, _named(prefix.join(rare, "line", "left_anti"), prefix, percent), percent).union(rare))
+    release(spark)
     pairs = prefix.join(second, "line", "left_anti").alias("x").join(prefix.alias("y"), (F.col("x.tok") == F.col("y.tok")) & _possible("x", "y", percent))
     near = second.union(_similar(left, pairs.select(F.col("x.line").alias("line"), F.col("y.line").alias("other")).distinct(), percent)).distinct()
 
     gone = left.join(near, "line", "left_semi").select("pos.id", "pos.text_hash", "pos.line_no")
     out = materialize(later.unionByName(gone).groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("lines")))
-    discard(later, hits, left, met, first_round, rare, crowded, prefix, second)
+    discard(later, left, met, first_round, rare, crowded, prefix, second)
     release(spark)
     return out
 

@@ -161,7 +161,7 @@ def mix_plan(
         .withColumn("cut", F.coalesce("cut", F.lit(-1.0)))
         .select(_SRC, "source_size", "n_docs", "weighted", "target", "scale", "cut", zero("at_cut"), zero("tied"), F.coalesce("cut2", F.lit(-1.0)).alias("cut2"), F.coalesce("whole2", F.lit(False)).alias("whole2"))
     )
-    discard(rows, plan, need, first, again, refill)
+    discard(rows, need, first, again, refill)
     return out
 
 
