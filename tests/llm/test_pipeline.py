@@ -39,3 +39,27 @@ def test_run_and_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
         assert docs.count() == 0
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, rows int, score double, lang_pred string, n_lines int, size int, Target int, copies int, own_size int, once long, stay long, row_key long, first_row int"
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    words = "the cat of and in to was on that for with from".split()
+    text = lambda k: " ".join(words[(k * 7 + j) % 12] + str((k * 31 + j) % 97) for j in range(30))
+    rows = [(i, text(i), "en", f"s{i % 2}", 5, 1, 2.0, "own", 3, 4, 5, 6, 7, 8, 9, 10, 11) for i in range(20)]
+    docs = spark.createDataFrame(rows, CLASHING)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == [c.split()[0] for c in CLASHING.split(", ")]
+        values = docs.select(*docs.columns[5:]).distinct().collect()
+        assert [tuple(r) for r in values] == [rows[0][5:]]
+
+
+def test_different_texts_of_one_id_stay_and_long_texts_pass(spark):
+    long = " ".join(f"w{i}" for i in range(100_000))
+    rows = [(1, long, "en", "s", 1), (1, "quite another text than that of the long one", "en", "s", 1), (2, long + " end", "en", "s", 1), (None, "no id but a text of some words here", "en", "s", 1), (3, "alone " * 8, "en", "s", 1), (3, "alone " * 8, "en", "s", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for d in (docs, docs.repartition(4)):
+        got = sorted(((r.doc_id, len(r.text), r.n_chars) for r in corpus_pipeline.near_duplicates(spark, d, "").collect()), key=str)
+        assert got == sorted([(2, len(long) + 4, 1), (1, 44, 1), (None, 35, 1), (3, 48, 1)], key=str)
