@@ -210,16 +210,20 @@ def near_components(
     discard(signed, reps, first)
     release(spark)
 
-    # 4. open each group
-    def open_unit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("rep").sort_values("n")
-        found = links(rows["n"].to_numpy(), [t.astype(np.int64) for t in rows["toks"]], percent)
-        ids = rows["rep"].to_numpy()
-        return pd.DataFrame([(ids[a], ids[b]) for a, b in found], columns=["a", "b"], dtype="int64")
+    # 4. open each group, several small ones in a frame
+    def open_units(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, rows in frame.groupby(["grp", "unit"]):
+            rows = rows.drop_duplicates("rep").sort_values("n")
+            ids = rows["rep"].to_numpy()
+            out += [(ids[a], ids[b]) for a, b in links(rows["n"].to_numpy(), [t.astype(np.int64) for t in rows["toks"]], percent)]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     several = nodes.filter("size > 1")
     leaders = several.filter("units > 1 and rep = grp").withColumn("unit", F.explode(F.sequence(F.lit(0), F.col("units") - 1)))
-    edges = materialize(several.unionByName(leaders).select("grp", "unit", "rep", "n", "toks").groupBy("grp", "unit").applyInPandas(open_unit, "a long, b long"))
+    packs = -(-several.count() // (4 * unit_rows)) or 1
+    pack = F.pmod(F.xxhash64("grp", "unit"), F.lit(packs))
+    edges = materialize(several.unionByName(leaders).select("grp", "unit", "rep", "n", "toks").groupBy(pack).applyInPandas(open_units, "a long, b long"))
     inner = components(edges)
     discard(edges)
     release(spark)
@@ -263,22 +267,31 @@ def _cross(rows: DataFrame, placed: DataFrame, percent: int, unit_rows: int, *,
     matrix = materialize(at.select("home", "part", F.explode("toks").alias("tok")).distinct())
     held = matrix.groupBy("tok").agg(F.min("home").alias("lo"), F.max("home").alias("hi"), F.count("*").alias("parts")).filter("lo <> hi").select("tok", "parts")
 
+    # several homes share a task's frame, as each frame has a cost of its own; a home's part is in one of them
+    packs = -(-at.count() // (4 * unit_rows)) or 1
+    pack = F.pmod(F.xxhash64("home", "part"), F.lit(packs)).alias("pack")
+
     def able(frame: pd.DataFrame, cross: pd.DataFrame) -> pd.DataFrame:
         """Rows with enough tokens that other homes hold, those tokens rarest first, and how many of them come first."""
-        tok, held_by = cross["tok"].to_numpy(np.int64), cross["parts"].to_numpy(np.int64)
-        order = np.argsort(tok)
-        tok, held_by = tok[order], held_by[order]
+        cross = cross.sort_values("tok")
+        toks, held_by = cross["tok"].to_numpy(np.int64), cross["parts"].to_numpy(np.int64)
+        at_home = cross.groupby(["home", "part"]).indices
+        reps, sizes, sets = frame["rep"].to_numpy(), frame["n"].to_numpy(), frame["toks"].to_numpy()
         kept: list[tuple] = []
-        for home, part, rep, n, toks in frame[["home", "part", "rep", "n", "toks"]].itertuples(index=False):
-            own = toks[_held(toks, tok)]
-            if len(own) >= need(n, percent) and len(own):
-                by = held_by[np.searchsorted(tok, own)]
-                kept.append((home, part, rep, n, own[np.lexsort((own, by))], len(own) - need(n, percent) + 1))
+        for (home, part), members in frame.groupby(["home", "part"]).indices.items():
+            if (home, part) not in at_home:
+                continue
+            own_at = at_home[home, part]
+            tok, by = toks[own_at], held_by[own_at]
+            for i in members:
+                own = sets[i][_held(sets[i], tok)]
+                if len(own) and len(own) >= (least := need(sizes[i], percent)):
+                    kept.append((home, part, reps[i], sizes[i], own[np.lexsort((own, by[np.searchsorted(tok, own)]))], len(own) - least + 1))
         return pd.DataFrame(kept, columns=["home", "part", "rep", "n", "toks", "first"])
 
     key = ["home", "part"]
-    cross = matrix.join(held, "tok")
-    kept = materialize(at.groupBy(*key).cogroup(cross.groupBy(*key)).applyInPandas(able, "home long, part int, rep long, n long, toks array<long>, first int"))
+    cross = matrix.join(held, "tok").select("*", pack)
+    kept = materialize(at.select("*", pack).groupBy("pack").cogroup(cross.groupBy("pack")).applyInPandas(able, "home long, part int, rep long, n long, toks array<long>, first int"))
     discard(at, matrix)
 
     first = kept.select(*key, "n", F.explode(F.slice("toks", F.lit(1), F.col("first"))).alias("tok"))
@@ -292,13 +305,16 @@ def _cross(rows: DataFrame, placed: DataFrame, percent: int, unit_rows: int, *,
     def ask(frame: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
         """Each row once for every part that holds one of its first tokens."""
         out = []
-        for (home2, part2), some in met.groupby(["home2", "part2"]):
+        toks, firsts = frame["toks"].to_numpy(), frame["first"].to_numpy()
+        members = frame.groupby(["home", "part"]).indices
+        for (home, part, home2, part2), some in met.groupby(["home", "part", "home2", "part2"]):
             tok = np.sort(some["tok"].to_numpy(np.int64))
-            asks = [bool(_held(t[:k], tok).any()) for t, k in zip(frame["toks"], frame["first"], strict=True)]
-            out.append(frame.loc[asks, ["rep", "n", "toks"]].assign(home2=home2, part2=part2))
+            asks = [i for i in members[home, part] if _held(toks[i][: firsts[i]], tok).any()]
+            out.append(frame.iloc[asks][["rep", "n", "toks"]].assign(home2=home2, part2=part2))
         return pd.concat(out) if out else frame.iloc[:0][["rep", "n", "toks"]].assign(home2=0, part2=0)
 
-    asked = materialize(kept.groupBy(*key).cogroup(pairs.groupBy(*key)).applyInPandas(ask, "rep long, n long, toks array<long>, home2 long, part2 int"))
+    asked = kept.select("*", pack).groupBy("pack").cogroup(pairs.select("*", pack).groupBy("pack")).applyInPandas(ask, "rep long, n long, toks array<long>, home2 long, part2 int")
+    asked = materialize(asked)
     opened = asked.groupBy("home2", "part2").agg(F.ceil(F.count("*") / (4 * unit_rows)).cast("int").alias("chunks"))
     columns = ["home2", "part2", "chunk", "side", "rep", "n", "toks"]
     mine = asked.join(opened, ["home2", "part2"]).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int")).withColumn("side", F.lit(0))
