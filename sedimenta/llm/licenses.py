@@ -5,9 +5,11 @@ A multinomial logistic regression on the presence of word 1-grams and 2-grams
 names a licence family or ``unknown``.  It is trained on windows of the template
 paragraphs below and, for ``unknown``, on a bounded sample of the corpus: the
 lines of ``negative_docs`` documents of lowest id hash, at most ``negative_lines``
-of them, without those that repeat much of a template.  A third of the training
-rows is kept out to choose the temperature that makes the probabilities, that of
-``unknown`` among them, fit best.
+of them, without those that repeat much of a template.  Calibration: a first fit
+leaves out whole paragraphs (every third of a family) and whole documents (a third, by
+hash), so that no window of what is held out was trained on; the temperature that fits
+the probabilities of these rows best, those of ``unknown`` among them, is kept for the
+fit on all rows.
 
 A prediction is confirmed when the share of the paragraph's word 2-grams that
 occur in one template of that family is at least ``confirm``.
@@ -111,6 +113,7 @@ class Scanner:
     bias: np.ndarray
     temperature: float
     templates: list[list[np.ndarray]]
+    reliability: tuple[float, float] = (0.0, 0.0)
 
     def features(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """``(line, feature)`` once for each feature of a line, and ``(line, 2-gram)`` of each place; unknown 2-grams are -1."""
@@ -178,28 +181,48 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ne
         _, feature, _, pair = scanner.features(text)
         return label, feature.tolist(), float((pair >= 0).mean()) if len(pair) else 0.0
 
-    rows = [row(families.index(f), " ".join(w)) for f, p in paragraphs for w in _windows(p)]
+    place: dict[str, int] = {}
+    rows, held = [], []
+    for f, p in paragraphs:
+        place[f] = place.get(f, -1) + 1
+        windows = [row(families.index(f), " ".join(w)) for w in _windows(p)]
+        rows += windows
+        held += [place[f] % 3 == 2] * len(windows)
     # a share of about four times what is wanted is cut first, so that no task sends more to the sort than it must
     key = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
     most = min(1.0, 4 * negative_docs / max(1, docs.count())) * (1 << 40)
     drawn = docs.filter(F.col(text_col).isNotNull() & (key < most)).select(id_col, text_col).orderBy(key, id_col).limit(negative_docs)
-    lines = drawn.select(F.explode(F.split(text_col, "\n")).alias("line")).filter(F.length("line") > 0).limit(negative_lines).collect()  # bounded by negative_lines
-    rows += [r for x in lines if (r := row(0, x.line))[2] < 0.5]
+    lines = drawn.select(F.explode(F.split(text_col, "\n")).alias("line"), (F.pmod(F.xxhash64(text_col), F.lit(3)) == 0).alias("out")).filter(F.length("line") > 0).limit(negative_lines).collect()  # bounded by negative_lines
+    for x in lines:
+        if (r := row(0, x.line))[2] < 0.5:
+            rows.append(r)
+            held.append(x.out)
     # single words say nothing: a family needs its 2-grams
-    rows += [(0, [i], 0.0) for i in range(len(words))] + [(0, [], 0.0)] * 20
-    kept, held = [r for i, r in enumerate(rows) if i % 3], rows[::3]
-    frame = spark.createDataFrame([(float(y), Vectors.sparse(n, {i: 1.0 for i in f})) for y, f, _ in kept], ["label", "features"])
-    fitted = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60, standardization=False).fit(frame)
-    scanner.weights = fitted.coefficientMatrix.toArray().T.copy()
-    scanner.bias = fitted.interceptVector.toArray()
-    scores = np.array([scanner.weights[f].sum(axis=0) + scanner.bias for _, f, _ in held])
-    truth = np.array([y for y, _, _ in held])
+    single = [(0, [i], 0.0) for i in range(len(words))] + [(0, [], 0.0)] * 20
+    rows += single
+    held += [False] * len(single)
+
+    def fit(some: list[tuple[int, list[int], float]]) -> tuple[np.ndarray, np.ndarray]:
+        frame = spark.createDataFrame([(float(y), Vectors.sparse(n, {i: 1.0 for i in f})) for y, f, _ in some], ["label", "features"])
+        fitted = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60, standardization=False).fit(frame)
+        return fitted.coefficientMatrix.toArray().T.copy(), fitted.interceptVector.toArray()
+
+    weights, bias = fit([r for r, h in zip(rows, held, strict=True) if not h])
+    test = [r for r, h in zip(rows, held, strict=True) if h]
+    scores = np.array([weights[f].sum(axis=0) + bias for _, f, _ in test])
+    truth = np.array([y for y, _, _ in test])
 
     def loss(t: float) -> float:
         z = scores / t
         return float((np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)) + z.max(axis=1) - z[np.arange(len(z)), truth]).mean())
 
-    scanner.temperature = min((0.25 * 1.2**i for i in range(16)), key=loss)
+    scanner.temperature = min((0.25 * 1.2**i for i in range(24)), key=loss)
+    z = scores / scanner.temperature
+    sure = np.exp(z - z.max(axis=1, keepdims=True))
+    sure /= sure.sum(axis=1, keepdims=True)
+    #: Held-out reliability: mean probability of the predicted class, and how often it was right.
+    scanner.reliability = (float(sure.max(axis=1).mean()), float((sure.argmax(axis=1) == truth).mean()))
+    scanner.weights, scanner.bias = fit(rows)
     return scanner
 
 

@@ -13,10 +13,14 @@ does not reach before its document's first word.  The counts grow with the input
 and are never gathered in one place; a frequent n-gram costs one entry a block of
 documents.
 
+A key is the hash of its n-gram, cut to 48 bits and one more for each doubling of
+the number of slices; with about a million keys a slice, one n-gram in a million or
+so meets another one's count.
+
 Defined results: null and empty texts have 0 words and score 0; if no other
 document has words, N counts as 1; documents repeated word for word count for
-each other; other columns of the input are ignored; an empty table gives an
-empty result.
+each other; rows without an id and repeated ids are scored row by row;
+other columns of the input are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -64,7 +68,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     blocks, slice_bits = exchange.planned(rows, "text", BLOCK_BYTES)
     bits = min(64, 48 + slice_bits - 8)
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
 
     def real(keys: list[np.ndarray], within: np.ndarray) -> np.ndarray:
         return np.concatenate([keys[0], *[k[within >= n - 1] for n, k in enumerate(keys) if n]])
@@ -107,3 +111,18 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     sent = placed.groupBy("block").applyInPandas(emit, exchange.SENT)
     back = exchange.totals(sent, bits, slice_bits)
     return placed.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(judge, _SCORED)
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, ws[i] AS g1, CASE WHEN i > 1 THEN ws[i - 1] || ' ' || ws[i] END AS g2, CASE WHEN i > 2 THEN ws[i - 2] || ' ' || ws[i - 1] || ' ' || ws[i] END AS g3
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+f AS (SELECT doc_id, i, count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS f0, count(*) OVER (PARTITION BY g1) - count(*) OVER (PARTITION BY doc_id, g1) AS f1,
+  CASE WHEN i > 1 THEN count(*) OVER (PARTITION BY g2) - count(*) OVER (PARTITION BY doc_id, g2) ELSE 0 END AS f2,
+  CASE WHEN i > 2 THEN count(*) OVER (PARTITION BY g3) - count(*) OVER (PARTITION BY doc_id, g3) ELSE 0 END AS f3 FROM g),
+h AS (SELECT *, lag(f1) OVER w AS h1, lag(f2) OVER w AS h2, greatest(f1, 0.5::DOUBLE) / greatest(f0, 1) AS v1 FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+v2 AS (SELECT *, CASE WHEN i < 2 THEN v1 WHEN f2 > 0 THEN f2 / greatest(h1, 1) ELSE 0.4::DOUBLE * v1 END AS v2 FROM h),
+v3 AS (SELECT *, CASE WHEN i < 3 THEN v2 WHEN f3 > 0 THEN f3 / greatest(h2, 1) ELSE 0.4::DOUBLE * v2 END AS v3 FROM v2),
+s AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (CASE WHEN i = 1 THEN f1 WHEN i = 2 THEN f2 ELSE f3 END <= 0) AS n_backoff, sum(ln(v3)) AS log_score FROM v3 GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_backoff, 0) AS n_backoff, round(coalesce(log_score, 0), 6) AS log_score FROM d LEFT JOIN s ON s.doc_id = d.doc_id
+"""

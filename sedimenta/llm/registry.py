@@ -84,7 +84,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trigram stupid-backoff score of every whole document against all others."""
     scored = lm.score(documents(spark, sf_dir).select("doc_id", "text"), order=3)
-    return scored.withColumnRenamed("id", "doc_id")
+    return scored.withColumnRenamed("id", "doc_id").withColumn("log_score", F.round("log_score", 6))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -108,4 +108,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_near_components": jaccard.ORACLE,
         "op6_line_dedup": linededup.ORACLE,
         "op8_top_products": topk.ORACLE,
+        "op10_lm_scores": lm.ORACLE,
     }

@@ -3,7 +3,7 @@
 Rows are dealt to cells, the nearest of a few centres taken from a bounded
 sample, and a cell of more than ``part_rows`` rows is split by a hash of the id.
 Queries go in blocks of about ``block_queries`` to every part that may hold one
-of their k best.  In a task both sides get a cover tree: each node has a centre,
+of their k best, and a part goes only to blocks with such a query.  In a task both sides get a cover tree: each node has a centre,
 a covering radius and children whose centres are farther apart than the radius
 of the children's level.  Node pairs are visited best bound first; by
 
@@ -202,11 +202,11 @@ def _search_dim(base: DataFrame, asked: DataFrame, dim: int, k: int, cells: int,
         .select("query_id", "vec", "block", "a.floor", F.explode("a.cells").alias("cell"))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(in_cell, F.col("cell")) - 1)))
     )
-    dealt = (
-        placed.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.element_at(in_cell, F.col("cell"))).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        .select(*key, "vec_id", "vec")
-    )
+    aimed = materialize(aimed)
+    # a part goes only to the blocks of which a query aims at it
+    wanted = aimed.select(F.col("cell").alias("__cell"), F.col("part").alias("__part"), F.col("block").alias("__block")).distinct()
+    part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.element_at(in_cell, F.col("cell"))).cast("int")
+    dealt = placed.withColumn("part", part).join(wanted, (F.col("cell") == F.col("__cell")) & (F.col("part") == F.col("__part"))).select("cell", "part", F.col("__block").alias("block"), "vec_id", "vec")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})

@@ -38,3 +38,48 @@ def test_odd_texts_and_columns(spark):
     empty = langid.learn(docs.limit(0))
     assert {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"}
     assert docs.filter(langid.held_out(F.col("doc_id")).isNull()).count() == 0
+
+
+def test_equals_a_plain_count(spark):
+    import math
+    import random
+    import re
+    from collections import Counter
+
+    rng = random.Random(4)
+    letters = {"aa": "abcde", "bb": "cdefg", "cc": "xyzab"}
+    text = lambda lang: " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 12)))
+    train = [(i, text(lang), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 15)]
+    seen: dict = {}
+    for _, t, lang in train:
+        for w in re.findall("[a-z]+", t):
+            seen.setdefault((lang, 0), Counter())[w] += 1
+            for n in range(1, 5):
+                for i in range(len(w) + 3 - n):
+                    seen.setdefault((lang, n), Counter())[f"<{w}>"[i : i + n]] += 1
+
+    def log(lang, n, item):
+        size = len({x for (_, m), c in seen.items() if m == n for x in c})
+        return math.log((seen[lang, n][item] + 0.5) / (sum(seen[lang, n].values()) + 0.5 * max(1, size)))
+
+    def score(t, lang):
+        total = 0.0
+        for w in re.findall("[a-z]+", t):
+            if any(seen[x, 0][w] for x in letters):
+                total += log(lang, 0, w)
+                continue
+            for n in range(4, 0, -1):
+                known = [g for i in range(len(w) + 3 - n) if any(seen[x, n][g := f"<{w}>"[i : i + n]] for x in letters)]
+                if known:
+                    total += sum(log(lang, n, g) for g in known) / len(known)
+                    break
+        return total / math.sqrt(max(1, len(re.findall("[a-z]+", t))))
+
+    tests = [(i, text(rng.choice(list(letters)))) for i in range(60)] + [(99, "qq vv")]
+    df = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    model = langid.learn(df, docs_per_lang=10_000)
+    for r in langid.identify(spark.createDataFrame(tests, "doc_id long, text string"), model).collect():
+        scores = {x: score(r.text, x) for x in sorted(letters)}
+        best = max(scores, key=lambda x: (round(scores[x], 9), [-ord(c) for c in x]))
+        assert r.lang_pred == best, (r.text, scores)
+        assert abs(r.score - 1 / sum(math.exp(v - scores[best]) for v in scores.values())) < 1e-9

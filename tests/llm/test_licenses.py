@@ -31,3 +31,21 @@ def test_odd_texts(spark, scanner):
     got = [(r.id, r.line_no, r.family) for r in licenses.scan(df, scanner).collect() if r.confirmed]
     assert got == [(4, 2, "mit")] * 2
     assert licenses.scan(df.limit(0), licenses.train(df.limit(0))).count() == 0
+
+
+def test_probabilities_are_calibrated_on_held_out_paragraphs_and_documents(scanner):
+    said, right = scanner.reliability
+    assert right > 0.5 and abs(said - right) < 0.15
+
+
+def test_a_very_long_text_and_a_brute_force_overlap(spark, scanner):
+    notice = licenses.TEMPLATES["mit"][0]
+    df = spark.createDataFrame([(1, ("plain words of no licence at all\n" * 20_000) + notice)], "doc_id long, text string")
+    got = [(r.line_no, r.family, r.overlap) for r in licenses.scan(df, scanner).collect() if r.confirmed]
+    assert got == [(20_000, "mit", 1.0)]
+    # the overlap of a line with a template, counted without the scanner's tables
+    line = "the software is provided under the terms of the mit license as released here"
+    words = licenses._words(line)
+    pairs = list(zip(words, words[1:]))
+    best = {f: max(sum(p in set(zip(w, w[1:])) for p in pairs) / len(pairs) for w in map(licenses._words, ps)) for f, ps in licenses.TEMPLATES.items()}
+    assert all(abs(o - best[f]) < 1e-12 for _, f, _, o, _ in scanner.scan(line, 0.6))

@@ -2,7 +2,8 @@ import math
 import random
 from collections import Counter
 
-from sedimenta.llm import lm
+from sedimenta.llm import lm, registry
+from tests import oracle
 
 
 def brute(docs, order):
@@ -44,3 +45,7 @@ def test_empty_single_and_null_id(spark):
     row = lm.score(df).first()
     assert (row.id, row.n_words, row.n_backoff) == (None, 2, 2) and math.isfinite(row.log_score)
     assert lm.score(df.limit(0)).count() == 0
+
+
+def test_query_equals_its_sql(spark):
+    oracle.agree(spark, oracle.connect(), registry.op10_lm_scores, lm.ORACLE)
