@@ -33,4 +33,4 @@ def r6(x: Column) -> Column:
 
 
 def load() -> None:
-    from sedimenta.queries import cohort, estimates, evidence, panel, quantity, rollups, sequence, streams, summary, survival, texts  # noqa: F401
+    from sedimenta.queries import cohort, estimates, evaluation, evidence, panel, quantity, rollups, sequence, streams, summary, survival, texts  # noqa: F401
