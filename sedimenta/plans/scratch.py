@@ -59,7 +59,9 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps.
 
     It does so when the driver has collected the plans that made them, which a
-    driver with memory to spare may put off for long.
+    driver with memory to spare may put off for long.  The plan of the last query
+    is held until another one has run, so an empty one runs first.
     """
+    spark.range(0).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
