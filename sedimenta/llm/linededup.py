@@ -171,11 +171,11 @@ def _named(lines: DataFrame, holders: DataFrame, percent: int) -> DataFrame:
 
 def _similar(left: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The ``line`` of those pairs whose sets are similar enough."""
-    mine = left.select("line", F.col("toks").alias("mine"))
-    theirs = left.select(F.col("line").alias("other"), F.col("toks").alias("theirs"))
-    both = F.size(F.array_intersect("mine", "theirs"))
-    matched = pairs.join(mine, "line").join(theirs, "other").filter(100 * both >= percent * (F.size("mine") + F.size("theirs") - both))
-    return matched.select("line").distinct()
+    # one shuffle of the sets by line serves both sides
+    sets = left.select("line", "toks")
+    both = F.size(F.array_intersect("m.toks", "t.toks"))
+    met = pairs.alias("p").join(sets.alias("m"), F.col("p.line") == F.col("m.line")).join(sets.alias("t"), F.col("p.other") == F.col("t.line"))
+    return met.filter(100 * both >= percent * (F.size("m.toks") + F.size("t.toks") - both)).select(F.col("p.line").alias("line")).distinct()
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int = 5, least_chars: int = 20) -> DataFrame:
