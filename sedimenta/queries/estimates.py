@@ -68,8 +68,8 @@ CRITICAL = "1.959963984540054 + (pow(1.959963984540054, 3) + 1.959963984540054)
 
 
 @query(
-    f"""WITH {EFFECTS}, s AS (SELECT seg, count(*) AS n, avg(effect) AS mean, abs(avg(effect)) / sqrt(var_samp(effect) / count(*)) AS t, count(*) - 1 AS d FROM eff GROUP BY seg)
-SELECT seg, n, round(mean, 4) AS mean, round(t, 6) AS t, round({CRITICAL}, 6) AS critical, t <= {CRITICAL} AS passed FROM s"""
+    f"""WITH {EFFECTS}, s AS (SELECT seg, count(*) AS n, avg(effect) AS mean, abs(avg(effect)) / sqrt(var_samp(effect) / count(*)) AS t, nullif(count(*) - 1, 0) AS d FROM eff GROUP BY seg)
+SELECT seg, n, round(mean, 4) AS mean, round(t, 6) AS t, round({CRITICAL}, 6) AS critical, CASE WHEN n > 1 THEN t <= {CRITICAL} ELSE abs(mean) <= 1e-12 END AS passed FROM s"""
 )
 def mean_zero_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = D.mean_zero_test(contrasts(spark, sf_dir), by=["seg"], value="effect")
