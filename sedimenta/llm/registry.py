@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm import ann, bpe, jaccard, langid, licenses, linededup, lm, mixing, topk
+from sedimenta.llm import ann, bpe, jaccard, langid, licenses, linededup, lm, mixing, packing, topk
 from sedimenta.llm.text import word_count
 from sedimenta.plans.scratch import materialize, small_batches
 
@@ -87,6 +87,13 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumnRenamed("id", "doc_id").withColumn("log_score", F.round("log_score", 6))
 
 
+def op12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every whole document with its place in a sequence of at most 2048 tokens."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack(pieces.withColumnRenamed("id", "doc_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": op1_mix,
@@ -99,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_top_products": op8_top_products,
         "op9_licenses": op9_licenses,
         "op10_lm_scores": op10_lm_scores,
+        "op12_pack": op12_pack,
     }
 
 
