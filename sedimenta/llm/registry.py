@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm import ann, bpe, jaccard, langid, licenses, linededup, lm, mixing, packing, topk
+from sedimenta.llm import ann, bpe, jaccard, langid, licenses, linededup, lm, mixing, negatives, packing, topk
 from sedimenta.llm.text import word_count
 from sedimenta.plans.scratch import materialize, small_batches
 
@@ -87,6 +87,14 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumnRenamed("id", "doc_id").withColumn("log_score", F.round("log_score", 6))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, by each of its 5 positives; one label in seven is shifted."""
+    small_batches(spark, 4096)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(moved, F.col("vec_id") % 50 == 0)
+
+
 def op12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every whole document with its place in a sequence of at most 2048 tokens."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -106,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_top_products": op8_top_products,
         "op9_licenses": op9_licenses,
         "op10_lm_scores": op10_lm_scores,
+        "op11_negatives": op11_negatives,
         "op12_pack": op12_pack,
     }
 
@@ -117,4 +126,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_line_dedup": linededup.ORACLE,
         "op8_top_products": topk.ORACLE,
         "op10_lm_scores": lm.ORACLE,
+        "op11_negatives": negatives.ORACLE,
     }
