@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm import ann, bpe, jaccard, langid, licenses, linededup, lm, mixing, negatives, packing, topk
+from sedimenta.llm import ann, bpe, jaccard, langid, licenses, linededup, lm, mixing, negatives, packing, phrases, topk
 from sedimenta.llm.text import word_count
 from sedimenta.plans.scratch import materialize, small_batches
 
@@ -102,6 +102,11 @@ def op12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.withColumnRenamed("id", "doc_id"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 best phrases of 2 to 5 words that occur at least 100 times."""
+    return phrases.collocations(documents(spark, sf_dir).select("text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": op1_mix,
@@ -116,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_lm_scores": op10_lm_scores,
         "op11_negatives": op11_negatives,
         "op12_pack": op12_pack,
+        "op13_phrases": op13_phrases,
     }
 
 
@@ -127,4 +133,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_top_products": topk.ORACLE,
         "op10_lm_scores": lm.ORACLE,
         "op11_negatives": negatives.ORACLE,
+        "op13_phrases": phrases.ORACLE,
     }
