@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from sedimenta.functions.stats import adjusted_share
 from sedimenta.operators.classify import fit_logit
 from sedimenta.operators.panel import t_critical
-from sedimenta.operators.quantify import rates_at, weighted_auc
+from sedimenta.operators.quantify import rates_at, same_keys, weighted_auc
+from sedimenta.operators.refit import fit_many, own_scores, packed
+from sedimenta.plans.scratch import discard
 
 
 def class_balance(df: DataFrame, label: Column) -> DataFrame:
@@ -20,20 +22,26 @@ def class_balance(df: DataFrame, label: Column) -> DataFrame:
     return df.join(F.broadcast(n)).withColumn("balance", F.try_divide("__n", 2 * F.when(label, F.col("__p")).otherwise(F.col("__n") - F.col("__p")))).drop("__n", "__p")
 
 
+def _numbered(df: DataFrame, column: str, values: list) -> DataFrame:
+    """``column, model``: a number for each of the listed values."""
+    kind = df.schema[column].dataType.simpleString()
+    return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(values)], f"`{column}` {kind}, model int")
+
+
 def left_out_groups(df: DataFrame, *, group: str, groups: list, features: list[str], label: Column, ridge: float = 1.0) -> DataFrame:
     """``group, auc, rows``: each of the listed groups scored by a class-balanced fit on all other rows.
 
-    One fit a listed group, a few aggregations each; list the groups of interest,
-    not all of a large table.
+    All fits go together, one pass a step; a group weighs nothing in its own model.
     """
-    out = None
-    for g in groups:
-        rest = class_balance(df.filter(~F.col(group).eqNullSafe(F.lit(g))), label)
-        model = fit_logit(rest, features=features, label=label, weight=F.col("balance"), ridge=ridge)
-        own = df.filter(F.col(group).eqNullSafe(F.lit(g))).withColumn("score", model.score())
-        one = weighted_auc(own, score="score", label=label, weight=F.lit(1.0)).join(own.agg(F.count("*").alias("rows"))).withColumn(group, F.lit(g))
-        out = one if out is None else out.unionByName(one)
-    return out.select(group, "auc", "rows")
+    models = _numbered(df, group, groups)
+    units = df.select(group).distinct().withColumn("__unit", F.lit(True))
+    others = units.join(F.broadcast(models.select(F.col(group).alias("__own"), "model")), ~F.col(group).eqNullSafe(F.col("__own"))).select(group, "model", F.lit(1).alias("copies"))
+    blocks = packed(df, others, unit=[group], features=features, label=label, weight=F.lit(1.0), models=len(groups))
+    fits = fit_many(blocks, features=features, models=len(groups), ridge=ridge, balanced=True)
+    discard(blocks)
+    scored = own_scores(df, fits, models, on=group)
+    auc = weighted_auc(scored, score="score", label=label, weight=F.lit(1.0), by=[group])
+    return same_keys(auc, scored.groupBy(group).agg(F.count("*").alias("rows")), [group]).select(group, "auc", "rows")
 
 
 def era_holdout(df: DataFrame, *, late: Column, features: list[str], label: Column, ridge: float = 1.0) -> DataFrame:
@@ -44,15 +52,15 @@ def era_holdout(df: DataFrame, *, late: Column, features: list[str], label: Colu
 
 
 def fits_by_stratum(df: DataFrame, *, stratum: str, strata: list, features: list[str], label: Column, weight: Column, threshold: float = 0.5, least_auc: float = 0.7, least_rows: int = 50) -> DataFrame:
-    """One fit a listed stratum with its rates, and the reason why it may not be used, null if it may."""
-    out = None
-    for s in strata:
-        own = df.filter(F.col(stratum).eqNullSafe(F.lit(s)))
-        model = fit_logit(own, features=features, label=label, weight=weight)
-        scored = own.withColumn("score", model.score())
-        one = weighted_auc(scored, score="score", label=label, weight=weight).join(rates_at(scored, score="score", label=label, weight=weight, threshold=F.lit(threshold))).join(own.agg(F.count_if(label).alias("positive"), F.count_if(~label).alias("negative")))
-        one = one.withColumn(stratum, F.lit(s))
-        out = one if out is None else out.unionByName(one)
+    """One fit a listed stratum, all together, with its rates, and the reason why it may not be used, null if it may."""
+    models = _numbered(df, stratum, strata)
+    blocks = packed(df, models.withColumn("copies", F.lit(1)), unit=[stratum], features=features, label=label, weight=weight, models=len(strata))
+    fits = fit_many(blocks, features=features, models=len(strata))
+    discard(blocks)
+    scored = own_scores(df, fits, models, on=stratum)
+    counts = scored.groupBy(stratum).agg(F.count_if(label).alias("positive"), F.count_if(~label).alias("negative"))
+    rates = rates_at(scored, score="score", label=label, weight=weight, threshold=F.lit(threshold), by=[stratum])
+    out = same_keys(same_keys(counts, weighted_auc(scored, score="score", label=label, weight=weight, by=[stratum]), [stratum]), rates, [stratum])
     reason = F.when(F.least("positive", "negative") < least_rows, "too_few_rows").when(~F.coalesce(F.col("auc") >= least_auc, F.lit(False)), "auc_below_gate").when(F.col("tpr") - F.col("fpr") < 0.05, "rates_too_near")
     return out.select(stratum, "positive", "negative", "auc", "tpr", "fpr", reason.alias("reason"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.operators import evaluation as E
+from sedimenta.operators import order, refit
 from sedimenta.operators.classify import fit_logit
 from sedimenta.operators.quantify import group_rates
 from sedimenta.queries import query, r6, table
@@ -73,3 +74,34 @@ def target_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("role"), (F.col("c_nationkey") % 3).alias("tier"))
     return role.agg(F.count("*").alias("units"), F.count_if(F.col("c_acctbal") < 0).alias("invalid"), F.round(F.sum(F.greatest("c_acctbal", F.lit(0.0))), 2).alias("lines"))
+
+
+@query()
+def refit_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval of the share of dear lines of half of the suppliers, every model refitted on each of 200 resamples of suppliers."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice").withColumn("dear", (F.col("l_extendedprice") > 35000).cast("int"))
+    reference, target = lines.filter("l_suppkey % 2 = 0"), lines.filter("l_suppkey % 2 = 1")
+    draws = order.stratified_draws(reference, unit="l_suppkey", strata=["dear"], replicates=200, seed="refit", folds=5)
+    goal = order.stratified_draws(target, unit="l_suppkey", strata=[], replicates=200, seed="target")
+    shares = refit.refit_shares(reference, target, draws, goal, group="l_suppkey", features=["l_quantity", "l_discount", "l_tax"], label="dear", weight="l_quantity", replicates=200)
+    return refit.refit_interval(shares).select("replicates", "successful", "failed", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"))
+
+
+@query(
+    """WITH u AS (SELECT c_mktsegment, c_nationkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) - 1 AS place, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer)),
+d AS (SELECT c_mktsegment, replicate, place % 5 AS fold, CAST(('0x' || substr(sha256('era' || chr(0) || c_mktsegment || chr(0) || replicate || chr(0) || place), 1, 12)) AS BIGINT) % n AS place FROM u, (SELECT unnest(range(2000)) AS replicate))
+SELECT d.c_mktsegment, c_nationkey, fold, count(*) AS draws, count(DISTINCT replicate) AS replicates FROM d JOIN u ON u.c_mktsegment = d.c_mktsegment AND u.place = d.place GROUP BY ALL"""
+)
+def drawn_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each nation of a market segment is drawn in each fold of 2000 resamples; segments keep their sizes."""
+    draws = order.stratified_draws(table(spark, sf_dir, "customer"), unit="c_nationkey", strata=["c_mktsegment"], replicates=2000, seed="era", folds=5)
+    return draws.groupBy("c_mktsegment", "c_nationkey", "fold").agg(F.sum("copies").alias("draws"), F.count_distinct("replicate").alias("replicates"))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, o_orderdate, o_custkey, lag(o_orderdate) OVER (ORDER BY o_orderkey) AS d, lag(o_custkey) OVER (ORDER BY o_orderkey) AS c FROM orders)
+SELECT o_orderkey, o_orderdate, o_custkey, o_orderdate = d AND o_custkey = c AS same FROM o WHERE d IS NOT NULL AND NOT (o_orderdate > d OR o_orderdate = d AND o_custkey > c)"""
+)
+def order_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that, by key, come after one of a later date and customer."""
+    return order.order_violations(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey"), sequence="o_orderkey", keys=["o_orderdate", "o_custkey"])
