@@ -1,41 +1,162 @@
-"""Line lineage: what becomes of introduced lines over later commits of a repository."""
+"""Line lineage: what becomes of introduced lines over later commits.
+
+What a removed line becomes depends on its commit alone, so it is found first, for all
+commits at once: equal text by a join, similar text by comparing what is left inside its
+hunk or commit.  Then lines are followed file by file.  A line leaves its file when
+it moves or the file is renamed; those that leave enter their new file in the next
+round.  The unit of work is a file (a large one is split by lines), not a
+repository; there are as many rounds as a line changes files.
+"""
 
 from __future__ import annotations
 
 import difflib
-import math
-from collections import defaultdict
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from sedimenta.plans.scratch import discard, materialize
 
 STATES = "repository string, line_id string, commit string, position int, path string, line int, state string"
 #: A changed line is the same line modified from this similarity on, if the next best is at least MARGIN below.
 LEAST, MARGIN, MOST_CANDIDATES = 0.8, 0.1, 2000
+#: Lines of a file followed in one task, and pairs of texts compared in one.
+FILE_LINES, PAIRS = 50_000, 200_000
+GONE = "/dev/null"
+
+_COMMIT = ["repository", "position", "commit"]
 
 
-def _similar(text: str, added: list[tuple[str, int, str]]) -> tuple[str, int, str] | None:
-    """The one added line that is near enough to ``text``; None if there is none or more than one."""
-    scored = []
+def _nearest(texts: list[str], added: list[tuple[str, int, str]]) -> list[tuple[str, int] | None]:
+    """For each text the one added line that is near enough; None where there is none or more than one."""
+    stripped = [t.strip() for t in texts]
+    sizes = np.array([len(t) for t in stripped])
+    best: list[tuple[float, tuple[str, int] | None]] = [(0.0, None)] * len(texts)
+    second = [0.0] * len(texts)
     for path, line, other in added:
-        m = difflib.SequenceMatcher(None, text.strip(), other.strip())
-        if m.real_quick_ratio() >= LEAST - MARGIN and m.quick_ratio() >= LEAST - MARGIN:
-            scored.append((m.ratio(), path, line, other))
-    scored.sort(reverse=True)
-    if scored and scored[0][0] >= LEAST and (len(scored) == 1 or scored[0][0] - scored[1][0] >= MARGIN):
-        return scored[0][1:]
-    return None
-
-
-def _fate(text: str, added: list[tuple[str, int, str]], most: float) -> tuple[tuple[str, int, str] | None, str]:
-    """The added line that a removed line became, and its state."""
-    same = [a for a in added if a[2] == text]
-    if len(same) == 1:
-        return same[0], "unchanged"
-    if not added:
-        return None, "deleted"
-    found = _similar(text, added) if len(added) <= most else None
-    return found, "modified" if found else "unobservable"
+        other = other.strip()
+        # the ratio is at most twice the shorter length over both
+        possible = 2 * np.minimum(sizes, len(other)) >= (LEAST - MARGIN) * (sizes + len(other))
+        matcher = difflib.SequenceMatcher(None, "", other)
+        for i in np.flatnonzero(possible).tolist():
+            matcher.set_seq1(stripped[i])
+            if matcher.quick_ratio() < LEAST - MARGIN:
+                continue
+            ratio = matcher.ratio()
+            if ratio > best[i][0]:
+                second[i], best[i] = best[i][0], (ratio, (path, line))
+            else:
+                second[i] = max(second[i], ratio)
+    return [to if ratio >= LEAST and ratio - s >= MARGIN else None for (ratio, to), s in zip(best, second, strict=True)]
+
+
+def _similar(left: DataFrame, added: DataFrame) -> DataFrame:
+    """``scope, text, found, to_path, to_line`` for each distinct text of a scope, among the added lines of that scope."""
+    texts = left.select("scope", "text").distinct()
+    sizes = texts.groupBy("scope").agg(F.count("*").alias("n")).join(added.groupBy("scope").agg(F.count("*").alias("m")), "scope")
+    salts = sizes.select("scope", F.ceil(F.col("n") * F.col("m") / PAIRS).cast("int").alias("salts"))
+    asked = texts.join(salts, "scope").select("scope", F.pmod(F.xxhash64("text"), F.col("salts")).cast("int").alias("salt"), "text")
+    held = added.join(salts, "scope").select("scope", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "path", "new_line", "text")
+
+    def compare(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        found = _nearest(ours["text"].tolist(), list(theirs[["path", "new_line", "text"]].itertuples(index=False, name=None)))
+        hit = [f or (None, None) for f in found]
+        return pd.DataFrame({"scope": pd.Series(ours["scope"].tolist(), dtype=object), "text": pd.Series(ours["text"].tolist(), dtype=object), "to_path": pd.Series([p for p, _ in hit], dtype=object), "to_line": pd.Series([n for _, n in hit], dtype="Int32")})
+
+    key = ["scope", "salt"]
+    return asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(compare, "scope string, text string, to_path string, to_line int")
+
+
+def removals(changes: DataFrame) -> DataFrame:
+    """``repository, position, commit, old_path, path, old_line, fate, to_path, to_line`` of every removed line.
+
+    A line is looked for among the lines that its own hunk adds; only if there are none,
+    among those that the commit adds, of which at most ``MOST_CANDIDATES`` are compared.  If
+    its text is added once there, it moves there (``unchanged``); else one similar added line
+    makes it ``modified``; else it is ``unobservable``, or ``deleted`` if nothing is added or its file goes.
+    """
+    hunk = [*_COMMIT, "old_path", "path", "hunk"]
+    removed = changes.filter("kind = 'removed'").select(*hunk, "old_line", "text")
+    added = changes.filter("kind = 'added'").select(*hunk, "new_line", "text")
+
+    def counted(by: list[str], n: str, same: str, to: str) -> tuple[DataFrame, DataFrame]:
+        sizes = added.groupBy(*by).agg(F.count("*").alias(n))
+        equal = added.groupBy(*by, "text").agg(F.count("*").alias(same), F.min(F.struct(F.col("path").alias("to_path"), F.col("new_line").alias("to_line"))).alias(to))
+        return sizes, equal
+
+    own_sizes, own_equal = counted(hunk, "n_own", "same_own", "to_own")
+    all_sizes, all_equal = counted(_COMMIT, "n_all", "same_all", "to_all")
+    met = removed.join(own_sizes, hunk, "left").join(own_equal, [*hunk, "text"], "left").join(all_sizes, _COMMIT, "left").join(all_equal, [*_COMMIT, "text"], "left")
+    own = F.col("n_own").isNotNull()
+    count, same, to = (F.when(own, F.col(f"{c}_own")).otherwise(F.col(f"{c}_all")) for c in ("n", "same", "to"))
+
+    def scope(*parts: str) -> Column:
+        return F.concat_ws("\0", *[F.col(p).cast("string") for p in parts])
+
+    sized = met.select(*hunk, "old_line", "text", F.coalesce(count, F.lit(0)).alias("n"), F.coalesce(same, F.lit(0)).alias("same"), to.alias("to"), own.alias("own"))
+    plain = (
+        F.when(F.col("path") == GONE, "deleted").when(F.col("same") == 1, "unchanged").when(F.col("n") == 0, "deleted")
+        .when((F.col("same") > 1) | (~F.col("own") & (F.col("n") > MOST_CANDIDATES)), "unobservable")
+    )
+    sized = materialize(sized.withColumn("fate", plain).withColumn("scope", F.when(F.col("own"), scope(*hunk)).otherwise(scope(*_COMMIT))))
+    left = sized.filter("fate is null")
+    inside = added.select(scope(*hunk).alias("scope"), "path", "new_line", "text").join(left.filter("own").select("scope").distinct(), "scope", "left_semi")
+    across = added.select(scope(*_COMMIT).alias("scope"), "path", "new_line", "text").join(left.filter("not own").select("scope").distinct(), "scope", "left_semi")
+    near = _similar(left, inside.unionByName(across))
+    keys = [*_COMMIT, "old_path", "path", "old_line"]
+    told = sized.filter("fate is not null").select(*keys, "fate", F.when(F.col("fate") == "unchanged", F.col("to.to_path")).alias("to_path"), F.when(F.col("fate") == "unchanged", F.col("to.to_line")).alias("to_line"))
+    rest = left.join(near, ["scope", "text"]).select(*keys, F.when(F.col("to_line").isNotNull(), "modified").otherwise("unobservable").alias("fate"), "to_path", "to_line")
+    return told.unionByName(rest)
+
+
+def _by_file(changes: DataFrame) -> DataFrame:
+    """One row a changed file: its new path, its removed lines with their fates, and the lines added to the new path, in order."""
+    file = [*_COMMIT, "old_path"]
+    fates = removals(changes).groupBy(*file).agg(F.array_sort(F.collect_list(F.struct("old_line", "fate", "to_path", "to_line"))).alias("removed"))
+    paths = changes.groupBy(*file).agg(F.max("path").alias("path"))
+    lines = changes.filter("kind = 'added'").groupBy(*_COMMIT, "path").agg(F.array_sort(F.collect_list("new_line")).alias("added"))
+    return paths.join(fates, file, "left").join(lines, [*_COMMIT, "path"], "left")
+
+
+def _advance(lines: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
+    """The states of the lines of one file after each of its changes; ``moved`` where a line goes on in another file."""
+    names = ["repository", "line_id", "commit", "position", "path", "line", "state", "moved"]
+    at, since = lines["line"].to_numpy(np.int64), lines["since"].to_numpy(np.int64)
+    ids, state = lines["line_id"].to_numpy(object), lines["state"].to_numpy(object)
+    here = np.ones(len(lines), bool)
+    out = []
+    for change in files.sort_values(["position", "commit"]).itertuples() if len(lines) else ():
+        own = np.flatnonzero(here & (since < change.position))
+        if not len(own):
+            continue
+        fates = [] if change.removed is None else list(change.removed)
+        removed = np.array([f["old_line"] for f in fates], np.int64)
+        added = np.array([] if change.added is None else change.added, np.int64)
+        before = np.searchsorted(removed, at[own])
+        hit = np.zeros(len(own), bool)
+        if len(removed):
+            hit = removed[np.minimum(before, len(removed) - 1)] == at[own]
+        # the k-th line that stays is the k-th one of the new file that is not added
+        kept = at[own] - before
+        line = kept + np.searchsorted(added - np.arange(len(added)), kept, side="right")
+        path = np.full(len(own), change.path, object)
+        for i in np.flatnonzero(hit):
+            fate = fates[before[i]]
+            if fate["fate"] != "unchanged":
+                state[own[i]] = fate["fate"]
+            if fate["to_path"] is None:
+                line[i], path[i] = at[own[i]], lines["path"].iloc[0]
+                here[own[i]] = False
+            else:
+                line[i], path[i] = fate["to_line"], fate["to_path"]
+        at[own] = line
+        moved = here[own] & (path != lines["path"].iloc[0])
+        here[own[moved]] = False
+        out.append(pd.DataFrame({"repository": lines["repository"].iloc[0], "line_id": ids[own], "commit": change.commit, "position": change.position, "path": path, "line": line, "state": state[own], "moved": moved}))
+    found = pd.concat(out) if out else pd.DataFrame({n: pd.Series(dtype=object) for n in names})
+    return found.astype({n: object for n in ("repository", "line_id", "commit", "path", "state")})
 
 
 def replay(introduced: DataFrame, changes: DataFrame) -> DataFrame:
@@ -43,55 +164,26 @@ def replay(introduced: DataFrame, changes: DataFrame) -> DataFrame:
 
     ``introduced``: repository, line_id, path, line, text, position (of the
     commit that made it).  ``changes``: repository, position, commit, and the
-    rows of :func:`sedimenta.sources.readers.patch_lines`.  A removed line is looked
-    for among the lines that its own hunk adds; only if there are none, among those
-    that the commit adds, of which at most ``MOST_CANDIDATES`` are compared.  If its
-    text is added once there, the line moves there; else one similar added line makes
-    it ``modified``; else it is ``unobservable``, or ``deleted`` if nothing is added
-    or its file goes.  Ends are final.  The fold runs in
-    commit order inside a repository; repositories are independent, and only
-    commits that touch a followed file are sent.
+    rows of :func:`sedimenta.sources.readers.patch_lines`.  The fate of a removed line is
+    that of :func:`removals`; other lines shift.  Ends are final.
     """
     touched = changes.join(introduced.select("repository").distinct(), "repository", "left_semi")
-    own = introduced.selectExpr("repository", "line_id", "path", "cast(line as int) line", "text", "cast(position as int) position")
-
-    def fold(lines: pd.DataFrame, diff: pd.DataFrame) -> pd.DataFrame:
-        live = {r.line_id: [r.path, int(r.line), r.text, "unchanged", int(r.position)] for r in lines.itertuples()}
-        out = []
-        for (position, commit), rows in diff.groupby(["position", "commit"], sort=True):
-            removed = {(r.old_path, int(r.old_line)): (r.old_path, r.path, r.hunk) for r in rows.itertuples() if r.kind == "removed"}
-            added = [(r.path, int(r.new_line), r.text) for r in rows.itertuples() if r.kind == "added"]
-            in_hunk = defaultdict(list)
-            for r in rows.itertuples():
-                if r.kind == "added":
-                    in_hunk[r.old_path, r.path, r.hunk].append((r.path, int(r.new_line), r.text))
-            new_path = {r.old_path: r.path for r in rows.itertuples()}
-            for key, s in list(live.items()):
-                path, line, text, state, since = s
-                if since >= position or path not in new_path:
-                    continue
-                if (path, line) in removed:
-                    if new_path[path] == "/dev/null":
-                        found, fate = None, "deleted"
-                    elif own_hunk := in_hunk.get(removed[path, line]):
-                        found, fate = _fate(text, own_hunk, math.inf)
-                    else:
-                        found, fate = _fate(text, added, MOST_CANDIDATES)
-                    if found:
-                        s[:3] = found
-                    if fate != "unchanged":
-                        state = fate
-                else:
-                    gone = sum(1 for p, n in removed if p == path and n < line)
-                    place = line - gone
-                    for n in sorted(a[1] for a in added if a[0] == new_path[path]):
-                        if n <= place:
-                            place += 1
-                    s[0], s[1] = new_path[path], place
-                s[3] = state
-                out.append((lines["repository"].iloc[0], key, commit, int(position), s[0], s[1], state))
-                if state in ("deleted", "unobservable"):
-                    del live[key]
-        return pd.DataFrame(out, columns=["repository", "line_id", "commit", "position", "path", "line", "state"])
-
-    return own.groupBy("repository").cogroup(touched.groupBy("repository")).applyInPandas(fold, STATES)
+    files = materialize(_by_file(touched).withColumnRenamed("path", "new_path"))
+    entered = introduced.selectExpr("repository", "line_id", "path", "cast(line as int) line", "cast(position as int) since", "'unchanged' state")
+    rounds: list[DataFrame] = []
+    while True:
+        key = ["repository", "path"]
+        salts = entered.groupBy(*key).agg(F.ceil(F.count("*") / FILE_LINES).cast("int").alias("salts"))
+        lines = entered.join(salts, key).withColumn("salt", F.pmod(F.xxhash64("line_id"), F.col("salts")).cast("int")).drop("salts")
+        met = files.withColumnRenamed("old_path", "path").join(salts, key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        met = met.withColumnsRenamed({"path": "file", "new_path": "path"})
+        stepped = lines.groupBy(*key, "salt").cogroup(met.groupBy("repository", "file", "salt")).applyInPandas(_advance, f"{STATES}, moved boolean")
+        rounds.append(materialize(stepped))
+        entered = rounds[-1].filter("moved").selectExpr("repository", "line_id", "path", "line", "position since", "state")
+        if entered.isEmpty():
+            break
+    discard(files)
+    out = rounds[0]
+    for one in rounds[1:]:
+        out = out.unionByName(one)
+    return out.drop("moved")

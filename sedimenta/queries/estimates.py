@@ -127,3 +127,56 @@ def followed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = states.groupBy("repository", "line_id").agg(F.min("position").cast("long").alias("gone"))
     out = lines.join(gone, ["repository", "line_id"], "left")
     return out.select(F.col("repository").cast("long").alias("user_id"), "line_id", F.coalesce("gone", F.lit(-1)).alias("gone"))
+
+
+@query(
+    """WITH c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, event_type AS e FROM events),
+g AS (SELECT user_id, min(k) FILTER (e = 'error') AS lost FROM c GROUP BY user_id),
+d AS (SELECT c.user_id, k, e FROM c JOIN g ON g.user_id = c.user_id WHERE lost IS NULL OR k <= lost)
+SELECT user_id, CASE WHEN count(*) FILTER (e = 'error') > 0 THEN 'unobservable' WHEN count(*) FILTER (e = 'view') > 0 THEN 'modified' ELSE 'unchanged' END AS state,
+  coalesce('f' || max(k) FILTER (e IN ('click', 'purchase')), 'f0') AS path, 1 + count(*) FILTER (e = 'signup') - count(*) FILTER (e = 'signup' AND k < mover) AS line, count(*) AS changes
+FROM d JOIN (SELECT user_id AS u, coalesce(max(k) FILTER (e = 'click'), 0) AS mover FROM d GROUP BY 1) ON u = user_id GROUP BY user_id, mover"""
+)
+def followed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State, file and line of one line of each repository after its last change; events stand for commits.
+
+    ``click`` moves the line to the head of another file, ``purchase`` renames its file, ``view`` changes it a
+    little, ``signup`` puts a line before it, and ``error`` replaces it by two lines like it, which ends it.
+    """
+    from pyspark.sql import Window as W
+
+    run = W.partitionBy("user_id").orderBy("ts", "event_id")
+    before = W.partitionBy("user_id").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
+    kind, k = F.col("event_type"), F.col("k")
+    event = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("repository"), "user_id", "event_type", F.row_number().over(run).alias("k"))
+
+    def text(n):
+        return F.concat(F.lit("total = first + second - third * "), n.cast("string"))
+
+    # where the line stands before each commit, and its text
+    stood = event.select(
+        "repository", k.alias("position"), "event_type",
+        F.concat(F.lit("f"), F.coalesce(F.max(F.when(kind.isin("click", "purchase"), k)).over(before), F.lit(0)).cast("string")).alias("old_path"),
+        F.coalesce(F.max(F.when(kind == "click", k)).over(before), F.lit(0)).alias("mover"),
+        text(F.coalesce(F.max(F.when(kind == "view", k)).over(before), F.lit(0))).alias("text"),
+        F.collect_list(F.when(kind == "signup", k)).over(before).alias("puts"),
+    )
+    line = F.size(F.filter("puts", lambda p: p > F.col("mover"))) + 1
+    new_path = F.concat(F.lit("f"), F.col("position").cast("string"))
+
+    def row(kind_, old_path, path, hunk, old_line, new_line, text_):
+        return F.struct(old_path.alias("old_path"), path.alias("path"), F.lit(hunk).alias("hunk"), F.lit(kind_).alias("kind"), old_line.cast("int").alias("old_line"), new_line.cast("int").alias("new_line"), text_.alias("text"))
+
+    none, old, what, words = F.lit(None), F.col("old_path"), F.col("event_type"), F.col("text")
+    put = F.concat(F.lit("import module_"), F.col("position").cast("string"))
+    rows = (
+        F.when(what == "click", F.array(row("removed", old, old, 1, line, none, words), row("added", F.lit("/dev/null"), new_path, 1, none, F.lit(1), words)))
+        .when(what == "purchase", F.array(row("added", old, new_path, 1, none, line + 1, put)))
+        .when(what == "view", F.array(row("removed", old, old, 1, line, none, words), row("added", old, old, 1, none, line, text(F.col("position")))))
+        .when(what == "signup", F.array(row("added", old, old, 1, none, F.lit(1), put)))
+        .otherwise(F.array(row("removed", old, old, 1, line, none, words), row("added", old, old, 1, none, line, F.concat(words, F.lit("1"))), row("added", old, old, 1, none, line + 1, F.concat(words, F.lit("2")))))
+    )
+    changes = stood.select("repository", "position", new_path.alias("commit"), F.inline(rows))
+    lines = event.filter("k = 1").select("repository", F.lit("l").alias("line_id"), F.lit("f0").alias("path"), F.lit(1).alias("line"), text(F.lit(0)).alias("text"), F.lit(0).alias("position"))
+    last = lineage.replay(lines, changes).groupBy("repository").agg(F.max_by(F.struct("state", "path", "line"), "position").alias("last"), F.count("*").alias("changes"))
+    return last.select(F.col("repository").cast("long").alias("user_id"), "last.state", "last.path", F.col("last.line").cast("long").alias("line"), "changes")
