@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sedimenta.functions import identity as I
@@ -194,3 +195,30 @@ SELECT k, decision, 1 AS tranche, false AS rejected FROM e UNION ALL SELECT k, d
 def decision_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = lambda s: table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderkey").alias("decision"))
     return V.ledger(per("F").withColumn("tranche", F.lit(1)), per("O"), key="k", number=2)
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT user_id AS u, event_id AS c, event_type AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+b AS (SELECT *, CASE WHEN k % 5 < 3 THEN 0 ELSE k % 5 - 2 END AS b FROM c),
+l AS (SELECT *, max(k) FILTER (b = 0) OVER w AS k0, max(k) FILTER (b = 1) OVER w AS k1, max(k) FILTER (b = 2) OVER w AS k2 FROM b WINDOW w AS (PARTITION BY u ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e AS (SELECT u, k, CASE b WHEN 0 THEN k0 WHEN 1 THEN k1 ELSE k2 END AS p FROM l UNION ALL SELECT u, k, k1 FROM l WHERE b = 0 AND e = 'click' UNION ALL SELECT u, k, k2 FROM l WHERE b = 1 AND e = 'view' UNION ALL SELECT u, k, k1 FROM l WHERE b = 2 AND e = 'error'),
+m AS (SELECT u, k, c, row_number() OVER (PARTITION BY u ORDER BY k) - 1 AS position FROM b WHERE b = 0),
+r AS (SELECT u, k, position FROM m UNION SELECT r.u, e.p, r.position FROM r JOIN e ON e.u = r.u AND e.k = r.k WHERE e.p IS NOT NULL),
+f AS (SELECT u, k, min(position) AS position FROM r GROUP BY u, k)
+SELECT b.u AS user_id, b.c AS event_id, m.c AS landing, f.position FROM b LEFT JOIN f ON f.u = b.u AND f.k = b.k LEFT JOIN m ON m.u = f.u AND m.position = f.position"""
+)
+def graph_landings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every event of a user lands on the main line, of three branches that merge each other; events stand for commits."""
+    from sedimenta.operators import graph
+
+    run = W.partitionBy("u").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
+    k, b, e = F.col("k"), F.col("b"), F.col("e")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("u"), F.col("event_id").alias("c"), F.col("event_type").alias("e"), F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("k"))
+    own = events.withColumn("b", F.when(k % 5 < 3, 0).otherwise(k % 5 - 2))
+    last = own.select("u", "c", "e", "b", *[F.max_by(F.when(b == i, F.col("c")), F.when(b == i, k)).over(run).alias(f"c{i}") for i in range(3)])
+    first = F.when(b == 0, F.col("c0")).when(b == 1, F.col("c1")).otherwise(F.col("c2"))
+    second = F.when((b == 0) & (e == "click"), F.col("c1")).when((b == 1) & (e == "view"), F.col("c2")).when((b == 2) & (e == "error"), F.col("c1"))
+    parents = last.select(F.col("u").alias("repository"), F.col("c").alias("commit"), F.posexplode(F.array(first, second)).alias("number", "parent"))
+    heads = own.filter("b = 0").groupBy(F.col("u").alias("repository")).agg(F.max_by("c", "k").alias("commit"))
+    out = graph.landings(parents, heads)
+    return out.select(F.col("repository").alias("user_id"), F.col("commit").alias("event_id"), "landing", "position")
