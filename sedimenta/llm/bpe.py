@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.text import free_name
+from sedimenta.llm.text import quoted, set_aside
 
 #: Pieces remembered in each Python worker, and the longest one worth it.
 REMEMBERED, LONGEST = 1 << 19, 64
@@ -290,23 +290,18 @@ def bpe_decode(ids: Column, path: str) -> Column:
 
 def token_counts(docs: DataFrame, path: str, *, text_col: str = "text", limit: int = 4096) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens)."""
-    own = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
-    counted = docs.select(
-        *own,
-        F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
-        count_tokens(F.col(text_col), path).alias("n_tokens"),
-    )
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    text = F.col(quoted(text_col))
+    rows, names = set_aside(docs, n_bytes=F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), n_tokens=count_tokens(text, path))
+    own = [F.col(n).alias(c) for c, n in names.items() if c.lower() not in ("n_bytes", "n_tokens", "over_limit")]
+    return rows.select(*own, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def bpe_digests(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_tokens`` and the SHA-256 of the ids in decimal and of the decoded text."""
-    own = [c for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
-    made = free_name("bpe", docs.columns)
-    coded = docs.select(*own, bpe_encode_decode(F.col(text_col), path).alias(made))
+    coded, names = set_aside(docs, bpe=bpe_encode_decode(F.col(quoted(text_col)), path))
     return coded.select(
-        *own,
-        F.size(f"{made}.ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col(f"{made}.ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col(f"{made}.decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *[F.col(n).alias(c) for c, n in names.items() if c.lower() not in ("n_tokens", "ids_sha256", "decoded_sha256")],
+        F.size("bpe.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("bpe.ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("bpe.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )

@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sedimenta.llm.text import quoted, set_aside
+
 #: Largest number of languages in a model.
 MOST_LANGS = 200
 #: Unseen words remembered in each Python worker.
@@ -161,8 +163,8 @@ def identify(docs: DataFrame, model: LangModel, *, text_col: str = "text") -> Da
         model = shared.value
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    own = [c for c in docs.columns if c not in ("lang_pred", "score", "__lang")]
-    return docs.select(*own, run(F.col(text_col)).alias("__lang")).select(*own, "__lang.lang_pred", "__lang.score")
+    rows, names = set_aside(docs, lang=run(F.col(quoted(text_col))))
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items() if c.lower() not in ("lang_pred", "score")], "lang.lang_pred", "lang.score")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -37,6 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.llm.text import quoted, set_aside
 from sedimenta.plans.scratch import discard, materialize, release
 
 #: What stands between words, and around a line.
@@ -92,7 +93,8 @@ def repeated_lines(
 ) -> DataFrame:
     """``id, text_hash, lines``: the sorted numbers (from 0) of the lines to remove, of documents with any."""
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    id_name, text = quoted(id_col), quoted(text_col)
+    base = docs.select(F.col(id_name).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
 
     # 1. content hashes and first tokens of all lines; the first line of each content, and all later ones
     own = ("id", "text_hash", "line_no", "h1", "h2")
@@ -181,13 +183,14 @@ def _similar(left: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int = 5, least_chars: int = 20) -> DataFrame:
     """``docs`` with the repeated lines cut out of the text, ``n_lines`` and ``removed_lines`` (numbers from 0)."""
     gone = repeated_lines(docs, id_col=id_col, text_col=text_col, percent=percent, words=words, least_chars=least_chars).withColumnsRenamed({"id": "__id", "text_hash": "__hash", "lines": "__gone"})
-    own = [c for c in docs.columns if c not in ("n_lines", "removed_lines")]
-    joined = docs.select(*own, F.xxhash64(text_col).alias("__text")).join(gone, _same(f"{id_col}", "__id") & _same("__text", "__hash"), "left")
-    rows = F.split(text_col, "\n")
+    kept, names = set_aside(docs, __text=F.xxhash64(quoted(text_col)))
+    joined = kept.join(gone, _same(names[id_col], "__id") & _same("__text", "__hash"), "left")
+    own = F.col(names[text_col])
+    rows = F.split(own, "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(rows) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(rows, i)), "\n"))
+    text = F.when(F.col("__gone").isNull(), own).otherwise(F.array_join(F.transform(stay, lambda i: F.get(rows, i)), "\n"))
     return joined.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in own],
+        *[(text if c == text_col else F.col(n)).alias(c) for c, n in names.items() if c.lower() not in ("n_lines", "removed_lines")],
         F.coalesce(F.size(rows), F.lit(0)).alias("n_lines"),
         F.coalesce("__gone", F.array().cast("array<int>")).alias("removed_lines"),
     )

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sedimenta.llm.text import quoted, set_aside
 from sedimenta.plans.scratch import discard, materialize
 
 _SRC, _ID, _SIZE, _WEIGHT, _ROW = "__mix_source", "__mix_id", "__mix_size", "__mix_weight", "__mix_row"
@@ -117,15 +118,15 @@ def _ranked(rows: DataFrame, plan: DataFrame, max_repeat: int, seed: str) -> Dat
     )
 
 
-def _keys(docs: DataFrame, id_col: str, source_col: str, size: Column, weight: Column | None) -> list[Column]:
+def _keys(docs: DataFrame, id_col: str, source_col: str, size: Column, weight: Column | None) -> dict[str, Column]:
     w = F.lit(1.0) if weight is None else F.greatest(F.coalesce(F.nanvl(weight.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
-    return [
-        F.col(source_col).alias(_SRC),
-        F.col(id_col).alias(_ID),
-        F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias(_SIZE),
-        w.alias(_WEIGHT),
-        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias(_ROW),
-    ]
+    return {
+        _SRC: F.col(quoted(source_col)),
+        _ID: F.col(quoted(id_col)),
+        _SIZE: F.coalesce(size.cast("long"), F.lit(0).cast("long")),
+        _WEIGHT: w,
+        _ROW: F.xxhash64(*[F.col(quoted(c)) for c in docs.columns]),
+    }
 
 
 def mix_plan(
@@ -140,7 +141,7 @@ def mix_plan(
     seed: str = "mix",
 ) -> DataFrame:
     """One row a source: its size, target, scale, the rank at which it is cut, and how many rows of just that rank are taken."""
-    rows = materialize(docs.select(*_keys(docs, id_col, source_col, size, weight)))
+    rows = materialize(docs.select(*[c.alias(n) for n, c in _keys(docs, id_col, source_col, size, weight).items()]))
     plan = _scaled(rows, source_targets(rows, cycle, max_repeat), max_repeat)
     ranked = _ranked(rows, plan, max_repeat, seed)
     certain = ranked.groupBy(_SRC).agg(F.sum(F.col("__whole") * F.col(_SIZE)).alias("certain"))
@@ -215,8 +216,8 @@ def pareto_mix(
     Only rows that tie at the cut, which must be alike, are numbered to tell them
     apart; all others are decided where they stand.
     """
-    own = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "copies")]
-    ranked = _ranked(docs.select("*", *_keys(docs, id_col, source_col, size, weight)), plan, max_repeat, seed)
+    rows, names = set_aside(docs, **_keys(docs, id_col, source_col, size, weight))
+    ranked = _ranked(rows, plan, max_repeat, seed)
     at_cut = F.col("__more") & (F.col("__rank") == F.col("__plan.cut"))
     several = F.coalesce(at_cut & (F.col("__plan.tied") > 1), F.lit(False))
     below = (F.col("__more") & (F.col("__rank") < F.col("__plan.cut"))) | (at_cut & (F.col("__plan.at_cut") > 0))
@@ -225,7 +226,7 @@ def pareto_mix(
     below = below | (F.col("__more") & (F.col("__rank") > F.col("__plan.cut")) & ((F.col("__rank") < F.col("__plan.cut2")) | ((F.col("__rank") == F.col("__plan.cut2")) & F.col("__plan.whole2"))))
     rows = ranked.filter(~several).withColumn("__again", F.coalesce(below, F.lit(False))).unionByName(tied)
     return rows.select(
-        *[F.col(f"`{c}`") for c in own],
+        *[F.col(n).alias(c) for c, n in names.items() if c.lower() not in ("size", "source_size", "target", "copies")],
         F.col(_SIZE).alias("size"),
         F.col("__plan.source_size").alias("source_size"),
         F.col("__plan.target").alias("target"),
