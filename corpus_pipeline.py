@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sedimenta.llm import bpe, jaccard, langid, linededup, mixing
-from sedimenta.llm.text import free_name, word_count
+from sedimenta.llm.text import free_name, quoted, word_count
 from sedimenta.plans.scratch import discard, materialize, small_batches
 
 #: Least share of probability of the predicted language.
@@ -42,7 +42,7 @@ def _aside(docs: DataFrame, made: tuple[str, ...]) -> tuple[DataFrame, list[Colu
     names = {}
     for c in docs.columns:
         names[c] = free_name("own_" + c, [*docs.columns, *names.values(), *made]) if c.lower() in made else c
-    return docs.toDF(*names.values()), [F.col(f"`{n}`").alias(c) for c, n in names.items()]
+    return docs.toDF(*names.values()), [F.col(quoted(n)).alias(c) for c, n in names.items()]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,8 +72,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = materialize(joined.withColumn(key, F.coalesce(F.col(once).cast("long"), hashed)).drop(once))
     found = jaccard.near_components(keyed, id_col=key)
     kept = keyed.join(found.filter("id = component").select(F.col("id").alias(stay)).distinct(), F.col(key) == F.col(stay)).drop(stay)
-    first = F.row_number().over(W.partitionBy(key).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    first = F.row_number().over(W.partitionBy(key).orderBy(*[F.col(quoted(c)) for c in docs.columns if c != "text"]))
+    own = [F.col(quoted(c)) for c in docs.columns]
     several = kept.filter(F.col(key) >= 1 << 62).withColumn(place, first).filter(F.col(place) == 1)
     return kept.filter(F.col(key) < 1 << 62).select(own).unionByName(several.select(own))
 
@@ -83,7 +83,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     words = word_count(F.col("text"))
     how = {"size": words, "weight": F.log1p(words)}
     mixed = mixing.pareto_mix(rows, mixing.mix_plan(rows, **how), **how).filter("copies > 0")
-    return mixed.select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))).alias("__copy")).drop("__copy")
+    turn = free_name("turn", mixed.columns)
+    return mixed.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select(own)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
