@@ -28,7 +28,7 @@ LEAST_VARIATION, CELLS, GATHERED = 0.05, 4096, 512
 
 
 @contextmanager
-def _rows_a_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+def few_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Blocks are large; few go to a Python worker at once, while this lasts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
@@ -101,14 +101,14 @@ def packed(df: DataFrame, multiplicities: DataFrame, *, unit: list[str], feature
     return materialize(blocks)
 
 
-def _summed(blocks: DataFrame, features: int, models: int, sums: Callable[[Block], np.ndarray]) -> np.ndarray:
+def summed(blocks: DataFrame, features: int, models: int, sums: Callable[[Block], np.ndarray], kind: type[Block] = Block) -> np.ndarray:
     """What ``sums`` gives for each block (a row a model), added up over all blocks."""
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for frame in frames:
             for row in frame.itertuples():
-                for part in Block.unpack(row, features).chunks():
+                for part in kind.unpack(row, features).chunks():
                     own = sums(part)
                     total = own if total is None else total + own
         if total is not None:
@@ -118,9 +118,9 @@ def _summed(blocks: DataFrame, features: int, models: int, sums: Callable[[Block
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "sums": [np.sum([np.frombuffer(s) for s in rows["sums"]], axis=0).tobytes()]})
 
-    kind = "chunk int, sums binary"
-    with _rows_a_batch(blocks.sparkSession, 4):
-        found = blocks.mapInPandas(partial, kind).groupBy("chunk").applyInPandas(add, kind).collect()  # a row for 64 models
+    schema = "chunk int, sums binary"
+    with few_rows(blocks.sparkSession, 4):
+        found = blocks.mapInPandas(partial, schema).groupBy("chunk").applyInPandas(add, schema).collect()  # a row for 64 models
     out = [np.frombuffer(r.sums) for r in sorted(found, key=lambda r: r.chunk)]
     return np.concatenate(out).reshape(models, -1) if out else np.zeros((models, 0))
 
@@ -158,7 +158,7 @@ def fit_many(blocks: DataFrame, *, features: list[str], models: int, ridge: floa
     """
     p = len(features)
     # numerically, everything is taken around the means of all rows; each model's own scaling is a transformation of that
-    whole = _summed(blocks, p, 1, lambda b: np.concatenate(([len(b.y)], b.x.sum(0), (b.x**2).sum(0)))[None])
+    whole = summed(blocks, p, 1, lambda b: np.concatenate(([len(b.y)], b.x.sum(0), (b.x**2).sum(0)))[None])
     if not whole.size:
         return Fits(features, np.zeros((models, p + 1)), np.ones(models, bool))
     mid = whole[0, 1 : p + 1] / whole[0, 0]
@@ -170,7 +170,7 @@ def fit_many(blocks: DataFrame, *, features: list[str], models: int, ridge: floa
         columns = np.column_stack((np.ones(len(b.y)), b.w * (b.y == 1), b.w * (b.y == 0), b.y == 1, x, x**2))
         return m.T @ columns
 
-    s = _summed(blocks, p, models, first)
+    s = summed(blocks, p, models, first)
     n, w1, w0, n1 = s[:, 0], s[:, 1], s[:, 2], s[:, 3]
     failed = (n1 <= 0) | (n1 >= n)
     n = np.maximum(n, 1)
@@ -201,7 +201,7 @@ def fit_many(blocks: DataFrame, *, features: list[str], models: int, ridge: floa
             pairs = x[:, upper[0]] * x[:, upper[1]]
             return np.concatenate(((m * w * (b.y[:, None] - prob)).T @ x, (m * np.maximum(w * prob * (1 - prob), 1e-8)).T @ pairs), axis=1)
 
-        sums = _summed(blocks, p, len(active), step)
+        sums = summed(blocks, p, len(active), step)
         h = np.zeros((len(active), p + 1, p + 1))
         h[:, upper[0], upper[1]] = h[:, upper[1], upper[0]] = sums[:, p + 1 :]
         t = turn[active]
@@ -277,7 +277,7 @@ def quantile_edges(blocks: DataFrame, entries: Entries, *, features: int, replic
                 out[r, 1] += np.bincount(at[weight > 0], minlength=most)
             return out.reshape(replicates, -1)
 
-        sums = _summed(blocks, features, replicates, histogram)
+        sums = summed(blocks, features, replicates, histogram)
         if not sums.size:
             return [np.empty(0)] * replicates
         sums = sums.reshape(replicates, 2, most)
@@ -310,7 +310,7 @@ def quantile_edges(blocks: DataFrame, entries: Entries, *, features: int, replic
                     # of equal scores the lightest row comes first and the heaviest last
                     yield pd.DataFrame({"replicate": r, "cell": at[keep], "v": score[keep], "w": weight[keep], "least": single[keep], "most": single[keep]})
 
-    with _rows_a_batch(blocks.sparkSession, 4):
+    with few_rows(blocks.sparkSession, 4):
         rows = blocks.mapInPandas(gather, "replicate int, cell int, v double, w double, least double, most double")
         per = rows.groupBy("replicate", "cell", "v").agg(F.sum("w").alias("w"), F.min("least").alias("least"), F.max("most").alias("most"))
 
@@ -328,23 +328,26 @@ def quantile_edges(blocks: DataFrame, entries: Entries, *, features: int, replic
     return [found.get(r, np.empty(0)) for r in range(replicates)]
 
 
-def _mixtures(reference: DataFrame, target: DataFrame, out_of_fold: Entries, whole: Entries, *, features: int, replicates: int, bins: int) -> list[tuple[int, float | None, str | None]]:
-    edges = quantile_edges(reference, out_of_fold, features=features, replicates=replicates, bins=bins)
+def _counted(entries: Entries, edges: list[np.ndarray], replicates: int, bins: int, split: bool) -> Callable[[Block], np.ndarray]:
+    """Weights in each bin of label 1 and of label 0, or, unless ``split``, of all rows in the second place."""
 
-    def counted(entries: Entries, split: bool) -> Callable[[Block], np.ndarray]:
-        def run(b: Block) -> np.ndarray:
-            out = np.zeros((replicates, 2, bins))
-            for r, score, weight, _ in entries(b):
-                at = np.searchsorted(edges[r], score, side="right")
-                sides = np.tile(b.y, len(score) // len(b.y)) == 1 if split else np.zeros(len(score), bool)
-                out[r, 0] += np.bincount(at[sides], weights=weight[sides], minlength=bins)
-                out[r, 1] += np.bincount(at[~sides], weights=weight[~sides], minlength=bins)
-            return out.reshape(replicates, -1)
+    def run(b: Block) -> np.ndarray:
+        out = np.zeros((replicates, 2, bins))
+        for r, score, weight, _ in entries(b):
+            at = np.searchsorted(edges[r], score, side="right")
+            sides = np.tile(b.y, len(score) // len(b.y)) == 1 if split else np.zeros(len(score), bool)
+            out[r, 0] += np.bincount(at[sides], weights=weight[sides], minlength=bins)
+            out[r, 1] += np.bincount(at[~sides], weights=weight[~sides], minlength=bins)
+        return out.reshape(replicates, -1)
 
-        return run
+    return run
+
+
+def mixtures(reference: DataFrame, target: DataFrame, out_of_fold: Entries, whole: Entries, *, features: int, replicates: int, bins: int) -> list[tuple[int, float | None, str | None]]:
+    edges = quantile_edges(reference, out_of_fold, features=features, replicates=replicates, bins=bins)
 
-    ref = _summed(reference, features, replicates, counted(out_of_fold, True)).reshape(replicates, 2, -1)
-    goal = _summed(target, features, replicates, counted(whole, False)).reshape(replicates, 2, -1)
+    ref = summed(reference, features, replicates, _counted(out_of_fold, edges, replicates, bins, True)).reshape(replicates, 2, -1)
+    goal = summed(target, features, replicates, _counted(whole, edges, replicates, bins, False)).reshape(replicates, 2, -1)
     out = []
     for r in range(replicates):
         size = len(edges[r]) + 1
@@ -393,7 +396,7 @@ def refit_shares(
         for r in np.flatnonzero(ok):
             yield int(r), fits.scores(b.x, slice(r * (folds + 1) + folds, (r + 1) * (folds + 1)))[:, 0], b.w * b.copies[b.unit, r], b.w
 
-    found = _mixtures(blocks, target_blocks, out_of_fold, whole, features=len(features), replicates=replicates, bins=bins)
+    found = mixtures(blocks, target_blocks, out_of_fold, whole, features=len(features), replicates=replicates, bins=bins)
     discard(blocks, target_blocks)
     rows = [(r, share, reason if ok[r] else "a fold lacks a class") for r, share, reason in found]
     return reference.sparkSession.createDataFrame(rows, "replicate int, share double, failure string")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.operators import evaluation as E
-from sedimenta.operators import order, refit
+from sedimenta.operators import order, quantification, refit
 from sedimenta.operators.classify import fit_logit
 from sedimenta.operators.quantify import group_rates
 from sedimenta.queries import query, r6, table
@@ -76,14 +76,21 @@ def role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role.agg(F.count("*").alias("units"), F.count_if(F.col("c_acctbal") < 0).alias("invalid"), F.round(F.sum(F.greatest("c_acctbal", F.lit(0.0))), 2).alias("lines"))
 
 
+def _dear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a label that their price tells in part: the rest is a digest of the key."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    noise = F.crc32(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).cast("binary")) % 40000
+    return lines.withColumn("dear", (F.col("l_extendedprice") + noise > 70000).cast("int")).drop("l_orderkey", "l_linenumber")
+
+
 @query()
 def refit_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the share of dear lines of half of the suppliers, every model refitted on each of 200 resamples of suppliers."""
-    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice").withColumn("dear", (F.col("l_extendedprice") > 35000).cast("int"))
+    lines = _dear(spark, sf_dir)
     reference, target = lines.filter("l_suppkey % 2 = 0"), lines.filter("l_suppkey % 2 = 1")
     draws = order.stratified_draws(reference, unit="l_suppkey", strata=["dear"], replicates=200, seed="refit", folds=5)
     goal = order.stratified_draws(target, unit="l_suppkey", strata=[], replicates=200, seed="target")
-    shares = refit.refit_shares(reference, target, draws, goal, group="l_suppkey", features=["l_quantity", "l_discount", "l_tax"], label="dear", weight="l_quantity", replicates=200)
+    shares = refit.refit_shares(reference, target, draws, goal, group="l_suppkey", features=["l_extendedprice", "l_discount", "l_tax"], label="dear", weight="l_quantity", replicates=200)
     return refit.refit_interval(shares).select("replicates", "successful", "failed", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"))
 
 
@@ -105,3 +112,31 @@ SELECT o_orderkey, o_orderdate, o_custkey, o_orderdate = d AND o_custkey = c AS
 def order_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that, by key, come after one of a later date and customer."""
     return order.order_violations(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey"), sequence="o_orderkey", keys=["o_orderdate", "o_custkey"])
+
+
+def _quantified(spark: SparkSession, sf_dir: str, kind: str) -> dict[str, DataFrame]:
+    lines = _dear(spark, sf_dir)
+    scored = quantification.crossfit(lines.filter("l_suppkey % 2 = 0"), lines.filter("l_suppkey % 2 = 1"), group="l_suppkey", features=["l_extendedprice", "l_discount", "l_tax"], label="dear", weight="l_quantity", kind=kind)
+    return quantification.quantified(*scored, group="l_suppkey", label="dear", weight="l_quantity")
+
+
+def _rounded(point: DataFrame) -> DataFrame:
+    return point.select(*[r6(F.col(c)).alias(c) for c in ("share", "adjusted", "disagreement", "misfit", "auc", "threshold")], "auc_passed", "mixture_passed", "agreement_passed", "identified")
+
+
+@query()
+def quantified_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of dear lines of half of the suppliers by cross-fitted logistic scores, with its gates."""
+    return _rounded(_quantified(spark, sf_dir, "logistic")["point"])
+
+
+@query()
+def challenger_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by boosted trees."""
+    return _rounded(_quantified(spark, sf_dir, "trees")["point"])
+
+
+@query()
+def omitted_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share without each target supplier, and how far it moves."""
+    return _quantified(spark, sf_dir, "logistic")["omitted"].select("l_suppkey", r6(F.col("share")).alias("share"), r6(F.col("shift")).alias("shift"))
