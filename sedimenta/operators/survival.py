@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sedimenta.operators.quantify import same_keys, with_before
+from sedimenta.plans.scratch import materialize
+
 
 def balanced_weights(df: DataFrame, *, cluster: list[str], copies: Column | None = None) -> DataFrame:
     """Adds ``weight``: copies of the cluster over its rows, so that every cluster weighs alike."""
@@ -38,15 +41,12 @@ def kaplan_meier(df: DataFrame, *, time: str, event: Column, weight: str, horizo
     )
 
 
-def occupancy(df: DataFrame, *, modified: str, deleted: str, censored: str, weight: str, horizons: list[int], by: list[str] | None = None) -> DataFrame:
-    """Aalen-Johansen shares of unchanged, modified and deleted rows at each horizon.
+#: Moves between states: from unchanged or modified to modified, deleted or out of sight.
+_KINDS = ("um", "ud", "md", "uc", "mc")
 
-    A row has a modification time, a deletion time (either may be null) and a
-    censoring time, its end if it is not deleted.  A deletion at the time of the
-    modification counts as deletion from unchanged.  Rows censored before ``t``
-    have left when ``t`` comes, those censored at ``t`` have not.
-    """
-    by = by or []
+
+def _moves(df: DataFrame, *, by: list[str], modified: str, deleted: str, censored: str, weight: str) -> DataFrame:
+    """Weight of each kind of move at each distinct time."""
     m, d = F.col(modified), F.col(deleted)
     m = F.when(d.isNull() | (m < d), m)
     end = F.coalesce(d, F.col(censored))
@@ -56,36 +56,83 @@ def occupancy(df: DataFrame, *, modified: str, deleted: str, censored: str, weig
         F.struct(end.cast("double").alias("t"), F.when(d.isNotNull(), F.when(m.isNotNull(), "md").otherwise("ud")).otherwise(F.when(m.isNotNull(), "mc").otherwise("uc")).alias("kind")),
     )
     each = df.select(*by, w.alias("w"), F.explode(F.array_compact(moves)).alias("x"))
-    per = each.groupBy(*by, F.col("x.t").alias("t")).agg(*[F.sum(F.when(F.col("x.kind") == k, F.col("w")).otherwise(0.0)).alias(k) for k in ("um", "ud", "md", "uc", "mc")])
-    run = W.partitionBy(*by).orderBy("t").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*by).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    gone_u = F.coalesce(F.sum(F.col("um") + F.col("ud") + F.col("uc")).over(run), F.lit(0.0))
-    in_m = F.coalesce(F.sum(F.col("um") - F.col("md") - F.col("mc")).over(run), F.lit(0.0))
-    at_risk = per.withColumn("yu", F.sum(F.col("um") + F.col("ud") + F.col("uc")).over(whole) - gone_u).withColumn("ym", in_m)
-    tiny = F.lit(1e-12)
-    hazards = at_risk.select(
-        *by, "t",
-        F.when(F.col("yu") > tiny, F.col("um") / F.col("yu")).otherwise(0.0).alias("a"),
-        F.when(F.col("yu") > tiny, F.col("ud") / F.col("yu")).otherwise(0.0).alias("b"),
-        F.when(F.col("ym") > tiny, F.least(F.lit(1.0), F.col("md") / F.col("ym"))).otherwise(0.0).alias("c"),
-    )
-    # one sorted list of distinct event times, folded in order
-    listed = hazards.filter("a > 0 or b > 0 or c > 0").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("t", "a", "b", "c"))).alias("steps"))
-    everyone = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
-    listed = everyone.join(listed, by, "left") if by else everyone.join(listed, F.lit(True), "left")
-
-    def step(p, h):
-        return F.struct(
-            (p["u"] * (1 - h["a"] - h["b"])).alias("u"),
-            (p["m"] * (1 - h["c"]) + p["u"] * h["a"]).alias("m"),
-            (p["d"] + p["u"] * h["b"] + p["m"] * h["c"]).alias("d"),
-        )
-
-    start = F.struct(F.lit(1.0).alias("u"), F.lit(0.0).alias("m"), F.lit(0.0).alias("d"))
-    points = listed.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
-    upto = F.filter(F.coalesce("steps", F.array().cast("array<struct<t:double,a:double,b:double,c:double>>")), lambda s: s["t"] <= F.col("horizon"))
-    points = points.withColumn("p", F.aggregate(upto, start, step))
-    return points.select(*by, "horizon", F.col("p.u").alias("unchanged"), F.col("p.m").alias("modified"), F.col("p.d").alias("deleted"))
+    return each.groupBy(*by, F.col("x.t").alias("t")).agg(*[F.sum(F.when(F.col("x.kind") == k, F.col("w")).otherwise(0.0)).alias(k) for k in _KINDS])
+
+
+def occupancy(df: DataFrame, *, modified: str, deleted: str, censored: str, weight: str, horizons: list[int], by: list[str] | None = None) -> DataFrame:
+    """Aalen-Johansen shares of unchanged, modified and deleted rows at each horizon.
+
+    A row has a modification time, a deletion time (either may be null) and a
+    censoring time, its end if it is not deleted.  A deletion at the time of the
+    modification counts as deletion from unchanged.  Rows censored before ``t``
+    have left when ``t`` comes, those censored at ``t`` have not.
+    """
+    by = by or []
+    per = _moves(df, by=by, modified=modified, deleted=deleted, censored=censored, weight=weight)
+    return _occupied(per, by=by, horizons=horizons, everyone=df.select(*by).distinct() if by else None)
+
+
+#: Ranges of time whose steps are multiplied on their own.
+RANGES = 64
+
+
+def _product(steps: Column) -> Column:
+    """The product of 2x2 upper triangular matrices ``[[u, a], [0, m]]`` in the order of the list."""
+    one = F.struct(F.lit(1.0).alias("u"), F.lit(0.0).alias("a"), F.lit(1.0).alias("m"))
+    return F.aggregate(steps, one, lambda p, x: F.struct((p["u"] * x["u"]).alias("u"), (p["u"] * x["a"] + p["a"] * x["m"]).alias("a"), (p["m"] * x["m"]).alias("m")))
+
+
+def _occupied(per: DataFrame, *, by: list[str], horizons: list[int], everyone: DataFrame | None) -> DataFrame:
+    """Shares at each horizon from the weights of moves at each distinct time ``t``: um, ud, md, uc, mc.
+
+    A time's step is a matrix over (unchanged, modified); what is left of the row is
+    deleted.  Steps are multiplied within ranges of time that end at horizons, then the
+    products of the ranges up to each horizon; no list holds more than a range or one entry a range.
+    """
+    per = materialize(per)  # one row a time, read several times below
+    left_u = with_before(per.withColumn("leaves", F.col("um") + F.col("ud") + F.col("uc")), by=by, value="t", amount="leaves", name="gone_u")
+    left_u = materialize(left_u)
+    both = with_before(left_u.withColumn("enters", F.col("um") - F.col("md") - F.col("mc")), by=by, value="t", amount="enters", name="ym")
+    at_risk = same_keys(both, per.groupBy(*by).agg(F.sum(F.col("um") + F.col("ud") + F.col("uc")).alias("all_u"), F.min("t").alias("from_t"), F.max("t").alias("to_t")), by)
+    tiny, yu = F.lit(1e-12), F.col("all_u") - F.col("gone_u")
+    a, b = (F.when(yu > tiny, F.col(c) / yu).otherwise(0.0) for c in ("um", "ud"))
+    c = F.when(F.col("ym") > tiny, F.least(F.lit(1.0), F.col("md") / F.col("ym"))).otherwise(0.0)
+    part = sum((F.when(F.col("t") > h, 1).otherwise(0) for h in horizons), F.lit(0))
+    inside = F.least(F.lit(RANGES - 1), F.floor((F.col("t") - F.col("from_t")) / F.greatest(F.col("to_t") - F.col("from_t"), F.lit(1e-9)) * RANGES))
+    steps = at_risk.select(*by, "t", part.alias("part"), inside.alias("range"), (1 - a - b).alias("u"), a.alias("a"), (1 - c).alias("m"))
+    ordered = F.sort_array(F.collect_list(F.struct("t", "u", "a", "m")))
+    ranges = steps.groupBy(*by, "part", "range").agg(_product(ordered).alias("p"))
+    ordered = F.sort_array(F.collect_list(F.struct("part", "range", "p.u", "p.a", "p.m")))
+    listed = ranges.groupBy(*by).agg(ordered.alias("ranges"))
+    if everyone is not None:
+        listed = everyone.join(listed.withColumnsRenamed({k: f"__{k}" for k in by}), _all_same(by), "left").drop(*[f"__{k}" for k in by])
+    else:
+        listed = per.sparkSession.range(1).select().join(listed, F.lit(True), "left")
+    limits = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(sum(h > g for g in horizons)).alias("most")) for h in horizons])
+    points = listed.select(*by, "ranges", F.explode(limits).alias("h"))
+    upto = F.filter(F.coalesce("ranges", F.array().cast("array<struct<part:int,range:bigint,u:double,a:double,m:double>>")), lambda x: x["part"] <= F.col("h.most"))
+    done = points.select(*by, "h.horizon", _product(upto).alias("p"))
+    return done.select(*by, "horizon", F.col("p.u").alias("unchanged"), F.col("p.a").alias("modified"), F.greatest(F.lit(0.0), 1 - F.col("p.u") - F.col("p.a")).alias("deleted"))
+
+
+def _all_same(by: list[str]) -> Column:
+    hit = F.lit(True)
+    for k in by:
+        hit = hit & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return hit
+
+
+def bootstrap_occupancy(df: DataFrame, draws: DataFrame, *, cluster: str, modified: str, deleted: str, censored: str, weight: str, horizons: list[int]) -> DataFrame:
+    """``horizon, state, low, high, replicates``: percentile intervals of the shares of :func:`occupancy` over whole-cluster resamples.
+
+    Moves are added up by cluster and time; only these sums meet the draws.
+    """
+    sums = _moves(df, by=[cluster], modified=modified, deleted=deleted, censored=censored, weight=weight)
+    drawn = sums.join(draws, cluster).groupBy("replicate", "t").agg(*[F.sum(F.col(k) * F.col("copies")).alias(k) for k in _KINDS])
+    each = _occupied(drawn, by=["replicate"], horizons=horizons, everyone=draws.select("replicate").distinct())
+    long = each.unpivot(["replicate", "horizon"], ["unchanged", "modified", "deleted"], "state", "share")
+    ends = [F.percentile("share", F.lit(q)).alias(n) for n, q in (("low", 0.025), ("high", 0.975))]
+    return long.groupBy("horizon", "state").agg(*ends, F.count("*").alias("replicates"))
 
 
 def cluster_draws(clusters: DataFrame, *, cluster: str, replicates: int = 2000, seed: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.operators import lineage
 from sedimenta.operators import matching as M
+from sedimenta.operators import order
 from sedimenta.operators import panel as D
 from sedimenta.operators import quantify as K
 from sedimenta.operators import survival as S
@@ -48,7 +49,7 @@ def cluster_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH c AS (SELECT c_mktsegment AS stratum, c_nationkey AS nation, count(*) FILTER (o_orderstatus = 'F') AS good, count(*) FILTER (o_orderstatus <> 'P') AS seen, count(*) AS rows FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
 """
-    + draws_sql("c", "nation", 200, "strata")
+    + draws_sql("c", "nation", 2000, "strata")
     + """, e AS (SELECT stratum, replicate, sum(good / nullif(seen, 0) * copies) / sum(CASE WHEN seen > 0 THEN copies END) AS balanced, sum(good * copies) / sum(seen * copies) AS pooled FROM c AS x JOIN copies AS k ON x.nation = k.c GROUP BY 1, 2),
 s AS (SELECT stratum, quantile_cont(balanced, 0.025) AS bl, quantile_cont(balanced, 0.975) AS bh, quantile_cont(pooled, 0.025) AS pl, quantile_cont(pooled, 0.975) AS ph FROM e GROUP BY 1),
 p AS (SELECT stratum, count(*) AS clusters, sum(seen) / sum(rows) AS coverage, avg(good / nullif(seen, 0)) AS balanced, sum(good) / sum(seen) AS pooled FROM c GROUP BY 1)
@@ -59,7 +60,7 @@ def stratum_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     status = F.col("o_orderstatus")
     counts = orders.groupBy(F.col("c_mktsegment").alias("stratum"), F.col("c_nationkey").alias("nation")).agg(F.count_if(status == "F").alias("good"), F.count_if(status != "P").alias("seen"), F.count("*").alias("rows"))
-    out = S.stratum_shares(counts, S.cluster_draws(counts, cluster="nation", replicates=200, seed="strata"), stratum="stratum", cluster="nation", good="good", seen="seen", rows="rows", least_coverage=0.6)
+    out = S.stratum_shares(counts, S.cluster_draws(counts, cluster="nation", replicates=2000, seed="strata"), stratum="stratum", cluster="nation", good="good", seen="seen", rows="rows", least_coverage=0.6)
     numbers = [c for c in out.columns if c not in ("stratum", "clusters", "reasons")]
     return out.select("stratum", "clusters", *[r6(F.col(c)).alias(c) for c in numbers], F.array_join("reasons", ",").alias("reasons"))
 
@@ -77,12 +78,17 @@ def mean_zero_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {EFFECTS}, {draws_sql('eff', 'cust', 100, 'effects')}, r AS (SELECT seg, replicate, sum(effect * copies) / sum(copies) AS m FROM eff JOIN copies ON cust = c GROUP BY 1, 2) "
+    f"WITH {EFFECTS}, u AS (SELECT seg, cust, row_number() OVER (PARTITION BY seg ORDER BY cust) - 1 AS place, count(*) OVER (PARTITION BY seg) AS n FROM (SELECT DISTINCT seg, cust FROM eff)), "
+    "d AS (SELECT seg, b AS replicate, CAST(('0x' || substr(sha256('effects' || chr(0) || seg || chr(0) || b || chr(0) || place), 1, 12)) AS BIGINT) % n AS place FROM u, (SELECT unnest(range(2000)) AS b)), "
+    "c AS (SELECT d.seg, replicate, cust, count(*) AS copies FROM d JOIN u ON u.seg = d.seg AND u.place = d.place GROUP BY ALL), "
+    "r AS (SELECT eff.seg, replicate, sum(effect * copies) / sum(copies) AS m FROM eff JOIN c ON eff.cust = c.cust AND eff.seg = c.seg GROUP BY 1, 2) "
     "SELECT seg, round(quantile_cont(m, 0.025), 3) AS low, round(quantile_cont(m, 0.975), 3) AS high, count(*) AS replicates FROM r GROUP BY seg"
 )
 def effect_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of the mean effect of each segment, whose adopters are drawn among themselves, over 2000 resamples."""
     effects = contrasts(spark, sf_dir)
-    out = D.bootstrap_effects(effects, S.cluster_draws(effects, cluster="cust", replicates=100, seed="effects"), unit="cust", by=["seg"], effect="effect")
+    draws = order.stratified_draws(effects, unit="cust", strata=["seg"], replicates=2000, seed="effects")
+    out = D.bootstrap_effects(effects, draws.drop("seg"), unit="cust", by=["seg"], effect="effect")
     return out.select("seg", F.round("low", 3).alias("low"), F.round("high", 3).alias("high"), "replicates")
 
 

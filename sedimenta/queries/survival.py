@@ -75,21 +75,59 @@ def state_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out, "unchanged", "modified", "deleted")
 
 
+NATIONS = """nations AS (SELECT l.*, c_nationkey AS nation, 1.0::DOUBLE / count(*) OVER (PARTITION BY cust) AS weight FROM lines l JOIN customer ON cust = c_custkey),
+clusters AS (SELECT nation, row_number() OVER (ORDER BY nation) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT nation FROM nations)),
+draws AS (SELECT b AS replicate, CAST(('0x' || substr(sha256('boot' || chr(0) || b || chr(0) || place), 1, 12)) AS BIGINT) % n AS place FROM clusters, (SELECT unnest(range(2000)) AS b)),
+copies AS (SELECT replicate, nation, count(*) AS copies FROM draws JOIN clusters USING (place) GROUP BY replicate, nation)"""
+
+
+def by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with the nation of their customer, who weighs as much as any other."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust"), F.col("c_nationkey").alias("nation"))
+    return S.balanced_weights(lines(spark, sf_dir), cluster=["cust"]).join(customers, "cust")
+
+
 @query(
-    f"""WITH {LINES}, clusters AS (SELECT cust, row_number() OVER (ORDER BY cust) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT cust FROM lines)),
-draws AS (SELECT b AS replicate, CAST(('0x' || substr(sha256('boot' || chr(0) || b || chr(0) || place), 1, 12)) AS BIGINT) % n AS place FROM clusters, (SELECT unnest(range(20)) AS b)),
-copies AS (SELECT replicate, cust, count(*) AS copies FROM draws JOIN clusters USING (place) GROUP BY replicate, cust),
-w AS (SELECT cust, lag, flag, 1.0::DOUBLE / count(*) OVER (PARTITION BY cust) AS weight FROM lines),
-per AS (SELECT replicate, lag, sum(weight * copies) AS ended, sum(CASE WHEN flag = 'R' THEN weight * copies ELSE 0 END) AS died FROM w JOIN copies USING (cust) GROUP BY replicate, lag),
+    f"""WITH {LINES}, {NATIONS},
+per AS (SELECT replicate, lag, sum(weight * copies) AS ended, sum(CASE WHEN flag = 'R' THEN weight * copies ELSE 0 END) AS died FROM nations JOIN copies USING (nation) GROUP BY replicate, lag),
 risk AS (SELECT *, sum(ended) OVER (PARTITION BY replicate ORDER BY lag DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at_risk FROM per),
 curve AS (SELECT *, product(1 - died / at_risk) OVER (PARTITION BY replicate ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM risk),
 each AS (SELECT replicate, horizon, max_by(s, lag) AS s FROM curve, (SELECT unnest([30, 90, 180, 365]) AS horizon) WHERE lag <= horizon GROUP BY replicate, horizon)
 SELECT horizon, round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.975), 6) AS high, count(*) AS replicates FROM each GROUP BY horizon"""
 )
 def survival_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.balanced_weights(lines(spark, sf_dir), cluster=["cust"])
-    draws = S.cluster_draws(rows, cluster="cust", replicates=20, seed="boot")
-    out = S.bootstrap_survival(rows, draws, cluster="cust", time="lag", event=F.col("flag") == "R", weight="weight", horizons=HORIZONS)
+    """Intervals of survival over 2000 resamples of nations."""
+    rows = by_nation(spark, sf_dir)
+    draws = S.cluster_draws(rows, cluster="nation", replicates=2000, seed="boot")
+    out = S.bootstrap_survival(rows, draws, cluster="nation", time="lag", event=F.col("flag") == "R", weight="weight", horizons=HORIZONS)
+    return _rounded(out, "low", "high")
+
+
+@query(
+    f"""WITH RECURSIVE {LINES}, {NATIONS},
+w AS (SELECT nation, weight, lag, CASE WHEN flag = 'A' THEN lag // 2 END AS mod, CASE WHEN flag = 'R' OR (flag = 'A' AND l_quantity > 25) THEN lag END AS del FROM nations),
+k AS (SELECT nation, weight, lag, del, CASE WHEN del IS NULL OR mod < del THEN mod END AS mod FROM w),
+each AS (SELECT nation, weight, mod AS t, 'um' AS kind FROM k WHERE mod IS NOT NULL
+  UNION ALL SELECT nation, weight, coalesce(del, lag), CASE WHEN del IS NOT NULL THEN CASE WHEN mod IS NOT NULL THEN 'md' ELSE 'ud' END ELSE CASE WHEN mod IS NOT NULL THEN 'mc' ELSE 'uc' END END FROM k),
+sums AS (SELECT nation, t, kind, sum(weight) AS w FROM each GROUP BY ALL),
+per AS (SELECT replicate AS r, t, sum(CASE WHEN kind = 'um' THEN w * copies ELSE 0 END) AS um, sum(CASE WHEN kind = 'ud' THEN w * copies ELSE 0 END) AS ud, sum(CASE WHEN kind = 'md' THEN w * copies ELSE 0 END) AS md,
+  sum(CASE WHEN kind = 'uc' THEN w * copies ELSE 0 END) AS uc, sum(CASE WHEN kind = 'mc' THEN w * copies ELSE 0 END) AS mc FROM sums JOIN copies USING (nation) GROUP BY r, t),
+risk AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY t) AS i, sum(um + ud + uc) OVER (PARTITION BY r) - coalesce(sum(um + ud + uc) OVER (PARTITION BY r ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS yu,
+  coalesce(sum(um - md - mc) OVER (PARTITION BY r ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ym FROM per),
+hz AS MATERIALIZED (SELECT r, i, t, CASE WHEN yu > 1e-12 THEN um / yu ELSE 0 END AS a, CASE WHEN yu > 1e-12 THEN ud / yu ELSE 0 END AS b, CASE WHEN ym > 1e-12 THEN least(1.0, md / ym) ELSE 0 END AS c FROM risk),
+fold AS (SELECT CAST(b AS BIGINT) AS r, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS t, 1.0::DOUBLE AS u, 0.0::DOUBLE AS m FROM (SELECT unnest(range(2000)) AS b)
+  UNION ALL SELECT hz.r, hz.i, CAST(hz.t AS BIGINT), u * (1 - a - b), m * (1 - c) + u * a FROM fold JOIN hz ON hz.r = fold.r AND hz.i = fold.i + 1),
+e AS (SELECT r, h.horizon, max_by(u, t) AS unchanged, max_by(m, t) AS modified FROM fold, (SELECT unnest([30, 90, 180, 365]) AS horizon) h WHERE t <= h.horizon GROUP BY r, h.horizon),
+l AS (SELECT horizon, 'unchanged' AS state, unchanged AS share FROM e UNION ALL SELECT horizon, 'modified', modified FROM e UNION ALL SELECT horizon, 'deleted', greatest(0, 1 - unchanged - modified) FROM e)
+SELECT horizon, state, round(quantile_cont(share, 0.025), 6) AS low, round(quantile_cont(share, 0.975), 6) AS high, count(*) AS replicates FROM l GROUP BY horizon, state"""
+)
+def occupancy_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of the shares of unchanged, modified and deleted lines over 2000 resamples of nations."""
+    modified = F.when(F.col("flag") == "A", F.floor(F.col("lag") / 2))
+    deleted = F.when((F.col("flag") == "R") | ((F.col("flag") == "A") & (F.col("l_quantity") > 25)), F.col("lag"))
+    rows = by_nation(spark, sf_dir).withColumn("modified_at", modified).withColumn("deleted_at", deleted)
+    draws = S.cluster_draws(rows, cluster="nation", replicates=2000, seed="boot")
+    out = S.bootstrap_occupancy(rows, draws, cluster="nation", modified="modified_at", deleted="deleted_at", censored="lag", weight="weight", horizons=HORIZONS)
     return _rounded(out, "low", "high")
 
 
