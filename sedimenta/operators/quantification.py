@@ -128,3 +128,70 @@ def quantified(reference: DataFrame, target: DataFrame, *, group: str, label: st
         (F.col("auc") >= LEAST_AUC).alias("auc_passed"), F.lit(misfit <= MOST_MISFIT).alias("mixture_passed"), (F.abs(F.lit(share) - F.col("adjusted")) <= MOST_DISAGREEMENT).alias("agreement_passed"),
     )
     return {"point": point.withColumn("identified", F.col("auc_passed") & F.col("mixture_passed") & F.col("agreement_passed")), "omitted": omitted}
+
+
+def mixture_grid(
+    reference: DataFrame, target: DataFrame, draws: DataFrame, *, stratum: str, by: list[str], group: str, label: str, weight: str, bins: int = 20, least_groups: int = 5
+) -> DataFrame:
+    """``by, stratum, weighting, groups, share, low, high, misfit, replicates, status`` of every cell of scored targets.
+
+    Reference scores of a ``stratum`` (say a language) are cut at their own pooled weighted quantiles; strata are
+    few.  ``weighting`` is ``line`` (rows weigh as they do) or ``repository`` (every group of a cell weighs alike).
+    ``draws`` (``replicate, group, copies``) gives the interval.  Rows are counted by group and bin
+    once, and all shares of a cell are found together.  The status is ``identified``, or why there is no share.
+    """
+    spark = reference.sparkSession
+    strata = [r[0] for r in reference.select(stratum).distinct().orderBy(stratum).collect()]
+    kind = reference.schema[stratum].dataType.simpleString()
+    models = spark.createDataFrame([(s, i, 1) for i, s in enumerate(strata)], f"`{stratum}` {kind}, model int, copies int")
+    blocks = packed(reference, models, unit=[stratum], features=["score"], label=F.col(label).cast("int"), weight=F.col(weight), models=len(strata))
+
+    def entries(b: Block) -> Iterator[tuple]:
+        for i in range(len(strata)):
+            yield i, b.x[:, 0], b.w * b.copies[b.unit, i], b.w
+
+    edges = quantile_edges(blocks, entries, features=1, replicates=len(strata), bins=bins)
+    discard(blocks)
+    cuts = spark.createDataFrame([(s, [float(x) for x in e]) for s, e in zip(strata, edges, strict=True)], f"`{stratum}` {kind}, __edges array<double>")
+
+    def binned(df: DataFrame) -> DataFrame:
+        at = F.size(F.filter("__edges", lambda e: e <= F.col("score")))
+        return df.filter(F.col(weight) > 0).join(cuts, stratum, "left").withColumn("bin", F.when(F.col("__edges").isNotNull(), at))
+
+    shapes: dict = {}
+    for r in binned(reference).groupBy(stratum, label, "bin").agg(F.sum(weight).alias("w")).collect():  # two rows a stratum and bin
+        size = len(edges[strata.index(r[stratum])]) + 1
+        shapes.setdefault(r[stratum], np.full((2, size), 0.5))[int(r[label]), r.bin] += r.w
+    shapes = {s: v / v.sum(axis=1, keepdims=True) for s, v in shapes.items()}
+    cell = [*by, stratum]
+    per = materialize(binned(target).groupBy(*cell, group, "bin").agg(F.sum(weight).alias("line")))
+    whole = per.groupBy(*cell, group).agg(F.sum("line").alias("__all"))
+    both = same_keys(per, whole, [*cell, group]).withColumn("repository", F.col("line") / F.col("__all"))
+    long = materialize(both.unpivot([*cell, group, "bin"], ["line", "repository"], "weighting", "w"))
+    once = long.groupBy(*cell, "weighting", "bin").agg(F.sum("w").alias("w")).withColumn("replicate", F.lit(-1))
+    drawn = long.join(draws, group).groupBy(*cell, "weighting", "bin", "replicate").agg(F.sum(F.col("w") * F.col("copies")).alias("w"))
+    groups = per.groupBy(*cell).agg(F.count_distinct(group).alias("groups"))
+
+    def shares(frame: pd.DataFrame) -> pd.DataFrame:
+        head, shape = frame.iloc[:1], shapes.get(frame[stratum].iloc[0])
+        out = head[[*cell, "weighting"]].assign(share=None, low=None, high=None, misfit=None, replicates=0, reason=None)
+        if shape is None:
+            return out.assign(reason="no_reference")
+        if shape.shape[1] < 2 or 0.5 * np.abs(shape[1] - shape[0]).sum() < LEAST_VARIATION:
+            return out.assign(reason="reference_indistinguishable")
+        numbers, row = np.unique(frame["replicate"], return_inverse=True)
+        counts = np.zeros((len(numbers), shape.shape[1]))
+        np.add.at(counts, (row, frame["bin"].to_numpy(np.int64)), frame["w"].to_numpy())
+        found = likeliest_shares(shape[1][None], shape[0][None], counts)
+        own, rest = found[numbers == -1][0], found[numbers != -1]
+        goal = counts[numbers == -1][0]
+        misfit = 0.5 * np.abs(goal / goal.sum() - own * shape[1] - (1 - own) * shape[0]).sum()
+        low, high = np.percentile(rest, [2.5, 97.5]) if len(rest) else (None, None)
+        return out.assign(share=own, low=low, high=high, misfit=misfit, replicates=len(rest))
+
+    kinds = ", ".join(f"`{c}` {target.schema[c].dataType.simpleString()}" for c in cell)
+    made = once.unionByName(drawn).groupBy(*cell, "weighting").applyInPandas(shares, f"{kinds}, weighting string, share double, low double, high double, misfit double, replicates int, reason string")
+    out = same_keys(made, groups, cell)
+    few = F.col("groups") < least_groups
+    status = F.coalesce("reason", F.when(few, "too_few_groups"), F.when(F.col("misfit") > MOST_MISFIT, "mixture_does_not_fit"), F.lit("identified"))
+    return out.select(*cell, "weighting", "groups", "share", *[F.when(~few, F.col(c)).alias(c) for c in ("low", "high")], "misfit", "replicates", status.alias("status"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sedimenta.plans.scratch import materialize
+
 
 def same_keys(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Inner join on ``on``, null keys equal to null, with one copy of the keys."""
@@ -53,6 +55,39 @@ def rates_at(df: DataFrame, *, score: str, label: Column, weight: Column, thresh
     )
 
 
+def score_summary(df: DataFrame, *, score: str, label: Column, weight: Column, threshold: float = 0.5, by: list[str] | None = None) -> DataFrame:
+    """``n, tp, fp, tn, fn, precision, recall, average_precision, brier`` of scores in [0, 1], by group.
+
+    Average precision adds up, over the distinct scores from the highest down, the precision
+    there times the recall gained; rows of one score count together.  Counts are of rows,
+    the last two are weighted.  Rows without score or label are left out; an undefined share is null.
+    """
+    by = by or []
+    rows = df.select(*by, F.col(score).cast("double").alias("__s"), label.alias("__y"), weight.cast("double").alias("__w")).filter("__s is not null and __y is not null")
+    hit, y, w = F.col("__s") >= threshold, F.col("__y"), F.col("__w")
+    counts = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.count_if(hit & y).alias("tp"), F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & ~y).alias("tn"), F.count_if(~hit & y).alias("fn"),
+        F.try_divide(F.sum(w * F.pow(F.col("__s") - y.cast("double"), 2)), F.sum(w)).alias("brier"),
+    )
+    per = materialize(rows.groupBy(*by, "__s").agg(F.sum(F.when(y, w).otherwise(0.0)).alias("pos"), F.sum(w).alias("all")))
+    whole = per.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("all").alias("total"))
+    below = with_before(with_before(per, by=by, value="__s", amount="pos", name="pos_below"), by=by, value="__s", amount="all", name="below")
+    right = F.try_divide(F.col("all_pos") - F.col("pos_below"), F.col("total") - F.col("below"))
+    area = same_keys(below, whole, by).groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * right), F.max("all_pos")).alias("average_precision"))
+    out = same_keys(counts, area, by)
+    out = out.withColumn("precision", F.try_divide("tp", F.col("tp") + F.col("fp"))).withColumn("recall", F.try_divide("tp", F.col("tp") + F.col("fn")))
+    return out.select(*by, "n", "tp", "fp", "tn", "fn", "precision", "recall", "average_precision", "brier")
+
+
+def reliability(df: DataFrame, *, score: str, label: Column, weight: Column, bins: int = 10, by: list[str] | None = None) -> DataFrame:
+    """``bin, rows, said, right``: weighted mean score and share of the label in equal bins of [0, 1], and how far apart they are (``gap``)."""
+    s = F.col(score).cast("double")
+    at = F.least(F.lit(bins - 1), F.floor(s * bins)).cast("int")
+    rows = df.filter(s.isNotNull() & label.isNotNull())
+    out = rows.groupBy(*(by or []), at.alias("bin")).agg(F.count("*").alias("rows"), F.try_divide(F.sum(weight * s), F.sum(weight)).alias("said"), F.try_divide(F.sum(F.when(label, weight).otherwise(0.0)), F.sum(weight)).alias("right"))
+    return out.withColumn("gap", F.abs(F.col("said") - F.col("right")))
+
+
 def best_threshold(df: DataFrame, *, score: str, label: Column, weight: Column) -> DataFrame:
     """The threshold of highest ``tpr - fpr`` among the 49 unweighted quantiles .02 to .98; ties to the larger."""
     grid = [round(0.02 * i, 2) for i in range(1, 50)]

@@ -140,3 +140,15 @@ def challenger_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 def omitted_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share without each target supplier, and how far it moves."""
     return _quantified(spark, sf_dir, "logistic")["omitted"].select("l_suppkey", r6(F.col("share")).alias("share"), r6(F.col("shift")).alias("shift"))
+
+
+@query()
+def mixture_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixture shares by language and tier of documents, by both weightings, with intervals over 2000 resamples of sources."""
+    docs = table(spark, sf_dir, "documents").withColumn("score", r6(F.col("n_chars") % 997 / F.lit(997.0)))
+    high = F.col("doc_id") % 3 == 1
+    sided = docs.select("lang", "source", (F.col("doc_id") % 2).alias("tier"), (F.col("doc_id") % 3).alias("part"), high.cast("int").alias("y"), F.when(high | (F.col("doc_id") % 6 == 0), F.sqrt("score")).otherwise(F.pow("score", 2)).alias("score"), F.lit(1.0).alias("w"))
+    reference, target = sided.filter("part <> 0"), sided.filter("part = 0")
+    draws = order.stratified_draws(target, unit="source", strata=[], replicates=2000, seed="cells")
+    out = quantification.mixture_grid(reference, target, draws, stratum="lang", by=["tier"], group="source", label="y", weight="w")
+    return out.select("lang", "tier", "weighting", "groups", *[r6(F.col(c)).alias(c) for c in ("share", "low", "high", "misfit")], "replicates", "status")

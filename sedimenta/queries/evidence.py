@@ -222,3 +222,13 @@ def graph_landings(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = own.filter("b = 0").groupBy(F.col("u").alias("repository")).agg(F.max_by("c", "k").alias("commit"))
     out = graph.landings(parents, heads)
     return out.select(F.col("repository").alias("user_id"), F.col("commit").alias("event_id"), "landing", "position")
+
+
+@query(
+    """WITH g AS (SELECT l_suppkey, l_returnflag, list(DISTINCT l_linenumber) AS lines, min(l_shipmode) AS mode FROM lineitem GROUP BY 1, 2)
+SELECT l_suppkey, l_returnflag, mode, unnest(lines) AS line FROM g"""
+)
+def expanded_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ship mode of a supplier and flag, for each line number it has."""
+    groups = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.collect_set("l_linenumber").alias("lines"), F.min("l_shipmode").alias("mode"))
+    return V.expanded(groups, members="lines", member="line")

@@ -173,3 +173,27 @@ def mixture_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     draws = cluster_draws(rows, cluster="source", replicates=2000, seed="mixture")
     out = K.mixture_interval(rows, draws, group="source", side="side", score="score", weight="weight")
     return out.select(r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"), "replicates")
+
+
+@query(
+    f"""WITH {SCORED}, c AS (SELECT lang, count(*) AS n, count(*) FILTER (score >= 0.5 AND quality = 1) AS tp, count(*) FILTER (score >= 0.5 AND quality <> 1) AS fp, count(*) FILTER (score < 0.5 AND quality <> 1) AS tn, count(*) FILTER (score < 0.5 AND quality = 1) AS fn,
+  sum(weight * pow(score - CASE WHEN quality = 1 THEN 1 ELSE 0 END, 2)) / sum(weight) AS brier FROM scored GROUP BY lang),
+p AS (SELECT lang, score, sum(CASE WHEN quality = 1 THEN weight ELSE 0 END) AS pos, sum(weight) AS w FROM scored GROUP BY 1, 2),
+r AS (SELECT lang, pos, sum(pos) OVER (PARTITION BY lang ORDER BY score DESC) AS up, sum(w) OVER (PARTITION BY lang ORDER BY score DESC) AS got FROM p),
+a AS (SELECT lang, sum(pos * up / got) / sum(pos) AS average_precision FROM r GROUP BY lang)
+SELECT c.lang, n, tp, fp, tn, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(average_precision, 6) AS average_precision, round(brier, 6) AS brier FROM c JOIN a ON a.lang = c.lang"""
+)
+def score_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall, average precision and Brier score of each language."""
+    out = K.score_summary(scored(spark, sf_dir), score="score", label=F.col("quality") == 1, weight=F.col("weight"), by=["lang"])
+    return out.select("lang", "n", "tp", "fp", "tn", "fn", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "average_precision", "brier")])
+
+
+@query(
+    f"""WITH {SCORED}, b AS (SELECT CAST(least(9, floor(score * 10)) AS INTEGER) AS bin, count(*) AS rows, sum(weight * score) / sum(weight) AS said, sum(CASE WHEN quality = 1 THEN weight ELSE 0 END) / sum(weight) AS "right" FROM scored GROUP BY 1)
+SELECT bin, rows, round(said, 6) AS said, round("right", 6) AS "right", round(abs(said - "right"), 6) AS gap FROM b"""
+)
+def score_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean score and share of good documents in ten bins of the score."""
+    out = K.reliability(scored(spark, sf_dir), score="score", label=F.col("quality") == 1, weight=F.col("weight"))
+    return out.select("bin", "rows", *[r6(F.col(c)).alias(c) for c in ("said", "right", "gap")])
