@@ -225,10 +225,10 @@ def graph_landings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH g AS (SELECT l_suppkey, l_returnflag, list(DISTINCT l_linenumber) AS lines, min(l_shipmode) AS mode FROM lineitem GROUP BY 1, 2)
+    """WITH g AS (SELECT l_suppkey, l_returnflag, list(DISTINCT l_linenumber) AS lines, min(l_linestatus) AS mode FROM lineitem GROUP BY 1, 2)
 SELECT l_suppkey, l_returnflag, mode, unnest(lines) AS line FROM g"""
 )
 def expanded_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ship mode of a supplier and flag, for each line number it has."""
-    groups = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.collect_set("l_linenumber").alias("lines"), F.min("l_shipmode").alias("mode"))
+    """The first line status of a supplier and flag, for each line number it has."""
+    groups = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.collect_set("l_linenumber").alias("lines"), F.min("l_linestatus").alias("mode"))
     return V.expanded(groups, members="lines", member="line")
