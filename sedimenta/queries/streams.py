@@ -29,9 +29,9 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n")
 
 
-@query("SELECT user_id, event_type, CAST(ts AS DATE) AS day FROM events GROUP BY ALL")
+@query("SELECT user_id, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events GROUP BY ALL")
 def stream_firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a stream keeps of repeated events of one user, type and day."""
     schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("day", F.to_date("ts"))
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("day", F.to_date("ts").cast("string"))
     return E.run_once(E.deduplicated(stream, at="ts", keys=["user_id", "event_type", "day"], late="1 hour")).select("user_id", "event_type", "day")
