@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sedimenta.plans.scratch import materialize
+
 
 def contrasts(panel: DataFrame, adopters: DataFrame, *, unit: str, period: str, value: str, stratum: str, before: int = 1, after: int = 1) -> DataFrame:
     """Per adopter: its change from ``before`` to ``after`` its adoption less the mean change of its stratum's controls.
@@ -31,17 +35,61 @@ def contrasts(panel: DataFrame, adopters: DataFrame, *, unit: str, period: str,
     return joined.select(unit, stratum, "pre", "post", (F.col("v1") - F.col("v0")).alias("change"), "control_change", "controls", (F.col("v1") - F.col("v0") - F.col("control_change")).alias("effect"))
 
 
+#: Controls that a cell of the grid should hold, about.
+CELL_CONTROLS = 16
+
+
 def nearest_controls(adopters: DataFrame, controls: DataFrame, *, unit: str, stratum: str, features: list[str], k: int = 5) -> DataFrame:
-    """``(adopter, control, rank, distance)``: k nearest controls of the stratum, with replacement, features scaled by the stratum's population deviation."""
+    """``(adopter, control, rank, distance)``: k nearest controls of the stratum, with replacement, features scaled by the stratum's population deviation.
+
+    Each stratum has a grid over its first two features.  An adopter first meets the controls of its own
+    and the adjoining cells; the k-th distance there bounds the cells that can hold a nearer one, and it
+    meets just those.  Where too few are found at first, the bound is that of the whole grid.
+    Rows with a null feature or stratum take no part.
+    """
+    whole = F.lit(True)
+    for f in features:
+        whole = whole & F.col(f).isNotNull()
+    adopters, controls = adopters.filter(whole), controls.filter(whole)
     pooled = adopters.select(stratum, *features).unionByName(controls.select(stratum, *features))
     sd = pooled.groupBy(stratum).agg(*[F.stddev_pop(f).alias(f"__{f}") for f in features])
-    left = adopters.select(F.col(unit).alias("adopter"), stratum, *[F.col(f).alias(f"a_{f}") for f in features])
-    right = controls.select(F.col(unit).alias("control"), stratum, *[F.col(f).alias(f"c_{f}") for f in features])
-    pairs = left.join(F.broadcast(sd), stratum).join(right, stratum)
+    scaled = [(F.col(f) / F.when(F.col(f"__{f}") > 0, F.col(f"__{f}")).otherwise(1.0)).alias(f"x{i}") for i, f in enumerate(features)]
+    left = adopters.join(sd, stratum).select(stratum, F.col(unit).alias("adopter"), *scaled, *[F.col(f).alias(f"a_{f}") for f in features], *[f"__{f}" for f in features])
+    right = controls.join(sd, stratum).select(stratum, F.col(unit).alias("control"), *scaled, *[F.col(f).alias(f"c_{f}") for f in features])
+    axes = range(min(2, len(features)))
+    ends = [e(f"x{i}").alias(f"{n}{i}") for i in axes for n, e in (("lo", F.min), ("hi", F.max))]
+    cells = F.greatest(F.lit(1.0), F.pow(F.count("*") / CELL_CONTROLS, 1 / len(axes)))
+    grid = right.groupBy(stratum).agg(*ends, F.ceil(cells).alias("cells"))
+
+    def at(x: Column, i: int) -> Column:
+        """The cell of a value, which may lie outside the grid: then that of the border."""
+        width = (F.col(f"hi{i}") - F.col(f"lo{i}")) / F.col("cells")
+        raw = F.when(width > 0, F.floor((x - F.col(f"lo{i}")) / width)).otherwise(F.lit(0))
+        return F.greatest(F.lit(0), F.least(F.col("cells") - 1, raw)).cast("int")
+
+    def between(df: DataFrame, low: Callable, high: Callable) -> DataFrame:
+        for i in axes:
+            df = df.withColumn(f"cell{i}", F.explode(F.sequence(low(i), high(i))))
+        return df
+
+    held = right.join(grid, stratum).select(*right.columns, *[at(F.col(f"x{i}"), i).alias(f"cell{i}") for i in axes])
+    asked = materialize(left.join(grid, stratum))
+    key = [stratum, *[f"cell{i}" for i in axes]]
     terms = [F.pow((F.col(f"a_{f}") - F.col(f"c_{f}")) / F.when(F.col(f"__{f}") > 0, F.col(f"__{f}")).otherwise(1.0), 2) for f in features]
     distance = F.round(sum(terms[1:], terms[0]), 12)
-    ranked = pairs.select("adopter", "control", distance.alias("distance")).withColumn("rank", F.row_number().over(W.partitionBy("adopter").orderBy("distance", "control")))
-    return ranked.filter(F.col("rank") <= k)
+
+    def best(cells: DataFrame) -> DataFrame:
+        pairs = cells.join(held.drop(*[f"x{i}" for i in range(len(features))]), key).select("adopter", "control", distance.alias("distance"))
+        return pairs.withColumn("rank", F.row_number().over(W.partitionBy("adopter").orderBy("distance", "control"))).filter(F.col("rank") <= k)
+
+    def near(i: int, step: int) -> Column:
+        return F.greatest(F.lit(0), F.least(F.col("cells").cast("int") - 1, at(F.col(f"x{i}"), i) + step))
+
+    first = best(between(asked, lambda i: near(i, -1), lambda i: near(i, 1)))
+    bound = materialize(first.filter(F.col("rank") == k).select(F.col("adopter").alias("__adopter"), (F.sqrt("distance") * (1 + 1e-9) + 1e-6).alias("reach")))
+    reached = asked.join(bound, F.col("adopter") == F.col("__adopter"), "left")
+    all_cells = F.coalesce("reach", F.lit(float("inf")))
+    return best(between(reached, lambda i: at(F.col(f"x{i}") - all_cells, i), lambda i: at(F.col(f"x{i}") + all_cells, i))).select("adopter", "control", "distance", "rank")
 
 
 def mean_test(df: DataFrame, *, by: list[str], value: str, copies: Column | None = None) -> DataFrame:
