@@ -114,7 +114,7 @@ def _filter(sent: DataFrame, bits: int, slice_bits: int, filter_bits: int, least
         return pd.DataFrame({"slice": rows["slice"].iloc[:1], "marks": [np.packbits(marks).tobytes()]})
 
     out = np.zeros((1 << slice_bits, (1 << low) // 8), np.uint8)
-    for row in sent.groupBy("slice").applyInPandas(mark, "slice int, marks binary").toLocalIterator():  # 2**filter_bits bits together
+    for row in sent.groupBy("slice").applyInPandas(mark, "slice int, marks binary").collect():  # 2**filter_bits bits together
         out[row.slice] = np.frombuffer(row.marks, np.uint8)
     return Filter(out.ravel(), bits - filter_bits)
 
