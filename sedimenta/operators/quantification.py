@@ -195,3 +195,66 @@ def mixture_grid(
     few = F.col("groups") < least_groups
     status = F.coalesce("reason", F.when(few, "too_few_groups"), F.when(F.col("misfit") > MOST_MISFIT, "mixture_does_not_fit"), F.lit("identified"))
     return out.select(*cell, "weighting", "groups", "share", *[F.when(~few, F.col(c)).alias(c) for c in ("low", "high")], "misfit", "replicates", status.alias("status"))
+
+
+def recovery(groups: DataFrame, shape: np.ndarray, *, group: str, shares: list[float], trials: int, picks: int, replicates: int, seed: str) -> DataFrame:
+    """``share, error, worst, bias, coverage, trials``: how well known shares are found again in mixtures of whole groups.
+
+    ``groups`` has ``group, side`` (1 or 0), ``bin, w``; ``shape`` the bins' probabilities of both sides, 0 first.  In
+    each trial ``picks`` groups of each side are drawn with replacement by digest and mixed in each share.
+    The interval of a trial resamples its drawn groups ``replicates`` times; coverage is how often it holds the
+    share.  A trial's task sees the histograms of its drawn groups only.
+    """
+    spark = groups.sparkSession
+    placed = numbered(groups.select("side", group).distinct(), order=[group], by=["side"], name="place")
+    sizes = placed.groupBy("side").agg(F.count("*").alias("n"))
+    picked = spark.range(trials).select(F.col("id").cast("int").alias("trial"), F.explode(F.sequence(F.lit(0), F.lit(picks - 1))).alias("pick")).join(F.broadcast(sizes))  # two rows
+    digest = F.sha2(F.concat_ws("\0", F.lit(seed), *[F.col(c).cast("string") for c in ("trial", "side", "pick")]).cast("binary"), 256)
+    drawn = picked.withColumn("place", F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % F.col("n")).drop("n")
+    rows = drawn.join(placed, ["side", "place"]).join(groups.groupBy("side", group, "bin").agg(F.sum("w").alias("w")), ["side", group])
+    agent, human = shape[1], shape[0]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        trial = int(frame["trial"].iloc[0])
+        held = np.zeros((2, picks, len(agent)))
+        np.add.at(held, (frame["side"].to_numpy(), frame["pick"].to_numpy(), frame["bin"].to_numpy()), frame["w"].to_numpy())
+        rng = np.random.default_rng([trial, *seed.encode()])
+        times = np.concatenate((np.ones((1, 2, picks)), rng.multinomial(picks, np.full(picks, 1 / picks), size=(replicates, 2))))
+        sums = np.einsum("rsp,spb->rsb", times, held)
+        sums = sums / np.maximum(sums.sum(axis=2, keepdims=True), 1e-300)
+        out = []
+        for share in shares:
+            found = likeliest_shares(agent[None], human[None], share * sums[:, 1] + (1 - share) * sums[:, 0])
+            low, high = np.percentile(found[1:], [2.5, 97.5])
+            out.append((trial, share, found[0] - share, low - 1e-9 <= share <= high + 1e-9))
+        return pd.DataFrame(out, columns=["trial", "share", "off", "held"])
+
+    each = rows.groupBy("trial").applyInPandas(run, "trial int, share double, off double, held boolean")
+    off = F.abs("off")
+    return each.groupBy("share").agg(F.avg(off).alias("error"), F.max(off).alias("worst"), F.avg("off").alias("bias"), F.avg(F.col("held").cast("double")).alias("coverage"), F.count("*").alias("trials"))
+
+
+def dedicated_validation(
+    reference: DataFrame, validation: DataFrame, *, group: str, features: list[str], label: str, weight: str, shares: list[float], trials: int, picks: int, replicates: int, seed: str, bins: int = 20, kind: str = "logistic"
+) -> DataFrame:
+    """:func:`recovery` on groups that no model has seen: fitted on the references only, scored on validation groups of one label each.
+
+    A group on both sides, a validation group with both labels, or a side without groups is an error.
+    """
+    sides = materialize(validation.filter(F.col(weight) > 0).groupBy(group).agg(F.min(label).cast("int").alias("side"), F.max(label).cast("int").alias("__most")))
+    kinds = {r.side for r in sides.select("side").distinct().collect()}
+    if not sides.filter("side <> __most or side is null").isEmpty():
+        raise ValueError("a validation group has conflicting labels")
+    if kinds != {0, 1}:
+        raise ValueError("validation needs groups of both labels")
+    scored, held = crossfit(reference, validation, group=group, features=features, label=label, weight=weight, kind=kind)
+    scored = materialize(scored)
+    edges = histogram_edges(scored, weight=weight, bins=bins)
+    shape = np.full((2, len(edges) + 1), 0.5)
+    for r in in_bins(scored, edges, by=[label], weight=weight).collect():  # at most two rows a bin
+        shape[int(r[label]), r.bin] += r.w
+    shape = shape / shape.sum(axis=1, keepdims=True)
+    if len(edges) < 1 or 0.5 * np.abs(shape[1] - shape[0]).sum() < LEAST_VARIATION:
+        raise ValueError("reference score distributions are indistinguishable")
+    groups = materialize(same_keys(in_bins(held, edges, by=[group], weight=weight), sides.select(group, "side"), [group]))
+    return recovery(groups, shape, group=group, shares=shares, trials=trials, picks=picks, replicates=replicates, seed=seed)

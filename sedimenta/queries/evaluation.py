@@ -152,3 +152,14 @@ def mixture_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     draws = order.stratified_draws(target, unit="source", strata=[], replicates=2000, seed="cells")
     out = quantification.mixture_grid(reference, target, draws, stratum="lang", by=["tier"], group="source", label="y", weight="w")
     return out.select("lang", "tier", "weighting", "groups", *[r6(F.col(c)).alias(c) for c in ("share", "low", "high", "misfit")], "replicates", "status")
+
+
+@query()
+def validated_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well known shares are found again in mixtures of suppliers that the model has not seen, with the coverage of intervals."""
+    lines = _dear(spark, sf_dir).filter(F.col("l_quantity") > 0)
+    # a validation group is a supplier's lines of one label
+    held = lines.filter("l_suppkey % 2 = 1").withColumn("l_suppkey", F.col("l_suppkey") * 2 + F.col("dear") + 1000000)
+    features = ["l_extendedprice", "l_discount", "l_tax"]
+    out = quantification.dedicated_validation(lines.filter("l_suppkey % 2 = 0"), held, group="l_suppkey", features=features, label="dear", weight="l_quantity", shares=[0.1, 0.5, 0.9], trials=200, picks=8, replicates=200, seed="validation")
+    return out.select("share", *[r6(F.col(c)).alias(c) for c in ("error", "worst", "bias", "coverage")], "trials")

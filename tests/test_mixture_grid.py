@@ -39,3 +39,42 @@ def test_cells_equal_plain_fits(spark):
             assert r.status in ("identified", "mixture_does_not_fit")
         else:
             assert r.status == "too_few_groups"
+
+
+def test_known_shares_are_found_in_unseen_groups(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"{part}{g}", part, float(rng.normal() + 1.5 * (g % 2)), g % 2, float(rng.integers(1, 3))) for part in ("r", "v") for g in range(30) for _ in range(40)]
+    df = spark.createDataFrame(rows, "g string, part string, x double, y int, w double")
+    ref, val = df.filter("part = 'r'"), df.filter("part = 'v'")
+    how = {"group": "g", "features": ["x"], "label": "y", "weight": "w", "shares": [0.0, 0.3, 1.0], "trials": 30, "picks": 6, "replicates": 50, "seed": "s"}
+    got = {r.share: r for r in quantification.dedicated_validation(ref, val, **how).collect()}
+    assert set(got) == {0.0, 0.3, 1.0}
+    for r in got.values():
+        assert r.trials == 30 and r.error < 0.1 and r.error <= r.worst and abs(r.bias) <= r.error + 1e-12 and r.coverage >= 0.7
+    with pytest.raises(ValueError, match="conflicting"):
+        quantification.dedicated_validation(ref, val.withColumn("y", (val.x > 0).cast("int")), **how)
+    with pytest.raises(ValueError, match="both labels"):
+        quantification.dedicated_validation(ref, val.filter("y = 1"), **how)
+
+
+def test_recovery_is_that_of_its_draws(spark):
+    rng = np.random.default_rng(3)
+    groups = [(s, f"{s}{g}", b, float(rng.integers(1, 9))) for s in (0, 1) for g in range(4) for b in range(3)]
+    shape = np.array([[0.6, 0.3, 0.1], [0.1, 0.3, 0.6]])
+    df = spark.createDataFrame(groups, "side int, g string, bin int, w double")
+    got = quantification.recovery(df, shape, group="g", shares=[0.4], trials=5, picks=3, replicates=9, seed="q").first()
+    import hashlib
+
+    offs = []
+    for t in range(5):
+        mixed = np.zeros((2, 3))
+        for s in (0, 1):
+            for p in range(3):
+                place = int(hashlib.sha256(f"q\0{t}\0{s}\0{p}".encode()).hexdigest()[:12], 16) % 4
+                mixed[s] += [w for a, g, _, w in groups if g == f"{s}{place}" and a == s]
+        mixed /= mixed.sum(axis=1, keepdims=True)
+        goal = 0.4 * mixed[1] + 0.6 * mixed[0]
+        grid = np.linspace(0, 1, 100001)
+        ll = (goal * np.log(grid[:, None] * shape[1] + (1 - grid[:, None]) * shape[0])).sum(axis=1)
+        offs.append(grid[ll.argmax()] - 0.4)
+    assert (got.error, got.worst, got.bias) == pytest.approx((np.abs(offs).mean(), np.abs(offs).max(), np.mean(offs)), abs=2e-5)
