@@ -5,6 +5,8 @@ the blocks of :mod:`refit` sums gradients by feature and bin for the first split
 one inside both halves for the second.  Splits have the largest
 ``wl wr / (wl + wr) (mean_l - mean_r)^2`` of the residuals, leaves one Newton step.  Thresholds lie between
 the distinct values of a feature, or between quantiles of one with more of them than bins.
+Rows of the same bins, label and multiplicities have the same gradients, so they become one
+row with their weights added before the first round; there are never more of these than bins allow.
 Margins are written with the blocks now and then, so a pass applies a bounded number of trees.
 """
 
@@ -18,11 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.operators.refit import CHUNK_ROWS, Block, few_rows, summed
+from sedimenta.operators.refit import BLOCK_ROWS, CHUNK_ROWS, Block, few_rows, summed
 from sedimenta.plans.scratch import discard, materialize
 
-#: Most bins of a feature, and rounds between two writings of the margins.
-BINS, WRITTEN = 256, 25
+#: Most bins of a feature, rounds between two writings of the margins, and blocks read by one task.
+BINS, WRITTEN, TASK_BLOCKS = 256, 25, 8
 
 
 def thresholds(df: DataFrame, features: list[str], bins: int = BINS) -> list[np.ndarray]:
@@ -48,14 +50,15 @@ class Tree:
     at: np.ndarray
     value: np.ndarray
 
-    def margins(self, codes: np.ndarray) -> np.ndarray:
+    def margins(self, codes: np.ndarray, models: slice = slice(None)) -> np.ndarray:
         """A column a model."""
-        out = np.empty((len(codes), len(self.value)))
-        for k in range(len(self.value)):
+        numbers = range(*models.indices(len(self.value)))
+        out = np.empty((len(codes), len(numbers)))
+        for i, k in enumerate(numbers):
             right = codes[:, self.feature[k, 0]] > self.at[k, 0]
             low = codes[:, self.feature[k, 1]] > self.at[k, 1]
             high = codes[:, self.feature[k, 2]] > self.at[k, 2]
-            out[:, k] = self.value[k][np.where(right, 2 + high, low)]
+            out[:, i] = self.value[k][np.where(right, 2 + high, low)]
         return out
 
 
@@ -73,12 +76,12 @@ class Boosted:
     def codes(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.searchsorted(b, x[:, i], side="left") for i, b in enumerate(self.borders)])
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
+    def scores(self, x: np.ndarray, models: slice = slice(None)) -> np.ndarray:
         """Probabilities, a column a model, rounded so that a row has one score in every pass."""
         codes = self.codes(x)
-        total = np.tile(self.start, (len(x), 1))
+        total = np.tile(self.start[models], (len(x), 1))
         for tree in self.trees:
-            total += self.rate * tree.margins(codes)
+            total += self.rate * tree.margins(codes, models)
         return np.round(1 / (1 + np.exp(-np.clip(total, -35, 35))), 12)
 
 
@@ -99,12 +102,12 @@ class _Coded(Block):
             yield _Coded(self.x[at].astype(np.int64), self.y[at], self.w[at], self.unit[at], self.copies, self.margin[at])
 
 
-def _written(blocks: DataFrame, features: int, kind: type[Block], make) -> DataFrame:
-    """``blocks`` with new ``x`` and ``margin``."""
+def _written(blocks: DataFrame, features: int, make) -> DataFrame:
+    """Coded ``blocks`` with new ``x`` and ``margin``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            made = [make(kind.unpack(row, features)) for row in frame.itertuples()]
+            made = [make(_Coded.unpack(row, features)) for row in frame.itertuples()]
             rest = {c: pd.Series(frame[c].tolist(), dtype=object) for c in ("y", "w", "unit", "copies")}
             yield pd.DataFrame({"n": frame["n"].to_numpy(), "units": frame["units"].to_numpy(), "x": pd.Series([np.ascontiguousarray(x, np.float64).tobytes() for x, _ in made], dtype=object), **rest, "margin": pd.Series([np.ascontiguousarray(m).tobytes() for _, m in made], dtype=object)})
 
@@ -112,6 +115,39 @@ def _written(blocks: DataFrame, features: int, kind: type[Block], make) -> DataF
         return materialize(blocks.mapInPandas(run, "n int, units int, x binary, y binary, w binary, unit binary, copies binary, margin binary"))
 
 
+def _collapsed(blocks: DataFrame, model: Boosted) -> DataFrame:
+    """The blocks' distinct rows of bins, label and multiplicities with the sums of their weights, in blocks of bins and first margins."""
+    p, models = len(model.features), len(model.start)
+
+    def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                b = Block.unpack(row, p)
+                same = np.column_stack((model.codes(b.x), b.y, b.copies[b.unit])).astype(np.uint16)
+                raw = np.ascontiguousarray(same).view(np.dtype((np.void, same.shape[1] * 2))).ravel()
+                kinds, at = np.unique(raw, return_inverse=True)
+                yield pd.DataFrame({"cell": [k.tobytes() for k in kinds], "w": np.bincount(at, weights=b.w)})
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i in range(0, len(frame), BLOCK_ROWS):
+                part = frame.iloc[i : i + BLOCK_ROWS]
+                rows = np.frombuffer(b"".join(part["cell"]), np.uint16).reshape(len(part), -1)
+                copies, unit = np.unique(rows[:, p + 1 :], axis=0, return_inverse=True)
+                one = {
+                    "n": len(part), "units": len(copies), "x": rows[:, :p].astype(np.float64).tobytes(), "y": rows[:, p].astype(np.int8).tobytes(), "w": part["w"].to_numpy(np.float64).tobytes(),
+                    "unit": unit.ravel().astype(np.int32).tobytes(), "copies": copies.tobytes(), "margin": np.tile(model.start, (len(part), 1)).tobytes(),
+                }
+                yield pd.DataFrame({k: [v] for k, v in one.items()})
+
+    with few_rows(blocks.sparkSession, 4):
+        distinct = materialize(blocks.mapInPandas(cells, "cell binary, w double").groupBy("cell").agg(F.sum("w").alias("w")))
+    tasks = max(1, -(-distinct.count() // (TASK_BLOCKS * BLOCK_ROWS)))
+    out = materialize(distinct.repartition(tasks, "cell").mapInPandas(pack, "n int, units int, x binary, y binary, w binary, unit binary, copies binary, margin binary"))
+    discard(distinct)
+    return out
+
+
 def _split(sums: np.ndarray, borders: list[np.ndarray]) -> tuple[int, int, np.ndarray, np.ndarray]:
     """The best split of a node from its sums (feature, bin, [gradient, weight, curvature]): feature, bin, sums of both sides."""
     left = np.cumsum(sums, axis=1)
@@ -144,7 +180,7 @@ def boost_many(blocks: DataFrame, borders: list[np.ndarray], *, features: list[s
     out = Boosted(features, borders, start, failed, rate)
     if failed.all():
         return out
-    coded = _written(blocks, p, Block, lambda b: (out.codes(b.x), np.tile(start, (len(b.y), 1))))
+    coded = _collapsed(blocks, out)
     applied = 0
 
     def gradients(b: _Coded, trees: list[Tree]) -> tuple[np.ndarray, ...]:
@@ -182,7 +218,7 @@ def boost_many(blocks: DataFrame, borders: list[np.ndarray], *, features: list[s
         out.trees.append(Tree(feature, at, value))
         if len(out.trees) - applied == WRITTEN and len(out.trees) < rounds:
             new = out.trees[applied:]
-            after = _written(coded, p, _Coded, lambda b, new=new: (b.x, b.margin + rate * sum(t.margins(b.x.astype(np.int64)) for t in new)))
+            after = _written(coded, p, lambda b, new=new: (b.x, b.margin + rate * sum(t.margins(b.x.astype(np.int64)) for t in new)))
             discard(coded)
             coded, applied = after, len(out.trees)
     discard(coded)

@@ -50,12 +50,14 @@ def crossfit(
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                x = np.array(frame["__x"].tolist(), np.float64).reshape(-1, len(features))
-                all_scores = fits.scores(x)
-                yield frame[own].assign(score=all_scores[np.arange(len(x)), frame["__model"].to_numpy()])
-
-        x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]).alias("__x")
-        return df.filter(F.col(weight) > 0).select(*own, x, model.alias("__model")).mapInPandas(run, f"{kinds}, score double")
+                x, number = frame[[f"__x{i}" for i in range(len(features))]].to_numpy(np.float64), frame["__model"].to_numpy()
+                score = np.zeros(len(x))
+                for k in np.unique(number):  # a row meets its own model only
+                    score[number == k] = fits.scores(x[number == k], slice(k, k + 1))[:, 0]
+                yield frame[own].assign(score=score)
+
+        x = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"__x{i}") for i, f in enumerate(features)]
+        return df.filter(F.col(weight) > 0).select(*own, *x, model.alias("__model")).mapInPandas(run, f"{kinds}, score double")
 
     # a group's own fold has just the model that has not seen it
     held = same_keys(reference, fold, [group])

@@ -104,3 +104,16 @@ def test_quantification_equals_a_plain_run(spark, small):  # noqa: F811
         quantification.crossfit(ref, ref, group="repo", features=["a"], label="y", weight="w")
     with pytest.raises(ValueError, match="lacks a class"):
         quantification.crossfit(ref.filter("y = 1"), tgt, group="repo", features=["a"], label="y", weight="w", kind="trees")
+
+
+def test_equal_rows_are_one_row_of_the_passes(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"g{i % 4}", float(rng.integers(0, 5)), int(rng.random() < 0.4)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, a double, y int").withColumn("w", F.lit(2.0))
+    copies = spark.createDataFrame([(f"g{i}", 0, 1) for i in range(4)], "g string, model int, copies int")
+    blocks = refit.packed(df, copies, unit=["g"], features=["a"], label=F.col("y"), weight=F.col("w"), models=1)
+    borders = [np.array([0.5, 1.5, 2.5, 3.5])]
+    start = boosting.Boosted(["a"], borders, np.zeros(1), np.zeros(1, bool), 0.05)
+    held = boosting._collapsed(blocks, start).select("n", "w").collect()
+    assert sum(r.n for r in held) == len({r[1:] for r in rows}) == 10
+    assert sum(np.frombuffer(r.w).sum() for r in held) == 6000.0
