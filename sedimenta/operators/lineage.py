@@ -11,6 +11,7 @@ repository; there are as many rounds as a line changes files.
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -60,13 +61,20 @@ def _similar(left: DataFrame, added: DataFrame) -> DataFrame:
     asked = texts.join(salts, "scope").select("scope", F.pmod(F.xxhash64("text"), F.col("salts")).cast("int").alias("salt"), "text")
     held = added.join(salts, "scope").select("scope", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "path", "new_line", "text")
 
-    def compare(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        found = _nearest(ours["text"].tolist(), list(theirs[["path", "new_line", "text"]].itertuples(index=False, name=None)))
-        hit = [f or (None, None) for f in found]
-        return pd.DataFrame({"scope": pd.Series(ours["scope"].tolist(), dtype=object), "text": pd.Series(ours["text"].tolist(), dtype=object), "to_path": pd.Series([p for p, _ in hit], dtype=object), "to_line": pd.Series([n for _, n in hit], dtype="Int32")})
-
+    # a scope is one row, so that many small ones travel to Python together
     key = ["scope", "salt"]
-    return asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(compare, "scope string, text string, to_path string, to_line int")
+    ours = asked.groupBy(*key).agg(F.collect_list("text").alias("texts"))
+    theirs = held.groupBy(*key).agg(F.collect_list(F.struct("path", "new_line", "text")).alias("added"))
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for row in frame.itertuples():
+                found = _nearest(list(row.texts), [(a["path"], a["new_line"], a["text"]) for a in row.added])
+                rows.extend((row.scope, text, *(hit or (None, None))) for text, hit in zip(row.texts, found, strict=True))
+            yield pd.DataFrame(rows, columns=["scope", "text", "to_path", "to_line"]).astype({"scope": object, "text": object, "to_path": object, "to_line": "Int32"})
+
+    return ours.join(theirs, key).mapInPandas(compare, "scope string, text string, to_path string, to_line int")
 
 
 def removals(changes: DataFrame) -> DataFrame:
@@ -120,43 +128,48 @@ def _by_file(changes: DataFrame) -> DataFrame:
     return paths.join(fates, file, "left").join(lines, [*_COMMIT, "path"], "left")
 
 
-def _advance(lines: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
-    """The states of the lines of one file after each of its changes; ``moved`` where a line goes on in another file."""
-    names = ["repository", "line_id", "commit", "position", "path", "line", "state", "moved"]
-    at, since = lines["line"].to_numpy(np.int64), lines["since"].to_numpy(np.int64)
-    ids, state = lines["line_id"].to_numpy(object), lines["state"].to_numpy(object)
+def _advance(repository: str, file: str, lines: list[dict], changes: list[dict]) -> Iterator[tuple]:
+    """The states of the lines of one file after each of its changes (``STATES`` and ``moved``, where a line goes on in another file)."""
+    at, since = np.array([x["line"] for x in lines], np.int64), np.array([x["since"] for x in lines], np.int64)
+    ids, state = [x["line_id"] for x in lines], [x["state"] for x in lines]
     here = np.ones(len(lines), bool)
-    out = []
-    for change in files.sort_values(["position", "commit"]).itertuples() if len(lines) else ():
-        own = np.flatnonzero(here & (since < change.position))
+    for change in sorted(changes, key=lambda c: (c["position"], c["commit"])):
+        own = np.flatnonzero(here & (since < change["position"]))
         if not len(own):
+            if not here.any():
+                break
             continue
-        fates = [] if change.removed is None else list(change.removed)
+        fates = [] if change["removed"] is None else list(change["removed"])
         removed = np.array([f["old_line"] for f in fates], np.int64)
-        added = np.array([] if change.added is None else change.added, np.int64)
+        added = np.array([] if change["added"] is None else change["added"], np.int64)
         before = np.searchsorted(removed, at[own])
-        hit = np.zeros(len(own), bool)
-        if len(removed):
-            hit = removed[np.minimum(before, len(removed) - 1)] == at[own]
         # the k-th line that stays is the k-th one of the new file that is not added
         kept = at[own] - before
         line = kept + np.searchsorted(added - np.arange(len(added)), kept, side="right")
-        path = np.full(len(own), change.path, object)
-        for i in np.flatnonzero(hit):
-            fate = fates[before[i]]
-            if fate["fate"] != "unchanged":
-                state[own[i]] = fate["fate"]
-            if fate["to_path"] is None:
-                line[i], path[i] = at[own[i]], lines["path"].iloc[0]
-                here[own[i]] = False
-            else:
-                line[i], path[i] = fate["to_line"], fate["to_path"]
-        at[own] = line
-        moved = here[own] & (path != lines["path"].iloc[0])
-        here[own[moved]] = False
-        out.append(pd.DataFrame({"repository": lines["repository"].iloc[0], "line_id": ids[own], "commit": change.commit, "position": change.position, "path": path, "line": line, "state": state[own], "moved": moved}))
-    found = pd.concat(out) if out else pd.DataFrame({n: pd.Series(dtype=object) for n in names})
-    return found.astype({n: object for n in ("repository", "line_id", "commit", "path", "state")})
+        for i, k in enumerate(own.tolist()):
+            place, path = int(line[i]), change["path"]
+            if before[i] < len(removed) and removed[before[i]] == at[k]:
+                fate = fates[before[i]]
+                if fate["fate"] != "unchanged":
+                    state[k] = fate["fate"]
+                if fate["to_path"] is None:
+                    place, path = int(at[k]), file
+                    here[k] = False
+                else:
+                    place, path = fate["to_line"], fate["to_path"]
+            at[k] = place
+            moved = bool(here[k] and path != file)
+            here[k] &= not moved
+            yield repository, ids[k], change["commit"], change["position"], path, place, state[k], moved
+
+
+def _advanced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """:func:`_advance` of every row (a file with its lines and changes)."""
+    names = ["repository", "line_id", "commit", "position", "path", "line", "state", "moved"]
+    for frame in frames:
+        for i in range(0, len(frame), 1000):
+            rows = [r for f in frame.iloc[i : i + 1000].itertuples() for r in _advance(f.repository, f.path, list(f.lines), list(f.changes))]
+            yield pd.DataFrame(rows, columns=names).astype({n: object for n in ("repository", "line_id", "commit", "path", "state")})
 
 
 def replay(introduced: DataFrame, changes: DataFrame) -> DataFrame:
@@ -167,21 +180,31 @@ def replay(introduced: DataFrame, changes: DataFrame) -> DataFrame:
     rows of :func:`sedimenta.sources.readers.patch_lines`.  The fate of a removed line is
     that of :func:`removals`; other lines shift.  Ends are final.
     """
-    touched = changes.join(introduced.select("repository").distinct(), "repository", "left_semi")
+    touched = materialize(changes.join(introduced.select("repository").distinct(), "repository", "left_semi"))
     files = materialize(_by_file(touched).withColumnRenamed("path", "new_path"))
-    entered = introduced.selectExpr("repository", "line_id", "path", "cast(line as int) line", "cast(position as int) since", "'unchanged' state")
+    discard(touched)
+    entered = materialize(introduced.selectExpr("repository", "line_id", "path", "cast(line as int) line", "cast(position as int) since", "'unchanged' state"))
     rounds: list[DataFrame] = []
+    pruned = entered.count()
     while True:
         key = ["repository", "path"]
         salts = entered.groupBy(*key).agg(F.ceil(F.count("*") / FILE_LINES).cast("int").alias("salts"))
-        lines = entered.join(salts, key).withColumn("salt", F.pmod(F.xxhash64("line_id"), F.col("salts")).cast("int")).drop("salts")
-        met = files.withColumnRenamed("old_path", "path").join(salts, key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-        met = met.withColumnsRenamed({"path": "file", "new_path": "path"})
-        stepped = lines.groupBy(*key, "salt").cogroup(met.groupBy("repository", "file", "salt")).applyInPandas(_advance, f"{STATES}, moved boolean")
-        rounds.append(materialize(stepped))
+        lines = entered.join(salts, key).withColumn("salt", F.pmod(F.xxhash64("line_id"), F.col("salts")).cast("int"))
+        lines = lines.groupBy(*key, "salt").agg(F.collect_list(F.struct("line_id", "line", "since", "state")).alias("lines"))
+        met = files.withColumnRenamed("old_path", "path").join(salts, key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        met = met.groupBy(*key, "salt").agg(F.collect_list(F.struct("position", "commit", F.col("new_path").alias("path"), "removed", "added")).alias("changes"))
+        # a file is one row, so that many small ones travel to Python together
+        rounds.append(materialize(lines.join(met, [*key, "salt"]).mapInPandas(_advanced, f"{STATES}, moved boolean")))
         entered = rounds[-1].filter("moved").selectExpr("repository", "line_id", "path", "line", "position since", "state")
-        if entered.isEmpty():
+        left = entered.count()
+        if not left:
             break
+        if 2 * left <= pruned:
+            # later rounds read the changes that the lines still on their way can meet
+            still = entered.groupBy("repository").agg(F.min("since").alias("__since"))
+            fewer = materialize(files.join(still, "repository").filter("position > __since").drop("__since"))
+            discard(files)
+            files, pruned = fewer, left
     discard(files)
     out = rounds[0]
     for one in rounds[1:]:
