@@ -1,3 +1,4 @@
+import pandas as pd
 import difflib
 import random
 
@@ -151,3 +152,9 @@ def test_random_histories_equal_the_plain_fold(spark, monkeypatch, many):
     assert {"unchanged", "modified", "unobservable", "deleted"} == {r[5] for r in rows} and got.count() == len(want)
     assert len({(r[0], r[1]) for r in rows if not r[3].startswith(r[1].split(":")[0])}) > 20
     assert lineage.replay(lines.limit(0), changes).count() == 0 and lineage.replay(lines, changes.limit(0)).count() == 0
+
+
+def test_many_files_travel_together():
+    files = [{"repository": f"r{i}", "path": "a", "lines": [{"line_id": "l", "line": 2, "since": 0, "state": "unchanged"}], "changes": [{"position": 1, "commit": "c", "path": "a", "removed": None, "added": [1]}]} for i in range(3)]
+    (out,) = lineage._advanced(iter([pd.DataFrame(files)]))
+    assert out[["repository", "line", "moved"]].values.tolist() == [[f"r{i}", 3, False] for i in range(3)]
