@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from hashlib import sha256
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sedimenta.operators.order import numbered
 from sedimenta.plans.scratch import materialize
 
+#: Units of a stratum whose draws are made at once, and places whose sums stand in one task.
+CHUNK, PLACES = 2048, 16384
+
 
 def contrasts(panel: DataFrame, adopters: DataFrame, *, unit: str, period: str, value: str, stratum: str, before: int = 1, after: int = 1) -> DataFrame:
     """Per adopter: its change from ``before`` to ``after`` its adoption less the mean change of its stratum's controls.
@@ -135,6 +142,56 @@ def bootstrap_effects(effects: DataFrame, draws: DataFrame, *, unit: str, by: li
     return each.groupBy(*by).agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"), F.count("*").alias("replicates"))
 
 
+def drawn_effects(effects: DataFrame, *, unit: str, stratum: str, effect: str, replicates: int, seed: str) -> DataFrame:
+    """:func:`bootstrap_effects` over the draws of :func:`order.stratified_draws` of one stratum column, without a row for each draw.
+
+    Draws are made in chunks and travel as two bytes each to the range of places that holds their unit;
+    there they meet the sums of ``PLACES`` units, and leave a sum for each replicate.
+    """
+    name = F.coalesce(F.col(stratum).cast("string"), F.lit("null"))
+    sums = effects.groupBy(stratum, unit).agg(F.coalesce(F.sum(effect), F.lit(0.0)).cast("double").alias("__e"), F.count("*").cast("double").alias("__m"))
+    placed = materialize(numbered(sums, order=[unit], by=[stratum], name="__place"))
+    sizes = placed.groupBy(stratum).agg(F.count("*").alias("n"))
+    chunks = sizes.select(stratum, name.alias("name"), "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK))).alias("chunk"))
+    kind = effects.schema[stratum].dataType.simpleString()
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for own, text, n, chunk in frame.itertuples(index=False, name=None):
+                tails = [str(j).encode() for j in range(chunk * CHUNK, min(n, (chunk + 1) * CHUNK))]
+                place = np.empty((replicates, len(tails)), np.int64)
+                for b in range(replicates):
+                    head = f"{seed}\0{text}\0{b}\0".encode()
+                    digests = np.frombuffer(b"".join([sha256(head + t).digest() for t in tails]), np.uint8).reshape(-1, 32)
+                    place[b] = (digests[:, :6].astype(np.int64) @ (1 << np.arange(40, -1, -8, dtype=np.int64))) % n
+                part = place // PLACES
+                counts = np.bincount((part + np.arange(replicates)[:, None] * (part.max() + 1)).ravel(), minlength=replicates * (part.max() + 1)).reshape(replicates, -1)
+                inside = (place - part * PLACES).astype(np.uint16).ravel()[np.argsort(part.ravel(), kind="stable")]
+                ends = np.cumsum(counts.sum(axis=0))
+                for k in np.flatnonzero(counts.any(axis=0)):
+                    held = inside[ends[k] - counts[:, k].sum() : ends[k]]
+                    yield pd.DataFrame({"stratum": [own], "part": [int(k)], "counts": [counts[:, k].astype(np.int32).tobytes()], "places": [held.tobytes()]})
+
+    def add(units: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        value, rows = np.zeros(PLACES), np.zeros(PLACES)
+        at = units["__place"].to_numpy(np.int64) % PLACES
+        value[at], rows[at] = units["__e"], units["__m"]
+        total = np.zeros((2, replicates))
+        for counts, places in zip(draws["counts"], draws["places"], strict=True):
+            replicate, place = np.repeat(np.arange(replicates), np.frombuffer(counts, np.int32)), np.frombuffer(places, np.uint16)
+            total[0] += np.bincount(replicate, weights=value[place], minlength=replicates)
+            total[1] += np.bincount(replicate, weights=rows[place], minlength=replicates)
+        hit = np.flatnonzero(total[1])
+        return pd.DataFrame({"stratum": [draws["stratum"].iloc[0] if len(draws) else None] * len(hit), "replicate": hit, "s": total[0, hit], "m": total[1, hit]})
+
+    tasks = min(chunks.count() or 1, 10_000)
+    made = chunks.repartition(tasks).mapInPandas(draw, f"stratum {kind}, part long, counts binary, places binary")
+    units = placed.withColumn("__part", F.floor(F.col("__place") / PLACES))
+    each = units.groupBy(stratum, "__part").cogroup(made.groupBy("stratum", "part")).applyInPandas(add, f"stratum {kind}, replicate int, s double, m double")
+    means = each.groupBy(F.col("stratum").alias(stratum), "replicate").agg((F.sum("s") / F.sum("m")).alias("mean"))
+    return means.groupBy(stratum).agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"), F.count("*").alias("replicates"))
+
+
 def mean_shift(df: DataFrame, *, by: list[str], side: Column, value: str, weight: Column) -> DataFrame:
     """Difference of the weighted means of two sides in pooled weighted population deviations; null if there is none."""
     v = F.col(value)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sedimenta.operators import lineage
 from sedimenta.operators import matching as M
-from sedimenta.operators import order
 from sedimenta.operators import panel as D
 from sedimenta.operators import quantify as K
 from sedimenta.operators import survival as S
@@ -86,9 +85,7 @@ def mean_zero_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def effect_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of the mean effect of each segment, whose adopters are drawn among themselves, over 2000 resamples."""
-    effects = contrasts(spark, sf_dir)
-    draws = order.stratified_draws(effects, unit="cust", strata=["seg"], replicates=2000, seed="effects")
-    out = D.bootstrap_effects(effects, draws.drop("seg"), unit="cust", by=["seg"], effect="effect")
+    out = D.drawn_effects(contrasts(spark, sf_dir), unit="cust", stratum="seg", effect="effect", replicates=2000, seed="effects")
     return out.select("seg", F.round("low", 3).alias("low"), F.round("high", 3).alias("high"), "replicates")
 
 
