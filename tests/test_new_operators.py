@@ -6,7 +6,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sedimenta.functions import dates, identity, style, templates
-from sedimenta.operators import contracts, evidence, matching, quantify, rollups, sequence, summaries, survival
+from sedimenta.operators import contracts, evidence, matching, order, panel, quantify, rollups, sequence, summaries, survival
 from sedimenta.sources import readers, writers
 
 BLAME = "".join(f"{c * 40} {i} {n} 1\nauthor X\n\t{t}\n" for c, i, n, t in [("a", 1, 1, "x = 1"), ("a", 2, 2, "\tindented"), ("b", 1, 3, "")])
@@ -109,3 +109,29 @@ def test_intervals_dates_and_contracts(spark):
     assert hasattr(contracts, "__doc__") and hasattr(survival, "stratum_shares")
     empty = spark.createDataFrame([], "k int, frame string, s int")
     assert evidence.memberships({"x": empty}, key="k", snapshot="s").count() == 0
+
+
+def test_drawn_effects_equal_joined_draws(spark, monkeypatch):
+    monkeypatch.setattr(panel, "CHUNK", 7)
+    monkeypatch.setattr(panel, "PLACES", 5)
+    rows = [(f"s{i % 2}", i, float(i * i % 17)) for i in range(60)] + [("s1", 7, 3.5), ("s2", 99, 1.0)]
+    effects = spark.createDataFrame(rows, "seg string, cust int, effect double")
+    draws = order.stratified_draws(effects, unit="cust", strata=["seg"], replicates=40, seed="e")
+    want = panel.bootstrap_effects(effects, draws.drop("seg"), unit="cust", by=["seg"], effect="effect")
+    got = panel.drawn_effects(effects, unit="cust", stratum="seg", effect="effect", replicates=40, seed="e")
+    plain = lambda df: sorted((r.seg, round(r.low, 9), round(r.high, 9), r.replicates) for r in df.collect())
+    assert plain(got) == plain(want)
+
+
+def test_alike_takes_null_for_unlike_all():
+    assert matching._alike(np.array(["a", None], object), None).tolist() == [False, False]
+    assert matching._alike(np.array(["a", None], object), "a").tolist() == [True, False]
+
+
+def test_quantiles_of_counts_equal_percentiles(spark):
+    grid = [0.02 * i for i in range(1, 50)]
+    rows = [(random.Random(i).random() ** 3,) for i in range(301)] + [(0.25,)] * 40 + [(None,)] * 3
+    df = spark.createDataFrame(rows, "v double")
+    want = df.agg(F.percentile("v", F.array(*[F.lit(g) for g in grid]))).first()[0]
+    got = quantify._quantiles(df.groupBy("v").agg(F.count("*").alias("n")), "v", "n", grid)
+    assert got == pytest.approx(want, abs=1e-12)
