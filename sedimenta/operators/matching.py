@@ -54,6 +54,11 @@ def greedy(pairs: DataFrame, *, block: list[str], target: Column, candidate: Col
     return flat.groupBy(F.pmod(F.xxhash64(*block), F.lit(packs))).applyInPandas(choose, schema)
 
 
+def _alike(column: np.ndarray, value: object) -> np.ndarray:
+    """Where ``column`` equals ``value``; null equals nothing."""
+    return np.zeros(len(column), bool) if value is None else (column == value).astype(bool)
+
+
 def greedy_nearest(
     targets: DataFrame,
     candidates: DataFrame,
@@ -87,25 +92,32 @@ def greedy_nearest(
         out = []
         right.columns = left.columns
         pools = {k: g.sort_values("__digest") for k, g in right.groupby(block)}
+        compared = [*labels, *([tier] if tier else [])]
         for key, own in left.groupby(block):
             pool = pools.get(key)
             free = np.ones(0 if pool is None else len(pool), bool)
-            for row in own.sort_values(unit).to_dict("records"):
+            # the columns of a block are taken out once; a target meets arrays
+            held = {} if pool is None else {c: pool[c].to_numpy(float) if c in numbers else pool[c].astype(object).to_numpy() for c in [*numbers, *compared]}
+            names = None if pool is None else pool[unit].tolist()
+            own = own.sort_values(unit)
+            rows = zip(own[unit].tolist(), zip(*[own[c].tolist() for c in [*numbers, *compared]], strict=True), strict=True)
+            for mine, values in rows:
                 if not free.any():
-                    out.append((row[unit], None, "no_overlap", None))
+                    out.append((mine, None, "no_overlap", None))
                     continue
+                row = dict(zip([*numbers, *compared], values, strict=True))
                 ok, basis = free, "same_block"
                 if tier:
-                    same = free & (pool[tier] == row[tier]).to_numpy()
+                    same = free & _alike(held[tier], row[tier])
                     ok, basis = (same, "same_tier") if same.any() else (free, "same_block")
-                d = sum(((pool[c].to_numpy(float) - row[c]) / s) ** 2 for c, s in numbers.items()) + sum((pool[c] != row[c]).to_numpy(float) for c in labels)
+                d = sum(((held[c] - row[c]) / s) ** 2 for c, s in numbers.items()) + sum((~_alike(held[c], row[c])).astype(float) for c in labels)
                 d = np.where(ok, np.sqrt(d), np.inf)
                 at = int(d.argmin())
                 if caliper is not None and d[at] > caliper:
-                    out.append((row[unit], None, "outside_caliper", float(d[at])))
+                    out.append((mine, None, "outside_caliper", float(d[at])))
                     continue
                 free[at] = False
-                out.append((row[unit], pool[unit].iloc[at], basis, float(d[at])))
+                out.append((mine, names[at], basis, float(d[at])))
         return pd.DataFrame(out, columns=["target", "candidate", "basis", "distance"]).astype({"candidate": "Int64"} if kind in ("bigint", "int") else {})
 
     return sides[0].groupBy("__pack").cogroup(sides[1].groupBy("__c___pack")).applyInPandas(choose, f"target {kind}, candidate {kind}, basis string, distance double")
