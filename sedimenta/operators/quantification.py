@@ -70,7 +70,7 @@ def histogram_edges(scored: DataFrame, *, weight: str, bins: int) -> np.ndarray:
     blocks = packed(scored.withColumn("__all", F.lit(0)), one.withColumn("__all", F.lit(0)), unit=["__all"], features=["score"], label=F.lit(0), weight=F.col(weight), models=1)
 
     def entries(b: Block) -> Iterator[tuple]:
-        yield 0, b.x[:, 0], b.w, b.w
+        yield 0, np.arange(len(b.y)), b.x[:, 0], b.w
 
     edges = quantile_edges(blocks, entries, features=1, replicates=1, bins=bins)[0]
     discard(blocks)
@@ -150,7 +150,7 @@ def mixture_grid(
 
     def entries(b: Block) -> Iterator[tuple]:
         for i in range(len(strata)):
-            yield i, b.x[:, 0], b.w * b.copies[b.unit, i], b.w
+            yield i, np.arange(len(b.y)), b.x[:, 0], b.w * b.copies[b.unit, i]
 
     edges = quantile_edges(blocks, entries, features=1, replicates=len(strata), bins=bins)
     discard(blocks)

@@ -111,3 +111,33 @@ def test_orders_without_a_global_window(spark):
     frame = spark.createDataFrame([(a, b[0], c) for a, b, c in seq], "pos int, p int, q int").repartition(5)
     assert {(r.pos, r.same) for r in order.order_violations(frame, sequence="pos", keys=["p", "q"]).collect()} == {(20, True), (41, False)}
     assert order.order_violations(frame.limit(0), sequence="pos", keys=["p", "q"]).count() == 0
+
+
+def test_many_models_start_from_the_fit_of_their_sum(spark, small, monkeypatch):
+    df = spark.createDataFrame(small, NAMES)
+    ref, tgt = df.filter("role = 'reference'"), df.filter("role = 'target'")
+    draws = order.stratified_draws(ref, unit="repo", strata=["y"], replicates=6, seed="s", folds=3)
+    goal = order.stratified_draws(tgt, unit="repo", strata=[], replicates=6, seed="t")
+    passes, plain = [], refit.summed
+
+    def counted(blocks, features, models, sums, *args, **more):
+        passes.append((models, sums.__name__))
+        return plain(blocks, features, models, sums, *args, **more)
+
+    monkeypatch.setattr(refit, "summed", counted)
+    found = {}
+    for many in (1, 10**6):
+        monkeypatch.setattr(refit, "MANY_MODELS", many)
+        passes.clear()
+        shares = refit.refit_shares(ref, tgt, draws, goal, group="repo", features=["a", "b", "c"], label="y", weight="w", replicates=6, folds=3, bins=8)
+        found[many] = {r.replicate: r.share for r in shares.collect()}
+        found[many, "steps"] = sum(n > 1 for n, name in passes if name == "step")
+    assert found[1] == pytest.approx(found[10**6], abs=1e-9)
+    assert found[1, "steps"] < found[10**6, "steps"]
+
+
+def test_places_among_cuts():
+    rng = np.random.default_rng(3)
+    score = np.concatenate((rng.random(5000), [0.0, 1.0, 0.5, 1 / refit.CELLS], np.arange(refit.CELLS + 1) / refit.CELLS))
+    for cuts in (np.empty(0), np.sort(rng.random(50)), np.array([0.0, 0.25, 0.5, 1.0]), np.linspace(0, 1, refit.CELLS + 1)[1:-1], np.unique(score)):
+        assert (refit._Cut(cuts).places(score) == np.searchsorted(cuts, score, side="right")).all()
