@@ -158,7 +158,7 @@ def mixture_grid(
 
     def binned(df: DataFrame) -> DataFrame:
         at = F.size(F.filter("__edges", lambda e: e <= F.col("score")))
-        return df.filter(F.col(weight) > 0).join(cuts, stratum, "left").withColumn("bin", F.when(F.col("__edges").isNotNull(), at))
+        return df.filter(F.col(weight) > 0).join(F.broadcast(cuts), stratum, "left").withColumn("bin", F.when(F.col("__edges").isNotNull(), at))
 
     shapes: dict = {}
     for r in binned(reference).groupBy(stratum, label, "bin").agg(F.sum(weight).alias("w")).collect():  # two rows a stratum and bin

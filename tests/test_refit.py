@@ -141,3 +141,38 @@ def test_places_among_cuts():
     score = np.concatenate((rng.random(5000), [0.0, 1.0, 0.5, 1 / refit.CELLS], np.arange(refit.CELLS + 1) / refit.CELLS))
     for cuts in (np.empty(0), np.sort(rng.random(50)), np.array([0.0, 0.25, 0.5, 1.0]), np.linspace(0, 1, refit.CELLS + 1)[1:-1], np.unique(score)):
         assert (refit._Cut(cuts).places(score) == np.searchsorted(cuts, score, side="right")).all()
+
+
+def test_few_strata_do_not_deal_all_rows_to_as_few_tasks(spark):
+    from sedimenta.operators.quantify import with_before
+
+    fits = refit.Fits(["v"], np.array([[0.0, 1.0], [1.0, -1.0]]), np.zeros(2, bool))
+    df = spark.range(4000).selectExpr("if(id % 2 = 0, 'F', 'O') s", "cast(id as double) v", "1.0D w").repartition(8)
+    models = spark.createDataFrame([("F", 0), ("O", 1)], "s string, model int")
+    scored = refit.own_scores(df, fits, models, on="s")
+    assert max(r["count"] for r in scored.groupBy(F.spark_partition_id()).count().collect()) < 2000
+    assert scored.filter("s = 'F' and v = 2").first().score == pytest.approx(1 / (1 + np.exp(-2)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        below = with_before(df, by=["s"], value="v", amount="w", name="below")
+        assert all(r.below == r.v // 2 for r in below.collect())
+        # rows that meet the span of their group
+        joins = [j for j in below._jdf.queryExecution().sparkPlan().toString().split("\n") if "SortMergeJoin" in j]
+        assert joins and all("__salt" in j or "__bin" in j for j in joins)
+    finally:
+        for key in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_tasks_that_pack_blocks_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(refit, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(refit, "TASK_BLOCKS", 2)
+    df = spark.range(800).selectExpr("id % 2 g", "cast(id as double) a", "int(id % 3 = 0) y", "1.0D w")
+    one = spark.createDataFrame([(0, 0, 1), (1, 0, 1)], "g long, model int, copies int")
+    blocks = refit.packed(df, one, unit=["g"], features=["a"], label=F.col("y"), weight=F.col("w"), models=1)
+    assert blocks.agg(F.sum("n")).first()[0] == 800
+    tasks = blocks.groupBy(F.input_file_name()).agg(F.sum("n").alias("n")).collect()
+    assert max(t.n for t in tasks) < 120
