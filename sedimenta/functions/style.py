@@ -5,23 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sedimenta.functions.text import blank, has, left_stripped, right_stripped
+
 
 def _mean(values: Column) -> Column:
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
     return F.when(F.size(values) > 0, total / F.size(values)).otherwise(0.0)
 
 
+def full_lines(lines: Column) -> Column:
+    return F.filter(lines, lambda x: ~blank(x))
+
+
 def _share(values: Column, pattern: str) -> Column:
     return F.size(F.filter(values, lambda x: x.rlike(pattern))) / F.greatest(F.size(values), F.lit(1))
 
 
-def line_features(text: Column) -> dict[str, Column]:
-    """Line, indent, identifier, number and punctuation features of a whole text."""
-    lines = F.split(text, "\n")
-    full = F.filter(lines, lambda x: F.regexp_replace(x, r"\s+", "") != "")
-    lengths = F.transform(lines, lambda x: F.length(F.regexp_replace(x, r"\s+$", "")))
-    indents = F.transform(full, lambda x: F.length(x) - F.length(F.regexp_replace(x, r"^\s+", "")))
-    names = F.regexp_extract_all(text, F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
+def line_features(text: Column, *, lines: Column | None = None, full: Column | None = None) -> dict[str, Column]:
+    """Line, indent, identifier, number and punctuation features of a whole text.
+
+    ``lines`` and ``full`` (those that are not blank) may be given as columns of the table, which are worked out once.
+    """
+    lines = F.split(text, "\n") if lines is None else lines
+    full = full_lines(lines) if full is None else full
+    lengths = F.transform(lines, lambda x: F.length(right_stripped(x)))
+    indents = F.transform(full, lambda x: F.length(x) - F.length(left_stripped(x)))
+    names = F.regexp_count(text, F.lit(r"[A-Za-z_][A-Za-z0-9_]*"))
+    named = F.length(text) - F.length(F.regexp_replace(text, r"[A-Za-z_][A-Za-z0-9_]*", ""))
     n = F.greatest(F.size(full), F.lit(1))
     return {
         "log_lines": F.log1p(F.size(lines)),
@@ -30,9 +40,9 @@ def line_features(text: Column) -> dict[str, Column]:
         "blank_rate": (F.size(lines) - F.size(full)) / F.size(lines),
         "indent_mean": _mean(indents),
         "trailing_ws_rate": _share(full, r"\s$"),
-        "semicolon_rate": _share(full, r";\s*$"),
-        "ident_len_mean": _mean(F.transform(names, F.length)),
-        "ident_long_rate": F.size(F.filter(names, lambda x: F.length(x) >= 14)) / F.greatest(F.size(names), F.lit(1)),
+        "semicolon_rate": F.size(F.filter(full, lambda x: has(x, ";") & x.rlike(r";\s*$"))) / F.greatest(F.size(full), F.lit(1)),
+        "ident_len_mean": F.when(names > 0, named / names).otherwise(0.0),
+        "ident_long_rate": F.regexp_count(text, F.lit(r"[A-Za-z_][A-Za-z0-9_]{13,}")) / F.greatest(names, F.lit(1)),
         "number_rate": F.regexp_count(text, F.lit(r"\d+(?:\.\d+)?")) / n,
         "punct_rate": (F.length(text) - F.length(F.translate(text, "(){}[],.;:=", ""))) / F.greatest(F.length(text), F.lit(1)),
     }
@@ -57,6 +67,17 @@ CODE = {
     "ternary_rate": r"\?[^?:\n]{1,40}:|(\bif\b.+\belse\b)",
     "async_rate": r"\b(await|async|\.then\(|go func|goroutine)\b",
 }
+#: Every match of a pattern holds one of these: lines without them are not searched.
+NEEDED = {
+    "guard_rate": ("if", "is None", "nil", "=== undefined", "??", "catch", "except", "rescue"),
+    "logging_rate": ("console.", "print", "log"),
+    "raise_rate": ("raise", "throw"),
+    "typehint_rate": (":", "->"),
+    "fstring_rate": ('f"', "f'", "`"),
+    "kwarg_rate": ("=",),
+    "ternary_rate": ("?", "else"),
+    "async_rate": ("await", "async", ".then(", "go func", "goroutine"),
+}
 DIVIDER = r"(?://|#)\s*[-=*_#]{4,}"
 ELISION = r"(?i)(?://|#)\s*\.\.\.\s*(existing|rest of|remaining|the rest|unchanged|other)"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{1,}"
@@ -66,12 +87,7 @@ SNAKE = r"^[a-z][a-z0-9]*(_[a-z0-9]+)+$"
 CAMEL = r"^[a-z][a-z0-9]*([A-Z][a-z0-9]*)+$"
 
 
-def _rstrip(x: Column) -> Column:
-    return F.regexp_replace(x, r"\s+$", "")
-
-
-def _lstrip(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+", "")
+_rstrip, _lstrip = right_stripped, left_stripped
 
 
 def _deviation(values: Column) -> Column:
@@ -109,7 +125,9 @@ def split_comment(line: Column, prefixes: Column) -> Column:
     ).otherwise(F.struct(line.alias("code"), F.lit("").alias("comment")))
     has_opening = F.size(F.filter(prefixes, lambda p: bare.startswith(p))) > 0
     after = F.when(has_opening, F.substring(bare, F.length(F.when(has_opening, opening)) + 1, F.length(bare))).otherwise("")
-    return F.when(has_opening, F.struct(F.lit("").alias("code"), after.alias("comment"))).otherwise(inside)
+    # most lines have neither a marker inside nor a prefix before
+    whole = F.struct(line.alias("code"), F.lit("").alias("comment"))
+    return F.when(has_opening, F.struct(F.lit("").alias("code"), after.alias("comment"))).when(has(line, "//", "#"), inside).otherwise(whole)
 
 
 def source_features(df, *, text: str, language: str):
@@ -123,7 +141,6 @@ def source_features(df, *, text: str, language: str):
     own = df.columns
     rows = df.withColumn("__pre", prefixes).withColumn("__l", F.when(F.coalesce(F.col(text), F.lit("")) != "", F.split(text, "\n")).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("__s", F.transform("__l", lambda x: split_comment(x, F.col("__pre"))))
-    blank = lambda x: F.regexp_replace(x, r"\s+", "") == ""
     rows = rows.withColumns({
         "__k": F.transform(F.filter(F.transform("__s", lambda s: s["comment"]), lambda x: ~blank(x)), lambda x: _lstrip(_rstrip(x))),
         "__c": F.filter(F.transform("__s", lambda s: s["code"]), lambda x: ~blank(x)),
@@ -137,11 +154,11 @@ def source_features(df, *, text: str, language: str):
         "__ind": F.transform("__f", lambda x: F.length(x) - F.length(_lstrip(x))),
         "__w": F.transform("__k", lambda x: F.regexp_count(x, F.lit(r"\S+"))),
     })
-    rows = rows.withColumns({"__id": F.regexp_extract_all("__b", F.lit(IDENTIFIER), F.lit(0)), "__str": F.regexp_extract_all("__b", F.lit(STRING), F.lit(0))})
+    rows = rows.withColumns({"__id": F.regexp_extract_all("__b", F.lit(IDENTIFIER), F.lit(0)), "__str": F.when(has(F.col("__b"), '"', "'"), F.regexp_extract_all("__b", F.lit(STRING), F.lit(0))).otherwise(F.array().cast("array<string>"))})
     n, nk, nf = F.size("__l"), F.size("__k"), F.greatest(F.size("__f"), F.lit(1))
     nc, ni = F.greatest(F.size("__c"), F.lit(1)), F.greatest(F.size("__id"), F.lit(1))
     some = lambda values, test: F.size(F.filter(values, test))
-    having = lambda pattern: some("__c", lambda x: x.rlike(pattern))
+    having = lambda name, pattern: some("__c", lambda x: has(x, *NEEDED[name]) & x.rlike(pattern))
     quotes = lambda q: F.length("__b") - F.length(F.replace(F.col("__b"), F.lit(q), F.lit("")))
     out = {
         "log_lines": F.log1p(n),
@@ -165,14 +182,14 @@ def source_features(df, *, text: str, language: str):
         "todo_rate": _safe(some("__k", lambda x: x.rlike(COMMENT["todo_rate"])), nk),
         "emoji_comment_rate": _safe(some("__k", lambda x: x.rlike(COMMENT["emoji_comment_rate"])), nk),
         "docstring_present": F.coalesce(F.col(text).contains('"""') | F.col(text).contains("'''") | F.col(text).contains("/**"), F.lit(False)).cast("double"),
-        "divider_rate": _safe(some("__l", lambda x: x.rlike(DIVIDER)), n),
-        "elision_present": F.coalesce(F.col(text).rlike(ELISION), F.lit(False)).cast("double"),
-        **{name: having(pattern) / nc for name, pattern in CODE.items()},
-        "semicolon_rate": some("__c", lambda x: x.rlike(r";\s*$")) / nc,
-        "brace_only_rate": some("__c", lambda x: _lstrip(_rstrip(x)).isin("{", "}", "});", "};")) / nc,
+        "divider_rate": _safe(some("__l", lambda x: has(x, "//", "#") & x.rlike(DIVIDER)), n),
+        "elision_present": F.coalesce(has(F.col(text), "...") & F.col(text).rlike(ELISION), F.lit(False)).cast("double"),
+        **{name: having(name, pattern) / nc for name, pattern in CODE.items()},
+        "semicolon_rate": some("__c", lambda x: has(x, ";") & x.rlike(r";\s*$")) / nc,
+        "brace_only_rate": some("__c", lambda x: has(x, "{", "}") & _lstrip(_rstrip(x)).isin("{", "}", "});", "};")) / nc,
         "ident_len_mean": _mean(F.transform("__id", F.length)),
         "ident_long_rate": some("__id", lambda x: F.length(x) >= 14) / ni,
-        "snake_rate": some("__id", lambda x: x.rlike(SNAKE)) / ni,
+        "snake_rate": some("__id", lambda x: has(x, "_") & x.rlike(SNAKE)) / ni,
         "camel_rate": some("__id", lambda x: x.rlike(CAMEL)) / ni,
         "string_rate": F.size("__str") / nc,
         "string_len_mean": _mean(F.transform("__str", lambda x: F.length(x) - 2)),

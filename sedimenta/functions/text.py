@@ -2,9 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What ``\s`` matches without the flag ``U``.
+SPACE = " \t\n\x0b\x0c\r"
+#: Line ends before which ``$`` matches although they are not white space there.
+LATE_ENDS = ("\u0085", "\u2028", "\u2029")
+#: What a pattern without regard to case takes for ``s``, ``i`` or ``k`` although its small letter is another one.
+ODD_CASE = ("\u017f", "\u0131", "\u0130", "\u212a")
+
+
+def once(x: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(x)``, with ``x`` worked out once however often ``of`` names it."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
+
+
+def left_stripped(x: Column) -> Column:
+    """``regexp_replace(x, "^\\s+", "")``, without a pattern."""
+    return F.ltrim(x, F.lit(SPACE))
+
+
+def right_stripped(x: Column) -> Column:
+    """``regexp_replace(x, "\\s+$", "")``, with a pattern only where the text ends with one of ``LATE_ENDS``."""
+    return F.when(any_of(x.endswith(e) for e in LATE_ENDS), F.regexp_replace(x, r"\s+$", "")).otherwise(F.rtrim(x, F.lit(SPACE)))
+
+
+def blank(x: Column) -> Column:
+    """Nothing but white space."""
+    return F.btrim(x, F.lit(SPACE)) == ""
+
+
+def any_of(tests) -> Column:
+    """Whether one of the tests holds; later ones are not asked once one does."""
+    first, *rest = tests
+    for test in rest:
+        first = first | test
+    return first
+
+
+def has(x: Column, *parts: str) -> Column:
+    """Whether ``x`` holds one of ``parts``; asked before a pattern that needs one of them, it saves most of the work."""
+    return any_of(F.contains(x, F.lit(part)) for part in parts)
+
+
+def has_anycase(x: Column, *parts: str) -> Column:
+    """The same for a pattern without regard to case; ``parts`` are in small letters."""
+    return once(F.lower(x), lambda low: has(low, *parts)) | has(x, *ODD_CASE)
+
 
 def strip(x: Column) -> Column:
     """Without leading and trailing white space of any kind (``trim`` takes spaces only)."""
@@ -26,9 +73,9 @@ def repository_name(url: Column) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Number of runs of non-blank lines."""
-    blank = F.transform(F.split(text, "\n"), lambda x: (strip(x) == "").cast("int"))
+    empty = F.transform(F.split(text, "\n"), lambda x: blank(x).cast("int"))
     return F.aggregate(
-        blank,
+        empty,
         F.struct(F.lit(0).alias("n"), F.lit(1).alias("before")),
         lambda a, b: F.struct((a["n"] + F.when((b == 0) & (a["before"] == 1), 1).otherwise(0)).alias("n"), b.alias("before")),
         lambda a: a["n"],
