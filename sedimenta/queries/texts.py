@@ -77,8 +77,9 @@ SELECT doc_id, round(ln(1 + len(ls)), 6) AS log_lines, round(list_avg(lens), 6)
   round(len(regexp_extract_all(text, '\d+(?:\.\d+)?')) / greatest(len(nb), 1), 6) AS number_rate, round((length(text) - length(translate(text, '(){{}}[],.;:=', ''))) / greatest(length(text), 1), 6) AS punct_rate FROM i"""
 )
 def source_style(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = Y.line_features(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", *[r6(features[c]).alias(c) for c in features])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", "\n").alias("lines")).withColumn("full", Y.full_lines(F.col("lines")))
+    features = Y.line_features(F.col("text"), lines=F.col("lines"), full=F.col("full"))
+    return docs.select("doc_id", *[r6(features[c]).alias(c) for c in features])
 
 
 @query(
