@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sedimenta.functions.text import paragraphs, signal_score
+from sedimenta.functions.text import has, has_anycase, once, paragraphs, signal_score
 
 # What normalization removes, in order, the marks of style, and the limits of the signals.
 REMOVED = [
@@ -18,6 +20,12 @@ REMOVED = [
     r"(?U)(?<!\w)#\d+\b",
     r"(?iU)\b[0-9a-f]{7,40}\b",
 ]
+#: What a text must hold for each of them to match, in small letters where case does not matter; none where there is no such part.
+NEEDED = [
+    (),
+    ("claude", "chatgpt", "codex", "copilot", "cursor", "devin", "gemini", "openai", "anthropic"),
+    ("@",), ("://",), ("@",), ("#",), (),
+]
 WORD = r"(?U)\b[\w'-]+\b"
 BULLET = r"(?U)^\s*(?:[-*+]|\d+[.)])\s+\S"
 SENTENCE = r"(?U)[.!?](?=(?:[\"')\]]*)?(?:\s|$))"
@@ -26,17 +34,23 @@ VALIDATION = (
     r"(?iU)\b(?:(?:ran|run|running|passes?|passed|passing|green|verified?|validated?)(?:\s+\w+){0,5}\s+(?:tests?|checks?|pytest|go\s+test|cargo\s+test|lint(?:er|ing)?|type[- ]?checks?|build)"
     r"|(?:tests?|checks?|pytest|go\s+test|cargo\s+test|lint(?:er|ing)?|type[- ]?checks?|build)(?:\s+\w+){0,5}\s+(?:ran|run|passes?|passed|passing|green|succeeded|completed|verified?))\b"
 )
+VALIDATED = ("test", "check", "lint", "build")
 VERBOSE_WORDS, BODY_LINES, BODY_PARAGRAPHS, BULLETS, SENTENCES, SENTENCE_LINES = 80, 4, 2, 3, 4, 0.5
 LEAST_MESSAGES, QUANTILE = 30, 0.9
 #: What ends a line besides the line feed.
 LINE_ENDS = r"\r\n|[\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]"
 
 
+def _without(pattern: str, parts: tuple[str, ...]) -> Callable[[Column], Column]:
+    asked = has_anycase if pattern.startswith("(?i") else has
+    return lambda x: F.when(asked(x, *parts), F.regexp_replace(x, pattern, "")).otherwise(x) if parts else F.regexp_replace(x, pattern, "")
+
+
 def normalized(message: Column) -> Column:
     """Without direct provenance marks, lines right-trimmed, runs of blank lines as one, outer white space off."""
     out = F.replace(message, F.lit("\r\n"), F.lit("\n"))
-    for pattern in REMOVED:
-        out = F.regexp_replace(out, pattern, "")
+    for pattern, parts in zip(REMOVED, NEEDED, strict=True):
+        out = once(out, _without(pattern, parts))
     out = F.regexp_replace(out, LINE_ENDS, "\n")
     out = F.regexp_replace(out, r"(?mdU)[^\S\n]+$", "")
     return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
@@ -61,7 +75,7 @@ def with_style(df: DataFrame, message: str) -> DataFrame:
         "sentences": sentences,
         "sentence_line_rate": F.when(F.size(prose) > 0, F.size(F.filter(prose, lambda x: x.rlike(CLOSED))) / F.size(prose)).otherwise(0.0),
         "structure": parts + bullets + sentences,
-        "validation": F.col("__b").rlike(VALIDATION),
+        "validation": has_anycase(F.col("__b"), *VALIDATED) & F.col("__b").rlike(VALIDATION),
     })
     return out.drop("__m", "__b")
 

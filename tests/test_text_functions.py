@@ -36,3 +36,36 @@ def test_messages(spark):
     a, b = out.orderBy(F.desc("body_words")).collect()
     assert a.signals == ["structured_body", "enumerated_detail", "explicit_validation"] and a.at_3 and not a.at_4
     assert b.score == 0
+
+
+def test_texts_without_the_needed_parts_are_as_the_patterns_say(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sedimenta.functions import messages as M
+    from sedimenta.functions import style as Y
+    from sedimenta.functions import text as T
+
+    rng = random.Random(8)
+    marks = [*" \t\x0b\x0c\r;={}#?:`@", "\u0085", " ", " ", "ſ", "K", "if ", "else", "is None", "print(", "raise ", "x: Int", "teſt", "ran tests", "Cʟ", "claude", "OPENAI", "devın", "https://a", "a@b.co", "deadbeef1", "AbcdefghijklmnopQ", "snake_case", "9abc"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 9))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    x = F.col("t")
+    wrong = {
+        "left": T.left_stripped(x) != F.regexp_replace(x, r"^\s+", ""),
+        "right": T.right_stripped(x) != F.regexp_replace(x, r"\s+$", ""),
+        "blank": T.blank(x) != (F.regexp_replace(x, r"\s+", "") == ""),
+        **{n: x.rlike(p) & ~T.has(x, *Y.NEEDED[n]) for n, p in Y.CODE.items()},
+        **{f"removed {i}": x.rlike(p) & ~(T.has_anycase if p.startswith("(?i") else T.has)(x, *M.NEEDED[i]) for i, p in enumerate(M.REMOVED) if M.NEEDED[i]},
+        "validation": x.rlike(M.VALIDATION) & ~T.has_anycase(x, *M.VALIDATED),
+    }
+    found = df.agg(*[F.count_if(c).alias(n) for n, c in wrong.items()]).first().asDict()
+    assert not any(found.values()), found
+    names = F.regexp_extract_all(x, F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
+    new = Y.line_features(x)
+    off = df.select(
+        (new["ident_len_mean"] * F.greatest(F.size(names), F.lit(1)) - F.aggregate(names, F.lit(0), lambda a, n: a + F.length(n))).alias("mean"),
+        (new["ident_long_rate"] * F.greatest(F.size(names), F.lit(1)) - F.size(F.filter(names, lambda n: F.length(n) >= 14))).alias("long"),
+    )
+    assert off.filter("abs(mean) > 1e-9 or abs(long) > 1e-9").isEmpty()
