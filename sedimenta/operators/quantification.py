@@ -112,14 +112,20 @@ def quantified(reference: DataFrame, target: DataFrame, *, group: str, label: st
     share = float(likeliest_shares(agent[None], human[None], total[None])[0])
     misfit = float(0.5 * np.abs(total / total.sum() - share * agent - (1 - share) * human).sum())
 
-    def leave(frame: pd.DataFrame) -> pd.DataFrame:
-        own = np.bincount(frame["bin"], weights=frame["w"], minlength=size)
-        rest = np.maximum(total - own, 0)
-        value = likeliest_shares(agent[None], human[None], rest[None])[0] if rest.sum() > 1e-9 * total.sum() else None
-        return pd.DataFrame({group: frame[group].iloc[:1], "share": [value], "shift": [None if value is None else abs(value - share)]})
+    def leave(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            row = np.repeat(np.arange(len(frame)), frame["bins"].str.len())
+            own = np.zeros((len(frame), size))
+            if len(row):
+                np.add.at(own, (row, np.concatenate(frame["bins"].to_list())), np.concatenate(frame["ws"].to_list()))
+            rest = np.maximum(total - own, 0)
+            value = np.where(rest.sum(axis=1) > 1e-9 * total.sum(), likeliest_shares(agent[None], human[None], rest), np.nan)
+            yield pd.DataFrame({group: frame[group], "share": value, "shift": np.abs(value - share)})
 
     kind = groups.schema[group].dataType.simpleString()
-    omitted = groups.groupBy(group).applyInPandas(leave, f"`{group}` {kind}, share double, shift double")
+    # a group is one row, so that many are left out at once
+    held = groups.groupBy(group).agg(F.collect_list(F.struct("bin", "w")).alias("__held")).select(group, F.col("__held.bin").alias("bins"), F.col("__held.w").alias("ws"))
+    omitted = held.mapInPandas(leave, f"`{group}` {kind}, share double, shift double").select(group, *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("share", "shift")])
     is_agent, w = F.col(label) == 1, F.col(weight)
     auc = weighted_auc(reference, score="score", label=is_agent, weight=w)
     cut = best_threshold(reference, score="score", label=is_agent, weight=w)

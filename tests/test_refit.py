@@ -176,3 +176,21 @@ def test_tasks_that_pack_blocks_grow_with_the_rows(spark, monkeypatch):
     assert blocks.agg(F.sum("n")).first()[0] == 800
     tasks = blocks.groupBy(F.input_file_name()).agg(F.sum("n").alias("n")).collect()
     assert max(t.n for t in tasks) < 120
+
+
+def test_groups_are_left_out_many_at_once(spark):
+    from sedimenta.operators import quantification
+
+    rng = np.random.default_rng(2)
+    rows = [(f"r{i % 5}", int(i % 2), 1.0, float(np.clip(rng.normal(0.4 + 0.2 * (i % 2), 0.1), 0, 1))) for i in range(400)]
+    goal = [(f"t{i % 7}" if i % 7 else None, 1.0 + i % 3, float(np.clip(rng.normal(0.5, 0.15), 0, 1))) for i in range(300)]
+    reference, target = spark.createDataFrame(rows, "g string, y int, w double, score double"), spark.createDataFrame(goal, "g string, w double, score double")
+    omitted = quantification.quantified(reference, target, group="g", label="y", weight="w", bins=6)["omitted"]
+    assert "FlatMapGroupsInPandas" not in omitted._jdf.queryExecution().sparkPlan().toString()
+    found = {r.g: r.share for r in omitted.collect()}
+    assert len(found) == 7
+    for g, share in found.items():
+        rest = target.filter(~F.col("g").eqNullSafe(F.lit(g)))
+        assert quantification.quantified(reference, rest, group="g", label="y", weight="w", bins=6)["point"].first().share == pytest.approx(share, abs=1e-9)
+    alone = quantification.quantified(reference, target.filter("g = 't1'"), group="g", label="y", weight="w", bins=6)["omitted"].first()
+    assert alone.share is None and alone.shift is None
