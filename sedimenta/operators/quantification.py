@@ -10,16 +10,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.functions.stats import adjusted_share
-from sedimenta.operators.boosting import boost_many, thresholds
+from sedimenta.operators.boosting import Boosted, boost_many, thresholds
 from sedimenta.operators.order import numbered
 from sedimenta.operators.quantify import best_threshold, same_keys, weighted_auc
-from sedimenta.operators.refit import LEAST_VARIATION, Block, fit_many, likeliest_shares, packed, quantile_edges
+from sedimenta.operators.refit import LEAST_VARIATION, Block, Fits, counted, few_rows, fit_many, likeliest_shares, packed, quantile_edges, streamed, summed
 from sedimenta.plans.scratch import discard, materialize
 
 #: Gates of an estimate: least AUC, largest misfit of the mixture, largest difference of the two estimators.
 LEAST_AUC, MOST_MISFIT, MOST_DISAGREEMENT = 0.70, 0.10, 0.10
 
 
+def _fitted(
+    reference: DataFrame, others: DataFrame, *, group: str, features: list[str], label: str, weight: str, kind: str, folds: int, ridge: float, rounds: int
+) -> tuple[DataFrame, Fits | Boosted, DataFrame]:
+    """Blocks of the reference rows, whose units are folds, a model without each fold and one of all, and ``(group, __fold)``; ``others`` are the target's groups."""
+    names = materialize(reference.select(group).distinct())
+    if not same_keys(names, others, [group]).isEmpty():
+        raise ValueError("reference and target share groups")
+    # a written table of groups has a known size, so Spark need not shuffle the rows to meet it
+    fold = materialize(numbered(names, order=[group], name="__place").select(group, (F.col("__place") % folds).cast("int").alias("__fold")))
+    discard(names)
+    held = np.column_stack((1 - np.eye(folds, dtype=np.uint16), np.ones(folds, np.uint16)))
+    blocks = streamed(same_keys(reference, fold, [group]), F.col("__fold"), held, features=features, label=F.col(label).cast("int"), weight=F.col(weight))
+    if kind == "logistic":
+        fits = fit_many(blocks, features=features, models=folds + 1, ridge=ridge)
+    elif kind == "trees":
+        fits = boost_many(blocks, thresholds(reference, features), features=features, models=folds + 1, rounds=rounds)
+    else:
+        raise ValueError(f"no such model: {kind}")
+    if fits.failed.any():
+        raise ValueError("a fold lacks a class")
+    return blocks, fits, fold
+
+
 def crossfit(
     reference: DataFrame, target: DataFrame, *, group: str, features: list[str], label: str, weight: str, kind: str = "logistic", folds: int = 5, ridge: float = 3.0, rounds: int = 100
 ) -> tuple[DataFrame, DataFrame]:
@@ -29,21 +52,8 @@ def crossfit(
     ``kind`` is ``logistic`` or ``trees``.  A group on both sides, or a fold whose other folds lack a
     class, is an error.
     """
-    if not reference.select(group).intersect(target.select(group)).isEmpty():
-        raise ValueError("reference and target share groups")
-    fold = numbered(reference.select(group).distinct(), order=[group], name="__place").select(group, (F.col("__place") % folds).cast("int").alias("__fold"))
-    models = fold.withColumn("model", F.explode(F.array(*[F.lit(i) for i in range(folds + 1)])))
-    copies = models.filter("model <> __fold").select(group, "model", F.lit(1).alias("copies"))
-    blocks = packed(reference, copies, unit=[group], features=features, label=F.col(label).cast("int"), weight=F.col(weight), models=folds + 1)
-    if kind == "logistic":
-        fits = fit_many(blocks, features=features, models=folds + 1, ridge=ridge)
-    elif kind == "trees":
-        fits = boost_many(blocks, thresholds(reference, features), features=features, models=folds + 1, rounds=rounds)
-    else:
-        raise ValueError(f"no such model: {kind}")
+    blocks, fits, fold = _fitted(reference, target.select(group).distinct(), group=group, features=features, label=label, weight=weight, kind=kind, folds=folds, ridge=ridge, rounds=rounds)
     discard(blocks)
-    if fits.failed.any():
-        raise ValueError("a fold lacks a class")
 
     def scored(df: DataFrame, model: Column, own: list[str]) -> DataFrame:
         kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in own)
@@ -66,17 +76,48 @@ def crossfit(
 
 def histogram_edges(scored: DataFrame, *, weight: str, bins: int) -> np.ndarray:
     """Distinct inner edges of bins of equal weight over scores in [0, 1]."""
-    one = scored.sparkSession.createDataFrame([(0, 1)], "model int, copies int")
-    blocks = packed(scored.withColumn("__all", F.lit(0)), one.withColumn("__all", F.lit(0)), unit=["__all"], features=["score"], label=F.lit(0), weight=F.col(weight), models=1)
-
-    def entries(b: Block) -> Iterator[tuple]:
-        yield 0, np.arange(len(b.y)), b.x[:, 0], b.w
-
-    edges = quantile_edges(blocks, entries, features=1, replicates=1, bins=bins)[0]
+    blocks = streamed(scored, F.lit(0), np.ones((1, 1)), features=["score"], label=F.lit(0), weight=F.col(weight))
+    edges = quantile_edges(blocks, _scores, features=1, replicates=1, bins=bins)[0]
     discard(blocks)
     return edges
 
 
+def _scores(b: Block) -> Iterator[tuple]:
+    """The entries of blocks whose one feature is the score."""
+    yield 0, np.arange(len(b.y)), b.x[:, 0], b.w
+
+
+def out_of_fold(blocks: DataFrame, fits: Fits | Boosted, *, features: int, folds: int) -> DataFrame:
+    """``blocks`` of :func:`_fitted` with the score of the model without the row's fold as their one feature."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                b = Block.unpack(row, features)
+                own = b.copies[:, :folds].argmin(axis=1)  # the fold that lacks the unit
+                score = np.concatenate([fits.scores(b.x[at], slice(own[unit], own[unit] + 1))[:, 0] for unit, at in b.runs()])
+                one = {"n": row.n, "units": 1, "x": score.tobytes(), "y": row.y, "w": row.w, "unit": np.zeros(row.n, np.int32).tobytes(), "copies": np.ones((1, 1), np.uint16).tobytes()}
+                yield pd.DataFrame({k: [v] for k, v in one.items()})
+
+    with few_rows(blocks.sparkSession, 4):
+        return materialize(blocks.mapInPandas(run, "n int, units int, x binary, y binary, w binary, unit binary, copies binary"))
+
+
+def scored_bins(df: DataFrame, fits: Fits | Boosted, model: int, edges: np.ndarray, *, group: str, features: list[str], weight: str) -> DataFrame:
+    """``group, bin, w`` of rows of positive weight scored by one model; a score on an edge belongs to the bin above it."""
+    x = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"__x{i}") for i, f in enumerate(features)]
+    names = [f"__x{i}" for i in range(len(features))]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            score = fits.scores(frame[names].to_numpy(np.float64), slice(model, model + 1))[:, 0]
+            yield pd.DataFrame({group: frame[group], "bin": np.searchsorted(edges, score, side="right").astype(np.int32), "w": frame["__w"]})
+
+    kind = df.schema[group].dataType.simpleString()
+    placed = df.filter(F.col(weight) > 0).select(group, *x, F.col(weight).cast("double").alias("__w")).mapInPandas(run, f"`{group}` {kind}, bin int, w double")
+    return placed.groupBy(group, "bin").agg(F.sum("w").alias("w"))
+
+
 def in_bins(df: DataFrame, edges: np.ndarray, *, by: list[str], weight: str) -> DataFrame:
     """Weight by ``by`` and ``bin``; a score on an edge belongs to the bin above it."""
     at = sum((F.when(F.col("score") >= float(e), 1).otherwise(0) for e in edges), F.lit(0))
@@ -249,20 +290,27 @@ def dedicated_validation(
 
     A group on both sides, a validation group with both labels, or a side without groups is an error.
     """
-    sides = materialize(validation.filter(F.col(weight) > 0).groupBy(group).agg(F.min(label).cast("int").alias("side"), F.max(label).cast("int").alias("__most")))
+    weighs = F.col(weight) > 0
+    own = F.when(weighs, F.col(label))
+    every = materialize(validation.groupBy(group).agg(F.min(own).cast("int").alias("side"), F.max(own).cast("int").alias("__most"), F.count_if(weighs).alias("__n")))
+    sides = every.filter("__n > 0")
     kinds = {r.side for r in sides.select("side").distinct().collect()}
     if not sides.filter("side <> __most or side is null").isEmpty():
         raise ValueError("a validation group has conflicting labels")
     if kinds != {0, 1}:
         raise ValueError("validation needs groups of both labels")
-    scored, held = crossfit(reference, validation, group=group, features=features, label=label, weight=weight, kind=kind)
-    scored = materialize(scored)
-    edges = histogram_edges(scored, weight=weight, bins=bins)
-    shape = np.full((2, len(edges) + 1), 0.5)
-    for r in in_bins(scored, edges, by=[label], weight=weight).collect():  # at most two rows a bin
-        shape[int(r[label]), r.bin] += r.w
+    folds = 5
+    blocks, fits, fold = _fitted(reference, every.select(group), group=group, features=features, label=label, weight=weight, kind=kind, folds=folds, ridge=3.0, rounds=100)
+    # the references are read once: their scores are made from the blocks and stay in blocks
+    scored = out_of_fold(blocks, fits, features=len(features), folds=folds)
+    discard(blocks, fold)
+    edges = quantile_edges(scored, _scores, features=1, replicates=1, bins=bins)[0]
+    size = len(edges) + 1
+    shape = summed(scored, 1, 1, counted(_scores, [edges], 1, size, True), whole=True).reshape(2, size)[::-1] + 0.5
+    discard(scored)
     shape = shape / shape.sum(axis=1, keepdims=True)
     if len(edges) < 1 or 0.5 * np.abs(shape[1] - shape[0]).sum() < LEAST_VARIATION:
         raise ValueError("reference score distributions are indistinguishable")
-    groups = materialize(same_keys(in_bins(held, edges, by=[group], weight=weight), sides.select(group, "side"), [group]))
+    binned = scored_bins(validation, fits, folds, edges, group=group, features=features, weight=weight)
+    groups = materialize(same_keys(binned, sides.select(group, "side"), [group]))
     return recovery(groups, shape, group=group, shares=shares, trials=trials, picks=picks, replicates=replicates, seed=seed)

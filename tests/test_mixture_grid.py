@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sedimenta.operators import order, quantification
+from sedimenta.operators import order, quantification, refit
 from tests.test_refit import plain_share
 
 
@@ -57,6 +58,38 @@ def test_known_shares_are_found_in_unseen_groups(spark):
         quantification.dedicated_validation(ref, val.filter("y = 1"), **how)
 
 
+def test_a_validation_reads_its_references_twice(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(f"{part}{g}", part, float(rng.normal() + 1.5 * (g % 2)), g % 2, 1.0) for part in ("r", "v") for g in range(20) for _ in range(10)]
+    df = spark.createDataFrame(rows, "g string, part string, x double, y int, w double")
+    seen = str(tmp_path / "seen")
+
+    def told(frames):
+        for frame in frames:
+            with open(seen, "a") as f:
+                f.write("x" * len(frame))
+            yield frame
+
+    ref = df.filter("part = 'r'").repartition(1).mapInPandas(told, df.schema)
+    how = {"group": "g", "features": ["x"], "label": "y", "weight": "w", "shares": [0.3], "trials": 3, "picks": 2, "replicates": 5, "seed": "s"}
+    assert quantification.dedicated_validation(ref, df.filter("part = 'v'"), **how).count() == 1
+    assert len(open(seen).read()) == 2 * 200  # once for the groups, once for the blocks
+
+
+def test_streamed_blocks_give_the_fits_of_packed_ones(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(u), float(x), None if i == 7 else float(x**2), None if i == 5 else int(x + rng.normal() > 0), float(i % 4)) for i, (u, x) in enumerate(zip(rng.integers(0, 4, 9000), rng.normal(size=9000), strict=True))]
+    df = spark.createDataFrame(rows, "u int, a double, b double, y int, w double").repartition(3)
+    held = np.array([[0, 1], [2, 1], [1, 0]])  # the fourth unit takes no part
+    long = spark.createDataFrame([(u, m, int(held[u, m])) for u in range(3) for m in range(2) if held[u, m]], "u int, model int, copies int")
+    how = {"features": ["a", "b"], "label": df.y, "weight": df.w}
+    own = refit.streamed(df, F.when(df.u < 3, df.u), held, **how)
+    other = refit.packed(df, long, unit=["u"], models=2, **how)
+    assert own.agg(F.sum("n")).first()[0] == other.agg(F.sum("n")).first()[0]
+    a, b = (refit.fit_many(x, features=["a", "b"], models=2) for x in (own, other))
+    assert np.allclose(a.beta, b.beta, atol=1e-9) and not a.failed.any()
+
+
 def test_recovery_is_that_of_its_draws(spark):
     rng = np.random.default_rng(3)
     groups = [(s, f"{s}{g}", b, float(rng.integers(1, 9))) for s in (0, 1) for g in range(4) for b in range(3)]
