@@ -116,18 +116,22 @@ def repeated_lines(
     release(spark)
 
     # 2. all tokens of the lines left
-    at = firsts.join(able, "h1", "left_semi").groupBy(F.col("pos.id").alias("i"), F.col("pos.text_hash").alias("t")).agg(F.collect_list(F.struct("pos.line_no", "h1", "h2")).alias("at"))
-    again = base.join(at, _same("id", "i") & _same("text_hash", "t")).select("id", "text_hash", F.split("text", "\n").alias("rows"), F.explode("at").alias("at"))
-    ws = again.select("at.h1", "at.h2", F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "at.line_no").alias("pos"), _words(F.get("rows", F.col("at.line_no"))).alias("ws"))
-    # a document that stands several times brings its lines as often, which only repeats pairs
-    left = materialize(_tokens(ws, words, "h1", "h2", "pos").select(F.struct("h1", "h2").alias("line"), "pos", "toks", F.size("toks").alias("n")))
+    at = firsts.join(able, "h1", "left_semi").groupBy(F.col("pos.id").alias("i"), F.col("pos.text_hash").alias("t")).agg(F.collect_list(F.struct("pos.line_no", "h1")).alias("at"))
+    # only the lines asked for are carried on: a row would else hold its whole text once a line
+    again = base.join(at, _same("id", "i") & _same("text_hash", "t")).select("id", "text_hash", "at", F.split("text", "\n").alias("rows"))
+    asked = F.transform("at", lambda a: F.struct(a["h1"].alias("h1"), a["line_no"].alias("line_no"), F.get(F.col("rows"), a["line_no"]).alias("row")))
+    each = again.select("id", "text_hash", F.inline(asked))
+    ws = each.select("h1", F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "line_no").alias("pos"), _words(F.col("row")).alias("ws"))
+    # a written number stands for the line from here on; a document that stands several times brings its lines as often, which only repeats pairs
+    left = materialize(_tokens(ws, words, "h1", "pos").select(F.monotonically_increasing_id().alias("line"), "h1", "pos", "toks", F.size("toks").alias("n")))
     discard(firsts)
     release(spark)
 
     # 3. one earlier line for each: the first holder that most of its first tokens name
     n = F.col("n")
-    met = left.select("line", "pos", "n", F.lit(0).alias("alone"), n.alias("at"), F.col("line.h1").alias("h1")).join(hits, "h1").drop("h1")
+    met = left.select("line", "pos", "n", F.lit(0).alias("alone"), n.alias("at"), "h1").join(hits, "h1").drop("h1")
     met = materialize(met)
+    discard(hits)
     first_round = materialize(_similar(left, _named(met, met, percent), percent))
     release(spark)
 
@@ -141,7 +145,7 @@ def repeated_lines(
     many = met.filter(F.col("df") > frequent)
     asked = many.join(rare, "line", "left_anti").select("tok").distinct()
     crowded = materialize(left.join(many.join(asked, "tok", "left_semi").select("line").distinct(), "line", "left_semi"))
-    discard(hits)
+    discard(met)
     release(spark)
     each = crowded.select("line", F.explode("toks").alias("tok"))
     rarity = each.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
@@ -159,7 +163,7 @@ def repeated_lines(
 
     gone = left.join(near, "line", "left_semi").select("pos.id", "pos.text_hash", "pos.line_no")
     out = materialize(later.unionByName(gone).groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("lines")))
-    discard(later, left, met, first_round, rare, crowded, prefix, second)
+    discard(later, left, first_round, rare, crowded, prefix, second)
     release(spark)
     return out
 
@@ -185,13 +189,13 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     gone = repeated_lines(docs, id_col=id_col, text_col=text_col, percent=percent, words=words, least_chars=least_chars).withColumnsRenamed({"id": "__id", "text_hash": "__hash", "lines": "__gone"})
     kept, names = set_aside(docs, __text=F.xxhash64(quoted(text_col)))
     joined = kept.join(gone, _same(names[id_col], "__id") & _same("__text", "__hash"), "left")
-    own = F.col(names[text_col])
-    rows = F.split(own, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(rows) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), own).otherwise(F.array_join(F.transform(stay, lambda i: F.get(rows, i)), "\n"))
+    # the lines are a column: written into a function of each line, the text would be cut once a line
+    joined = joined.withColumn("__rows", F.split(F.col(names[text_col]), "\n"))
+    stay = F.filter("__rows", lambda _, i: ~F.array_contains("__gone", i))
+    text = F.when(F.col("__gone").isNull(), F.col(names[text_col])).otherwise(F.array_join(stay, "\n"))
     return joined.select(
         *[(text if c == text_col else F.col(n)).alias(c) for c, n in names.items() if c.lower() not in ("n_lines", "removed_lines")],
-        F.coalesce(F.size(rows), F.lit(0)).alias("n_lines"),
+        F.coalesce(F.size("__rows"), F.lit(0)).alias("n_lines"),
         F.coalesce("__gone", F.array().cast("array<int>")).alias("removed_lines"),
     )
 

@@ -86,3 +86,11 @@ def test_clashing_names_and_a_very_long_text(spark):
     got = {r.doc_id: r for r in linededup.dedup_lines(df).collect()}
     assert got[1].removed_lines == [] and got[2].removed_lines == list(range(20000)) and got[2].text == ""
     assert (got[2].line, got[2].h1, got[2].pos) == (1, 2, 3)
+
+
+def test_a_text_is_cut_once_not_once_a_line(spark):
+    line = "one two three four five six"
+    rows = [(1, line), (2, f"first line\n{line}\nlast line")]
+    out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert {r.doc_id: (r.text, r.removed_lines, r.n_lines) for r in out.collect()} == {1: (line, [], 1), 2: ("first line\nlast line", [1], 3)}
