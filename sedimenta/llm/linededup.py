@@ -9,19 +9,18 @@ itself removed does not matter, so the result does not depend on the order of wo
 
 Only DataFrame functions are used:
 
-1.  Each line gets the hash of its words and its first ``n - ceil(0.75 n) + 1``
-    tokens in the order of hashes.  Similar lines meet in one of these, whatever
-    the common order, so contents that meet no other one there are done; they are
-    most.  The first line of each content stands for it.
-2.  The few lines left are tokenized again and keep all their tokens.
-3.  Each of them is held against one earlier line, the first holder that most of its
-    first tokens name, so a mass of near copies goes out without pairs among its
-    members.
-4.  Lines without a match meet all earlier lines of step 2 in tokens of at most
-    ``frequent`` lines.
-5.  For the more frequent tokens of lines still unmatched, all lines that hold one are
-    ranked anew: tokens in order of rarity, which puts common passages last.  Under
-    that order steps 3 and 4 are done again, which makes the result exact.
+1.  Each line gets the hash of its words and its first ``n - ceil(0.75 n) + m``
+    tokens in the order of hashes, with ``m`` one more than a sixteenth of ``n``.
+    Similar lines meet there in as many tokens as the shorter one has for ``m``,
+    whatever the common order, so contents that meet others in fewer are done; they
+    are most.  The first line of each content stands for it.
+2.  The few lines left are tokenized again and keep all their tokens.  A line similar
+    to another shares ``ceil(0.75 n)`` of these with lines left; others are done too.
+3.  The shared tokens of the rest are ordered by rarity, which puts common passages
+    last, and the first ones are kept, as many as similar lines need to meet.
+4.  Each line is held against one earlier line, the first holder that most of these
+    tokens name, so a mass of near copies goes out without pairs among its members.
+5.  Lines without a match meet all earlier lines in these tokens.
 
 Length, positional and rarity bounds stand in the conditions of the joins.
 
@@ -44,18 +43,26 @@ from sedimenta.plans.scratch import discard, materialize, release
 SPACE, AROUND = r"[\x20\x09-\x0D]+", " \t\n\x0b\x0c\r"
 
 
+def _hashed(ws: Column) -> Column:
+    return F.transform(ws, lambda w: F.xxhash64(w))
+
+
 def _tokens(lines: DataFrame, words: int, *own: str) -> DataFrame:
-    """``own`` columns and ``toks``, sorted, from the column ``ws``: distinct hashes of its runs of ``words`` words."""
-    one = lines.select(*own, F.transform("ws", lambda w: F.xxhash64(w)).alias("one"))
+    """``own`` columns and ``toks``, sorted, from the word hashes ``one``: distinct hashes of its runs of ``words`` words."""
     starts = F.slice("one", F.lit(1), F.greatest(F.size("one") - (words - 1), F.lit(0)))
     hashes = F.transform(starts, lambda first, i: F.xxhash64(first, *[F.get(F.col("one"), i + k) for k in range(1, words)]))
-    return one.select(*own, F.sort_array(F.array_distinct(hashes)).alias("toks"))
+    return lines.select(*own, F.sort_array(F.array_distinct(hashes)).alias("toks"))
 
 
 def _need(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100).cast("int")
 
 
+def _meets(n: Column) -> Column:
+    """How many tokens more than none lines of ``n`` tokens shall meet in; not less for more tokens, and at most ``n`` if that is above 0."""
+    return 1 + F.shiftright(n, 4)
+
+
 def _position(id_col: str = "id") -> Column:
     return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("text_hash"), F.col("line_no"))
 
@@ -64,6 +71,11 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
+def _unsorted(keys: DataFrame) -> DataFrame:
+    """``keys``, unique in what they are joined by, as the side that is held by hash: the larger side is not sorted then."""
+    return keys.hint("shuffle_hash")
+
+
 def _words(line: Column) -> Column:
     """The words of a line; most lines have single spaces only and need no pattern."""
     plain = F.lower(F.btrim(line, F.lit(AROUND)))
@@ -89,7 +101,6 @@ def repeated_lines(
     percent: int = 75,
     words: int = 5,
     least_chars: int = 20,
-    frequent: int = 8,
 ) -> DataFrame:
     """``id, text_hash, lines``: the sorted numbers (from 0) of the lines to remove, of documents with any."""
     spark = docs.sparkSession
@@ -101,69 +112,61 @@ def repeated_lines(
     split = base.filter(F.col("text").isNotNull()).select("id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     long = F.length(F.btrim("line", F.lit(AROUND))) >= least_chars
     ws = split.select("id", "text_hash", "line_no", long.alias("long"), _words(F.col("line")).alias("ws")).filter(F.col("long") | (F.size("ws") >= words))
-    hashed = ws.select("id", "text_hash", "line_no", F.xxhash64("ws").alias("h1"), F.xxhash64(F.lit(1), "ws").alias("h2"), "ws")
+    one = ws.select("id", "text_hash", "line_no", _hashed(F.col("ws")).alias("one"))
+    hashed = one.select("id", "text_hash", "line_no", F.xxhash64("one").alias("h1"), F.xxhash64(F.lit(1), "one").alias("h2"), "one")
     n = F.size("toks")
-    lines = materialize(_tokens(hashed, words, *own).select(*own, F.slice("toks", F.lit(1), n - _need(n, percent) + 1).alias("low")))
-    firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(_position()).alias("pos")))
-    later = materialize(lines.select(*own).join(firsts, ["h1", "h2"]).filter(_position() != F.col("pos")).select("id", "text_hash", "line_no"))
+    lines = materialize(_tokens(hashed, words, *own).select(*own, n.alias("n"), F.slice("toks", F.lit(1), n - _need(n, percent) + _meets(n)).alias("low")))
+    firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(_position()).alias("pos"), F.count("*").alias("copies")))
+    later = materialize(lines.select(*own).join(_unsorted(firsts), ["h1", "h2"]).filter(_position() != F.col("pos")).select("id", "text_hash", "line_no"))
     release(spark)
-    low = lines.select("h1", F.explode("low").alias("tok"))
-    shared = materialize(low.groupBy("tok").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.count("*").alias("df")).filter("a <> b").select("tok", "df"))
+    low = lines.select("h1", "n", F.explode("low").alias("tok"))
+    shared = materialize(low.groupBy("tok").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("tok"))
     release(spark)
-    hits = materialize(low.join(shared, "tok").select("h1", "tok", "df").distinct())
-    able = hits.select("h1").distinct()
+    # each copy of a content brings its tokens
+    hits = materialize(low.join(_unsorted(shared), "tok").groupBy("h1").agg(F.count("*").alias("hits"), F.min("n").alias("n")))
     discard(lines, shared)
     release(spark)
 
     # 2. all tokens of the lines left
-    at = firsts.join(able, "h1", "left_semi").groupBy(F.col("pos.id").alias("i"), F.col("pos.text_hash").alias("t")).agg(F.collect_list(F.struct("pos.line_no", "h1")).alias("at"))
+    able = firsts.join(hits, "h1").filter(F.col("hits") >= F.col("copies") * _meets(_need(F.col("n"), percent)))
+    at = able.groupBy(F.col("pos.id").alias("i"), F.col("pos.text_hash").alias("t")).agg(F.collect_list("pos.line_no").alias("at"))
     # only the lines asked for are carried on: a row would else hold its whole text once a line
-    again = base.join(at, _same("id", "i") & _same("text_hash", "t")).select("id", "text_hash", "at", F.split("text", "\n").alias("rows"))
-    asked = F.transform("at", lambda a: F.struct(a["h1"].alias("h1"), a["line_no"].alias("line_no"), F.get(F.col("rows"), a["line_no"]).alias("row")))
+    again = base.join(_unsorted(at), _same("id", "i") & _same("text_hash", "t")).select("id", "text_hash", "at", F.split("text", "\n").alias("rows"))
+    # rows are named twice, as a column named once is written into the function, which would cut the text once a line
+    asked = F.transform("at", lambda a: F.struct(a.alias("line_no"), F.get(F.col("rows"), F.least(a, F.size("rows"))).alias("row")))
     each = again.select("id", "text_hash", F.inline(asked))
-    ws = each.select("h1", F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "line_no").alias("pos"), _words(F.col("row")).alias("ws"))
+    ws = each.select(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "line_no").alias("pos"), _words(F.col("row")).alias("ws"))
     # a written number stands for the line from here on; a document that stands several times brings its lines as often, which only repeats pairs
-    left = materialize(_tokens(ws, words, "h1", "pos").select(F.monotonically_increasing_id().alias("line"), "h1", "pos", "toks", F.size("toks").alias("n")))
-    discard(firsts)
+    one = ws.select("pos", _hashed(F.col("ws")).alias("one"))
+    left = materialize(_tokens(one, words, "pos").select(F.monotonically_increasing_id().alias("line"), "pos", "toks", F.size("toks").alias("n")))
+    discard(firsts, hits)
     release(spark)
 
-    # 3. one earlier line for each: the first holder that most of its first tokens name
+    # 3. shared tokens by rarity: how many lines hold one, before 48 bits of it; tokens that agree in both only bring more pairs
     n = F.col("n")
-    met = left.select("line", "pos", "n", F.lit(0).alias("alone"), n.alias("at"), "h1").join(hits, "h1").drop("h1")
-    met = materialize(met)
-    discard(hits)
-    first_round = materialize(_similar(left, _named(met, met, percent), percent))
-    release(spark)
-
-    # 4. the others meet all earlier lines: in tokens of few lines at once
-    few = met.filter(F.col("df") <= frequent)
-    pairs = few.join(first_round, "line", "left_anti").alias("x").join(few.alias("y"), (F.col("x.tok") == F.col("y.tok")) & _possible("x", "y", percent))
-    rare = materialize(_similar(left, pairs.select(F.col("x.line").alias("line"), F.col("y.line").alias("other")).distinct(), percent).union(first_round))
-    release(spark)
-
-    # 5. and in frequent ones after the lines that hold these are ranked by rarity
-    many = met.filter(F.col("df") > frequent)
-    asked = many.join(rare, "line", "left_anti").select("tok").distinct()
-    crowded = materialize(left.join(many.join(asked, "tok", "left_semi").select("line").distinct(), "line", "left_semi"))
-    discard(met)
-    release(spark)
-    each = crowded.select("line", F.explode("toks").alias("tok"))
+    each = left.select("line", F.explode("toks").alias("tok"))
     rarity = each.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
-    by = each.join(rarity, "tok").groupBy("line").agg(F.sort_array(F.collect_set(F.struct("df", "tok"))).alias("by"))
+    ranks = F.shiftleft(F.least("df", F.lit(32767)), 48).bitwiseOR(F.shiftrightunsigned("tok", 16))
+    # dealt by line before, as lists begun for each part of the tokens would hold a token or two
+    by = each.join(_unsorted(rarity), "tok").select("line", ranks.alias("tok")).repartition("line").groupBy("line").agg(F.sort_array(F.collect_list("tok")).alias("by"))
     alone = n - F.size("by")
-    ranked = crowded.select("line", "pos", "n").join(by, "line")
-    ranked = ranked.select("line", "pos", "n", alone.alias("alone"), F.slice("by", F.lit(1), F.greatest(F.lit(0), n - _need(n, percent) + 1 - alone)).alias("by"))
-    placed = ranked.select("line", "pos", "n", "alone", F.posexplode("by").alias("i", "t"))
-    prefix = materialize(placed.select("line", "pos", "n", "alone", (F.col("alone") + F.col("i") + 1).alias("at"), F.col("t.tok").alias("tok")))
+    ranked = left.join(by, "line").filter(F.size("by") >= _need(n, percent))
+    ranked = materialize(ranked.select("line", "pos", "n", "toks", alone.alias("alone"), F.slice("by", F.lit(1), n - _need(n, percent) + 1 - alone).alias("by")))
+    discard(left)
     release(spark)
-    second = materialize(_similar(left, _named(prefix.join(rare, "line", "left_anti"), prefix, percent), percent).union(rare))
+    prefix = ranked.select("line", "pos", "n", "alone", F.posexplode("by").alias("i", "tok")).select("line", "pos", "n", "alone", (F.col("alone") + F.col("i") + 1).alias("at"), "tok")
+
+    # 4. one earlier line for each: the first holder that most of its tokens name
+    named = materialize(_similar(ranked, _named(prefix, prefix, percent), percent))
     release(spark)
-    pairs = prefix.join(second, "line", "left_anti").alias("x").join(prefix.alias("y"), (F.col("x.tok") == F.col("y.tok")) & _possible("x", "y", percent))
-    near = second.union(_similar(left, pairs.select(F.col("x.line").alias("line"), F.col("y.line").alias("other")).distinct(), percent)).distinct()
 
-    gone = left.join(near, "line", "left_semi").select("pos.id", "pos.text_hash", "pos.line_no")
+    # 5. the others meet all earlier lines
+    pairs = prefix.join(named, "line", "left_anti").alias("x").join(prefix.alias("y"), (F.col("x.tok") == F.col("y.tok")) & _possible("x", "y", percent))
+    near = named.union(_similar(ranked, pairs.select(F.col("x.line").alias("line"), F.col("y.line").alias("other")).distinct(), percent)).distinct()
+
+    gone = ranked.join(near, "line", "left_semi").select("pos.id", "pos.text_hash", "pos.line_no")
     out = materialize(later.unionByName(gone).groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("lines")))
-    discard(later, left, first_round, rare, crowded, prefix, second)
+    discard(later, ranked, named)
     release(spark)
     return out
 
@@ -188,7 +191,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with the repeated lines cut out of the text, ``n_lines`` and ``removed_lines`` (numbers from 0)."""
     gone = repeated_lines(docs, id_col=id_col, text_col=text_col, percent=percent, words=words, least_chars=least_chars).withColumnsRenamed({"id": "__id", "text_hash": "__hash", "lines": "__gone"})
     kept, names = set_aside(docs, __text=F.xxhash64(quoted(text_col)))
-    joined = kept.join(gone, _same(names[id_col], "__id") & _same("__text", "__hash"), "left")
+    joined = kept.join(_unsorted(gone), _same(names[id_col], "__id") & _same("__text", "__hash"), "left")
     # the lines are a column: written into a function of each line, the text would be cut once a line
     joined = joined.withColumn("__rows", F.split(F.col(names[text_col]), "\n"))
     stay = F.filter("__rows", lambda _, i: ~F.array_contains("__gone", i))

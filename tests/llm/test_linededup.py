@@ -94,3 +94,27 @@ def test_a_text_is_cut_once_not_once_a_line(spark):
     out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert {r.doc_id: (r.text, r.removed_lines, r.n_lines) for r in out.collect()} == {1: (line, [], 1), 2: ("first line\nlast line", [1], 3)}
+
+
+def test_lines_that_share_one_phrase_are_not_tokenized_again(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(linededup, "materialize", lambda df, real=linededup.materialize: written.append((df.columns, (out := real(df)).count())) or out)
+    rows = [(i, " ".join([*[f"a{i}x{k}" for k in range(30)], *[f"p{i // 2}x{k}" for k in range(5)], *[f"b{i}x{k}" for k in range(30)]])) for i in range(60)]
+    rows += [(100, rows[0][1] + " last")]
+    got = {r.doc_id: r.removed_lines for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: [0] if i == 100 else [] for i, _ in rows}
+    assert [n for columns, n in written if {"pos", "toks", "n"} <= set(columns)][0] == 2
+
+
+def test_long_lines_at_the_border_equal_brute_force(spark):
+    rng = random.Random(5)
+    pool = [[f"w{rng.randint(0, 400)}" for _ in range(rng.randint(20, 150))] for _ in range(15)]
+    docs = []
+    for i in range(150):
+        w = list(rng.choice(pool))
+        for _ in range(rng.randint(0, len(w) // 16)):
+            w[rng.randrange(len(w))] = f"w{rng.randint(0, 400)}"
+        docs.append((i, " ".join(w)))
+    want = brute(docs)
+    got = {r.doc_id: r.removed_lines for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want and 20 < sum(map(len, want.values())) < 140
