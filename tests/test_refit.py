@@ -194,3 +194,30 @@ def test_groups_are_left_out_many_at_once(spark):
         assert quantification.quantified(reference, rest, group="g", label="y", weight="w", bins=6)["point"].first().share == pytest.approx(share, abs=1e-9)
     alone = quantification.quantified(reference, target.filter("g = 't1'"), group="g", label="y", weight="w", bins=6)["omitted"].first()
     assert alone.share is None and alone.shift is None
+
+
+def test_strata_without_a_fit_keep_their_rows(spark):
+    from sedimenta.operators import evaluation
+
+    fits = refit.Fits(["v"], np.array([[0.0, 1.0], [0.0, 0.0]]), np.array([False, True]))
+    df = spark.createDataFrame([("a", 2.0), ("b", 2.0), ("c", 2.0), (None, 2.0)], "s string, v double")
+    models = spark.createDataFrame([("a", 0), ("b", 1)], "s string, model int")
+    got = {r.s: r.score for r in refit.own_scores(df, fits, models, on="s").collect()}
+    assert got == {"a": pytest.approx(1 / (1 + np.exp(-2))), "b": None, "c": None, None: None}
+
+    rng = np.random.default_rng(6)
+    rows = [(s, float(rng.normal() + 2 * (i % 2)), bool(i % 2) and s != "one class") for s in ("F", "one class", None) for i in range(200)]
+    df = spark.createDataFrame(rows, "s string, v double, y boolean")
+    more = {"stratum": "s", "features": ["v"], "label": F.col("y"), "weight": F.lit(1.0)}
+    found = {r.s: r for r in evaluation.fits_by_stratum(df, **more).collect()}
+    assert set(found) == {"F", "one class", None}
+    assert found["F"].reason is None and found[None].reason is None and found[None].positive == 100
+    lost = found["one class"]
+    assert (lost.positive, lost.negative, lost.auc, lost.tpr, lost.fpr, lost.reason) == (0, 200, None, None, None, "too_few_rows")
+    found = {r.s: r.reason for r in evaluation.fits_by_stratum(df, strata=["one class", "none"], least_rows=0, **more).collect()}
+    assert found == {"one class": "fit_failed", "none": "fit_failed"}
+
+    # without the other groups' rows a model lacks a class
+    alone = evaluation.left_out_groups(df.filter("s is not null"), group="s", groups=["F", "one class", "none"], features=["v"], label=F.col("y"))
+    got = {r.s: (r.auc, r.rows) for r in alone.collect()}
+    assert got["F"] == (None, 200) and got["one class"] == (None, 200) and got["none"] == (None, 0)
