@@ -57,7 +57,9 @@ def stratified_draws(units: DataFrame, *, unit: str, strata: list[str], replicat
     """
     placed = numbered(units.select(*strata, unit).distinct(), order=[unit], by=strata, name="place")
     sizes = placed.groupBy(*strata).agg(F.count("*").alias("n"))
-    draws = same_keys(placed.select(*strata, F.col("place").alias("j")), sizes, strata).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    # few small rows become many draws: a shuffle of a fixed number of tasks is not merged into one, as AQE would by size
+    tasks = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), units.sparkSession.sparkContext.defaultParallelism)
+    draws = same_keys(placed.select(*strata, F.col("place").alias("j")), sizes, strata).repartition(tasks, *strata, "j").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     parts = [F.lit(seed), *[F.coalesce(F.col(s).cast("string"), F.lit("null")) for s in strata], F.col("replicate").cast("string"), F.col("j").cast("string")]
     digest = F.sha2(F.concat_ws("\0", *parts).cast("binary"), 256)
     drawn = draws.select(*strata, "replicate", (F.col("j") % folds).cast("int").alias("fold"), (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % F.col("n")).alias("place"))

@@ -221,3 +221,91 @@ def test_strata_without_a_fit_keep_their_rows(spark):
     alone = evaluation.left_out_groups(df.filter("s is not null"), group="s", groups=["F", "one class", "none"], features=["v"], label=F.col("y"))
     got = {r.s: (r.auc, r.rows) for r in alone.collect()}
     assert got["F"] == (None, 200) and got["one class"] == (None, 200) and got["none"] == (None, 0)
+
+
+def test_rows_meet_models_only_where_their_place_depends_on_them(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(80):
+        y = rng.integers(0, 2, 300)
+        a, b = rng.normal(size=300) + y, np.round(rng.normal(size=300) - 0.5 * y, 1)
+        rows += [(f"g{g:02d}", "reference" if g < 60 else "target", float(a[i]), float(b[i]), 7.0, int(y[i]), float(1 + i % 4)) for i in range(300)]
+    df = spark.createDataFrame(rows, NAMES)
+    ref, tgt = df.filter("role = 'reference'"), df.filter("role = 'target'")
+    draws = order.stratified_draws(ref, unit="repo", strata=["y"], replicates=14, seed="s", folds=4)
+    goal = order.stratified_draws(tgt, unit="repo", strata=[], replicates=14, seed="t")
+    # draws are made in as many tasks, however small the table of units
+    assert "REPARTITION_BY_NUM" in draws._jdf.queryExecution().sparkPlan().toString()
+    run = lambda: {r.replicate: r.share for r in refit.refit_shares(ref, tgt, draws, goal, group="repo", features=["a", "b", "c"], label="y", weight="w", replicates=14, folds=4, bins=8).collect()}
+    passes, plain, edges, counts, used = [], refit.summed, refit._edges, refit.counts, []
+
+    def seen(blocks, features, models, sums, *args, **more):
+        passes.append((models, sums.__name__))
+        return plain(blocks, features, models, sums, *args, **more)
+
+    def same_edges(blocks, entries, features, replicates, bins, bounds, gaps, cuts):
+        found = edges(blocks, entries, features, replicates, bins, bounds, gaps, cuts)
+        if gaps is not None and found is not None:
+            used.append(len(gaps.low))
+            whole = edges(blocks, entries, features, replicates, bins, None, None, [np.linspace(0, 1, refit.CELLS + 1)[1:-1]] * replicates)
+            assert all(len(a) == len(b) and np.allclose(a, b, rtol=0, atol=1e-12) for a, b in zip(found, whole, strict=True))
+        return found
+
+    def same_counts(blocks, entries, found, bounds, *, features, replicates, bins, split):
+        out = counts(blocks, entries, found, bounds, features=features, replicates=replicates, bins=bins, split=split)
+        whole = plain(blocks, features, replicates, refit.counted(entries, found, replicates, bins, split), whole=True)
+        assert np.allclose(out, whole.reshape(out.shape), rtol=1e-12)
+        x = np.array([r[2:5] for r in rows if r[1] == "reference"])
+        low, high = bounds.scores(x)
+        assert (low <= high).all() and (high - low).max() < 0.5
+        return out
+
+    monkeypatch.setattr(refit, "GUESS_ROWS", 100)
+    monkeypatch.setattr(refit, "GATHERED", 20)
+    monkeypatch.setattr(refit, "CLOSE", 1e-5)
+    monkeypatch.setattr(refit, "summed", seen)
+    with monkeypatch.context() as m:
+        m.setattr(refit, "_edges", same_edges)
+        m.setattr(refit, "counts", same_counts)
+        found = run()
+    # the power series tells most of the 70 models
+    assert all(n < 20 for n, name in passes if name == "step")
+    assert used and used[0] > 2
+    monkeypatch.setattr(refit, "MANY_MODELS", 10**6)
+    assert run() == pytest.approx(found, abs=2e-5)
+
+
+def test_quantiles_beside_a_gap_are_looked_for_again(spark, monkeypatch):
+    # guesses that miss: rows left in gaps would matter, so more of them are looked at
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i % 20, float(v), int(rng.random() < 0.3 + 0.1 * v), 1.0) for i, v in enumerate(rng.normal(size=6000))], "g long, v double, y int, w double")
+    copies = spark.createDataFrame([(g, m, 1 + (g + m) % 3) for g in range(20) for m in range(3)], "g long, model int, copies int")
+    blocks = refit.packed(df, copies, unit=["g"], features=["v"], label=F.col("y"), weight=F.col("w"), models=3)
+    fits = refit.Fits(["v"], np.array([[0.0, 1.0], [0.01, 1.0], [0.0, 1.01]]), np.zeros(3, bool))
+
+    def entries(b):
+        yield np.arange(3), np.arange(len(b.y)), fits.scores(b.x), b.w[:, None] * b.copies[b.unit]
+
+    bounds = refit._Bounds.of(fits.beta[:, None], np.ones(3, bool), lambda b: b.copies)
+    want = refit.quantile_edges(blocks, entries, features=1, replicates=3, bins=5)
+    tried, edges, guessed = [], refit._edges, refit.guessed
+
+    def told(*args):
+        out = edges(*args)
+        tried.append((args[6] is not None, out is not None))
+        return out
+
+    def wrong(*args, **more):
+        guess = guessed(*args, **more)
+        guess.at = guess.at + 3.0
+        return guess
+
+    monkeypatch.setattr(refit, "_edges", told)
+    monkeypatch.setattr(refit, "GUESS_ROWS", 200)
+    near = refit.quantile_edges(blocks, entries, features=1, replicates=3, bins=5, bounds=bounds)
+    assert tried == [(True, True)]
+    monkeypatch.setattr(refit, "guessed", wrong)
+    far = refit.quantile_edges(blocks, entries, features=1, replicates=3, bins=5, bounds=bounds)
+    assert tried[1] == (True, False) and tried[-1] == (False, True)
+    for got in (near, far):
+        assert all(np.allclose(a, b, rtol=0, atol=1e-12) for a, b in zip(got, want, strict=True))
